@@ -41,15 +41,40 @@ def _digest(s: np.ndarray) -> int:
     return int(mix(mix(s).sum(dtype=U64, keepdims=True) + U64(len(s))).view(np.int64)[0])
 
 
+def _row_bits(s: np.ndarray) -> bytes:
+    """A set as a row of bits: 2 to 4 for each shingle, a power of two in all, so that longer rows fold onto shorter ones."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & U64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, set_key) of each document."""
+    """(doc_id, n_shingles, set_key, bits) of each document."""
     for b in batches:
-        n, key = [], []
+        n, key, bits = [], [], []
         for row, stop in slices(b, 1):
             for s in _sets(b, row, stop):
                 n.append(len(s))
                 key.append(_digest(s))
-        yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64())], ["doc_id", "n_shingles", "set_key"])
+                bits.append(_row_bits(s))
+        yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_key", "bits"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, n and bits of one, n and bits of the other) that the bound on their overlap lets link.
+
+    What one set has and the other lacks is at least the number of bits that only the one's row has.
+    """
+    for batch in batches:
+        keep = []
+        for n, x, m, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), batch.column(5), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            size = min(len(x), len(y))
+            x, y = np.bitwise_or.reduce(x.reshape(-1, size)), np.bitwise_or.reduce(y.reshape(-1, size))
+            both = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+            keep.append(both >= needed(n, m))
+        yield pa.record_batch(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
 
 def _local_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,17 +225,27 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of set keys that link, as a written table."""
-    keys = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-    wanted = stored(reps.join(keys, "set_key").select("rep", "set_key"), f"{name}-wanted")
-    mask = _filter(wanted.select("rep"))
-    sets = docs.mapInArrow(_some_sets(mask), "doc_id long, tokens binary")
-    sets = stored(wanted.join(sets, wanted["rep"] == sets["doc_id"]).select("set_key", "tokens"), f"{name}-sets")
-    left = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("set_key").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    out = stored(both.mapInArrow(_linked, "a long, b long"), f"{name}-linked")
-    forget(pairs.sparkSession, wanted, sets)
+def _verified(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of set keys that link, as a written table: first by the bound, then by comparing the sets."""
+
+    def wanted(some: DataFrame) -> DataFrame:
+        keys = some.select(F.col("a").alias("set_key")).union(some.select(F.col("b").alias("set_key"))).distinct()
+        return reps.join(keys, "set_key").select("rep", "set_key")
+
+    def both(some: DataFrame, side: DataFrame, *cols: str) -> DataFrame:
+        for end in "ab":
+            some = some.join(side.select(F.col("set_key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]), end)
+        return some.select("a", "b", *[f"{end}_{c}" for end in "ab" for c in cols])
+
+    rows = wanted(pairs).join(keyed.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), "n_shingles", "bits"), "rep").where("k = set_key")
+    rows = rows.dropDuplicates(["set_key"])
+    some = stored(both(pairs, rows, "n_shingles", "bits").mapInArrow(_possible, "a long, b long"), f"{name}-possible")
+    ids = stored(wanted(some), f"{name}-wanted")
+    sets = docs.mapInArrow(_some_sets(_filter(ids.select("rep"))), "doc_id long, tokens binary")
+    sets = ids.join(sets, ids["rep"] == sets["doc_id"]).select("set_key", "tokens")
+    sets = stored(sets.dropDuplicates(["set_key"]), f"{name}-sets")
+    out = stored(both(some, sets, "tokens").mapInArrow(_linked, "a long, b long"), f"{name}-linked")
+    forget(pairs.sparkSession, some, ids, sets)
     return out
 
 
@@ -226,7 +261,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
        shares most prefixes (among the smallest keys there): what links makes groups of similar documents.
     3. The token-group matrix holds, for each shingle, the groups whose token union has it, with the range of their
        members' sizes. A set (query) opens a group other than its own only if they share a shingle and the sizes allow
-       the intersection that a link needs. All members of opened groups with that shingle are compared; links join groups.
+       the intersection that a link needs. Members of opened groups with that shingle become candidates.
+    4. A candidate's overlap is bounded by rows of bits; what passes is compared set by set. Links join groups.
 
     Sets are compared by 64-bit hashes of their shingles. A null or empty text, and one without words, has no shingle,
     links with nothing and is its own component. Fewer than five words: the whole sequence is the one shingle. Repeated
@@ -236,7 +272,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark: SparkSession = docs.sparkSession
     arrow_rows(spark)
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").where(F.col("doc_id").isNotNull())
-    keyed = stored(docs.mapInArrow(_keys, "doc_id long, n_shingles long, set_key long"), "join-keys")
+    keyed = stored(docs.mapInArrow(_keys, "doc_id long, n_shingles long, set_key long, bits binary"), "join-keys")
     reps = stored(keyed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "join-reps")
 
     floor = max(8, reps.count() // COMMON_SHARE)
@@ -249,7 +285,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     matrix = stored(packed.repartition(n, "part").mapInArrow(_shared, "token long, key long, n int, head long"), "join-matrix")
 
     first = matrix.where("key <> head").groupBy("key", "head").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-    links = _verified(stored(first.select(F.col("key").alias("a"), F.col("head").alias("b")), "join-first"), reps, docs, "join")
+    links = _verified(stored(first.select(F.col("key").alias("a"), F.col("head").alias("b")), "join-first"), keyed, reps, docs, "join")
     groups = stored(components(links), "join-groups")
 
     # from here on a set is a query against the groups of others
@@ -262,7 +298,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     opened = m.alias("q").join(per.select("token", F.col("g").alias("h"), "least", "most"), "token").where((F.col("g") < F.col("h")) & size_ok("n", "least", "most")).select("token", "key", "n", "g", "h").alias("o")
     other = m.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("g").alias("h"))
     pairs = opened.join(other, ["token", "h"]).where((DENOM * F.least("n", "nb") >= NUMER * F.greatest("n", "nb"))).select(F.col("key").alias("a"), "b").distinct()
-    more = _verified(stored(pairs, "join-pairs"), reps, docs, "join-more")
+    more = _verified(stored(pairs, "join-pairs"), keyed, reps, docs, "join-more")
 
     every = components(links.union(more).join(reps.select(F.col("set_key").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("set_key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     classes = reps.join(every, reps["rep"] == every["node"], "left").select("set_key", F.coalesce("component", "rep").alias("c"), "n_copies")
