@@ -22,8 +22,13 @@ _LETTER, _DIGIT = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
 _PLAIN = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 #: Distinct words that a worker remembers; past that it forgets them all.
 REMEMBER = 500_000
-#: Pre-tokens in one call of the library.
-_JOIN = 500
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the others follow from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordTokenizer:
@@ -37,11 +42,9 @@ class WordTokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.mark = os.path.commonprefix(list(self.special)) if self.special else None
         self.split = regex.compile(PRE_TOKEN).findall
-        # pre-tokens are normalised already; a second time could compose what lower-casing has made
-        spec = json.loads(self.library.to_str())
-        self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        spec["normalizer"], spec["added_tokens"] = None, []
-        self.bare = Tokenizer.from_str(json.dumps(spec))
+        self.letters = _byte_letters()
+        self.model = self.library.model
+        self.suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix") or ""
 
     def normal(self, text: str) -> list[str]:
         """The normalised text's words between white space."""
@@ -61,21 +64,9 @@ class WordTokenizer:
             return [word]
         return _PLAIN.findall(word) if _OTHER.search(word) is None else self.split(word)
 
-    def merge(self, pre_tokens: list[str]) -> list[list[int]]:
-        """The ids of each pre-token by the library's merges; many go in one call, parted by spaces."""
-        out: list[list[int]] = []
-        for i in range(0, len(pre_tokens), _JOIN):
-            part = pre_tokens[i : i + _JOIN]
-            found = self.bare.encode(" ".join(part), add_special_tokens=False)
-            each: list[list[int]] = [[] for _ in part]
-            owners = found.word_ids
-            if owners and owners[-1] == len(part) - 1:
-                for owner, x in zip(owners, found.ids, strict=True):
-                    each[owner].append(x)
-            else:  # the library saw other pre-tokens in it: one by one
-                each = [self.bare.encode(p, add_special_tokens=False).ids for p in part]
-            out += each
-        return out
+    def merge(self, pre_token: str) -> list[int]:
+        """The ids of a pre-token by the library's own merges."""
+        return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, pre_token.encode())))]
 
 
 class Remembered(dict):
@@ -86,7 +77,7 @@ class Remembered(dict):
         self.make, self.most = make, most
 
     def learn(self, words: set[str]) -> None:
-        if new := words.difference(self):
+        if new := {w for w in words if w not in self}:
             if len(self) + len(new) > self.most:
                 self.clear()
                 new = words

@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwright.llm import decontaminate as _decontaminate
+from panelwright.llm import language_id as _language
 from panelwright.llm import ngram_join as _ngram
+from panelwright.llm import token_counts as _counts
+from panelwright.llm import token_store as _store
+from panelwright.llm import warc as _warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +24,43 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ngram.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = _language.fit(docs.where(~_language.held_out()))
+    return _language.predict(docs, model).withColumn("held_out", _language.held_out())
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.report(_decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _warc.archive_pages(_table(spark, sf_dir, "pages")).where("kind = 'record'")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store.token_store(_table(spark, sf_dir, "documents"), _tokenizer()).drop("file")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op3_token_counts": op3_token_counts,
+        "op4_language_id": op4_language_id,
+        "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op8_warc": op8_warc,
+        "op9_token_id_output": op9_token_id_output,
     }
 
 
@@ -31,6 +70,7 @@ def oracle_sql() -> dict[str, str]:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _SQL = {
     "op1_ngram_jaccard_join": rf"""
@@ -47,4 +87,22 @@ c AS (SELECT k, count(*) AS n_copies FROM f GROUP BY k)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id::BIGINT AS component_id, coalesce(c.n_copies, 1)::BIGINT AS n_copies
 FROM d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
 LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN c ON c.k = f.k""",
+    "op5_benchmark_decontamination": rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+k AS (SELECT DISTINCT n FROM p),
+t AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, k WHERE len(w) >= n)),
+o AS (SELECT DISTINCT r, t.n, i, item_id FROM t JOIN p ON t.g = p.g AND t.n = p.n),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS x FROM (SELECT DISTINCT r, n, i FROM o)) GROUP BY r),
+s AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM o) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN s USING (r)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, ((i // 4) * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM x""",
 }

@@ -23,7 +23,7 @@ def whole_tokens(tokenizer: WordTokenizer) -> frozenset[str]:
     vocab, suffix = tokenizer.library.get_vocab(with_added_tokens=False), tokenizer.suffix
     texts = [t.removesuffix(suffix) for t in vocab if t.endswith(suffix) and t != suffix]
     texts = [t for t in texts if t.isascii() and tokenizer.normal(t) == [t] and tokenizer.pre_tokens(t) == [t]]
-    return frozenset(t for t, ids in zip(texts, tokenizer.merge(texts), strict=True) if ids == [vocab[t + suffix]])
+    return frozenset(t for t in texts if tokenizer.merge(t) == [vocab[t + suffix]])
 
 
 class Counting:
@@ -35,10 +35,9 @@ class Counting:
         self.known = Remembered(self.counts)
 
     def counts(self, words: list[str]) -> list[int]:
-        parts = [self.tokenizer.pre_tokens(w) for w in words]
-        rest = list({p for x in parts for p in x if p not in self.whole})
-        merged = {p: len(ids) for p, ids in zip(rest, self.tokenizer.merge(rest), strict=True)}
-        return [sum(merged.get(p, 1) for p in x) for x in parts]
+        cut, merge, whole, known = self.tokenizer.pre_tokens, self.tokenizer.merge, self.whole, self.known
+        # a word with punctuation takes its letters' count from where that is known
+        return [sum(1 if p in whole else known[p] if p in known else len(merge(p)) for p in cut(w)) for w in words]
 
     def count(self, text: str) -> int:
         total = 0
