@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelwright.llm import ann as _ann
 from panelwright.llm import decontaminate as _decontaminate
 from panelwright.llm import language_id as _language
+from panelwright.llm import mixing as _mixing
 from panelwright.llm import ngram_join as _ngram
 from panelwright.llm import token_counts as _counts
 from panelwright.llm import token_store as _store
@@ -44,6 +46,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return _decontaminate.report(_decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return _ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _warc.archive_pages(_table(spark, sf_dir, "pages")).where("kind = 'record'")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,16 +67,47 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op7_mixing": op7_mixing,
         "op8_warc": op8_warc,
         "op9_token_id_output": op9_token_id_output,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {"op7_mixing": _mixing_sql()}
+
+
+def _mixing_sql() -> str:
+    """The raking rounds one after the other, as the operator's defaults have them."""
+    margins, parts = _mixing.MARGINS, []
+    keys = ", ".join(margins)
+    parts.append(f"""r AS (SELECT doc_id, source, lang, CASE WHEN contains(text, 'icense') OR contains(text, 'opyright') THEN 'legal' WHEN contains(text, 'http') OR contains(text, '@') THEN 'web'
+  WHEN regexp_matches(text, '[0-9]') THEN 'numbers' ELSE 'prose' END AS topic, coalesce(len(regexp_extract_all(text, '{_SPACED}')), 0)::BIGINT AS n_tokens FROM documents)""")
+    parts.append(f"c AS (SELECT {keys}, sum(n_tokens)::DOUBLE AS tokens FROM r GROUP BY {keys})")
+    for m in margins:
+        parts.append(f"t_{m} AS (SELECT {m} AS v, sum(tokens) ** {_mixing.FLATTEN} / sum(sum(tokens) ** {_mixing.FLATTEN}) OVER () AS target_{m} FROM c GROUP BY {m})")
+    joins = " ".join(f"JOIN t_{m} ON t_{m}.v IS NOT DISTINCT FROM c.{m}" for m in margins)
+    parts.append(f"s0 AS (SELECT c.*, {', '.join(f'target_{m}' for m in margins)}, tokens / sum(tokens) OVER () AS share FROM c {joins})")
+    last = "s0"
+    for k in range(_mixing.ROUNDS):
+        for m in margins:
+            now = f"s{k}_{m}"
+            parts.append(f"{now} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(share) OVER (PARTITION BY {m}) > 0 THEN share * target_{m} / sum(share) OVER (PARTITION BY {m}) ELSE 0 END AS share) FROM {last})")
+            last = now
+    parts.append(f"w AS (SELECT *, CASE WHEN tokens > 0 THEN share * sum(tokens) OVER () / tokens ELSE 1.0 END AS weight, sum(tokens) OVER () AS total FROM {last})")
+    order = f"ORDER BY weight DESC, {keys}"
+    parts.append(f"""f AS (SELECT *, ({_mixing.BUDGET} * total - coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(share) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * total) AS factor FROM w)""")
+    parts.append("g AS (SELECT arg_max(factor, weight) AS factor FROM f WHERE factor * weight <= 1)")
+    parts.append(f"p AS (SELECT {keys}, weight, CASE WHEN tokens = 0 THEN 1.0 WHEN g.factor IS NULL THEN CASE WHEN share > 0 THEN 1.0 ELSE 0.0 END ELSE least(weight * greatest(g.factor, 0), 1.0) END AS p_keep FROM f, g)")
+    same = " AND ".join(f"p.{m} IS NOT DISTINCT FROM r.{m}" for m in margins)
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, {", ".join(f"r.{m}" for m in margins)}, n_tokens, weight, p_keep, ('0x' || substr(md5(doc_id::VARCHAR || ':{_mixing.SEED}'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < p_keep AS kept
+FROM r JOIN p ON {same}"""
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
