@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelwright.llm import ann as _ann
 from panelwright.llm import decontaminate as _decontaminate
 from panelwright.llm import language_id as _language
+from panelwright.llm import language_model as _model
 from panelwright.llm import mixing as _mixing
 from panelwright.llm import ngram_join as _ngram
 from panelwright.llm import token_counts as _counts
@@ -64,6 +65,11 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store.token_store(_table(spark, sf_dir, "documents"), _tokenizer()).drop("file")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _model.score(docs.withColumn("held_out", _language.held_out(parts=7, part=2)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -74,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op7_mixing": op7_mixing,
         "op8_warc": op8_warc,
         "op9_token_id_output": op9_token_id_output,
+        "op10_language_model": op10_language_model,
     }
 
 
