@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm._graph import components
@@ -17,10 +17,16 @@ from panelwright.llm._words import SPACED, mix, shingle_sets, words
 WORDS = 5
 #: A link needs DENOM * intersection >= NUMER * union.
 NUMER, DENOM = 75, 100
-#: A shingle in more than one document of so many counts as common; common shingles come last in the prefix order.
-COMMON_SHARE = 2000
-#: The common shingles number at most COMMON_SHARE times the mean set size; the order takes no more than these, the most frequent.
+#: A shingle among the first quarter of so many different sets counts as common; common shingles come last in the prefix order.
+COMMON = 8
+#: The order, which does not change results, knows so many common shingles, the most frequent: what is broadcast has a bound.
 COMMON_MOST = 1 << 20
+#: Rounds in which every set is compared with a few of other groups, before all candidates are.
+ROUNDS = 3
+#: Sets with which one is compared in a round.
+TRIES = 8
+#: Members of a group that are opened together, about.
+BLOCK = 128
 #: Bits of the fixed-size filter that spares documents without candidates the shuffle of their sets.
 FILTER_BITS = 1 << 25
 
@@ -77,35 +83,6 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
 
-def _local_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that are common among the different sets of this task, with their counts there.
-
-    A shingle common in the corpus is as common in one task at least, so every one of them is found.
-    """
-    held, docs, seen, pending = (np.zeros(0, U64), np.zeros(0, np.int64)), 0, set(), []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        token, at = np.unique(np.concatenate([held[0], *pending]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([held[1], np.ones(sum(map(len, pending)))]), len(token)).astype(np.int64)
-        # lossy counting: what has been seen less often than its share of the documents so far goes
-        keep = counts >= max(2, docs // (2 * COMMON_SHARE))
-        return token[keep], counts[keep]
-
-    for b in batches:
-        for row, stop in slices(b, 1):
-            for s in _sets(b, row, stop):
-                if (key := _digest(s)) not in seen:
-                    seen.add(key)
-                    pending.append(s)
-                    docs += 1
-            if sum(map(len, pending)) > 1_000_000:
-                held, pending = merged(), []
-    if pending:
-        held = merged()
-    keep = held[1] >= max(3, docs // COMMON_SHARE)
-    yield pa.record_batch([pa.array(held[0][keep].view(np.int64)), pa.array(held[1][keep])], ["token", "n"])
-
-
 def _prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The shingles one of which any linking set shares among its own such: the first in an order that puts common ones last."""
     n = len(s)
@@ -152,16 +129,15 @@ def _prefixes(common: np.ndarray, parts: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, key, n, head) of the prefix shingles that two different sets hold; head is the smallest key there."""
-    cols = ([], [], [])
+def _runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+    """token, key and n of a partition's prefix shingles, sorted, each once; where each token begins and how many keys it has."""
+    cols: tuple[list, list, list] = ([], [], [])
     for b in batches:
         for into, c, kind in zip(cols, ("tokens", "keys", "sizes"), (U64, np.int64, np.int32), strict=True):
             into += [np.frombuffer(x.as_buffer(), kind) for x in b.column(b.schema.get_field_index(c))]
     if not cols[0]:
-        return
+        return None
     token, key, size = map(np.concatenate, cols)
-    cols = None
     order = np.lexsort((key, token))
     token, key, size = token[order], key[order], size[order]
     fresh = np.ones(len(token), bool)
@@ -169,11 +145,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, key, size = token[fresh], key[fresh], size[fresh]
     begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     length = np.diff(np.append(begin, len(token)))
+    return token, key, size, begin, length
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, key, n) of the prefix shingles that two different sets hold."""
+    if (found := _runs(batches)) is None:
+        return
+    token, key, size, _, length = found
     keep = np.repeat(length > 1, length)
-    head = np.repeat(key[begin], length)
-    token, key, size, head = token[keep], key[keep], size[keep], head[keep]
+    token, key, size = token[keep], key[keep], size[keep]
     for i in range(0, len(token), 100_000):
-        yield pa.record_batch([pa.array(x[i : i + 100_000]) for x in (token.view(np.int64), key, size, head)], ["token", "key", "n", "head"])
+        yield pa.record_batch([pa.array(x[i : i + 100_000]) for x in (token.view(np.int64), key, size)], ["token", "key", "n"])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the prefix shingles that COMMON different sets hold."""
+    if (found := _runs(batches)) is not None:
+        token, _, _, begin, length = found
+        keep = length >= COMMON
+        yield pa.record_batch([pa.array(token[begin][keep].view(np.int64)), pa.array(length[keep].astype(np.int64))], ["token", "n"])
 
 
 def _some_sets(mask: np.ndarray):
@@ -225,28 +216,77 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, reps: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of set keys that link, as a written table: first by the bound, then by comparing the sets."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the members of two groups, one row each pair of groups, that their sizes and the bound let link.
+
+    The bound holds a set's row of bits first against the union of a group's rows, and only what passes against each.
+    """
 
-    def wanted(some: DataFrame) -> DataFrame:
-        keys = some.select(F.col("a").alias("set_key")).union(some.select(F.col("b").alias("set_key"))).distinct()
-        return reps.join(keys, "set_key").select("rep", "set_key")
+    def rows(group: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = group.values
+        bits = x.field("bits")
+        return np.asarray(x.field("key")), np.asarray(x.field("n")), np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(x), -1)
 
-    def both(some: DataFrame, side: DataFrame, *cols: str) -> DataFrame:
+    for batch in batches:
+        left, right = [], []
+        for one, other in zip(batch.column(0), batch.column(1), strict=True):
+            (a, n, x), (b, m, y) = rows(one), rows(other)
+            size = min(x.shape[1], y.shape[1])
+            x, y = (np.bitwise_or.reduce(z.reshape(len(z), -1, size), 1) for z in (x, y))
+            for i in np.flatnonzero(n - np.bitwise_count(x & ~np.bitwise_or.reduce(y)).sum(1) >= needed(n, np.maximum(m.min(), -(-NUMER * n // DENOM)))):
+                both = np.minimum(n[i] - np.bitwise_count(x[i] & ~y).sum(1), m - np.bitwise_count(y & ~x[i]).sum(1))
+                hit = np.flatnonzero(both >= needed(n[i], m))
+                left.append(np.repeat(a[i], len(hit)))
+                right.append(b[hit])
+        if left:
+            yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in (left, right)], ["a", "b"])
+
+
+class _Sets:
+    """The documents' sets: rows of bits at hand, the sets themselves made again for those that are asked for."""
+
+    def __init__(self, docs: DataFrame, keyed: DataFrame, reps: DataFrame):
+        self.docs, self.keyed, self.reps = docs, keyed, reps
+
+    def representatives(self, keys: DataFrame) -> DataFrame:
+        return self.reps.join(keys, "set_key").select("rep", "set_key")
+
+    def rows(self, keys: DataFrame) -> DataFrame:
+        """(set_key, n, bits) of the keys (set_key)."""
+        of = self.keyed.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), F.col("n_shingles").alias("n"), "bits")
+        return self.representatives(keys).join(of, "rep").where("k = set_key").dropDuplicates(["set_key"]).select("set_key", "n", "bits")
+
+    @staticmethod
+    def both(pairs: DataFrame, side: DataFrame, *cols: str) -> DataFrame:
+        """``pairs`` (a, b) with the columns of both keys in ``side``."""
         for end in "ab":
-            some = some.join(side.select(F.col("set_key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]), end)
-        return some.select("a", "b", *[f"{end}_{c}" for end in "ab" for c in cols])
+            pairs = pairs.join(side.select(F.col("set_key").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in cols]), end)
+        return pairs.select("a", "b", *[f"{end}_{c}" for end in "ab" for c in cols])
+
+    @staticmethod
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
 
-    rows = wanted(pairs).join(keyed.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), "n_shingles", "bits"), "rep").where("k = set_key")
-    rows = rows.dropDuplicates(["set_key"])
-    some = stored(both(pairs, rows, "n_shingles", "bits").mapInArrow(_possible, "a long, b long"), f"{name}-possible")
-    ids = stored(wanted(some), f"{name}-wanted")
-    sets = docs.mapInArrow(_some_sets(_filter(ids.select("rep"))), "doc_id long, tokens binary")
-    sets = ids.join(sets, ids["rep"] == sets["doc_id"]).select("set_key", "tokens")
-    sets = stored(sets.dropDuplicates(["set_key"]), f"{name}-sets")
-    out = stored(both(some, sets, "tokens").mapInArrow(_linked, "a long, b long"), f"{name}-linked")
-    forget(pairs.sparkSession, some, ids, sets)
-    return out
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        return stored(self.both(pairs, self.rows(self.ends(pairs)), "n", "bits").mapInArrow(_possible, "a long, b long"), "join-possible")
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link, as a written table: sets are compared."""
+        ids = stored(self.representatives(self.ends(pairs)), "join-wanted")
+        sets = self.docs.mapInArrow(_some_sets(_filter(ids.select("rep"))), "doc_id long, tokens binary")
+        sets = ids.join(sets, ids["rep"] == sets["doc_id"]).select("set_key", "tokens")
+        sets = stored(sets.dropDuplicates(["set_key"]), "join-sets")
+        out = stored(self.both(pairs, sets, "tokens").mapInArrow(_linked, "a long, b long"), "join-linked")
+        forget(pairs.sparkSession, ids, sets)
+        return out
+
+
+def _grouped(matrix: DataFrame, links: DataFrame) -> DataFrame:
+    """The matrix's rows (token, key, n) with the group g of each key under ``links``, where a token has several groups."""
+    groups = stored(components(links), "join-groups")
+    m = matrix.join(groups.withColumnsRenamed({"node": "key", "component": "g"}), "key", "left").select("token", "key", "n", F.coalesce("g", "key").alias("g"))
+    several = m.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
+    return m.join(several, "token")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,12 +297,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     1. Equal sets are one class; only its representative goes on, so that groups of copies cost what one text does.
     2. Two linking sets share a shingle among the first quarter of each, in an order that puts common shingles last.
-       Those prefixes, dealt out by shingle, give each shingle's sets. Each set is compared with the one with which it
-       shares most prefixes (among the smallest keys there): what links makes groups of similar documents.
-    3. The token-group matrix holds, for each shingle, the groups whose token union has it, with the range of their
-       members' sizes. A set (query) opens a group other than its own only if they share a shingle and the sizes allow
-       the intersection that a link needs. Members of opened groups with that shingle become candidates.
-    4. A candidate's overlap is bounded by rows of bits; what passes is compared set by set. Links join groups.
+       Those prefixes, dealt out by shingle, give each shingle's sets. In a few rounds each set is compared with those of
+       other groups with which it shares most, among its neighbours when each shingle's sets are shuffled: links make groups.
+    3. The token-group matrix holds, for each shingle, the groups whose token union has it (large groups in blocks of
+       members of like sizes), with the range of their members' sizes. A group's sets are queries against the other
+       groups with which it shares a shingle and whose sizes allow the intersection that a link needs.
+    4. A query's overlap with a group is bounded by rows of bits: against the union of the group's rows, and where that
+       qualifies, the group is opened and its members' own rows are bounds. What passes is compared set by set.
 
     Sets are compared by 64-bit hashes of their shingles. A null or empty text, and one without words, has no shingle,
     links with nothing and is its own component. Fewer than five words: the whole sequence is the one shingle. Repeated
@@ -275,32 +316,44 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = stored(docs.mapInArrow(_keys, "doc_id long, n_shingles long, set_key long, bits binary"), "join-keys")
     reps = stored(keyed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "join-reps")
 
-    floor = max(8, reps.count() // COMMON_SHARE)
-    found = docs.mapInArrow(_local_common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-    found = found.orderBy(F.desc("n"), "token").limit(COMMON_MOST).select("token").toArrow()
-    common = np.sort(np.asarray(found.column(0).combine_chunks()).view(U64)) if found.num_rows else np.zeros(0, U64)
-
     n = partitions(spark)
-    packed = docs.mapInArrow(_prefixes(common, n), "part int, tokens binary, keys binary, sizes binary")
-    matrix = stored(packed.repartition(n, "part").mapInArrow(_shared, "token long, key long, n int, head long"), "join-matrix")
 
-    first = matrix.where("key <> head").groupBy("key", "head").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-    links = _verified(stored(first.select(F.col("key").alias("a"), F.col("head").alias("b")), "join-first"), keyed, reps, docs, "join")
-    groups = stored(components(links), "join-groups")
-
-    # from here on a set is a query against the groups of others
-    m = matrix.join(groups.withColumnsRenamed({"node": "key", "component": "g"}), "key", "left").select("token", "key", "n", F.coalesce("g", "key").alias("g"))
-    per = m.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = per.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    m = stored(m.join(several, "token"), "join-open")
-    per = m.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    size_ok = lambda x, low, high: (DENOM * F.col(high) >= NUMER * F.col(x)) & (DENOM * F.col(x) >= NUMER * F.col(low))
-    opened = m.alias("q").join(per.select("token", F.col("g").alias("h"), "least", "most"), "token").where((F.col("g") < F.col("h")) & size_ok("n", "least", "most")).select("token", "key", "n", "g", "h").alias("o")
-    other = m.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("g").alias("h"))
-    pairs = opened.join(other, ["token", "h"]).where((DENOM * F.least("n", "nb") >= NUMER * F.greatest("n", "nb"))).select(F.col("key").alias("a"), "b").distinct()
-    more = _verified(stored(pairs, "join-pairs"), keyed, reps, docs, "join-more")
-
-    every = components(links.union(more).join(reps.select(F.col("set_key").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("set_key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    def prefixes(common: np.ndarray) -> DataFrame:
+        return docs.mapInArrow(_prefixes(common, n), "part int, tokens binary, keys binary, sizes binary").repartition(n, "part")
+
+    found = prefixes(np.zeros(0, U64)).mapInArrow(_frequent, "token long, n long").orderBy(F.desc("n"), "token").limit(COMMON_MOST).select("token").toArrow()
+    common = np.sort(np.asarray(found["token"]).view(U64))
+    matrix = stored(prefixes(common).mapInArrow(_shared, "token long, key long, n int"), "join-matrix")
+
+    sets = _Sets(docs, keyed, reps)
+    near = DENOM * F.least("n", "nb") >= NUMER * F.greatest("n", "nb")
+    links = spark.createDataFrame([], "a long, b long")
+    for turn in range(ROUNDS):
+        m = _grouped(matrix, links)
+        deal = Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(turn)), "key")
+        beside = F.array(*[F.lag(F.struct("key", "n", "g"), i).over(deal) for i in (1, 2)])
+        one = m.withColumn("beside", beside).select("key", "n", "g", F.explode("beside").alias("o")).where(F.col("o.g") != F.col("g"))
+        one = one.select("key", "n", F.col("o.key").alias("b"), F.col("o.n").alias("nb")).where(near).groupBy("key", "b").agg(F.count("*").alias("k"))
+        one = one.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("k"), "b"))).where(F.col("rank") <= TRIES)
+        pairs = stored(one.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), "join-round")
+        links = links.union(sets.linked(sets.possible(pairs)))
+
+    # every set is a query against the other groups, which are cut into blocks of like sizes
+    m = stored(_grouped(matrix, links), "join-open")
+    members = stored(sets.rows(m.select(F.col("key").alias("set_key")).distinct()).join(m.select(F.col("key").alias("set_key"), "g").distinct(), "set_key"), "join-members")
+    size = F.octet_length("bits")
+    blocks = members.groupBy("g", size.alias("size")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    members = members.withColumn("size", size).join(blocks, ["g", "size"]).withColumn("block", F.xxhash64("g", "size", F.pmod(F.xxhash64("set_key"), F.col("blocks"))))
+    unions = m.join(members.select(F.col("set_key").alias("key"), "block"), "key").groupBy("token", "block", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = unions.select("token", F.col("block").alias("b"), F.col("g").alias("h"), F.col("least").alias("low"), F.col("most").alias("high"))
+    fits = (DENOM * F.col("high") >= NUMER * F.col("least")) & (DENOM * F.col("most") >= NUMER * F.col("low"))
+    opened = unions.join(other, "token").where((F.col("g") < F.col("h")) & fits).select(F.col("block").alias("a"), "b").distinct()
+    members = members.groupBy("block").agg(F.collect_list(F.struct(F.col("set_key").alias("key"), "n", "bits")).alias("members"))
+    side = stored(members, "join-blocks").withColumnRenamed("block", "set_key")
+    possible = stored(sets.both(opened, side, "members").select("a_members", "b_members").mapInArrow(_opened, "a long, b long"), "join-candidates")
+    links = links.union(sets.linked(possible))
+
+    every = components(links.join(reps.select(F.col("set_key").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("set_key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     classes = reps.join(every, reps["rep"] == every["node"], "left").select("set_key", F.coalesce("component", "rep").alias("c"), "n_copies")
     out = keyed.join(classes, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
