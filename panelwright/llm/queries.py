@@ -12,6 +12,7 @@ from panelwright.llm import language_id as _language
 from panelwright.llm import language_model as _model
 from panelwright.llm import mixing as _mixing
 from panelwright.llm import ngram_join as _ngram
+from panelwright.llm import substring_dedup as _substring
 from panelwright.llm import token_counts as _counts
 from panelwright.llm import token_store as _store
 from panelwright.llm import warc as _warc
@@ -52,6 +53,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substring.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op3_token_counts": op3_token_counts,
         "op4_language_id": op4_language_id,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_mixing": op7_mixing,
         "op8_warc": op8_warc,
         "op9_token_id_output": op9_token_id_output,
