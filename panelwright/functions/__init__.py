@@ -1,0 +1 @@
+"""Tail probabilities, corrections and projections."""

@@ -1,0 +1 @@
+"""Operators over draws and their dense panel."""

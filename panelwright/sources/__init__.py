@@ -1,0 +1 @@
+"""Readers of draw tables, archives, results and ledgers."""
