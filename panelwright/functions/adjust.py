@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def adjusted(df: DataFrame, p: str = "p", *ties: str) -> DataFrame:
@@ -40,7 +41,7 @@ def project(values: np.ndarray, total: float = 6.0) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def projected(values: pd.Series) -> pd.Series:
     """``project`` of each array."""
     return values.map(lambda x: project(np.asarray(x, np.float64)))

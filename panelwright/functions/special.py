@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_sf(z: float) -> float:
@@ -127,4 +128,4 @@ def udf(f):
     def three(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return _each(f, a, b, c)
 
-    return F.pandas_udf((one, two, three)[f.__code__.co_argcount - 1], "double")
+    return F.pandas_udf((one, two, three)[f.__code__.co_argcount - 1], T.DoubleType())
