@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch; long texts make larger batches a memory risk.
 BATCH_ROWS = 512
 #: Bytes of text that one numpy pass handles; a longer text forms a pass alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _own: dict[str, str] = {}
 

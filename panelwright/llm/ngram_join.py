@@ -22,7 +22,7 @@ COMMON = 8
 #: The order, which does not change results, knows so many common shingles, the most frequent: what is broadcast has a bound.
 COMMON_MOST = 1 << 20
 #: Rounds in which every set is compared with a few of other groups, before all candidates are.
-ROUNDS = 3
+ROUNDS = 2
 #: Sets with which one is compared in a round.
 TRIES = 8
 #: Members of a group that are opened together, about.
@@ -120,7 +120,7 @@ def _prefixes(common: np.ndarray, parts: int):
                         keys.append(key)
                         sizes.append(len(s))
                         held += len(tokens[-1])
-                if held > 1_000_000:
+                if held > 500_000:
                     yield out()
                     tokens, keys, sizes, held = [], [], [], 0
         if held:
@@ -137,7 +137,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
             into += [np.frombuffer(x.as_buffer(), kind) for x in b.column(b.schema.get_field_index(c))]
     if not cols[0]:
         return None
-    token, key, size = map(np.concatenate, cols)
+    token, key, size = (np.concatenate(x) for x in cols)
+    cols = ([], [], [])  # the pieces go before the sort takes its share
     order = np.lexsort((key, token))
     token, key, size = token[order], key[order], size[order]
     fresh = np.ones(len(token), bool)
@@ -316,7 +317,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keyed = stored(docs.mapInArrow(_keys, "doc_id long, n_shingles long, set_key long, bits binary"), "join-keys")
     reps = stored(keyed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "join-reps")
 
-    n = partitions(spark)
+    n = 2 * partitions(spark)  # a task sorts its part in memory
 
     def prefixes(common: np.ndarray) -> DataFrame:
         return docs.mapInArrow(_prefixes(common, n), "part int, tokens binary, keys binary, sizes binary").repartition(n, "part")
