@@ -22,7 +22,7 @@ _PARTS = {
     "hi": "SELECT draw_index, number, y, coalesce(sum(y) OVER b, 0) AS count_before, max(CASE WHEN y = 1 THEN draw_index END) OVER b AS last_seen, lag(y) OVER a AS state, lag(y, 2) OVER a AS state_before, coalesce(sum(y) OVER (PARTITION BY number ORDER BY draw_index ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), 0) AS hot FROM p WINDOW a AS (PARTITION BY number ORDER BY draw_index), b AS (PARTITION BY number ORDER BY draw_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "hx": "SELECT *, coalesce(draw_index - 1 - last_seen, draw_index) AS gap_asof, coalesce(sum((state = 1)::INT) OVER b, 0) AS n1, coalesce(sum((state = 1)::INT * y) OVER b, 0) AS k1, coalesce(sum((state = 0)::INT) OVER b, 0) AS n0, coalesce(sum((state = 0)::INT * y) OVER b, 0) AS k0 FROM hi WINDOW b AS (PARTITION BY number ORDER BY draw_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "hs": "SELECT *, CASE WHEN coalesce(state, 0) = 1 THEN n1 ELSE n0 END AS n_from, CASE WHEN coalesce(state, 0) = 1 THEN k1 ELSE k0 END AS n_to FROM hx",
-    "pat": f"""SELECT d.draw_index, len(list_filter(numbers, lambda x: x % 2 = 1)) AS odd_count, len(list_filter(numbers, lambda x: x >= 25)) AS high_count, list_sum(numbers) AS total, numbers[1] AS lowest, numbers[6] AS highest,
+    "pat": f"""SELECT d.draw_index, len(list_filter(numbers, lambda x: x % 2 = 1)) AS odd_count, len(list_filter(numbers, lambda x: x >= 25)) AS high_count, list_sum(numbers)::BIGINT AS total, numbers[1] AS lowest, numbers[6] AS highest,
   numbers[6] - numbers[1] AS span, list_sum(numbers) / 6.0 AS mean, list_aggregate(numbers, 'stddev_pop') AS std, {" + ".join(f"(numbers[{i + 1}] - numbers[{i}] = 1)::INT" for i in range(1, 6))} AS adjacent_pairs,
   6 - len(list_distinct(list_transform(numbers, lambda x: x % 10))) AS duplicate_tails, coalesce(len(list_intersect(numbers, b.before)), 0) AS overlap_previous, len(list_filter(numbers, lambda x: x IN (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47))) AS prime_count,
   {", ".join(f"len(list_filter(numbers, lambda x: least(x // 10, 4) = {i})) AS decade_{i}" for i in range(5))}, {", ".join(f"numbers[{i + 1}] - numbers[{i}] AS gap_{i}" for i in range(1, 6))}
@@ -74,7 +74,7 @@ _PARTS["bt"] = "SELECT *, row_number() OVER (PARTITION BY strategy, draw_index O
 _PARTS["yr"] = "SELECT pp.*, year(draw_date) AS year FROM pp JOIN d USING (draw_index)"
 
 
-def _query(sql: str, doubles: str = "") -> str:
+def _query(sql: str, doubles: str = "", digits: int = 9) -> str:
     """``sql`` after the parts that it needs, in order, with the named columns rounded."""
     import re
 
@@ -88,7 +88,7 @@ def _query(sql: str, doubles: str = "") -> str:
 
     add(sql)
     parts = ", ".join(f"{k} AS MATERIALIZED ({v})" for k, v in _PARTS.items() if k in need)
-    cols = ", ".join(f"round({c}, 9) + 0.0 AS {c}" for c in doubles.split())
+    cols = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles.split())
     body = f"SELECT * REPLACE ({cols}) FROM ({sql})" if cols else sql
     return f"WITH {parts} {body}"
 
@@ -119,9 +119,9 @@ def sql() -> dict[str, str]:
         "number_frequency": _query(_frequency("count", "periods") + " FROM g", "proportion expected difference z_score mean_gap"),
         "frequency_last_50": _query(_frequency("coalesce(c, 0)", "least(periods, 50)") + " FROM g LEFT JOIN (SELECT number, count(*) AS c FROM h, t WHERE draw_index >= t - 50 GROUP BY number) x ON x.number = g.number", "proportion expected difference z_score mean_gap"),
         "frequency_by_year": _query(
-            """SELECT year::BIGINT AS year, u.number, periods, coalesce(c, 0) AS count, coalesce(periods - 1 - l, periods) AS current_gap, coalesce(greatest(coalesce(m, 0), f, periods - 1 - l), periods) AS max_gap, mg AS mean_gap, coalesce(l, -1) AS last_index
-  FROM (SELECT year(draw_date) AS year, count(*) AS periods FROM d GROUP BY 1) y0, (SELECT unnest(range(1, 50)) AS number) u LEFT JOIN (SELECT year, number, count(*) AS c, max(i) AS l, min(i) AS f, max(gap) AS m, avg(gap) AS mg FROM (
-  SELECT year, number, i, i - lag(i) OVER (PARTITION BY year, number ORDER BY i) AS gap FROM (SELECT year(draw_date) AS year, unnest(numbers) AS number, row_number() OVER (PARTITION BY year(draw_date) ORDER BY draw_index) - 1 AS i FROM d)) GROUP BY year, number) x USING (year, number)""",
+            """SELECT y0.year::BIGINT AS year, u.number, periods, coalesce(c, 0) AS count, coalesce(periods - 1 - l, periods) AS current_gap, coalesce(greatest(coalesce(m, 0), f, periods - 1 - l), periods) AS max_gap, mg AS mean_gap, coalesce(l, -1) AS last_index
+  FROM (SELECT year(draw_date) AS year, count(*) AS periods FROM d GROUP BY 1) y0 CROSS JOIN (SELECT unnest(range(1, 50)) AS number) u LEFT JOIN (SELECT year, number, count(*) AS c, max(i) AS l, min(i) AS f, max(gap) AS m, avg(gap) AS mg FROM (
+  SELECT year, number, i, i - lag(i) OVER (PARTITION BY year, number ORDER BY i) AS gap FROM (SELECT year(draw_date) AS year, unnest(numbers) AS number, row_number() OVER (PARTITION BY year(draw_date) ORDER BY draw_index) - 1 AS i FROM d)) GROUP BY year, number) x ON x.year = y0.year AND x.number = u.number""",
             "mean_gap",
         ),
         "gap_statistics": _query("SELECT * FROM g", "mean_gap"),
@@ -144,7 +144,7 @@ def sql() -> dict[str, str]:
         "clean_draws": _query("SELECT draw_id, draw_date, " + ", ".join(f"CASE WHEN draw_index % 57 = 3 THEN NULL ELSE {c} END AS {c}" for c in _N) + ", CASE WHEN draw_index % 31 = 0 THEN 7 ELSE special_number END AS special_number, 'export' AS source, '1' AS source_version FROM w"),
         "anti_resume": _query("SELECT 'new' AS kind, count(*) AS n, sum(draw_index)::BIGINT AS index_sum FROM d WHERE draw_index % 3 <> 0 UNION ALL SELECT 'conflict', count(*), sum(draw_index)::BIGINT FROM d WHERE draw_index % 15 = 0"),
         "prefix_slice": _query("SELECT number, sum((draw_index < t // 2)::INT)::BIGINT AS in_prefix, sum((draw_index >= t - 100)::INT)::BIGINT AS in_tail FROM h, t GROUP BY number"),
-        "feature_snapshots": _query(f"SELECT *, {', '.join(map(_z, _RAW))} FROM au", " ".join([*_RAW[1:], *(f"z_{c}" for c in _RAW)])),
+        "feature_snapshots": _query(f"SELECT *, {', '.join(map(_z, _RAW))} FROM au", " ".join([*_RAW[1:], *(f"z_{c}" for c in _RAW)]), 6),
         "base_features": _query(
             f"""SELECT draw_index, number, y, {", ".join(f"freq_{w}" for w in (5, 10, 20, 50, 100, 200))}, ewma, gap_asof AS current_gap, greatest(coalesce(ms, 0), gap_asof)::BIGINT AS max_gap, coalesce(mg, 0) AS mean_gap, freq_20 - freq_200 AS recent_minus_long, (freq_20 - freq_100) / 80 AS slope,
   state AS previous_1, coalesce(state_before, 0) AS previous_2, year(c.draw_date) AS year, month(c.draw_date) AS month, isodow(c.draw_date) - 1 AS weekday
