@@ -39,6 +39,7 @@ class Index:
         """(ids, distances) of the up to k nearest of the block within ``radius``, which bounds the k-th distance overall."""
         n = len(self.ids)
         spot = query @ self.lines
+        slack = 1e-9 * (1 + np.abs(spot).max())  # equal vectors' projections can differ in their last digits
         hits = np.zeros(n, np.int64)
         low = np.array([np.searchsorted(s, x) for s, x in zip(self.spots, spot, strict=True)])
         high = low.copy()
@@ -46,7 +47,7 @@ class Index:
         r = radius / GROW**3
         while True:
             r = min(r * GROW, radius)
-            half, parts = WIDTH * r / 2, []
+            half, parts = WIDTH * r / 2 + slack, []
             for j in range(PROJECTIONS):
                 a = np.searchsorted(self.spots[j], spot[j] - half)
                 b = np.searchsorted(self.spots[j], spot[j] + half, "right")
