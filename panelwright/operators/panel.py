@@ -79,7 +79,8 @@ def draw_patterns(draws: DataFrame) -> DataFrame:
     squares = F.aggregate(n, F.lit(0), lambda a, x: a + x * x)
     size = lambda f: F.size(F.filter(n, f)).cast("long")
     primes = F.array(*[F.lit(p) for p in PRIMES])
-    decades = [size(lambda x, i=i: F.least(F.floor(x / 10), F.lit(4)) == i).alias(f"decade_{i}") for i in range(5)]
+    decade = F.transform(n, lambda x: F.least(F.floor(x / 10), F.lit(4)))
+    decades = [(F.lit(PICK) - F.size(F.array_remove(decade, F.lit(i).cast("long")))).cast("long").alias(f"decade_{i}") for i in range(5)]
     return draws.join(before, "draw_index", "left").select(
         "draw_index",
         size(lambda x: x % 2 == 1).alias("odd_count"),
