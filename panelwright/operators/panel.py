@@ -61,7 +61,7 @@ def number_frequency(draws: DataFrame, last: int | None = None) -> DataFrame:
         counted = gaps.select("number", "periods").join(per, "number", "left").select("number", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.least("periods", F.lit(last)).alias("n"))
     e = F.col("n") * P0
     joined = gaps.join(counted, "number")
-    return joined.select("number", F.col("n_hit").alias("count"), (F.col("n_hit") / F.col("n")).alias("proportion"), e.alias("expected"), (F.col("n_hit") - e).alias("difference"), ((F.col("n_hit") - e) / F.sqrt(e * (1 - P0))).alias("z_score"), "current_gap", "max_gap", "mean_gap", "last_index")
+    return joined.select("number", F.col("n_hit").alias("count"), F.try_divide("n_hit", "n").alias("proportion"), e.alias("expected"), (F.col("n_hit") - e).alias("difference"), F.try_divide(F.col("n_hit") - e, F.sqrt(e * (1 - P0))).alias("z_score"), "current_gap", "max_gap", "mean_gap", "last_index")
 
 
 def frequency_by_year(draws: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def cooccurrence(draws: DataFrame, k: int) -> DataFrame:
     joined = every.join(counts, [f"n{j + 1}" for j in range(k)], "left").crossJoin(F.broadcast(total))  # one row
     e = F.col("periods") * p
     c = F.coalesce("count", F.lit(0))
-    return joined.select(F.concat_ws("-", *[f"n{j + 1}" for j in range(k)]).alias("combination"), c.alias("count"), e.alias("expected"), ((c - e) / F.sqrt(e * (1 - p))).alias("z_score"))
+    return joined.select(F.concat_ws("-", *[f"n{j + 1}" for j in range(k)]).alias("combination"), c.alias("count"), e.alias("expected"), F.try_divide(c - e, F.sqrt(e * (1 - p))).alias("z_score"))
 
 
 def _combinations(n: int, k: int) -> list[tuple[int, ...]]:

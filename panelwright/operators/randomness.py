@@ -21,7 +21,7 @@ def chi_square_uniform(draws: DataFrame) -> DataFrame:
 
 
 def number_tests(draws: DataFrame, lags: int = 10) -> DataFrame:
-    """Per number: lag-1 autocorrelation, runs and their z and p, Ljung-Box statistic and p.
+    """Per number: lag-1 autocorrelation, runs and their z and p, Ljung-Box statistic and p; null where a number is constant.
 
     Lagged products are counted from pairs of hits a lag apart: an equi-join of the hits, not of the panel.
     """
@@ -36,18 +36,18 @@ def number_tests(draws: DataFrame, lags: int = 10) -> DataFrame:
     edge = ends.select("number", "draw_index", "n", lagged).groupBy("number", "lag").agg(F.sum((F.col("draw_index") < F.col("lag")).cast("int")).alias("head"), F.sum((F.col("draw_index") >= F.col("n") - F.col("lag")).cast("int")).alias("tail"))
     grid = base.select("number", "count", "n", lagged).where(F.col("lag") <= F.greatest(F.lit(1), F.least(F.lit(lags), F.floor(F.col("n") / 5))))
     grid = grid.join(pairs, ["number", "lag"], "left").join(edge, ["number", "lag"], "left").na.fill(0, ["both", "head", "tail"])
-    m = F.col("count") / F.col("n")
+    m = F.try_divide("count", "n")
     # sum over t of (y_t - m)(y_{t-lag} - m), from counts
     cross = F.col("both") - m * (2 * F.col("count") - F.col("head") - F.col("tail")) + (F.col("n") - F.col("lag")) * m * m
-    rho = cross / (F.col("n") * m * (1 - m))
+    rho = F.try_divide(cross, F.col("n") * m * (1 - m))
     lb = grid.groupBy("number", "n", "count").agg(F.sum(rho * rho / (F.col("n") - F.col("lag"))).alias("s"), F.count("*").alias("lags"), F.max(F.when(F.col("lag") == 1, F.col("both"))).alias("both"), F.max(F.when(F.col("lag") == 1, F.col("head"))).alias("head"), F.max(F.when(F.col("lag") == 1, F.col("tail"))).alias("tail"))
     k, x, y = F.col("n") - 1, F.col("count") - F.col("tail"), F.col("count") - F.col("head")
-    corr = (F.col("both") * k - x * y) / F.sqrt(x * (k - x) * y * (k - y))
+    corr = F.try_divide(F.col("both") * k - x * y, F.sqrt(x * (k - x) * y * (k - y)))
     n1, n0 = F.col("count").cast("double"), F.col("n") - F.col("count")
     runs = (x + y - 2 * F.col("both") + 1).cast("long")  # changes of state, and one
-    mu = 2 * n1 * n0 / F.col("n") + 1
-    var = 2 * n1 * n0 * (2 * n1 * n0 - F.col("n")) / (F.col("n") * F.col("n") * (F.col("n") - 1))
-    out = lb.select("number", corr.alias("autocorrelation"), runs.alias("runs"), ((runs - mu) / F.sqrt(var)).alias("runs_z"), (F.col("n") * (F.col("n") + 2) * F.col("s")).alias("ljung_box"), "lags")
+    mu = F.try_divide(2 * n1 * n0, F.col("n")) + 1
+    var = F.try_divide(2 * n1 * n0 * (2 * n1 * n0 - F.col("n")), F.col("n") * F.col("n") * (F.col("n") - 1))
+    out = lb.select("number", corr.alias("autocorrelation"), runs.alias("runs"), F.try_divide(runs - mu, F.sqrt(var)).alias("runs_z"), (F.col("n") * (F.col("n") + 2) * F.col("s")).alias("ljung_box"), "lags")
     return out.withColumn("runs_p", udf(lambda z: 2 * normal_sf(abs(z)))("runs_z")).withColumn("ljung_box_p", udf(lambda q, df: chi_square_sf(q, df))("ljung_box", "lags"))
 
 
@@ -68,7 +68,7 @@ def cross_dependence(draws: DataFrame) -> DataFrame:
     g = g.withColumn("n10", F.col("na") - F.col("n11")).withColumn("n01", F.col("nb") - F.col("n11")).withColumn("n00", F.col("n") - F.col("na") - F.col("nb") + F.col("n11"))
     n, na, nb = (F.col(c).cast("double") for c in ("n", "na", "nb"))
     det = F.col("n11") * F.col("n00").cast("double") - F.col("n10") * F.col("n01")
-    phi = det / F.sqrt(na * (n - na) * nb * (n - nb))
+    phi = F.try_divide(det, F.sqrt(na * (n - na) * nb * (n - nb)))
     part = lambda c, x, y: F.when(F.col(c) > 0, F.col(c) / n * F.log(F.col(c) * n / (x * y))).otherwise(0.0)
     mi = part("n11", na, nb) + part("n10", na, n - nb) + part("n01", n - na, nb) + part("n00", n - na, n - nb)
     out = g.select("a", "b", "n11", "n10", "n01", "n00", phi.alias("phi"), mi.alias("mutual_information"), (n * phi * phi).alias("chi_square"))

@@ -207,4 +207,6 @@ def sql() -> dict[str, str]:
             "max_abs_deviation mean_sum sum_std overlap_rate",
         ),
     }
+    q["latest_wins"] = "SELECT user_id AS ledger, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 9) AS value FROM events GROUP BY user_id"
+    q["ledger_status"] = "SELECT event_type, count(*) AS n, round(avg(value), 9) AS mean_value FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING min(event_id) FILTER (event_type = 'click') < max(event_id) FILTER (event_type = 'purchase')) GROUP BY event_type"
     return q

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.adjust import adjusted, projected, shrunk, wilson
 from panelwright.functions.special import normal_sf, student_two_sided, udf
-from panelwright.operators import features, panel, randomness, strategies, validation
+from panelwright.operators import features, ledger, models, panel, randomness, resampling, strategies, validation
 from panelwright.sources.draws import P0, PICK, derived_draws, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,3 +435,62 @@ def normal_tail(d: DataFrame) -> DataFrame:
     z = panel.number_frequency(d)
     e, v = F.col("expected"), F.col("expected") * (1 - P0)
     return z.select("number", udf(normal_sf)((F.col("count") - 0.5 - e) / F.sqrt(v)).alias("p"))
+
+
+# --- simulation, models, ledger -------------------------------------------------------------------------------------
+
+
+@register
+def monte_carlo_comparison(d: DataFrame) -> DataFrame:
+    """The sequence's extremes against 200 fair histories of its length."""
+    observed = sequence_extremes(d)
+    return resampling.empirical(observed, resampling.simulate(d.sparkSession, d.count(), 200))
+
+
+@register
+def bootstrap_ci(d: DataFrame) -> DataFrame:
+    """Percentile intervals of each strategy's mean hits."""
+    counts = _periods(d).groupBy(F.col("strategy").alias("group"), F.col("hits_6").alias("value")).agg(F.count("*").alias("count"))
+    return resampling.bootstrap(counts)
+
+
+@register
+def logistic_holdout(d: DataFrame) -> DataFrame:
+    """Losses of a logistic model on the last fifth of the periods, by hundred periods."""
+    p = models.fixed_holdout(features.audited(d), d.count())
+    q = F.least(F.greatest(shrunk(F.col("p")), F.lit(1e-12)), F.lit(1 - 1e-12))
+    loss = F.when(F.col("y") == 1, -F.log(q)).otherwise(-F.log(1 - q))
+    return p.groupBy(F.floor(F.col("draw_index") / 100).alias("block")).agg(F.countDistinct("draw_index").alias("n"), F.avg((q - F.col("y")) * (q - F.col("y"))).alias("brier"), F.avg(loss).alias("log_loss"))
+
+
+@register
+def online_logistic(d: DataFrame) -> DataFrame:
+    return models.online(features.audited(d))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("ledger"), "event_id", "event_type", "value", "props")
+
+
+def ledger_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of every user's events, some tampered with after the fact, and their faults."""
+    e = _events(spark, sf_dir).withColumn("body", F.concat_ws("|", "event_type", "props")).select("ledger", "event_id", "body")
+    c = ledger.chain(e)
+    tampered = c.withColumn("body", F.when((F.col("ledger") % 7 == 3) & (F.col("sequence") == 5), F.concat("body", F.lit("!"))).otherwise(F.col("body"))).where(~((F.col("ledger") % 11 == 4) & (F.col("sequence") == 2)))
+    return rounded(ledger.verify(tampered))
+
+
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ledger.latest(_events(spark, sf_dir).select("ledger", "event_id", "event_type", "value"), "ledger", "event_id"))
+
+
+def ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type whose user has both a purchase and an earlier click: semi joins on evidence."""
+    e = _events(spark, sf_dir)
+    clicks = e.where("event_type = 'click'").groupBy("ledger").agg(F.min("event_id").alias("first_click"))
+    bought = e.where("event_type = 'purchase'").groupBy("ledger").agg(F.max("event_id").alias("last_purchase"))
+    valid = clicks.join(bought, "ledger").where("first_click < last_purchase").select("ledger")
+    return rounded(e.join(valid, "ledger", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")))
+
+
+_registered |= {"ledger_verify": ledger_verify, "latest_wins": latest_wins, "ledger_status": ledger_status}
