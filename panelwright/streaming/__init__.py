@@ -1,0 +1 @@
+"""Structured Streaming over draws and ledgers."""
