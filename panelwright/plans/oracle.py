@@ -144,7 +144,7 @@ def sql() -> dict[str, str]:
         "clean_draws": _query("SELECT draw_id, draw_date, " + ", ".join(f"CASE WHEN draw_index % 57 = 3 THEN NULL ELSE {c} END AS {c}" for c in _N) + ", CASE WHEN draw_index % 31 = 0 THEN 7 ELSE special_number END AS special_number, 'export' AS source, '1' AS source_version FROM w"),
         "anti_resume": _query("SELECT 'new' AS kind, count(*) AS n, sum(draw_index)::BIGINT AS index_sum FROM d WHERE draw_index % 3 <> 0 UNION ALL SELECT 'conflict', count(*), sum(draw_index)::BIGINT FROM d WHERE draw_index % 15 = 0"),
         "prefix_slice": _query("SELECT number, sum((draw_index < t // 2)::INT)::BIGINT AS in_prefix, sum((draw_index >= t - 100)::INT)::BIGINT AS in_tail FROM h, t GROUP BY number"),
-        "feature_snapshots": _query(f"SELECT *, {', '.join(map(_z, _RAW))} FROM au", " ".join([*_RAW[1:], *(f"z_{c}" for c in _RAW)]), 6),
+        "feature_snapshots": _query(f"SELECT *, {', '.join(map(_z, _RAW))} FROM au", " ".join([*_RAW[1:], *(f"z_{c}" for c in _RAW)]), 4),
         "base_features": _query(
             f"""SELECT draw_index, number, y, {", ".join(f"freq_{w}" for w in (5, 10, 20, 50, 100, 200))}, ewma, gap_asof AS current_gap, greatest(coalesce(ms, 0), gap_asof)::BIGINT AS max_gap, coalesce(mg, 0) AS mean_gap, freq_20 - freq_200 AS recent_minus_long, (freq_20 - freq_100) / 80 AS slope,
   state AS previous_1, coalesce(state_before, 0) AS previous_2, year(c.draw_date) AS year, month(c.draw_date) AS month, isodow(c.draw_date) - 1 AS weekday

