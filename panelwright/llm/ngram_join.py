@@ -25,8 +25,8 @@ COMMON_MOST = 1 << 20
 ROUNDS = 2
 #: Sets with which one is compared in a round.
 TRIES = 8
-#: Members of a group that are opened together, about.
-BLOCK = 128
+#: Members of a group, and bytes of their rows of bits, about; a longer row is a group alone.
+BLOCK, BLOCK_BYTES = 128, 1 << 16
 #: Bits of the fixed-size filter that spares documents without candidates the shuffle of their sets.
 FILTER_BITS = 1 << 25
 
@@ -221,22 +221,26 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the members of two groups, one row each pair of groups, that their sizes and the bound let link.
 
     The bound holds a set's row of bits first against the union of a group's rows, and only what passes against each.
+    Members that links join already are not paired again. A group paired with itself has no second list of members.
     """
 
-    def rows(group: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rows(group: pa.Scalar) -> tuple[np.ndarray, ...]:
         x = group.values
         bits = x.field("bits")
-        return np.asarray(x.field("key")), np.asarray(x.field("n")), np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(x), -1)
+        return *(np.asarray(x.field(c)) for c in ("key", "n", "g")), np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(x), -1)
 
     for batch in batches:
         left, right = [], []
         for one, other in zip(batch.column(0), batch.column(1), strict=True):
-            (a, n, x), (b, m, y) = rows(one), rows(other)
+            a, n, g, x = rows(one)
+            b, m, h, y = rows(other) if other.is_valid else (a, n, g, x)
             size = min(x.shape[1], y.shape[1])
             x, y = (np.bitwise_or.reduce(z.reshape(len(z), -1, size), 1) for z in (x, y))
             for i in np.flatnonzero(n - np.bitwise_count(x & ~np.bitwise_or.reduce(y)).sum(1) >= needed(n, np.maximum(m.min(), -(-NUMER * n // DENOM)))):
-                both = np.minimum(n[i] - np.bitwise_count(x[i] & ~y).sum(1), m - np.bitwise_count(y & ~x[i]).sum(1))
-                hit = np.flatnonzero(both >= needed(n[i], m))
+                at = np.flatnonzero((h != g[i]) & (needed(n[i], m) <= np.minimum(n[i], m)))
+                at = at if other.is_valid else at[at > i]
+                both = np.minimum(n[i] - np.bitwise_count(x[i] & ~y[at]).sum(1), m[at] - np.bitwise_count(y[at] & ~x[i]).sum(1))
+                hit = at[both >= needed(n[i], m[at])]
                 left.append(np.repeat(a[i], len(hit)))
                 right.append(b[hit])
         if left:
@@ -300,9 +304,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     2. Two linking sets share a shingle among the first quarter of each, in an order that puts common shingles last.
        Those prefixes, dealt out by shingle, give each shingle's sets. In a few rounds each set is compared with those of
        other groups with which it shares most, among its neighbours when each shingle's sets are shuffled: links make groups.
-    3. The token-group matrix holds, for each shingle, the groups whose token union has it (large groups in blocks of
-       members of like sizes), with the range of their members' sizes. A group's sets are queries against the other
-       groups with which it shares a shingle and whose sizes allow the intersection that a link needs.
+    3. Sets of like size whose commonest prefix shingle is the same are a group, in blocks of bounded bytes. The token-group
+       matrix holds, for each shingle, the groups whose token union has it, with the ranges of those members' sizes and
+       components. Two groups are opened where they share a shingle, the sizes allow the intersection that a link needs,
+       and links do not join all members already. Similar sets that do not link thus meet group by group, not in rows.
     4. A query's overlap with a group is bounded by rows of bits: against the union of the group's rows, and where that
        qualifies, the group is opened and its members' own rows are bounds. What passes is compared set by set.
 
@@ -339,19 +344,28 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         pairs = stored(one.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), "join-round")
         links = links.union(sets.linked(sets.possible(pairs)))
 
-    # every set is a query against the other groups, which are cut into blocks of like sizes
+    # sets that share the commonest of their shingles, and are of like size, are a group of the matrix
     m = stored(_grouped(matrix, links), "join-open")
-    members = stored(sets.rows(m.select(F.col("key").alias("set_key")).distinct()).join(m.select(F.col("key").alias("set_key"), "g").distinct(), "set_key"), "join-members")
-    size = F.octet_length("bits")
-    blocks = members.groupBy("g", size.alias("size")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = members.withColumn("size", size).join(blocks, ["g", "size"]).withColumn("block", F.xxhash64("g", "size", F.pmod(F.xxhash64("set_key"), F.col("blocks"))))
-    unions = m.join(members.select(F.col("set_key").alias("key"), "block"), "key").groupBy("token", "block", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    other = unions.select("token", F.col("block").alias("b"), F.col("g").alias("h"), F.col("least").alias("low"), F.col("most").alias("high"))
-    fits = (DENOM * F.col("high") >= NUMER * F.col("least")) & (DENOM * F.col("most") >= NUMER * F.col("low"))
-    opened = unions.join(other, "token").where((F.col("g") < F.col("h")) & fits).select(F.col("block").alias("a"), "b").distinct()
-    members = members.groupBy("block").agg(F.collect_list(F.struct(F.col("set_key").alias("key"), "n", "bits")).alias("members"))
-    side = stored(members, "join-blocks").withColumnRenamed("block", "set_key")
-    possible = stored(sets.both(opened, side, "members").select("a_members", "b_members").mapInArrow(_opened, "a long, b long"), "join-candidates")
+    often = m.groupBy("token").agg(F.count("*").alias("sets"))
+    lead = m.join(often, "token").groupBy("key").agg(F.max(F.struct("sets", "token"))["token"].alias("lead"), F.first("g").alias("g"))
+    lead = lead.withColumnRenamed("key", "set_key")
+    members = stored(sets.rows(lead.select("set_key")).join(lead, "set_key").withColumn("size", F.octet_length("bits")), "join-members")
+    room = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES))
+    counts = members.groupBy("lead", "size").agg(room.alias("blocks"))
+    members = members.join(counts, ["lead", "size"]).withColumn("block", F.xxhash64("lead", "size", F.pmod(F.xxhash64("set_key"), F.col("blocks"))))
+    members = stored(members.select("set_key", "n", "g", "bits", "block"), "join-blocked")
+    ranges = [f(c).alias(f"{c}_{end}") for c in ("n", "g") for end, f in (("low", F.min), ("high", F.max))]
+    unions = stored(m.join(members.select(F.col("set_key").alias("key"), "block"), "key").groupBy("token", "block").agg(*ranges), "join-unions")
+    one, other = unions.alias("x"), unions.alias("y")
+    fits = (DENOM * F.col("y.n_high") >= NUMER * F.col("x.n_low")) & (DENOM * F.col("x.n_high") >= NUMER * F.col("y.n_low"))
+    differ = F.least("x.g_low", "y.g_low") < F.greatest("x.g_high", "y.g_high")
+    opened = one.join(other, F.expr("x.token = y.token AND x.block < y.block") & fits & differ).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
+    alone = unions.where("g_low < g_high").select(F.col("block").alias("set_key")).distinct()
+    members = members.groupBy("block").agg(F.collect_list(F.struct(F.col("set_key").alias("key"), "n", "g", "bits")).alias("members"))
+    side = stored(members.withColumnRenamed("block", "set_key"), "join-blocks")
+    both = sets.both(opened, side, "members").select("a_members", "b_members")
+    itself = side.join(alone, "set_key").select(F.col("members").alias("a_members"), F.lit(None).cast(side.schema["members"].dataType).alias("b_members"))
+    possible = stored(both.union(itself).mapInArrow(_opened, "a long, b long"), "join-candidates")
     links = links.union(sets.linked(possible))
 
     every = components(links.join(reps.select(F.col("set_key").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("set_key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
