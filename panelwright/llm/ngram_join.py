@@ -21,8 +21,8 @@ NUMER, DENOM = 75, 100
 COMMON = 8
 #: The order, which does not change results, knows so many common shingles, the most frequent: what is broadcast has a bound.
 COMMON_MOST = 1 << 20
-#: Rounds in which every set is compared with a few of other groups, before all candidates are.
-ROUNDS = 2
+#: Rounds in which every set is compared with a few of other components, before all candidates are.
+ROUNDS = 1
 #: Sets with which one is compared in a round.
 TRIES = 8
 #: Members of a group, and bytes of their rows of bits, about; a longer row is a group alone.
@@ -335,7 +335,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = DENOM * F.least("n", "nb") >= NUMER * F.greatest("n", "nb")
     links = spark.createDataFrame([], "a long, b long")
     for turn in range(ROUNDS):
-        m = _grouped(matrix, links)
+        m = _grouped(matrix, links) if turn else matrix.withColumn("g", F.col("key"))  # a matrix's shingles have two keys at least
         deal = Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(turn)), "key")
         beside = F.array(*[F.lag(F.struct("key", "n", "g"), i).over(deal) for i in (1, 2)])
         one = m.withColumn("beside", beside).select("key", "n", "g", F.explode("beside").alias("o")).where(F.col("o.g") != F.col("g"))
