@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs by MinHash banding, and pieces cut by content, removed where an earlier document has them."""
+"""Substring dedup: equal and near paragraphs, pieces cut by content and runs of words, removed where an earlier document has them."""
 
 from __future__ import annotations
 
@@ -23,7 +23,10 @@ PARAGRAPH = 20
 REACH = 4
 #: Removed runs of fewer words stay in the text: stock phrases and single short lines are no repeated passage.
 RUN = 30
+#: Words of the shingles of which each run of RUN words names the least: runs that are equal name the same.
+SHINGLE = 16
 U64 = np.uint64
+_MARKS = "doc_id long, begins array<long>, ends array<long>, first long"
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -71,8 +74,26 @@ def _span_keys(w: Words, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(sums + (end - begin).astype(U64))
 
 
-def _packed(parts: int, key: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
-    part = (mix(key) % U64(parts)).astype(np.int32)
+def runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of every run of RUN words inside one text, its key, and the least key of the shingles in it."""
+    at = np.arange(max(len(w.hash) - RUN + 1, 0))
+    owner = w.owner
+    at = at[owner[at] == owner[at + RUN - 1]]
+    if not len(at):
+        return at, np.zeros(0, U64), np.zeros(0, U64)
+    h, k = w.hash, 1
+    while k < SHINGLE:
+        h, k = mix(h[:-k] * U64(0x9E3779B97F4A7C15) + h[k:]), 2 * k
+    least, k, width = h, 1, RUN - SHINGLE + 1
+    while k < width:
+        step = min(k, width - k)
+        least, k = np.minimum(least[:-step], least[step:]), k + step
+    # the first and the last shingle have all the run's words
+    return at, mix(h[at] * U64(0x9E3779B97F4A7C15) + h[at + RUN - SHINGLE]), least[at]
+
+
+def _packed(parts: int, key: np.ndarray, *cols: np.ndarray, by: np.ndarray | None = None) -> pa.RecordBatch:
+    part = (mix(key if by is None else by) % U64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     part = part[order]
     edge = np.flatnonzero(np.diff(part, prepend=-1))
@@ -98,7 +119,9 @@ def _piece_keys(parts: int):
         for b in batches:
             for row, stop in slices(b, 1):
                 w = words(b.column(1)[row:stop], SPACED)
-                begin, end = pieces(w)
+                lines = paragraphs(w)
+                whole = lines[1] - lines[0] >= PARAGRAPH
+                begin, end = (np.concatenate([x, y[whole]]) for x, y in zip(pieces(w), lines, strict=True))
                 if len(begin):
                     owner = w.owner[begin]
                     yield _packed(parts, _span_keys(w, begin, end), _ids(b, row, stop)[owner], (begin - w.first[owner]).astype(np.int32), (end - begin).astype(np.int32))
@@ -106,21 +129,101 @@ def _piece_keys(parts: int):
     return run
 
 
+def _named(parts: int):
+    """Packed (least, doc_id) of the runs of each text, once for runs in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, stop in slices(b, 1):
+                w = words(b.column(1)[row:stop], SPACED)
+                at, _, least = runs(w)
+                if len(at):
+                    owner = w.owner[at]
+                    fresh = np.append(True, (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]))
+                    yield _packed(parts, least[fresh], _ids(b, row, stop)[owner[fresh]])
+
+    return run
+
+
+def _met(parts: int):
+    """Packed (key, doc_id), dealt out by document: what its runs name and runs of another document too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc = _unpacked(batches, U64, np.int64)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        end = np.append(begin[1:], len(key))[: len(begin)]
+        keep = np.repeat(doc[begin] != doc[end - 1], end - begin)
+        if keep.any():
+            yield _packed(parts, key[keep], doc[keep], by=doc[keep].view(U64))
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, keys): one row for each document."""
+    key, doc = _unpacked(batches, U64, np.int64)
+    order = np.argsort(doc, kind="stable")
+    key, doc = key[order], doc[order]
+    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
+    stops = np.append(edge[1:], len(doc))
+    for i in range(0, len(edge), 5000):
+        blobs = [key[a:b].tobytes() for a, b in zip(edge[i : i + 5000].tolist(), stops[i : i + 5000].tolist(), strict=True)]
+        yield pa.record_batch([pa.array(doc[edge[i : i + 5000]]), pa.array(blobs, pa.binary())], ["doc_id", "keys"])
+
+
+def _run_keys(parts: int):
+    """Packed keys of the runs that name what another document's runs name, dealt out by that, so that runs in a row meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, stop in slices(b, 1):
+                w = words(b.column(1)[row:stop], SPACED)
+                at, key, least = runs(w)
+                edge = np.searchsorted(at, w.first)
+                hit = [np.flatnonzero(np.isin(least[i:j], np.frombuffer(named, U64))) + i for i, j, named in zip(edge[:-1], edge[1:], b.column(2)[row:stop].to_pylist(), strict=True)]
+                hit = np.concatenate(hit)
+                if len(hit):
+                    begin, owner = at[hit], w.owner[at[hit]]
+                    yield _packed(parts, key[hit], _ids(b, row, stop)[owner], (begin - w.first[owner]).astype(np.int32), np.full(len(hit), RUN, np.int32), by=least[hit])
+
+    return run
+
+
+def _equal_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, begins, ends, first): all runs of RUN words that a document with a smaller id has too, wherever they stand."""
+    n = partitions(docs.sparkSession)
+    packed = "part int, c0 binary, c1 binary"
+    met = docs.mapInArrow(_named(n), packed).repartition(n, "part").mapInArrow(_met(n), packed)
+    met = stored(met.repartition(n, "part").mapInArrow(_by_document, "doc_id long, keys binary"), "dedup-met")
+    some = docs.join(met, "doc_id").select("doc_id", "text", "keys")
+    keyed = some.mapInArrow(_run_keys(n), "part int, c0 binary, c1 binary, c2 binary, c3 binary")
+    return keyed.repartition(n, "part").mapInArrow(_later, _MARKS)
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, begins, ends, first): packed, the pieces of each document that a document with a smaller id has too, and the smallest such id."""
+    """(doc_id, begins, ends, first): packed, the units of each document that a document with a smaller id has too, joined, and the smallest such id."""
     key, doc, begin, length = _unpacked(batches, U64, np.int64, np.int32, np.int32)
     order = np.lexsort((doc, key))
     key, doc, begin, length = key[order], doc[order], begin[order], length[order]
     start = np.append(True, key[1:] != key[:-1])[: len(key)]
     first = doc[np.flatnonzero(start)][np.cumsum(start) - 1] if len(key) else doc
     keep = np.flatnonzero(doc != first)
-    keep = keep[np.argsort(doc[keep], kind="stable")]
-    doc, begin, length, first = doc[keep], begin[keep].astype(np.int64), length[keep].astype(np.int64), first[keep]
+    keep = keep[np.lexsort((begin[keep], doc[keep]))]
+    doc, begin, end, first = doc[keep], begin[keep].astype(np.int64), begin[keep].astype(np.int64) + length[keep], first[keep]
+    if len(doc):
+        # apart by document, spans that touch are one
+        apart = np.cumsum(np.append(False, doc[1:] != doc[:-1])) * (end.max() + 1)
+        far = np.maximum.accumulate(end + apart)
+        new = np.flatnonzero(np.append(True, (begin + apart)[1:] > far[:-1]) | np.append(True, doc[1:] != doc[:-1]))
+        end = (far - apart)[np.append(new[1:], len(doc)) - 1]
+        doc, begin, first = doc[new], begin[new], np.minimum.reduceat(first, new)
     edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
     stops = np.append(edge[1:], len(doc))
     for i in range(0, len(edge), 5000):
         cut = list(zip(edge[i : i + 5000].tolist(), stops[i : i + 5000].tolist(), strict=True))
-        lists = [pa.array([x[a:b] for a, b in cut], pa.list_(pa.int64())) for x in (begin, begin + length)]
+        lists = [pa.array([x[a:b] for a, b in cut], pa.list_(pa.int64())) for x in (begin, end)]
         yield pa.record_batch([pa.array(doc[edge[i : i + 5000]]), *lists, pa.array([int(first[a:b].min()) for a, b in cut], pa.int64())], ["doc_id", "begins", "ends", "first"])
 
 
@@ -246,11 +349,13 @@ def _merged(run_words: int):
 def substring_dedup(docs: DataFrame, run_words: int = RUN) -> DataFrame:
     """(doc_id, spans, n_removed, source_doc_id): one row for each document of which passages go because an earlier one has them.
 
-    Words stand between white space, A-Z lower-cased; spans are word numbers, end exclusive. Two kinds of text units are
-    compared. Paragraphs (lines of at least PARAGRAPH words): MinHash bands of 5-word shingles propose pairs, exact
-    Jaccard similarity of 0.75 or more links them, and of each component the document with the smallest id keeps its
-    paragraphs. Pieces, which the content cuts alike wherever a passage stands, also inside longer lines: equal ones,
-    compared by 64-bit hashes of all their words, are one component, and again the smallest id keeps them. Adjoining
+    Words stand between white space, A-Z lower-cased; spans are word numbers, end exclusive. Three kinds of text units are
+    compared. Paragraphs (lines of at least PARAGRAPH words): equal ones are one component; of others MinHash bands of
+    5-word shingles propose pairs, exact Jaccard similarity of 0.75 or more links them, and of each component the document
+    with the smallest id keeps its paragraphs. Runs of RUN words, wherever they stand: each names the least of its shingles;
+    runs whose name another document has too are compared by 64-bit hashes of all their words, so every one that a document
+    with a smaller id has is found, to the passage's real ends. Pieces, which the content cuts alike wherever a passage
+    stands: equal ones are one component, and again the smallest id keeps them. Adjoining
     removed units make runs, and runs of at least ``run_words`` words are removed. source_doc_id is the smallest id from
     which any unit of the document repeats. A repeat inside one document alone is no cause.
 
@@ -262,9 +367,9 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN) -> DataFrame:
     arrow_rows(spark)
     docs = pick(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = partitions(spark)
-    schema = "doc_id long, begins array<long>, ends array<long>, first long"
-    equal = stored(docs.mapInArrow(_piece_keys(n), "part int, c0 binary, c1 binary, c2 binary, c3 binary").repartition(n, "part").mapInArrow(_later, schema), "dedup-pieces")
+    equal = stored(docs.mapInArrow(_piece_keys(n), "part int, c0 binary, c1 binary, c2 binary, c3 binary").repartition(n, "part").mapInArrow(_later, _MARKS), "dedup-pieces")
+    alike = stored(_equal_runs(docs), "dedup-runs")
     near = stored(_near_paragraphs(docs), "dedup-near")
-    marks = equal.union(near).groupBy("doc_id").agg(F.collect_list("begins").alias("begins"), F.collect_list("ends").alias("ends"), F.min("first").alias("first"))
+    marks = equal.union(alike).union(near).groupBy("doc_id").agg(F.collect_list("begins").alias("begins"), F.collect_list("ends").alias("ends"), F.min("first").alias("first"))
     out = marks.mapInArrow(_merged(run_words), "doc_id long, spans array<struct<start:long,end:long>>, n_removed long, source_doc_id long")
     return out.where("n_removed > 0")

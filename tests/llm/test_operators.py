@@ -200,6 +200,49 @@ def test_near_paragraphs(spark):
     assert [(r["doc_id"], [(s["start"], s["end"]) for s in r["spans"]]) for r in got] == [(2, [(40, 100)])]
 
 
+@pytest.mark.parametrize("size", [31, 45, 52])
+def test_exact_passages_go_whole(spark, size):
+    """Equal lines, and equal passages inside longer lines, to their first and last words."""
+    rng = random.Random(size)
+    rows, want = [], {}
+    for i in range(40):
+        passage, inside = text(rng, size, 100_000), i % 2
+        for k, (before, after) in enumerate([(37, 41), (50, 29)]):
+            sep = " " if inside else "\n"
+            rows.append((2 * i + k, sep.join([text(rng, before, 100_000), passage, text(rng, after, 100_000)])))
+        want[2 * i + 1] = (2 * i, [(50, 50 + size)])
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["source_doc_id"], [(s["start"], s["end"]) for s in r["spans"]]) for r in found} == want
+
+
+def test_equal_runs_against_brute_force(spark):
+    """All runs of RUN words that an earlier document has go, where texts are patched together from few passages."""
+    rng = random.Random(12)
+    stock = [text(rng, rng.randrange(20, 90), 100_000).split() for _ in range(12)]
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(rng.randrange(1, 6)):
+            p = rng.choice(stock)
+            a = rng.randrange(len(p) // 2)
+            w += text(rng, rng.randrange(0, 25), 100_000).split() + p[a : rng.randrange(a + 1, len(p) + 1)]
+        rows.append((rng.randrange(10_000), " ".join(w)))
+    rows = list({r[0]: r for r in rows}.values())
+    k, first = substring_dedup.RUN, {}
+    for i, t in sorted(rows):
+        w = t.split()
+        for j in range(len(w) - k + 1):
+            first.setdefault(tuple(w[j : j + k]), i)
+    got = {r["doc_id"]: {x for s in r["spans"] for x in range(s["start"], s["end"])} for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = 0
+    for i, t in rows:
+        w = t.split()
+        want = {x for j in range(len(w) - k + 1) if first[tuple(w[j : j + k])] != i for x in range(j, j + k)}
+        assert want <= got.get(i, set())
+        n += len(want)
+    assert n > 500
+
+
 def test_mixing_meets_margins(spark, docs, empty):
     rng = random.Random(6)
     rows = [(i, "x " * rng.randrange(1, 40), rng.choice(["a", "b", None]), rng.choice(["p", "p", "q"])) for i in range(3000)]
