@@ -292,6 +292,51 @@ def _occurrences(mask: np.ndarray, bits: int, sets: bool):
     return run
 
 
+def _texts(mask: np.ndarray, bits: int):
+    """(key, text) of the paragraphs that the filter lets pass, each once in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            for row, stop in slices(b, 1):
+                w = words(b.column(1)[row:stop], SPACED)
+                begin, end, key, _, _ = _long(w)
+                at = mix(key) % U64(bits)
+                hit = np.flatnonzero(mask[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1)
+                hit = np.array([i for i in hit if (k := int(key[i])) not in seen and not seen.add(k)], np.int64)
+                text = pa.array([w.data[i:j].tobytes() for i, j in zip(w.start[begin[hit]], w.end[end[hit] - 1], strict=True)], pa.binary())
+                yield pa.record_batch([pa.array(key[hit].view(np.int64)), text.cast(pa.string())], ["key", "text"])
+
+    return run
+
+
+def _unmet(docs: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """(a, b): links that the exact join of sets finds among paragraphs whose buckets keep several components.
+
+    ``pairs`` has each paragraph of a bucket with the bucket's smallest, so a bucket with several components has a pair
+    across two; every member of such components takes part, and with it every pair of a bucket that is not joined yet.
+    """
+    from panelwright.llm.ngram_join import FILTER_BITS, _filter, ngram_join
+
+    spark = docs.sparkSession
+    apart = pairs
+    for end in "ab":
+        apart = apart.join(groups.withColumnsRenamed({"node": end, "component": f"{end}_c"}), end, "left").withColumn(f"{end}_c", F.coalesce(f"{end}_c", end))
+    apart = stored(apart.select("a", "b", "a_c", "b_c").where("a_c <> b_c"), "dedup-apart")
+    if apart.isEmpty():
+        forget(spark, apart)
+        return None
+    single = [apart.select(F.col(end).alias("key")) for end in "ab"]
+    touched = apart.select(F.col("a_c").alias("component")).union(apart.select(F.col("b_c").alias("component"))).distinct()
+    wanted = stored(single[0].union(single[1]).union(groups.join(touched, "component", "left_semi").select(F.col("node").alias("key"))).distinct(), "dedup-open")
+    texts = docs.mapInArrow(_texts(_filter(wanted), FILTER_BITS), "key long, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    texts = stored(texts, "dedup-texts")
+    found = ngram_join(texts, "key", "text").where("doc_id <> component_id")
+    out = stored(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "dedup-met-late")
+    forget(spark, apart, wanted, texts)
+    return out
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -318,6 +363,10 @@ def _near_paragraphs(docs: DataFrame) -> DataFrame:
     links = stored(both.select("a", "b", "a_s", "b_s").mapInArrow(_similar, "a long, b long"), "dedup-links")
     groups = stored(components(links, "dedup-groups"), "dedup-groups")
     forget(docs.sparkSession, sets)
+    late = _unmet(docs, pairs, groups)
+    if late is not None:
+        forget(docs.sparkSession, groups)
+        groups = stored(components(links.union(late), "dedup-groups"), "dedup-groups")
     found = docs.mapInArrow(_occurrences(_filter(groups.select("node")), FILTER_BITS, False), "key long, doc_id long, begin long, end long")
     found = stored(found.join(groups.withColumnRenamed("node", "key"), "key"), "dedup-found")
     first = found.groupBy("component").agg(F.min("doc_id").alias("first"))
@@ -361,7 +410,8 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN) -> DataFrame:
 
     Rows that repeat an id are one document. Null ids take no part; a null or empty text has no unit. Other columns are
     ignored. An empty table gives an empty one. Groups of copies are met once for each unit: a bucket yields pairs with
-    its smallest key and between neighbours, never all.
+    its smallest key and between neighbours. Where links of those leave a bucket in several components, the exact join of
+    shingle sets, in bounded blocks, compares all of its paragraphs.
     """
     spark = docs.sparkSession
     arrow_rows(spark)

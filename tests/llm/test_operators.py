@@ -243,6 +243,22 @@ def test_equal_runs_against_brute_force(spark):
     assert n > 500
 
 
+def test_all_pairs_of_a_bucket_are_compared(spark):
+    """A family of paragraphs that share 44 of 56 shingles and do not link, with pairs inside it that do: J = 50 / 62."""
+    rng = random.Random(21)
+    stem = text(rng, 48, 100_000)
+    rows = []
+    for i in range(100):
+        own = text(rng, 12, 100_000).split()
+        rows += [(3 * i, " ".join([stem, *own])), (3 * i + 1, " ".join([stem, *own[:6], text(rng, 6, 100_000)])), (3 * i + 2, f"{stem} {text(rng, 12, 100_000)}")]
+    order = rng.sample(range(300), 300)
+    rows = [(order[i], t) for i, t in rows]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {max(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    got = {r["doc_id"]: r["begins"] for r in substring_dedup._near_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) == 100 and set(got) == want
+
+
 def test_mixing_meets_margins(spark, docs, empty):
     rng = random.Random(6)
     rows = [(i, "x " * rng.randrange(1, 40), rng.choice(["a", "b", None]), rng.choice(["p", "p", "q"])) for i in range(3000)]
