@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelwright.llm._store import forget, stored
@@ -16,21 +16,25 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     shared folder. An empty table gives an empty one; loops and repeated edges do no harm.
     """
     spark = edges.sparkSession
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), name)
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "m") % 1_000_003), F.sum(F.xxhash64("m", "v") % 999_983)).first())
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """``df`` written, with its number of edges and two sums that tell whether they changed."""
+        seen = Observation()
+        marks = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "m") % 1_000_003).alias("x"), F.sum(F.xxhash64("m", "v") % 999_983).alias("y")]
+        out = stored(df.observe(seen, *marks), name)
+        return out, tuple(seen.get[c] for c in ("n", "x", "y"))
 
-    seen = mark(now)
+    now, seen = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct())
     while seen[0]:
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).union(now.select(F.col("m").alias("u"), F.col("v").alias("w")))
         least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("w > u").select(F.col("w").alias("v"), "m").distinct()
         least = large.groupBy("v").agg(F.min("m").alias("to"))
         small = large.join(least, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).union(least.select("v", F.col("to").alias("m")))
-        nxt = stored(small.where("v <> m").distinct(), name)
+        last = seen
+        nxt, seen = kept(small.where("v <> m").distinct())
         forget(spark, now)
-        now, last, seen = nxt, seen, mark(nxt)
+        now = nxt
         if seen == last:
             break
     nodes = now.select(F.col("v").alias("node"), F.col("m").alias("component"))

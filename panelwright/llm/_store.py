@@ -20,9 +20,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary folder where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="panelwright-")
     return root.rstrip("/")
 

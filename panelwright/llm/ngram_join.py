@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm._graph import components
@@ -21,12 +22,12 @@ NUMER, DENOM = 75, 100
 COMMON = 8
 #: The order, which does not change results, knows so many common shingles, the most frequent: what is broadcast has a bound.
 COMMON_MOST = 1 << 20
-#: Rounds in which every set is compared with a few of other components, before all candidates are.
-ROUNDS = 1
-#: Sets with which one is compared in a round.
-TRIES = 8
+#: Keys by which a shingle's sets are counted: exact below, an estimate from the least keys beyond.
+LEAST = 16
 #: Members of a group, and bytes of their rows of bits, about; a longer row is a group alone.
-BLOCK, BLOCK_BYTES = 128, 1 << 16
+BLOCK, BLOCK_BYTES = 128, 1 << 18
+#: Bits of a row for each shingle, at least; rows are powers of two.
+ROW_BITS = 8
 #: Bits of the fixed-size filter that spares documents without candidates the shuffle of their sets.
 FILTER_BITS = 1 << 25
 
@@ -48,8 +49,8 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _row_bits(s: np.ndarray) -> bytes:
-    """A set as a row of bits: 2 to 4 for each shingle, a power of two in all, so that longer rows fold onto shorter ones."""
-    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """A set as a row of bits, a power of two in all, so that longer rows fold onto shorter ones."""
+    size = max(64, 1 << (ROW_BITS * len(s) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[(s & U64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -93,8 +94,11 @@ def _prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return s[:length]
 
 
-def _prefixes(common: np.ndarray, parts: int):
-    """Rows (part, key, n, tokens): the prefix shingles of every different set, dealt out by shingle and packed."""
+def _packs(common: np.ndarray, parts: int):
+    """Rows (part, tokens, keys, sizes): the prefix shingles of every different set of a partition, dealt out and packed.
+
+    A common shingle is dealt out by shingle and set, any other by the shingle alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -103,13 +107,9 @@ def _prefixes(common: np.ndarray, parts: int):
         def out() -> pa.RecordBatch:
             token, lengths = np.concatenate(tokens), np.array([len(x) for x in tokens])
             key, size = np.repeat(np.array(keys, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
-            part = (mix(token) % U64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            token, key, size, part = token[order], key[order], size[order], part[order]
-            edge = np.flatnonzero(np.diff(part, prepend=-1))
-            stops = np.append(edge[1:], len(part))
-            blob = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(edge, stops, strict=True)], pa.binary())
-            return pa.record_batch([pa.array(part[edge]), blob(token), blob(key), blob(size)], ["part", "tokens", "keys", "sizes"])
+            salt = np.where(_among(common, token)[1], mix(key.view(U64)), U64(0))
+            part = (mix(token + salt) % U64(parts)).astype(np.int32)
+            return _dealt(part, {"tokens": token, "keys": key, "sizes": size})
 
         for b in batches:
             for row, stop in slices(b, 1):
@@ -129,92 +129,130 @@ def _prefixes(common: np.ndarray, parts: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
-    """token, key and n of a partition's prefix shingles, sorted, each once; where each token begins and how many keys it has."""
-    cols: tuple[list, list, list] = ([], [], [])
+def _dealt(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each part, with its entries of every column as bytes."""
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.diff(part[order], prepend=-1))
+    stops = np.append(edge[1:], len(part))
+    blobs = [pa.array([x[i:j].tobytes() for i, j in zip(edge, stops, strict=True)], pa.binary()) for x in (c[order] for c in columns.values())]
+    return pa.record_batch([pa.array(part[order][edge]), *blobs], ["part", *columns])
+
+
+def _among(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are in a sorted table, and whether they are."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _read(batches: Iterator[pa.RecordBatch], **kinds: type) -> list[np.ndarray] | None:
+    """The packed columns of a partition, end to end."""
+    cols: list[list] = [[] for _ in kinds]
     for b in batches:
-        for into, c, kind in zip(cols, ("tokens", "keys", "sizes"), (U64, np.int64, np.int32), strict=True):
+        for into, (c, kind) in zip(cols, kinds.items(), strict=True):
             into += [np.frombuffer(x.as_buffer(), kind) for x in b.column(b.schema.get_field_index(c))]
-    if not cols[0]:
-        return None
-    token, key, size = (np.concatenate(x) for x in cols)
-    cols = ([], [], [])  # the pieces go before the sort takes its share
+    return [np.concatenate(x) for x in cols] if cols[0] else None
+
+
+def _runs(token: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of distinct (token, key) pairs, where each token begins in it, and how many keys it has."""
     order = np.lexsort((key, token))
-    token, key, size = token[order], key[order], size[order]
+    token, key = token[order], key[order]
     fresh = np.ones(len(token), bool)
     fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-    token, key, size = token[fresh], key[fresh], size[fresh]
+    order, token = order[fresh], token[fresh]
     begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    length = np.diff(np.append(begin, len(token)))
-    return token, key, size, begin, length
+    return order, begin, np.diff(np.append(begin, len(token)))
+
 
+def _least(token: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each token's LEAST least keys, in order, where the tokens begin, and their numbers of keys."""
+    order, begin, length = _runs(token, key)
+    rank = np.arange(len(order)) - np.repeat(begin, length)
+    order, length = order[rank < LEAST], np.minimum(length, LEAST)
+    return token[order], key[order], np.cumsum(length) - length, length
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, key, n) of the prefix shingles that two different sets hold."""
-    if (found := _runs(batches)) is None:
-        return
-    token, key, size, _, length = found
-    keep = np.repeat(length > 1, length)
-    token, key, size = token[keep], key[keep], size[keep]
-    for i in range(0, len(token), 100_000):
-        yield pa.record_batch([pa.array(x[i : i + 100_000]) for x in (token.view(np.int64), key, size)], ["token", "key", "n"])
+
+def _counted(parts: int):
+    """Rows (part, tokens, keys): of every shingle that stands in a prefix, the least keys of a pack; hot shingles take no more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _packs(np.zeros(0, U64), 1)(batches):
+            token, key = _read(iter([b]), tokens=U64, keys=U64)
+            token, key, _, _ = _least(token, mix(key))
+            yield _dealt((mix(token) % U64(parts)).astype(np.int32), {"tokens": token, "keys": key})
+
+    return run
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n) of the prefix shingles that COMMON different sets hold."""
-    if (found := _runs(batches)) is not None:
-        token, _, _, begin, length = found
+    """(token, n) of the prefix shingles that COMMON different sets hold; n is estimated beyond LEAST sets."""
+    if (found := _read(batches, tokens=U64, keys=U64)) is not None:
+        token, key, begin, length = _least(*found)
+        last = key[begin + length - 1].astype(np.float64) + 1
+        n = np.where(length < LEAST, length, (LEAST - 1) * 2.0**64 / last).astype(np.int64)
         keep = length >= COMMON
-        yield pa.record_batch([pa.array(token[begin][keep].view(np.int64)), pa.array(length[keep].astype(np.int64))], ["token", "n"])
+        yield pa.record_batch([pa.array(token[begin][keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
 
 
-def _some_sets(mask: np.ndarray):
-    """(doc_id, tokens) of the documents that the filter lets pass."""
+def _shared(common: np.ndarray, often: np.ndarray):
+    """(token, key, n, sets) of the prefix shingles that two different sets hold; sets says of how many, about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.asarray(b.column(0).cast(pa.int64()))
-            at = mix(ids.view(U64)) % U64(FILTER_BITS)
-            b = b.filter(pa.array((mask[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)))
-            for row, stop in slices(b, 1):
-                yield pa.record_batch([b.column(0)[row:stop].cast(pa.int64()), pa.array([s.tobytes() for s in _sets(b, row, stop)], pa.binary())], ["doc_id", "tokens"])
+        if (found := _read(batches, tokens=U64, keys=np.int64, sizes=np.int32)) is None:
+            return
+        token, key, size = found
+        order, begin, length = _runs(token, key)
+        at, known = _among(common, token[order][begin])
+        sets = np.where(known, often[at] if len(often) else 0, length)
+        keep = np.repeat(known | (length > 1), length)
+        order, sets = order[keep], np.repeat(sets, length)[keep]
+        for i in range(0, len(order), 100_000):
+            o = order[i : i + 100_000]
+            yield pa.record_batch([pa.array(token[o].view(np.int64)), pa.array(key[o]), pa.array(size[o]), pa.array(sets[i : i + 100_000])], ["token", "key", "n", "sets"])
 
     return run
 
 
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each value of a hash of the ids; of fixed size, however many there are."""
+def _some_sets(mask: np.ndarray):
+    """(set_key, tokens) of the documents that the filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
         for b in batches:
-            bits[mix(np.asarray(b.column(0)).view(U64)) % U64(FILTER_BITS)] = True
-        packed = np.packbits(bits, bitorder="little").reshape(64, -1)
-        some = [i for i in range(64) if packed[i].any()]
-        yield pa.record_batch([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["part", "bits"])
+            at = np.asarray(b.column(2))
+            b = b.filter(pa.array((mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)))
+            for row, stop in slices(b, 1):
+                some = _sets(b, row, stop)
+                yield pa.record_batch([pa.array([_digest(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], ["set_key", "tokens"])
 
-    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                parts[i] = parts[i] | np.frombuffer(x.as_buffer(), np.uint8) if i in parts else np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.record_batch([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
+    return run
 
-    mask = np.zeros((64, FILTER_BITS // 8 // 64), np.uint8)
-    for r in ids.coalesce(8).mapInArrow(run, "part int, bits binary").repartition(8, "part").mapInArrow(union, "part int, bits binary").toLocalIterator():
-        mask[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
-    return mask.reshape(-1)
+
+def _place(id_: Column) -> Column:
+    """An id's bit in the filter."""
+    return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
+
+
+def _filter(ids: Column, of: DataFrame) -> np.ndarray:
+    """A bit for each value of a hash of the ids; of fixed size, however many there are."""
+    at = of.select(_place(ids).alias("at"))
+    words_ = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toArrow()
+    mask = np.zeros(FILTER_BITS // 64, U64)
+    mask[np.asarray(words_["w"])] = np.asarray(words_["bits"]).view(U64)
+    return mask
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the rows (a, b, one set, another) that link: direct comparison."""
+    """(a, b, ra, rb) of the rows (a, b, ra, one set, rb, another) that link: direct comparison."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        for x, y in zip(batch.column(3), batch.column(5), strict=True):
             x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
             both = np.sort(np.concatenate([x, y]), kind="stable")
             keep.append(int((both[1:] == both[:-1]).sum()) >= needed(len(x), len(y)))
-        yield pa.record_batch(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.record_batch([kept.column(i) for i in (0, 1, 2, 4)], ["a", "b", "ra", "rb"])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,15 +289,13 @@ class _Sets:
     """The documents' sets: rows of bits at hand, the sets themselves made again for those that are asked for."""
 
     def __init__(self, docs: DataFrame, keyed: DataFrame, reps: DataFrame):
-        self.docs, self.keyed, self.reps = docs, keyed, reps
-
-    def representatives(self, keys: DataFrame) -> DataFrame:
-        return self.reps.join(keys, "set_key").select("rep", "set_key")
+        self.docs, self.keyed, self.reps = docs.withColumn("at", _place(F.col("doc_id"))), keyed, reps
 
     def rows(self, keys: DataFrame) -> DataFrame:
-        """(set_key, n, bits) of the keys (set_key)."""
+        """``keys``, one row for each set_key, with n and bits of the set."""
         of = self.keyed.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), F.col("n_shingles").alias("n"), "bits")
-        return self.representatives(keys).join(of, "rep").where("k = set_key").dropDuplicates(["set_key"]).select("set_key", "n", "bits")
+        found = self.reps.select("rep", "set_key").join(keys, "set_key").join(of, "rep").where("k = set_key")
+        return found.dropDuplicates(["set_key"]).drop("rep", "k")  # rows that repeat an id with equal texts
 
     @staticmethod
     def both(pairs: DataFrame, side: DataFrame, *cols: str) -> DataFrame:
@@ -276,24 +312,15 @@ class _Sets:
         return stored(self.both(pairs, self.rows(self.ends(pairs)), "n", "bits").mapInArrow(_possible, "a long, b long"), "join-possible")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link, as a written table: sets are compared."""
-        ids = stored(self.representatives(self.ends(pairs)), "join-wanted")
-        sets = self.docs.mapInArrow(_some_sets(_filter(ids.select("rep"))), "doc_id long, tokens binary")
-        sets = ids.join(sets, ids["rep"] == sets["doc_id"]).select("set_key", "tokens")
-        sets = stored(sets.dropDuplicates(["set_key"]), "join-sets")
-        out = stored(self.both(pairs, sets, "tokens").mapInArrow(_linked, "a long, b long"), "join-linked")
+        """The pairs that link, with their representatives ra and rb, as a written table: sets are compared."""
+        ids = stored(self.reps.select("rep", "set_key").join(self.ends(pairs), "set_key"), "join-wanted")
+        sets = self.docs.mapInArrow(_some_sets(_filter(F.col("rep"), ids)), "set_key long, tokens binary")
+        sets = stored(ids.join(sets, "set_key").dropDuplicates(["set_key"]), "join-sets")
+        out = stored(self.both(pairs, sets, "rep", "tokens").mapInArrow(_linked, "a long, b long, ra long, rb long"), "join-linked")
         forget(pairs.sparkSession, ids, sets)
         return out
 
 
-def _grouped(matrix: DataFrame, links: DataFrame) -> DataFrame:
-    """The matrix's rows (token, key, n) with the group g of each key under ``links``, where a token has several groups."""
-    groups = stored(components(links), "join-groups")
-    m = matrix.join(groups.withColumnsRenamed({"node": "key", "component": "g"}), "key", "left").select("token", "key", "n", F.coalesce("g", "key").alias("g"))
-    several = m.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
-    return m.join(several, "token")
-
-
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies): each document's class under all links of 5-word shingle sets.
 
@@ -302,73 +329,74 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     1. Equal sets are one class; only its representative goes on, so that groups of copies cost what one text does.
     2. Two linking sets share a shingle among the first quarter of each, in an order that puts common shingles last.
-       Those prefixes, dealt out by shingle, give each shingle's sets. In a few rounds each set is compared with those of
-       other groups with which it shares most, among its neighbours when each shingle's sets are shuffled: links make groups.
-    3. Sets of like size whose commonest prefix shingle is the same are a group, in blocks of bounded bytes. The token-group
-       matrix holds, for each shingle, the groups whose token union has it, with the ranges of those members' sizes and
-       components. Two groups are opened where they share a shingle, the sizes allow the intersection that a link needs,
-       and links do not join all members already. Similar sets that do not link thus meet group by group, not in rows.
-    4. A query's overlap with a group is bounded by rows of bits: against the union of the group's rows, and where that
-       qualifies, the group is opened and its members' own rows are bounds. What passes is compared set by set.
+       Those prefixes, dealt out by shingle (common ones by shingle and set, so that no task gets all of one), are the
+       token-group matrix's entries.
+    3. Sets whose commonest prefix shingle is the same are a group. Each is compared with the group's medoid, the member
+       whose prefix the fewest shingles of its own interrupt; those that link are one component from here on. The centres
+       that remain are compared in the same way, in groups by their first shingle: families of variants contract.
+    4. A group's members of like size form blocks of bounded bytes. The matrix holds, for each shingle, the blocks whose
+       token union has it, with the ranges of those members' sizes and components. Two blocks are opened where they
+       share a shingle, the sizes allow the intersection that a link needs, and links do not join all members already.
+    5. A query's overlap with a block is bounded by rows of bits: against the union of the block's rows, and where that
+       qualifies, the block is opened and its members' own rows are bounds. What passes is compared set by set.
 
     Sets are compared by 64-bit hashes of their shingles. A null or empty text, and one without words, has no shingle,
     links with nothing and is its own component. Fewer than five words: the whole sequence is the one shingle. Repeated
-    ids: each row counts, under the same id. Rows with a null id are left out, as no link can name them. Any other
-    columns of ``docs`` are ignored. An empty table gives an empty one.
+    ids: each row counts, under the same id. A row with a null id takes part in no link; its component_id is null. Any
+    other columns of ``docs`` are ignored. An empty table gives an empty one.
     """
     spark: SparkSession = docs.sparkSession
     arrow_rows(spark)
-    docs = pick(docs, id_col, text_col).toDF("doc_id", "text").where(F.col("doc_id").isNotNull())
+    docs = pick(docs, id_col, text_col).toDF("doc_id", "text")
     keyed = stored(docs.mapInArrow(_keys, "doc_id long, n_shingles long, set_key long, bits binary"), "join-keys")
-    reps = stored(keyed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "join-reps")
+    docs = docs.where("doc_id is not null")
+    reps = stored(keyed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "join-reps")
+    sets = _Sets(docs, keyed, reps)
 
     n = 2 * partitions(spark)  # a task sorts its part in memory
+    found = docs.mapInArrow(_counted(n), "part int, tokens binary, keys binary").repartition(n, "part").mapInArrow(_frequent, "token long, n long").orderBy(F.desc("n"), "token").limit(COMMON_MOST).toArrow()
+    common, often = np.asarray(found["token"]).view(U64), np.asarray(found["n"])
+    common, often = common[np.argsort(common)], often[np.argsort(common)]
+    entries = docs.mapInArrow(_packs(common, n), "part int, tokens binary, keys binary, sizes binary").repartition(n, "part")
+    matrix = stored(entries.mapInArrow(_shared(common, often), "token long, key long, n int, sets long"), "join-matrix")
+
+    # two groupings of each set: by its commonest prefix shingle, and by the first in the order of hashes
+    lead = F.max(F.struct("sets", "token"))["token"].alias("lead"), F.min(F.expr("token ^ (-9223372036854775808L)")).alias("first")
+    lead = stored(matrix.groupBy("key").agg(*lead, F.first("n").alias("n"), (F.count("*") / F.first("n")).alias("usual")), "join-lead")
+    links, now = [], lead.withColumn("g", F.col("key"))
+    for by in ("lead", "first"):
+        centres = now.where("key = g")
+        medoids = centres.groupBy(by).agg(F.max(F.struct("usual", "key")).alias("m"), F.count("*").alias("k")).where("k > 1").select(by, F.col("m.key").alias("b"))
+        links.append(sets.linked(sets.possible(centres.join(medoids, by).where("key <> b").select(F.col("key").alias("a"), "b"))))
+        now = now.join(links[-1].select(F.col("a").alias("g"), F.col("b").alias("to")), "g", "left").withColumn("g", F.coalesce("to", "g")).drop("to")
+
+    # rows of one length, so that a block's can be laid under each other
+    size = F.greatest(F.length(F.bin(ROW_BITS * F.col("n") - 1)), F.lit(6))
+    members = stored(now.select(F.col("key").alias("set_key"), "lead", "n", "g", size.alias("size")), "join-grouped")
+    room = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.expr("shiftleft(1L, size - 3)")) / BLOCK_BYTES))
+    several = stored(members.groupBy("lead", "size").agg(room.alias("blocks")).where("blocks > 1"), "join-several")
+    members = members.join(several, ["lead", "size"], "left")
+    members = stored(members.select("set_key", "n", "g", F.xxhash64("lead", "size", F.pmod(F.xxhash64("set_key"), F.coalesce("blocks", F.lit(1)))).alias("block")), "join-members")
 
-    def prefixes(common: np.ndarray) -> DataFrame:
-        return docs.mapInArrow(_prefixes(common, n), "part int, tokens binary, keys binary, sizes binary").repartition(n, "part")
-
-    found = prefixes(np.zeros(0, U64)).mapInArrow(_frequent, "token long, n long").orderBy(F.desc("n"), "token").limit(COMMON_MOST).select("token").toArrow()
-    common = np.sort(np.asarray(found["token"]).view(U64))
-    matrix = stored(prefixes(common).mapInArrow(_shared, "token long, key long, n int"), "join-matrix")
-
-    sets = _Sets(docs, keyed, reps)
-    near = DENOM * F.least("n", "nb") >= NUMER * F.greatest("n", "nb")
-    links = spark.createDataFrame([], "a long, b long")
-    for turn in range(ROUNDS):
-        m = _grouped(matrix, links) if turn else matrix.withColumn("g", F.col("key"))  # a matrix's shingles have two keys at least
-        deal = Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(turn)), "key")
-        beside = F.array(*[F.lag(F.struct("key", "n", "g"), i).over(deal) for i in (1, 2)])
-        one = m.withColumn("beside", beside).select("key", "n", "g", F.explode("beside").alias("o")).where(F.col("o.g") != F.col("g"))
-        one = one.select("key", "n", F.col("o.key").alias("b"), F.col("o.n").alias("nb")).where(near).groupBy("key", "b").agg(F.count("*").alias("k"))
-        one = one.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("k"), "b"))).where(F.col("rank") <= TRIES)
-        pairs = stored(one.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), "join-round")
-        links = links.union(sets.linked(sets.possible(pairs)))
-
-    # sets that share the commonest of their shingles, and are of like size, are a group of the matrix
-    m = stored(_grouped(matrix, links), "join-open")
-    often = m.groupBy("token").agg(F.count("*").alias("sets"))
-    lead = m.join(often, "token").groupBy("key").agg(F.max(F.struct("sets", "token"))["token"].alias("lead"), F.first("g").alias("g"))
-    lead = lead.withColumnRenamed("key", "set_key")
-    members = stored(sets.rows(lead.select("set_key")).join(lead, "set_key").withColumn("size", F.octet_length("bits")), "join-members")
-    room = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES))
-    counts = members.groupBy("lead", "size").agg(room.alias("blocks"))
-    members = members.join(counts, ["lead", "size"]).withColumn("block", F.xxhash64("lead", "size", F.pmod(F.xxhash64("set_key"), F.col("blocks"))))
-    members = stored(members.select("set_key", "n", "g", "bits", "block"), "join-blocked")
     ranges = [f(c).alias(f"{c}_{end}") for c in ("n", "g") for end, f in (("low", F.min), ("high", F.max))]
-    unions = stored(m.join(members.select(F.col("set_key").alias("key"), "block"), "key").groupBy("token", "block").agg(*ranges), "join-unions")
+    unions = stored(matrix.select("token", "key").join(members.withColumnRenamed("set_key", "key"), "key").groupBy("token", "block").agg(*ranges), "join-unions")
     one, other = unions.alias("x"), unions.alias("y")
     fits = (DENOM * F.col("y.n_high") >= NUMER * F.col("x.n_low")) & (DENOM * F.col("x.n_high") >= NUMER * F.col("y.n_low"))
     differ = F.least("x.g_low", "y.g_low") < F.greatest("x.g_high", "y.g_high")
-    opened = one.join(other, F.expr("x.token = y.token AND x.block < y.block") & fits & differ).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
-    alone = unions.where("g_low < g_high").select(F.col("block").alias("set_key")).distinct()
-    members = members.groupBy("block").agg(F.collect_list(F.struct(F.col("set_key").alias("key"), "n", "g", "bits")).alias("members"))
-    side = stored(members.withColumnRenamed("block", "set_key"), "join-blocks")
-    both = sets.both(opened, side, "members").select("a_members", "b_members")
-    itself = side.join(alone, "set_key").select(F.col("members").alias("a_members"), F.lit(None).cast(side.schema["members"].dataType).alias("b_members"))
-    possible = stored(both.union(itself).mapInArrow(_opened, "a long, b long"), "join-candidates")
-    links = links.union(sets.linked(possible))
-
-    every = components(links.join(reps.select(F.col("set_key").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("set_key").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    opened = one.join(other, F.expr("x.token = y.token AND x.block < y.block") & fits & differ).select(F.col("x.block").alias("a"), F.col("y.block").alias("b"))
+    alone = unions.where("g_low < g_high").select(F.col("block").alias("a"), F.col("block").alias("b"))
+    opened = stored(opened.union(alone).distinct(), "join-opened")
+
+    rows = sets.rows(members.join(sets.ends(opened).withColumnRenamed("set_key", "block"), "block").drop("n"))
+    blocks = rows.groupBy("block").agg(F.collect_list(F.struct(F.col("set_key").alias("key"), "n", "g", "bits")).alias("members"))
+    blocks = stored(blocks.withColumnRenamed("block", "set_key"), "join-blocks")
+    both = sets.both(opened.where("a < b"), blocks, "members").select("a_members", "b_members")
+    itself = blocks.join(opened.where("a = b").select(F.col("a").alias("set_key")), "set_key").select(F.col("members").alias("a_members"), F.lit(None).cast(blocks.schema["members"].dataType).alias("b_members"))
+    links.append(sets.linked(stored(both.union(itself).mapInArrow(_opened, "a long, b long"), "join-candidates")))
+
+    every = components(reduce(DataFrame.union, links).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     classes = reps.join(every, reps["rep"] == every["node"], "left").select("set_key", F.coalesce("component", "rep").alias("c"), "n_copies")
     out = keyed.join(classes, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
+    copies = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("n_copies")).otherwise(F.lit(1))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), copies.cast("long").alias("n_copies"))

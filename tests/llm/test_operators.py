@@ -75,6 +75,58 @@ def test_ngram_join(docs, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def brute_components(rows: list[tuple]) -> dict[int, int]:
+    """Smallest id that links reach, from all pairs of rows (id, text); rows of one id are one node."""
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for n, (i, x) in enumerate(sets):
+        for j, y in sets[:n]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in parent}
+
+
+def test_ngram_join_with_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        for half in range(2):
+            t = text(rng, 60)
+            near = t.split()
+            near[rng.randrange(60)] = "edit"
+            rows += [(k, t), (100 + 2 * k + half, " ".join(near))]
+    rows += [(None, rows[0][1]), (None, None), (None, "a b")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    want = brute_components(rows)
+    # an id with two texts names the smallest id that either text's links reach
+    assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None and r["doc_id"] >= 100)
+    assert all(r["component_id"] is None and r["n_copies"] == 1 for r in got if r["doc_id"] is None)
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] is None) == [0, 1, 56]
+
+
+def test_ngram_join_of_a_family(spark):
+    """Variants of one text that share a passage with all others, some of which link only through each other."""
+    rng = random.Random(9)
+    base, hot = text(rng, 100, 10_000).split(), text(rng, 12, 10_000)
+    rows = []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(9)):
+            w[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, text(rng, rng.randrange(5, 30), 10_000) + " " + hot) for k in range(150)]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 16))
