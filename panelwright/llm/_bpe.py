@@ -66,7 +66,9 @@ class WordTokenizer:
 
     def merge(self, pre_token: str) -> list[int]:
         """The ids of a pre-token by the library's own merges."""
-        return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, pre_token.encode())))]
+        if not pre_token.isascii() or not pre_token.isprintable():  # what is left of ASCII stands for itself
+            pre_token = "".join(map(self.letters.__getitem__, pre_token.encode()))
+        return [t.id for t in self.model.tokenize(pre_token)]
 
 
 class Remembered(dict):
@@ -85,6 +87,20 @@ class Remembered(dict):
             self.update(zip(new, self.make(new), strict=True))
 
 
+class Pieces(dict):
+    """What ``make`` gives for pre-tokens, each asked for once while it is remembered; of bounded size."""
+
+    def __init__(self, make: Callable[[str], object], most: int = REMEMBER):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, piece: str) -> object:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[piece] = self.make(piece)
+        return found
+
+
 _workers: dict[tuple, object] = {}
 
 

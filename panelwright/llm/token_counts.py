@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelwright.llm._bpe import Remembered, WordTokenizer, per_worker
+from panelwright.llm._bpe import Pieces, Remembered, WordTokenizer, per_worker
 from panelwright.llm._store import arrow_rows, pick, text_offsets
 
 LIMIT = 2048
@@ -33,11 +33,11 @@ class Counting:
         self.tokenizer = WordTokenizer(path)
         self.whole = whole_tokens(self.tokenizer)
         self.known = Remembered(self.counts)
+        self.pieces = Pieces(lambda p: 1 if p in self.whole else len(self.tokenizer.merge(p)))
 
     def counts(self, words: list[str]) -> list[int]:
-        cut, merge, whole, known = self.tokenizer.pre_tokens, self.tokenizer.merge, self.whole, self.known
-        # a word with punctuation takes its letters' count from where that is known
-        return [sum(1 if p in whole else known[p] if p in known else len(merge(p)) for p in cut(w)) for w in words]
+        cut, count = self.tokenizer.pre_tokens, self.pieces.__getitem__
+        return [sum(map(count, cut(w))) for w in words]
 
     def count(self, text: str) -> int:
         total = 0

@@ -1,9 +1,11 @@
 """Token-ID files coded with a static range asymmetric numeral system.
 
-A file holds the ids of some documents, in the documents' order::
+A folder has ``table``, the frequencies that all its files share, ``parts``, a Parquet table with the number of files and
+ids of each part, and files PART-NUMBER.ids. A file holds the ids of some documents, in the documents' order::
 
     magic, number of documents, number of blocks          header, little-endian unsigned 32-bit integers
-    doc_id, n_tokens                                       of each document, 64-bit each
+    ids before this file in its part                       64-bit
+    doc_id, n_tokens                                       of each document, 64-bit each; the least number stands for no id
     n_ids, n_words, crc32 of the ids, crc32 of the block   of each block, 32-bit each: the checkpoints
     blocks                                                 see ``encode_block``
 
@@ -19,13 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm._bpe import Remembered, WordTokenizer, per_worker
-from panelwright.llm._store import arrow_rows, forget, new_path, partitions, pick, stored
+from panelwright.llm._bpe import Pieces, Remembered, WordTokenizer, per_worker
+from panelwright.llm._store import arrow_rows, forget, new_path, partitions, pick, stored, text_bytes
 
-MAGIC = 0x314E5254
+MAGIC, TABLE_MAGIC = 0x324E5254, 0x314C4254
+#: What stands in a file for a null id.
+NO_ID = -(1 << 63)
 #: Frequencies of a table sum to this power of two.
 SCALE_BITS = 20
 #: Interleaved states of a block; each step codes one id for every state.
@@ -103,98 +107,120 @@ def decode_block(table: Table, block: bytes, n: int) -> np.ndarray:
     return out
 
 
-def encode_file(table: Table, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def encode_table(freq: np.ndarray) -> bytes:
+    body = np.append(np.uint32(SCALE_BITS), freq).astype("<u4").tobytes()
+    return np.array([TABLE_MAGIC, len(freq), zlib.crc32(body)], "<u4").tobytes() + body
+
+
+def decode_table(content: bytes) -> np.ndarray:
+    magic, n, crc = np.frombuffer(content, "<u4", 3).tolist()
+    if magic != TABLE_MAGIC or zlib.crc32(content[12:]) != crc or len(content) != 16 + 4 * n:
+        raise ValueError("the frequency table is damaged")
+    if np.frombuffer(content, "<u4", 1, 12)[0] != SCALE_BITS:
+        raise ValueError("the frequency table has another scale")
+    return np.frombuffer(content, "<u4", n, 16)
+
+
+def encode_file(table: Table, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, start: int = 0) -> bytes:
     blocks, marks = [], []
     for at in range(0, len(ids), BLOCK):
         part = ids[at : at + BLOCK]
         block = encode_block(table, part)
         blocks.append(block)
         marks.append((len(part), len(block) // 4, zlib.crc32(part.astype("<u4").tobytes()), zlib.crc32(block)))
-    head = np.array([MAGIC, len(doc_ids), len(blocks)], "<u4").tobytes()
+    head = np.array([MAGIC, len(doc_ids), len(blocks)], "<u4").tobytes() + np.array([start], "<i8").tobytes()
     docs = np.stack([doc_ids, lengths], 1).astype("<i8").tobytes()
     return b"".join([head, docs, np.array(marks, "<u4").tobytes(), *blocks])
 
 
-def decode_file(table: Table, content: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, ids) of a file's documents in order; a block that fails its checksum raises an error that names it."""
+def decode_file(table: Table, content: bytes) -> tuple[int, list[tuple[int | None, np.ndarray]]]:
+    """The ids before a file in its part, and (doc_id, ids) of its documents in order; a block that fails its checksum raises an error that names it."""
     magic, n_docs, n_blocks = np.frombuffer(content, "<u4", 3).tolist()
     if magic != MAGIC:
         raise ValueError("not a token-ID file")
-    docs = np.frombuffer(content, "<i8", 2 * n_docs, 12).reshape(-1, 2)
-    at = 12 + 16 * n_docs
+    start = int(np.frombuffer(content, "<i8", 1, 12)[0])
+    docs = np.frombuffer(content, "<i8", 2 * n_docs, 20).reshape(-1, 2)
+    at = 20 + 16 * n_docs
     marks = np.frombuffer(content, "<u4", 4 * n_blocks, at).reshape(-1, 4)
     at += 16 * n_blocks
-    ready, k = np.zeros(0, np.uint32), 0
-    for doc_id, n in docs.tolist():
-        parts, have = [ready], len(ready)
-        while have < n:
-            ids, size, crc, own = marks[k].tolist()
-            block = content[at : at + 4 * size]
-            if zlib.crc32(block) != own:
-                raise ValueError(f"block {k} is damaged")
-            parts.append(decode_block(table, block, ids))
-            if zlib.crc32(parts[-1].astype("<u4").tobytes()) != crc:
-                raise ValueError(f"block {k} decodes to other ids")
-            at, k, have = at + 4 * size, k + 1, have + ids
-        ready = np.concatenate(parts)
-        yield doc_id, ready[:n]
-        ready = ready[n:]
+    out, have = np.empty(int(marks[:, 0].sum()), np.uint32), 0
+    for k, (n, size, crc, own) in enumerate(marks.tolist()):
+        block = memoryview(content)[at : at + 4 * size]
+        if zlib.crc32(block) != own:
+            raise ValueError(f"block {k} is damaged")
+        ids = decode_block(table, block, n)
+        if zlib.crc32(ids.astype("<u4", copy=False)) != crc:
+            raise ValueError(f"block {k} decodes to other ids")
+        out[have : have + n] = ids
+        at, have = at + 4 * size, have + n
+    ends = np.cumsum(docs[:, 1]).tolist()
+    return start, [(None if d == NO_ID else d, out[e - n : e]) for (d, n), e in zip(docs.tolist(), ends, strict=True)]
 
 
 class Encoding:
-    """Ids of texts with what one worker knows of words."""
+    """Ids of texts with what one worker knows of words; an id takes two bytes where the vocabulary allows it."""
 
     def __init__(self, path: str):
         self.tokenizer = WordTokenizer(path)
         self.size = self.tokenizer.library.get_vocab_size()
-        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.width = 2 if self.size <= 1 << 16 else 4
+        self.code = [i.to_bytes(self.width, "little") for i in range(self.size)]
+        self.pieces = Pieces(lambda p: b"".join([self.code[i] for i in self.tokenizer.merge(p)]))
         self.known = Remembered(self.codes)
 
     def codes(self, words: list[str]) -> list[bytes]:
-        cut, merge, known, kind = self.tokenizer.pre_tokens, self.tokenizer.merge, self.known, self.kind
-        return [b"".join(known[p] if p in known else np.array(merge(p), kind).tobytes() for p in cut(w)) for w in words]
+        cut, code = self.tokenizer.pre_tokens, self.pieces.__getitem__
+        return [b"".join(map(code, cut(w))) for w in words]
 
     def ids(self, text: str) -> bytes:
         out = []
         for special, found in self.tokenizer.words(text):
             if special is not None:
-                out.append(np.array([self.tokenizer.special[special]], self.kind).tobytes())
+                out.append(self.code[self.tokenizer.special[special]])
                 continue
             self.known.learn(set(found))
             out.append(b"".join(map(self.known.__getitem__, found)))
         return b"".join(out)
 
 
-def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+def _put(folder: str, name: str, content: bytes, attempt: object) -> None:
+    """Write a file whole under another name and rename it: a task that runs twice leaves the same file."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root)
+    with store.open_output_stream(f"{root}/_{name}-{attempt}") as out:
+        out.write(content)
+    store.move(f"{root}/_{name}-{attempt}", f"{root}/{name}")
+
+
+def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every row's whole text, append ``end_id``, and write the ids in ascending order of id as files in ``folder``.
 
-    Returns (file, start, n_ids) of each file, a row each, and the shared frequency table. Ids are encoded once and
-    sorted by range; the table comes from the counts of all ids. Files are written whole under another name and then
-    renamed, so a task that runs twice leaves the same file. Null texts are empty and get the end id alone; repeated ids
-    stay apart, in any order among themselves; rows with a null id come first, as id -1.
+    Ids are encoded once and sorted by range; the table comes from the counts of all ids. Null texts are empty and get
+    the end id alone; rows that repeat an id stay apart, in the order of a hash of their ids, so that a task that runs
+    again cuts the same files; rows with a null id come first and stay without one. Other columns are ignored; of an
+    empty table only the frequencies and an empty list of parts are written.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
+    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding: Encoding = per_worker(("encode", path), lambda: Encoding(path))
-        end = np.array([end_id], encoding.kind).tobytes()
+        end = end_id.to_bytes(encoding.width, "little")
         for b in batches:
             ids = [(encoding.ids(str(t)) if t.is_valid else b"") + end for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    kind = Encoding(path).kind
-    size = max(Encoding(path).size, end_id + 1)
+    encoding = Encoding(path)
+    kind, size = np.dtype(f"<u{encoding.width}"), max(encoding.size, end_id + 1)
     # ids are encoded before the sort, so that the exchange carries them and not the texts
     coded = stored(rows.mapInArrow(tokens, "doc_id long, ids binary"), "tokens")
-    sorted_ids = coded.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    sorted_ids = coded.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
+            total += np.bincount(text_bytes(b.column(0))[0].view(kind), minlength=size)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some])], ["id", "n"])
 
@@ -202,65 +228,65 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int, id_col: s
     found = coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary at most
     counts[np.asarray(found["id"])] = np.asarray(found["n"])
     freq = frequencies(counts)
+    _put(folder, "table", encode_table(freq), "driver")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        table, (store, root) = Table(freq), fs.FileSystem.from_uri(folder)
-        store.create_dir(root)
-        names, sizes, k = [], [], 0
-        docs, parts, held = [], [], 0
+        table = Table(freq)
+        docs, parts, held, start, k = [], [], 0, 0, 0
 
         def flush() -> None:
-            nonlocal docs, parts, held, k
-            ids = np.concatenate(parts)
-            content = encode_file(table, np.array(docs, np.int64), np.array([len(x) for x in parts], np.int64), ids)
-            name = f"{task.partitionId():06d}-{k:06d}.ids"
-            with store.open_output_stream(f"{root}/_{name}-{task.taskAttemptId()}") as out:
-                out.write(content)
-            store.move(f"{root}/_{name}-{task.taskAttemptId()}", f"{root}/{name}")
-            names.append(name)
-            sizes.append(len(ids))
-            docs, parts, held, k = [], [], 0, k + 1
+            nonlocal docs, parts, held, start, k
+            content = encode_file(table, np.array(docs, np.int64), np.array([len(x) for x in parts], np.int64), np.concatenate(parts), start)
+            _put(folder, f"{task.partitionId():06d}-{k:06d}.ids", content, task.taskAttemptId())
+            docs, parts, held, start, k = [], [], 0, start + held, k + 1
 
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                docs.append(d)
-                parts.append(np.frombuffer(x.as_py(), kind).astype(np.uint32))
+                docs.append(NO_ID if d is None else d)
+                parts.append(np.frombuffer(x.as_buffer(), kind))
                 held += len(parts[-1])
                 if held >= FILE_IDS:
                     flush()
         if docs:
             flush()
-        yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["file", "n_ids"])
+        if k:
+            yield pa.record_batch([pa.array([task.partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([start], pa.int64())], ["part", "files", "n_ids"])
 
-    files = stored(sorted_ids.mapInArrow(write, "file string, n_ids long"), "token-files")
+    sorted_ids.mapInArrow(write, "part int, files int, n_ids long").write.parquet(f"{folder}/parts")
     forget(spark, coded)
-    return files, freq
 
 
-def read_tokens(files: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, file) of every document in the files, from their decoded bytes alone."""
-    spark = files.sparkSession
-    # one row for each file; their order by name is the order of the ids
-    sizes = files.orderBy("file").toArrow()
-    starts = dict(zip(sizes["file"].to_pylist(), (np.cumsum(np.asarray(sizes["n_ids"])) - np.asarray(sizes["n_ids"])).tolist(), strict=True)) if sizes.num_rows else {}
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, file) of every document in a folder's files, from the folder alone.
+
+    Only the files that ``parts`` lists are read. An empty folder's table gives no row.
+    """
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
+    # one row for each part of the sort: as many as the job that wrote them had tasks
+    parts = spark.read.schema("part int, files int, n_ids long").parquet(f"{folder}/parts").orderBy("part").toArrow()
+    if not parts.num_rows:
+        return spark.createDataFrame([], schema)
+    n_ids = np.asarray(parts["n_ids"])
+    place = dict(zip(parts["part"].to_pylist(), zip((np.cumsum(n_ids) - n_ids).tolist(), parts["files"].to_pylist(), strict=True), strict=True))
+    freq = decode_table(bytes(spark.read.format("binaryFile").load(f"{folder}/table").select("content").first()[0]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(freq)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 name = path.rsplit("/", 1)[1]
-                at, rows = starts[name], []
-                for doc_id, ids in decode_file(table, content.as_py()):
-                    rows.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), name))
-                    at += len(ids)
-                yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "file"])
+                part, number = map(int, name.removesuffix(".ids").split("-"))
+                if number >= place.get(part, (0, 0))[1]:
+                    continue  # left by an attempt that did not count
+                start, docs = decode_file(table, content.as_py())
+                n = np.array([len(ids) for _, ids in docs], np.int64)
+                begin = place[part][0] + start + np.cumsum(n) - n
+                crc = [zlib.crc32(ids.astype("<u4", copy=False)) for _, ids in docs]
+                yield pa.record_batch([pa.array([d for d, _ in docs], pa.int64()), pa.array(begin), pa.array(n), pa.array(crc, pa.int64()), pa.array([name] * len(docs))], ["doc_id", "start", "n_tokens", "ids_crc32", "file"])
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
-    if not starts:
-        return spark.createDataFrame([], schema)
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
     return content.mapInArrow(read, schema)
 
@@ -268,5 +294,5 @@ def read_tokens(files: DataFrame, freq: np.ndarray, folder: str) -> DataFrame:
 def token_store(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of ``docs`` as files in the shared folder and read them back: see ``write_tokens`` and ``read_tokens``."""
     folder = new_path(docs.sparkSession, "token-ids")
-    files, freq = write_tokens(docs, path, folder, end_id, id_col, text_col)
-    return read_tokens(files, freq, folder)
+    write_tokens(docs, path, folder, end_id, id_col, text_col)
+    return read_tokens(docs.sparkSession, folder)

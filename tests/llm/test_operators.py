@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ast
 import collections
 import gzip
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -175,6 +178,27 @@ def test_token_files(docs, empty, library):
     assert token_store.token_store(empty, PATH).count() == 0
 
 
+def test_token_files_stand_alone(spark, tmp_path, library):
+    """Null and repeated ids, clashing columns, files left by a lost attempt, and reading by a process that has the folder alone."""
+    rows = [(None, "a b", 1), (None, None, 2), (7, "c d", 3), (7, "c d", 4), (7, "e", 5), (3, "x " * 3000, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids long").repartition(3)
+    folder = f"file://{tmp_path}/ids"
+    token_store.write_tokens(docs, PATH, folder, 1)
+    (tmp_path / "ids" / "000000-000099.ids").write_bytes(b"left over")
+    code = "import sys; from pyspark.sql import SparkSession as S; from panelwright.llm import token_store as t; s = S.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); print('GOT', [tuple(r)[:4] for r in t.read_tokens(s, sys.argv[1]).orderBy('start').collect()])"
+    said = subprocess.run([sys.executable, "-c", code, folder], capture_output=True, text=True, check=True).stdout
+    got = ast.literal_eval(said.partition("GOT ")[2])
+    assert [r[0] for r in got] == [None, None, 3, 7, 7, 7]
+    want = collections.Counter()
+    for d, t, _ in rows:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        want[d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert collections.Counter((r[0], *r[2:]) for r in got) == want
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
+    with pytest.raises(ValueError, match="table"):
+        token_store.decode_table((tmp_path / "ids" / "table").read_bytes()[:-1] + b"\xff")
+
+
 def test_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.geometric(0.01, 300_000), 999).astype(np.uint32)
@@ -184,9 +208,9 @@ def test_coder_round_trip_and_damage():
     for n in (0, 1, 2047, 2048, 2049, 300_000):
         assert (token_store.decode_block(table, token_store.encode_block(table, ids[:n]), n) == ids[:n]).all()
     content = token_store.encode_file(table, np.array([5, 9]), np.array([100, 299_900]), ids)
-    assert [(d, x.tolist()) for d, x in token_store.decode_file(table, content)] == [(5, ids[:100].tolist()), (9, ids[100:].tolist())]
+    assert [(d, x.tolist()) for d, x in token_store.decode_file(table, content)[1]] == [(5, ids[:100].tolist()), (9, ids[100:].tolist())]
     with pytest.raises(ValueError, match="damaged"):
-        list(token_store.decode_file(table, content[:-9] + bytes([content[-9] ^ 1]) + content[-8:]))
+        token_store.decode_file(table, content[:-9] + bytes([content[-9] ^ 1]) + content[-8:])
 
 
 def test_decontamination(spark, docs):
