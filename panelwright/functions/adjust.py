@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def adjusted(df: DataFrame, p: str = "p", *ties: str) -> DataFrame:
@@ -28,23 +25,24 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     return centre - half, centre + half
 
 
-def project(values: np.ndarray, total: float = 6.0) -> np.ndarray:
-    """The nearest point with entries in [0, 1] that sum to ``total``: one shift for all, found by bisection."""
-    low, high = values.min() - 1, values.max()
-    for _ in range(100):
-        mid = (low + high) / 2
-        low, high = (mid, high) if np.clip(values - mid, 0, 1).sum() > total else (low, mid)
-    out = np.clip(values - (low + high) / 2, 0, 1)
-    inner = (out > 0) & (out < 1)
-    if inner.any():
-        out[inner] += (total - out.sum()) / inner.sum()
-    return np.clip(out, 0, 1)
+def projected(values: Column, total: float = 6.0) -> Column:
+    """The nearest point with entries in [0, 1] that sum to ``total``, of an array of at least ``total`` doubles.
 
+    The point is the values less one shift, cut to [0, 1]. As the shift falls from the greatest value, the sum grows by
+    the number of entries strictly inside: an entry enters at its value and leaves at its value less 1. The walk over
+    those places in order meets the total on one of them or between two.
+    """
+    place = lambda by, turn: F.transform(values, lambda x: F.struct((F.lit(float(by)) - x).alias("at"), F.lit(turn).alias("turn")))
+    places = F.array_sort(F.concat(place(0, 1), place(1, -1)))
+    begin = F.struct(places[0]["at"].alias("at"), F.lit(0).alias("inside"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("shift"))
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def projected(values: pd.Series) -> pd.Series:
-    """``project`` of each array."""
-    return values.map(lambda x: project(np.asarray(x, np.float64)))
+    def walk(a: Column, x: Column) -> Column:
+        reached = a["sum"] + a["inside"] * (x["at"] - a["at"])
+        shift = F.when(a["shift"].isNull() & (a["inside"] > 0) & (reached >= total), (reached - total) / a["inside"] - x["at"]).otherwise(a["shift"])
+        return F.struct(x["at"].alias("at"), (a["inside"] + x["turn"]).alias("inside"), reached.alias("sum"), shift.alias("shift"))
+
+    shift = F.coalesce(F.aggregate(places, begin, walk)["shift"], F.array_min(values) - 1)  # all entries 1: rounding may keep the sum just below the total
+    return F.transform(F.arrays_zip(values.alias("v"), F.array_repeat(shift, F.size(values)).alias("s")), lambda z: F.least(F.greatest(z["v"] - z["s"], F.lit(0.0)), F.lit(1.0)))
 
 
 def shrunk(p: Column, strength: float = 0.1, uniform: float = 6 / 49) -> Column:

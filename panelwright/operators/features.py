@@ -1,89 +1,142 @@
-"""Leakage-free features of every (period, number): all of them look at earlier periods alone."""
+"""Leakage-free features of every (period, number): all of them look at earlier periods alone.
+
+Histories are cut into blocks of periods. A block also gets the few periods before it, for trailing windows, and one row of
+totals for each number that hands on what lies further back. All windows therefore stay inside a block: one exchange of the
+draws by block serves them, and there are as many tasks as blocks, however few numbers there are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.panel import panel, z_within
-from panelwright.sources.draws import P0
+from panelwright.operators.panel import z_within
+from panelwright.sources.draws import P0, UNIVERSE
 
 AUDITED_ALPHA, BASE_ALPHA = 0.06, 2 / 21
 TRANSITION_PRIOR, LONG_PRIOR = 30.0, 12.0
 AUDITED_WINDOWS, BASE_WINDOWS = (20, 50, 100), (5, 10, 20, 50, 100, 200)
-#: Periods in a block of the exponential average; (1 - alpha) ** BLOCK vanishes against any double of the average's size.
-BLOCK = 1000
-
-
-def ewma(p: DataFrame, alpha: float, name: str = "ewma") -> DataFrame:
-    """``p`` (draw_index, number, y) with the exponential average of the periods before, seeded with 6/49.
-
-    Prefix sums inside blocks, whose powers cannot overflow, and one sum handed from each block to the next.
+#: Periods in a block; (1 - alpha) ** BLOCK vanishes against any double of the average's size and its inverse does not overflow.
+BLOCK = 2048
+#: Columns by which windows over the numbers of a period partition: the block comes with the period, so no exchange is due.
+PERIOD = ("block", "draw_index")
+
+
+def _inside() -> Window:
+    return Window.partitionBy("block", "number").orderBy("draw_index")
+
+
+def _before() -> Window:
+    return _inside().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _blocked(draws: DataFrame, reach: int) -> DataFrame:
+    """``draws`` (draw_index, numbers) by blocks, with the numbers of the two periods before; ``reach`` periods before a block are in it as well."""
+    here = F.floor(F.col("draw_index") / BLOCK)
+    late = F.col("draw_index") % BLOCK >= BLOCK - max(reach, 2)
+    rows = draws.select("draw_index", "numbers", F.explode(F.when(late, F.array(here, here + 1)).otherwise(F.array(here))).alias("block"))
+    order = Window.partitionBy("block").orderBy("draw_index")
+    # a stated number of partitions: these rows are few bytes, but 49 come of each
+    rows = rows.repartition(int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    return rows.withColumn("last", F.lag("numbers").over(order)).withColumn("last_but_one", F.lag("numbers", 2).over(order)).withColumn("own", here == F.col("block"))
+
+
+def _handed(blocked: DataFrame, alpha: float) -> DataFrame:
+    """(block, number) totals of all blocks before; a row for each number and block."""
+    own = blocked.where("own")
+    t = F.col("draw_index") % BLOCK
+    after = F.col("last").isNotNull()
+    # every number of every period once, as it is hit, follows a hit, or both: at most twelve rows a period
+    kinds = F.explode(F.array_union("numbers", F.coalesce("last", F.array().cast("array<int>")))).alias("number")
+    rows = own.select("block", "draw_index", "numbers", "last", kinds)
+    y, state = F.array_contains("numbers", F.col("number")).cast("int"), F.coalesce(F.array_contains("last", F.col("number")), F.lit(False)).cast("int")
+    gain = y * alpha * F.pow(F.lit(1 - alpha), BLOCK - 1 - t.cast("double"))
+    hit = F.when(y == 1, F.col("draw_index"))
+    sums = rows.groupBy("block", "number").agg(F.sum(y).alias("c"), F.min(hit).alias("low"), F.max(hit).alias("high"), F.sort_array(F.collect_list(hit)).alias("at"), F.sum(state).alias("n1"), F.sum(state * y).alias("k1"), F.sum(gain).alias("ewma"), F.sum(F.when(after, y)).alias("c_after"))
+    step = F.array_max(F.zip_with(F.slice("at", 2, BLOCK), F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), lambda b, a: b - a))
+    sums = sums.withColumn("step", F.coalesce(step, F.lit(0))).drop("at")
+    lengths = own.groupBy("block").agg(F.count("*").alias("length"), F.count("last").alias("n_after"))
+    grid = lengths.select("block", "length", "n_after", F.explode(F.sequence(F.lit(1), F.lit(UNIVERSE))).alias("number"))
+    all_ = grid.join(sums, ["block", "number"], "left").na.fill(0, ["c", "n1", "k1", "ewma", "c_after", "step"])
+    # the table has 49 rows for 2,048 periods: small against the panel
+    past = Window.partitionBy("number").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last("high", ignorenulls=True).over(past)
+    all_ = all_.withColumn("h_last", last).withColumn("first_step", F.coalesce(F.col("low") - F.col("h_last"), F.col("low"), F.lit(0)))
+    total = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0)).alias("h_" + c)
+    return all_.select(
+        "block", "number", "h_last", F.min("low").over(past).alias("h_first"), *[total(c) for c in ("c", "n1", "k1", "c_after", "n_after")],
+        F.coalesce(F.max(F.greatest("first_step", "step")).over(past), F.lit(0)).alias("h_step"), F.coalesce(F.lag("ewma").over(Window.partitionBy("number").orderBy("block")), F.lit(0.0)).alias("h_ewma"),
+    )
+
+
+def history(draws: DataFrame, alpha: float = AUDITED_ALPHA, rates: tuple[int, ...] = (), sums: tuple[int, ...] = (), blocks: DataFrame | None = None) -> DataFrame:
+    """What is known of each number before each period of ``draws`` (draw_index from 0 without a gap, numbers).
+
+    block, draw_index, number, y; state and state_before (hit one and two periods ago, null at the start); count_before,
+    first_seen and last_seen; gap_asof; n_from and n_to (earlier periods that followed the present state, and hits among
+    them); ewma, the exponential average seeded with 6/49; max_step, the longest way between hits or from the start to
+    the first; rate_w, the share of hits among the last w periods, or as many as there are; sum_w, their number.
+    ``blocks`` (block) leaves all other blocks out.
     """
-    keep, t = 1 - alpha, F.col("draw_index") % BLOCK
-    inside = Window.partitionBy("number", "_block").orderBy("draw_index").rowsBetween(Window.unboundedPreceding, -1)
-    gain = F.col("y") * alpha * F.pow(F.lit(keep), -(t + 1).cast("double"))
-    p = p.withColumn("_block", F.floor(F.col("draw_index") / BLOCK))
-    sums = p.groupBy("number", "_block").agg((F.sum(gain) * keep**BLOCK).alias("_handed")).withColumn("_block", F.col("_block") + 1)
-    p = p.join(sums, ["number", "_block"], "left")
-    start = F.when(F.col("_block") == 0, F.lit(P0)).when(F.col("_block") == 1, F.col("_handed") + P0 * keep**BLOCK).otherwise(F.col("_handed"))
-    value = F.pow(F.lit(keep), t.cast("double")) * (start + F.coalesce(F.sum(gain).over(inside), F.lit(0.0)))
-    return p.withColumn(name, value).drop("_block", "_handed")
-
-
-def before(*by: str) -> Window:
-    return Window.partitionBy(*by).orderBy("draw_index").rowsBetween(Window.unboundedPreceding, -1)
-
-
-def trailing(w: int) -> Window:
-    return Window.partitionBy("number").orderBy("draw_index").rowsBetween(-w, -1)
-
-
-def with_history(p: DataFrame) -> DataFrame:
-    """count_before, last_seen, gap_asof and the state before, in one sort of the panel."""
-    w = before("number")
-    order = Window.partitionBy("number").orderBy("draw_index")
-    seen = F.last(F.when(F.col("y") == 1, F.col("draw_index")), ignorenulls=True).over(w)
-    p = p.withColumn("count_before", F.coalesce(F.sum("y").over(w), F.lit(0)).cast("long")).withColumn("last_seen", seen)
-    p = p.withColumn("state", F.lag("y").over(order)).withColumn("state_before", F.lag("y", 2).over(order))
-    return p.withColumn("gap_asof", F.coalesce(F.col("draw_index") - 1 - F.col("last_seen"), F.col("draw_index")))
-
-
-def rate(w: int) -> Column:
-    """Share of hits among the last w periods, or as many as there are."""
-    return F.coalesce(F.avg("y").over(trailing(w)), F.lit(0.0))
-
-
-def transitions(p: DataFrame) -> DataFrame:
-    """n_from, n_to: earlier periods that followed the present state, and hits among them."""
-    w = before("number")
-    for s in (0, 1):
-        from_state = (F.col("state") == s).cast("int")
-        p = p.withColumn(f"_n{s}", F.coalesce(F.sum(from_state).over(w), F.lit(0))).withColumn(f"_k{s}", F.coalesce(F.sum(from_state * F.col("y")).over(w), F.lit(0)))
-    now = F.coalesce("state", F.lit(0)) == 1
-    return p.withColumn("n_from", F.when(now, F.col("_n1")).otherwise(F.col("_n0"))).withColumn("n_to", F.when(now, F.col("_k1")).otherwise(F.col("_k0"))).drop("_n0", "_k0", "_n1", "_k1")
-
-
-def audited(draws: DataFrame) -> DataFrame:
+    blocked = _blocked(draws, max((0, *rates, *sums)))
+    handed = _handed(blocked, alpha)
+    if blocks is not None:
+        blocked = blocked.join(F.broadcast(blocks), "block")  # a few blocks
+    # a row for each block: it meets the draws, which are dealt out and sorted by block, before they become a row for each number
+    handed = handed.groupBy("block").agg(F.collect_list(F.struct(*[c for c in handed.columns if c != "block"])).alias("h"))
+    p = blocked.hint("merge").join(handed, "block").select("block", "draw_index", "own", "numbers", "last", "last_but_one", F.explode("h").alias("h"))
+    state = lambda c: F.array_contains(c, F.col("h.number")).cast("int")
+    p = p.select("block", "draw_index", "own", state("numbers").alias("y"), state("last").alias("state"), state("last_but_one").alias("state_before"), "h.*")
+    keep, t, own = 1 - alpha, F.col("draw_index") % BLOCK, F.col("own")
+    y, s = F.when(own, F.col("y")).otherwise(0), F.coalesce("state", F.lit(0))
+    so_far = lambda c: F.coalesce(F.sum(c).over(_before()), F.lit(0))
+    p = p.select(
+        "*", so_far(y).alias("i_c"), so_far(y * s).alias("i_k1"), so_far(F.when(own, s).otherwise(0)).alias("i_n1"), so_far(F.when(F.col("state").isNotNull(), y)).alias("i_c_after"), so_far(F.when(own & F.col("state").isNotNull(), 1)).alias("i_n_after"),
+        F.last(F.when(F.col("y") == 1, F.col("draw_index")), ignorenulls=True).over(_before()).alias("i_last"), F.min(F.when((F.col("y") == 1) & own, F.col("draw_index"))).over(_before()).alias("i_first"),
+        F.coalesce(F.sum(y * alpha * F.pow(F.lit(keep), -(t + 1).cast("double"))).over(_before()), F.lit(0.0)).alias("i_ewma"),
+        F.coalesce(F.sum("y").over(_before()), F.lit(0)).alias("run"),
+    )
+    # trailing sums from running ones: a sliding frame would add up all its rows for each row
+    trailing = [(F.col("run") - F.coalesce(F.lag("run", w).over(_inside()), F.lit(0))).alias(f"sum_{w}") for w in {*rates, *sums}]
+    p = p.select("*", *trailing).withColumn("last_seen", F.coalesce("i_last", "h_last"))
+    p = p.withColumn("max_step", F.greatest(F.max(F.when(own & (F.col("y") == 1), F.coalesce(F.col("draw_index") - F.col("last_seen"), F.col("draw_index")))).over(_before()), F.col("h_step"))).where("own")
+    now, all_ = s == 1, lambda c: F.col("i_" + c) + F.col("h_" + c)
+    start = F.when(F.col("block") == 0, F.lit(P0)).when(F.col("block") == 1, F.col("h_ewma") + P0 * keep**BLOCK).otherwise(F.col("h_ewma"))
+    return p.select(
+        "block", "draw_index", "number", "y", "state", "state_before", all_("c").cast("long").alias("count_before"), F.coalesce("h_first", "i_first").alias("first_seen"), "last_seen",
+        F.coalesce(F.col("draw_index") - 1 - F.col("last_seen"), F.col("draw_index")).alias("gap_asof"), F.when(now, all_("n1")).otherwise(all_("n_after") - all_("n1")).alias("n_from"), F.when(now, all_("k1")).otherwise(all_("c_after") - all_("k1")).alias("n_to"),
+        (F.pow(F.lit(keep), t.cast("double")) * (start + F.col("i_ewma"))).alias("ewma"), "max_step", *[(F.when(F.col("draw_index") > 0, F.col(f"sum_{w}") / F.least("draw_index", F.lit(w))).otherwise(0.0)).alias(f"rate_{w}") for w in rates], *[f"sum_{w}" for w in sums],
+    )
+
+
+def transition_rate(prior: float = TRANSITION_PRIOR) -> Column:
+    return (F.col("n_to") + prior * P0) / (F.col("n_from") + prior)
+
+
+def long_rate(prior: float = LONG_PRIOR) -> Column:
+    return (F.col("count_before") + prior * P0) / (F.col("draw_index") + prior)
+
+
+def audited(draws: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """The audited snapshot of every period: raw rates and their z-scores over the 49 numbers."""
-    p = transitions(with_history(ewma(panel(draws), AUDITED_ALPHA)))
-    p = p.withColumn("transition_rate", (F.col("n_to") + TRANSITION_PRIOR * P0) / (F.col("n_from") + TRANSITION_PRIOR))
-    p = p.withColumn("long_rate", (F.col("count_before") + LONG_PRIOR * P0) / (F.col("draw_index") + LONG_PRIOR))
-    for w in AUDITED_WINDOWS:
-        p = p.withColumn(f"rate_{w}", rate(w))
+    p = history(draws, AUDITED_ALPHA, AUDITED_WINDOWS, blocks=blocks).withColumn("transition_rate", transition_rate()).withColumn("long_rate", long_rate())
     raw = ["gap_asof", "ewma", "transition_rate", "long_rate", *(f"rate_{w}" for w in AUDITED_WINDOWS)]
-    return p.select("draw_index", "number", "y", *raw, *[z_within(F.col(c).cast("double"), "draw_index").alias(f"z_{c}") for c in raw])
+    return p.select("draw_index", "number", "y", *raw, *[z_within(F.col(c).cast("double"), *PERIOD).alias(f"z_{c}") for c in raw])
+
+
+def following(draws: DataFrame) -> DataFrame:
+    """The audited snapshot of the period that is still to come; of the history only its block and the totals before it are looked at."""
+    t = draws.agg(F.count("*").alias("draw_index"))
+    row = t.select("draw_index", F.array().cast("array<int>").alias("numbers"))
+    block = t.select(F.floor(F.col("draw_index") / BLOCK).alias("block"))
+    return audited(draws.select("draw_index", "numbers").unionByName(row), block).join(F.broadcast(t), "draw_index").drop("y")  # one row
 
 
 def base(draws: DataFrame) -> DataFrame:
     """The base set: window frequencies, exponential average, gaps, slope, previous hits and the last known date's calendar."""
-    p = with_history(ewma(panel(draws), BASE_ALPHA))
-    for w in BASE_WINDOWS:
-        p = p.withColumn(f"freq_{w}", rate(w))
-    w = before("number")
-    step = F.when(F.col("y") == 1, F.col("gap_asof") + F.when(F.col("last_seen").isNull(), F.lit(0)).otherwise(1))
-    closed = F.when((F.col("y") == 1) & F.col("last_seen").isNotNull(), F.col("draw_index") - F.col("last_seen"))
-    p = p.withColumn("max_gap", F.greatest(F.coalesce(F.max(step).over(w), F.lit(0)), F.col("gap_asof"))).withColumn("mean_gap", F.coalesce(F.avg(closed).over(w), F.lit(0.0)))
+    p = history(draws, BASE_ALPHA, BASE_WINDOWS).withColumnsRenamed({f"rate_{w}": f"freq_{w}" for w in BASE_WINDOWS})
+    max_gap = F.greatest("max_step", "gap_asof")
+    mean_gap = F.when(F.col("count_before") > 1, (F.col("last_seen") - F.col("first_seen")) / (F.col("count_before") - 1)).otherwise(0.0)
     calendar = draws.select((F.col("draw_index") + 1).alias("draw_index"), F.year("draw_date").alias("year"), F.month("draw_date").alias("month"), F.weekday("draw_date").alias("weekday"))
     p = p.join(calendar, "draw_index")
-    return p.select("draw_index", "number", "y", *[f"freq_{x}" for x in BASE_WINDOWS], "ewma", F.col("gap_asof").alias("current_gap"), "max_gap", "mean_gap", (F.col("freq_20") - F.col("freq_200")).alias("recent_minus_long"), ((F.col("freq_20") - F.col("freq_100")) / 80).alias("slope"), F.col("state").alias("previous_1"), F.coalesce("state_before", F.lit(0)).alias("previous_2"), "year", "month", "weekday")
+    return p.select("draw_index", "number", "y", *[f"freq_{x}" for x in BASE_WINDOWS], "ewma", F.col("gap_asof").alias("current_gap"), max_gap.alias("max_gap"), mean_gap.alias("mean_gap"), (F.col("freq_20") - F.col("freq_200")).alias("recent_minus_long"), ((F.col("freq_20") - F.col("freq_100")) / 80).alias("slope"), F.col("state").alias("previous_1"), F.coalesce("state_before", F.lit(0)).alias("previous_2"), "year", "month", "weekday")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.features import LONG_PRIOR, TRANSITION_PRIOR, ewma, rate, transitions, with_history
-from panelwright.operators.panel import panel
+from panelwright.operators.features import BASE_ALPHA, PERIOD, history, long_rate, transition_rate
 from panelwright.sources.draws import P0, PICK, UNIVERSE
 
 START = 300
@@ -16,58 +15,88 @@ STRATEGIES = ("uniform_random", "frequency_random", "recent_hot", "cold_number",
 def percent_rank_average(value: Column, *by: str) -> Column:
     """Rank over the group's size, ties at their mean rank."""
     w = Window.partitionBy(*by)
-    low = F.rank().over(w.orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return (low + (ties - 1) / 2) / F.count("*").over(w)
+    ties = F.count("*").over(w.orderBy(value).rangeBetween(Window.currentRow, Window.currentRow))
+    return (F.rank().over(w.orderBy(value)) + (ties - 1) / 2) / F.count("*").over(w)
 
 
-def scored(draws: DataFrame, start: int = START) -> DataFrame:
-    """(strategy, draw_index, number, y, score) for every period from ``start``: one pass over the panel serves all strategies."""
-    p = transitions(with_history(ewma(panel(draws), 2 / 21)))
-    p = p.withColumn("hot", F.coalesce(F.sum("y").over(Window.partitionBy("number").orderBy("draw_index").rowsBetween(-50, -1)), F.lit(0)))
-    p = p.where(F.col("draw_index") >= start)
-    hot, cold = percent_rank_average(F.col("hot"), "draw_index"), percent_rank_average(F.col("gap_asof"), "draw_index")
-    middle = F.lit(1.0) - F.abs(percent_rank_average(F.col("count_before"), "draw_index") - 0.5) * 2
-    scores = {
+def _by_period(p: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """(draw_index, items): the numbers of each period in order, each with y and its scores; no exchange, as ``p`` is dealt out by block."""
+    items = p.select("block", "draw_index", F.struct("number", "y", *[F.round(c.cast("double"), 12).alias(k) for k, c in scores.items()]).alias("item"))
+    return items.groupBy(*PERIOD).agg(F.sort_array(F.collect_list("item")).alias("items")).drop("block")
+
+
+def _long(arrays: DataFrame) -> DataFrame:
+    """(strategy, draw_index, number, y, score) of the rows of ``_by_period``."""
+    names = [f.name for f in arrays.schema["items"].dataType.elementType.fields if f.name not in ("number", "y")]
+    each = arrays.select("draw_index", F.explode("items").alias("i"))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.col(f"i.{k}").alias("score")) for k in names])).alias("s")
+    return each.select("draw_index", "i.number", "i.y", rows).select("s.strategy", "draw_index", "number", "y", "s.score")
+
+
+def _scored(draws: DataFrame, start: int) -> DataFrame:
+    p = history(draws, BASE_ALPHA, sums=(50,)).where(F.col("draw_index") >= start)
+    rank = lambda c: percent_rank_average(F.col(c), *PERIOD).alias("r_" + c)
+    p = p.select("*", rank("sum_50")).select("*", rank("gap_asof")).select("*", rank("count_before"))
+    middle = F.lit(1.0) - F.abs(F.col("r_count_before") - 0.5) * 2
+    return _by_period(p, {
         "uniform_random": F.lit(1.0),
         "frequency_random": F.col("count_before") + 1.0,
-        "recent_hot": F.col("hot") + 1.0,
+        "recent_hot": F.col("sum_50") + 1.0,
         "cold_number": F.col("gap_asof") + 1.0,
-        "mixed_hot_cold": 0.4 * hot + 0.3 * cold + 0.3 * middle + 0.01,
+        "mixed_hot_cold": 0.4 * F.col("r_sum_50") + 0.3 * F.col("r_gap_asof") + 0.3 * middle + 0.01,
         "ewma_frequency": F.col("ewma") + 1e-3,
         "bayesian_shrinkage": (F.col("count_before") + UNIVERSE * P0) / (F.col("draw_index") + UNIVERSE),
         "markov": (F.col("n_to") + 1) / (F.col("n_from") + 2),
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), c.cast("double").alias("score")) for k, c in scores.items()])
-    return p.withColumn("s", rows).select("draw_index", "number", "y", F.explode("s").alias("s")).select("s.strategy", "draw_index", "number", "y", F.round("s.score", 12).alias("score"))
+    })
 
 
-def shift_normalised(score: Column, *by: str) -> Column:
-    """Scores moved to a least of 1e-9 and scaled to the sum of picks; entries can exceed 1."""
-    w = Window.partitionBy(*by)
-    least = F.min(score).over(w)
-    return PICK * (score - least + 1e-9) / (F.sum(score).over(w) - UNIVERSE * least + UNIVERSE * 1e-9)
+def scored(draws: DataFrame, start: int = START) -> DataFrame:
+    """(strategy, draw_index, number, y, score) for every period from ``start``: one pass over the panel serves all strategies."""
+    return _long(_scored(draws, start))
+
+
+def _evaluated(entries: Column, clip: float, clip_brier: bool) -> Column:
+    """hits_6, hits_10, brier and log_loss of one period's entries (number, y, score)."""
+    total = lambda of, f: F.aggregate(of, F.lit(0.0), lambda a, x: a + f(x))
+    hits = lambda of, k: F.aggregate(F.slice(of, 1, k), F.lit(0), lambda a, x: a + x["y"]).cast("long")
+    # the top numbers are those of the greatest score, ties to the smaller number
+    ranked = F.sort_array(F.transform(entries, lambda x: F.struct((-x["score"]).alias("s"), x["number"].alias("n"), x["y"].alias("y"))))
+    least, size = F.array_min(F.transform(entries, lambda x: x["score"])), F.size(entries)
+
+    def losses(e: Column, least: Column, scale: Column) -> Column:
+        p = lambda x: PICK * (x["score"] - least + 1e-9) / scale
+        q = F.transform(e, lambda x: F.struct(F.least(F.greatest(p(x), F.lit(clip)), F.lit(1 - clip)).alias("q"), x["y"].alias("y"), p(x).alias("p")))
+        b = "q" if clip_brier else "p"
+        return F.transform(F.array(q), lambda q: F.struct((total(q, lambda x: (x[b] - x["y"]) * (x[b] - x["y"])) / size).alias("b"), (total(q, lambda x: -F.log(F.when(x["y"] == 1, x["q"]).otherwise(1 - x["q"]))) / size).alias("l")))[0]
+
+    # arrays of one entry name what is used more than once
+    scaled = F.transform(F.array(least), lambda m: F.struct(m.alias("least"), (total(entries, lambda x: x["score"]) - size * m + size * 1e-9).alias("scale")))
+    loss = F.transform(scaled, lambda z: losses(entries, z["least"], z["scale"]))
+    return F.transform(F.arrays_zip(F.array(ranked).alias("r"), loss.alias("l")), lambda z: F.struct(hits(z["r"], 6).alias("hits_6"), hits(z["r"], 10).alias("hits_10"), z["l"]["b"].alias("brier"), z["l"]["l"].alias("log_loss")))[0]
 
 
 def per_period(rows: DataFrame, clip: float = 1e-6, clip_brier: bool = True) -> DataFrame:
     """(strategy, draw_index, hits_6, hits_10, brier, log_loss) of (strategy, draw_index, number, y, score).
 
-    The top numbers are those of the greatest score, ties to the smaller number. ``clip`` bounds the probabilities for
-    the log loss, and for Brier's score too where ``clip_brier``.
+    The top numbers are those of the greatest score, ties to the smaller number. Scores become probabilities by a shift
+    to a least of 1e-9 and a scale to the sum of picks, so that entries can exceed 1; ``clip`` bounds them for the log
+    loss, and for Brier's score too where ``clip_brier``.
     """
-    rank = F.row_number().over(Window.partitionBy("strategy", "draw_index").orderBy(F.desc("score"), "number"))
-    r = rows.withColumn("rank", rank).withColumn("p", shift_normalised(F.col("score"), "strategy", "draw_index"))
-    q = F.least(F.greatest(F.col("p"), F.lit(clip)), F.lit(1 - clip))
-    b = q if clip_brier else F.col("p")
-    loss = F.when(F.col("y") == 1, -F.log(q)).otherwise(-F.log(1 - q))
-    top = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("y")).otherwise(0)).cast("long").alias(f"hits_{k}")
-    return r.groupBy("strategy", "draw_index").agg(top(6), top(10), F.avg((b - F.col("y")) * (b - F.col("y"))).alias("brier"), F.avg(loss).alias("log_loss"))
+    arrays = rows.groupBy("strategy", "draw_index").agg(F.sort_array(F.collect_list(F.struct("number", "y", "score"))).alias("items"))
+    return arrays.select("strategy", "draw_index", _evaluated(F.col("items"), clip, clip_brier).alias("e")).select("strategy", "draw_index", "e.*")
+
+
+def periods(draws: DataFrame, start: int = START, clip: float = 1e-6) -> DataFrame:
+    """``per_period`` of all strategies: a period's numbers stay one array, and only a row for each strategy comes out."""
+    items = lambda k: F.transform("items", lambda x: F.struct(x["number"].alias("number"), x["y"].alias("y"), x[k].alias("score")))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), items(k).alias("v")) for k in STRATEGIES])).alias("s")
+    return _scored(draws, start).select("draw_index", rows).select("s.strategy", "draw_index", _evaluated(F.col("s.v"), clip, True).alias("e")).select("strategy", "draw_index", "e.*")
 
 
 def summary(periods: DataFrame) -> DataFrame:
     """Means, shares of 0 to 6 hits, and the paired difference to the uniform baseline with its t value."""
-    base = periods.where("strategy = 'uniform_random'").select("draw_index", F.col("hits_6").alias("base"))
-    joined = periods.join(base, "draw_index").withColumn("d", F.col("hits_6") - F.col("base"))
+    base = F.max(F.when(F.col("strategy") == "uniform_random", F.col("hits_6"))).over(Window.partitionBy("draw_index"))
+    joined = periods.withColumn("d", F.col("hits_6") - base)
     shares = [F.avg((F.col("hits_6") == i).cast("int")).alias(f"hit_{i}") for i in range(PICK + 1)]
     t = F.when(F.stddev_samp("d") > 0, F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*"))))
     return joined.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("hits_6").alias("mean_hits"), *shares, F.avg("hits_10").alias("top10_mean"), F.avg("brier").alias("brier"), F.avg("log_loss").alias("log_loss"), F.avg("d").alias("difference"), t.alias("t_value"))
@@ -75,22 +104,17 @@ def summary(periods: DataFrame) -> DataFrame:
 
 def baseline_scores(draws: DataFrame, start: int) -> DataFrame:
     """The audited baselines as rows (strategy, draw_index, number, y, score): windows, long rate, gap, transition, previous set and its exclusion."""
-    p = transitions(with_history(panel(draws)))
-    for w in (20, 50, 100):
-        p = p.withColumn(f"rate_{w}", rate(w))
-    p = p.where(F.col("draw_index") >= start)
+    p = history(draws, rates=(20, 50, 100)).where(F.col("draw_index") >= start)
     state = F.coalesce("state", F.lit(0))
-    scores = {
+    return _long(_by_period(p, {
         "exact_uniform": F.lit(P0),
         "fixed_first_six": F.when(F.col("number") <= PICK, 1.0).otherwise(0.0),
-        "historical_top": (F.col("count_before") + LONG_PRIOR * P0) / (F.col("draw_index") + LONG_PRIOR),
+        "historical_top": long_rate(),
         "recent_20": F.col("rate_20"),
         "recent_50": F.col("rate_50"),
         "recent_100": F.col("rate_100"),
-        "gap": F.col("gap_asof").cast("double"),
-        "previous_draw": state.cast("double"),
-        "transition": (F.col("n_to") + TRANSITION_PRIOR * P0) / (F.col("n_from") + TRANSITION_PRIOR),
+        "gap": F.col("gap_asof"),
+        "previous_draw": state,
+        "transition": transition_rate(),
         "exclude_last": 1.0 - state,
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), c.cast("double").alias("score")) for k, c in scores.items()])
-    return p.withColumn("s", rows).select("draw_index", "number", "y", F.explode("s").alias("s")).select("s.strategy", "draw_index", "number", "y", F.round("s.score", 12).alias("score"))
+    }))

@@ -74,6 +74,12 @@ _PARTS["bt"] = "SELECT *, row_number() OVER (PARTITION BY strategy, draw_index O
 _PARTS["yr"] = "SELECT pp.*, year(draw_date) AS year FROM pp JOIN d USING (draw_index)"
 
 
+_PARTS["nx"] = f"""SELECT t AS draw_index, number, current_gap AS gap_asof, ewma, (n_to + 30 * {_P0}) / (n_from + 30) AS transition_rate, (count + 12 * {_P0}) / (t + 12) AS long_rate, {", ".join(f"r{w} / least(t, {w})::DOUBLE AS rate_{w}" for w in (20, 50, 100))} FROM t, g
+  JOIN (SELECT number, {_P0} * 0.94::DOUBLE ** any_value(t) + sum(0.06 * 0.94::DOUBLE ** (t - 1 - draw_index)) AS ewma, {", ".join(f"count(*) FILTER (draw_index >= t - {w}) AS r{w}" for w in (20, 50, 100))} FROM h, t GROUP BY number) USING (number)
+  JOIN (SELECT number, count(*) FILTER (b = state) AS n_from, coalesce(sum(y) FILTER (b = state), 0) AS n_to FROM (SELECT number, y, lag(y) OVER (PARTITION BY number ORDER BY draw_index) AS b, last_value(y) OVER (PARTITION BY number ORDER BY draw_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state FROM p) GROUP BY number) USING (number)"""
+_walk = "PARTITION BY strategy, draw_index ORDER BY place DESC, turn DESC, number"
+
+
 def _query(sql: str, doubles: str = "", digits: int = 9) -> str:
     """``sql`` after the parts that it needs, in order, with the named columns rounded."""
     import re
@@ -144,7 +150,13 @@ def sql() -> dict[str, str]:
         "clean_draws": _query("SELECT draw_id, draw_date, " + ", ".join(f"CASE WHEN draw_index % 57 = 3 THEN NULL ELSE {c} END AS {c}" for c in _N) + ", CASE WHEN draw_index % 31 = 0 THEN 7 ELSE special_number END AS special_number, 'export' AS source, '1' AS source_version FROM w"),
         "anti_resume": _query("SELECT 'new' AS kind, count(*) AS n, sum(draw_index)::BIGINT AS index_sum FROM d WHERE draw_index % 3 <> 0 UNION ALL SELECT 'conflict', count(*), sum(draw_index)::BIGINT FROM d WHERE draw_index % 15 = 0"),
         "prefix_slice": _query("SELECT number, sum((draw_index < t // 2)::INT)::BIGINT AS in_prefix, sum((draw_index >= t - 100)::INT)::BIGINT AS in_tail FROM h, t GROUP BY number"),
-        "feature_snapshots": _query(f"SELECT *, {', '.join(map(_z, _RAW))} FROM au", " ".join([*_RAW[1:], *(f"z_{c}" for c in _RAW)]), 4),
+        "feature_snapshots": _query(f"SELECT *, {', '.join(map(_z, _RAW))} FROM au"),
+        "next_features": _query(f"SELECT draw_index, number, {', '.join(_RAW)}, {', '.join(map(_z, _RAW))} FROM nx"),
+        "simplex_projection": _query(
+            f"""SELECT strategy, draw_index, min(q) AS least, max(q) AS greatest, sum(q) AS total FROM (SELECT strategy, draw_index, least(greatest(score - shift, 0), 1) * 0.9 + 0.1 * {_P0} AS q FROM bs JOIN (
+  SELECT strategy, draw_index, arg_min(place + (reached - 6) / inside, step) AS shift FROM (SELECT *, row_number() OVER ({_walk}) AS step, sum(inside * fall) OVER ({_walk} ROWS UNBOUNDED PRECEDING) AS reached FROM (SELECT *, coalesce(sum(turn) OVER ({_walk} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside, coalesce(lag(place) OVER ({_walk}) - place, 0) AS fall
+  FROM (SELECT strategy, draw_index, number, unnest([score, score - 1]) AS place, unnest([1, -1]) AS turn FROM bs WHERE strategy IN ('gap', 'transition')))) WHERE inside > 0 AND reached >= 6 GROUP BY ALL) USING (strategy, draw_index)) GROUP BY ALL"""
+        ),
         "base_features": _query(
             f"""SELECT draw_index, number, y, {", ".join(f"freq_{w}" for w in (5, 10, 20, 50, 100, 200))}, ewma, gap_asof AS current_gap, greatest(coalesce(ms, 0), gap_asof)::BIGINT AS max_gap, coalesce(mg, 0) AS mean_gap, freq_20 - freq_200 AS recent_minus_long, (freq_20 - freq_100) / 80 AS slope,
   state AS previous_1, coalesce(state_before, 0) AS previous_2, year(c.draw_date) AS year, month(c.draw_date) AS month, isodow(c.draw_date) - 1 AS weekday

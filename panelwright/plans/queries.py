@@ -26,8 +26,13 @@ _registered: dict[str, Query] = {}
 
 def register(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """A query by the name of ``build``, which takes the derived draws."""
-    digits = 4 if build.__name__ == "feature_snapshots" else 9  # ten million z-scores: few digits leave none at a rounding edge
-    _registered[build.__name__] = lambda spark, sf_dir: rounded(build(derived_draws(spark, sf_dir)), digits)
+    _registered[build.__name__] = lambda spark, sf_dir: rounded(build(derived_draws(spark, sf_dir)))
+    return build
+
+
+def in_full(build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Like ``register``; doubles stay whole."""
+    _registered[build.__name__] = lambda spark, sf_dir: (lambda df: df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes]))(build(derived_draws(spark, sf_dir)))
     return build
 
 
@@ -70,7 +75,7 @@ def gap_statistics(d: DataFrame) -> DataFrame:
 
 @register
 def gap_asof(d: DataFrame) -> DataFrame:
-    return features.with_history(panel.panel(d)).select("draw_index", "number", "gap_asof", "count_before")
+    return features.history(d).select("draw_index", "number", "gap_asof", "count_before")
 
 
 @register
@@ -199,7 +204,7 @@ def prefix_slice(d: DataFrame) -> DataFrame:
 # --- features ---------------------------------------------------------------------------------------------------
 
 
-@register
+@in_full
 def feature_snapshots(d: DataFrame) -> DataFrame:
     """The audited features of every period and number."""
     return features.audited(d)
@@ -210,18 +215,17 @@ def base_features(d: DataFrame) -> DataFrame:
     return features.base(d)
 
 
-@register
+@in_full
 def next_features(d: DataFrame) -> DataFrame:
     """Features of the period that is still to come: one more row for each number, without a label."""
-    t = d.agg(F.count("*").alias("t")).select(F.col("t").alias("draw_index"), F.array().cast("array<int>").alias("numbers"))
-    return features.audited(d.select("draw_index", "numbers").unionByName(t)).join(F.broadcast(t.select("draw_index")), "draw_index").drop("y")
+    return features.following(d)
 
 
 # --- strategies and evaluation ------------------------------------------------------------------------------------
 
 
 def _periods(d: DataFrame) -> DataFrame:
-    return strategies.per_period(strategies.scored(d, START))
+    return strategies.periods(d, START)
 
 
 @register
@@ -328,7 +332,7 @@ def ece_bins(d: DataFrame) -> DataFrame:
 @register
 def qcut_rates(d: DataFrame) -> DataFrame:
     """Hit rates by quantile bins of the gap: edges from exact quantiles, equal edges merged, ties together; Wilson intervals."""
-    p = features.with_history(panel.panel(d)).where(F.col("draw_index") >= START).select("gap_asof", "y")
+    p = features.history(d).where(F.col("draw_index") >= START).select("gap_asof", "y")
     edges = p.agg(F.array_distinct(F.percentile("gap_asof", F.array(*[F.lit(i / 8) for i in range(1, 8)]))).alias("edges"))
     b = p.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("gap_asof"))))
     out = b.groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
@@ -339,7 +343,7 @@ def qcut_rates(d: DataFrame) -> DataFrame:
 @register
 def parameter_sweep_prior(d: DataFrame) -> DataFrame:
     """Brier score of the long rate under several priors, in one pass."""
-    p = features.with_history(panel.panel(d)).where(F.col("draw_index") >= START)
+    p = features.history(d).where(F.col("draw_index") >= START)
     rows = p.withColumn("prior", F.explode(F.array(*[F.lit(float(x)) for x in (1, 6, 12, 49, 200)])))
     q = (F.col("count_before") + F.col("prior") * P0) / (F.col("draw_index") + F.col("prior"))
     return rows.groupBy("prior").agg(F.avg((q - F.col("y")) * (q - F.col("y"))).alias("brier"))
@@ -356,11 +360,11 @@ def nested_selection(d: DataFrame) -> DataFrame:
     return prior.groupBy("block").agg(F.min_by(F.struct("strategy", "inner_brier", "mean_hits"), F.struct("inner_brier", "strategy")).alias("c")).select("block", "c.strategy", "c.inner_brier", "c.mean_hits")
 
 
-@register
+@in_full
 def simplex_projection(d: DataFrame) -> DataFrame:
     """Shrunk projections of the gap and transition scores: each period's least, greatest and sum."""
     r = _baselines(d).where("strategy in ('gap', 'transition')").groupBy("strategy", "draw_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "score"))), lambda x: x["score"]).alias("v"))
-    p = r.withColumn("p", F.transform(projected("v"), lambda x: shrunk(x)))
+    p = r.withColumn("p", F.transform(projected(F.col("v")), lambda x: shrunk(x)))
     return p.select("strategy", "draw_index", F.array_min("p").alias("least"), F.array_max("p").alias("greatest"), F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 UNIVERSE, PICK = 49, 6
 P0 = PICK / UNIVERSE
-#: Rows that one task numbers; a larger table is numbered in ranges of its key.
-RANGE_ROWS = 500_000
+#: Most rows that one task numbers, and least: a table is numbered in as many ranges of its key as there are cores, or more.
+RANGE_ROWS, RANGE_LEAST = 500_000, 2_000
 
 DRAW_SCHEMA = (
     "draw_id string, draw_date date, number_1 int, number_2 int, number_3 int, number_4 int, number_5 int, number_6 int, "
@@ -25,25 +25,26 @@ def numbered(df: DataFrame, key: str, name: str = "draw_index") -> DataFrame:
     Rows are dealt out by ranges of the key, numbered inside each range, and moved by the size of the ranges before:
     only those sizes, a few numbers, go through the driver.
     """
-    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    rows = df.count()
+    ranges = max(-(-rows // RANGE_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, rows // RANGE_LEAST))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)).cast("long") - 1
-    if ranges == 1:
+    if ranges <= 1:
         return df.withColumn("_range", F.lit(0)).withColumn(name, inside).drop("_range")
-    edges = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.01)))
-    place = reduce(lambda a, b: a + b, [(F.col(key) > e).cast("int") for e in edges], F.lit(0))
-    df = df.withColumn("_range", place)
+    edges = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
+    df = df.withColumn("_range", reduce(lambda a, b: a + b, [(F.col(key) > e).cast("int") for e in edges], F.lit(0)))
     before, at = {}, 0
     for r in df.groupBy("_range").count().orderBy("_range").collect():
         before[r["_range"]], at = at, at + r["count"]
     offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range"))
-    return df.withColumn(name, inside + offset).drop("_range")
+    # an exchange of a stated number of partitions: small rows stay spread over all cores, as much is made of each
+    return df.repartitionByRange(ranges, "_range").withColumn(name, inside + offset).drop("_range")
 
 
 def subset(key: Column, size: int) -> Column:
     """The ``size`` numbers of the universe that a key's hash puts first, smallest hash first."""
-    h = lambda n: (((key * 7919 + n * 104729) * (n * 31 + key % 1009 + 17)) % 1000003).alias("h")
-    ranked = F.array_sort(F.transform(F.sequence(F.lit(1), F.lit(UNIVERSE)), lambda n: F.struct(h(n), n.alias("n"))))
-    return F.transform(F.slice(ranked, 1, size), lambda x: x["n"])
+    # a hash and its number make one integer, so that plain integers are sorted
+    ranked = F.sort_array(F.transform(F.sequence(F.lit(1), F.lit(UNIVERSE)), lambda n: ((key * 7919 + n * 104729) * (n * 31 + key % 1009 + 17)) % 1000003 * 64 + n))
+    return F.transform(F.slice(ranked, 1, size), lambda x: (x % 64).cast("int"))
 
 
 def derived_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def derived_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("draw_index").cast("string"), 9, "0").alias("draw_id"),
         F.date_add(F.lit("2007-01-02").cast("date"), (F.col("draw_index") % 7000 * 3).cast("int")).alias("draw_date"),
         F.col("o_orderkey").alias("key"),
-        F.array_sort(F.slice("seven", 1, PICK)).alias("numbers"),
+        F.sort_array(F.slice("seven", 1, PICK)).alias("numbers"),
         F.element_at("seven", PICK + 1).alias("special_number"),
     )
 

@@ -125,10 +125,41 @@ def test_minimum_likelihood_against_enumeration():
 
 
 @pytest.mark.parametrize("values", [np.linspace(-3, 8, 49), np.array([1e9] + [-1e9] * 48), np.zeros(49)])
-def test_projection(values):
-    p = adjust.project(values)
+def test_projection(spark, values):
+    df = spark.createDataFrame([(values.tolist(),)], "v array<double>")
+    p = np.array(df.select(adjust.projected(df["v"]).alias("p")).first()["p"])
     assert p.sum() == pytest.approx(6)
     assert ((p >= 0) & (p <= 1)).all()
+    # the nearest point: one shift for all entries strictly inside, entries at 0 lie below it and entries at 1 above
+    inner = (p > 0) & (p < 1)
+    shift = (values - p)[inner]
+    assert np.ptp(shift) <= 1e-9 if inner.any() else True
+    if inner.any():
+        assert (values[p == 0] <= shift[0] + 1e-9).all() and (values[p == 1] >= shift[0] + 1 - 1e-9).all()
+
+
+def test_history_in_blocks(spark, monkeypatch):
+    """Blocks much shorter than the history give what one pass over it does."""
+    monkeypatch.setattr(features, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    sets = [sorted(rng.choice(np.arange(1, 13), 6, replace=False).tolist()) + ([] if i % 7 else [49]) for i in range(150)]
+    got = {(r["draw_index"], r["number"]): r for r in features.history(spark.createDataFrame(list(enumerate(sets)), "draw_index long, numbers array<int>").repartition(3), 0.5, rates=(5, 20), sums=(10,)).collect()}
+    assert len(got) == 150 * 49
+    for n in (1, 7, 12, 20, 49):
+        y = [int(n in s) for s in sets]
+        ewma, step, last = 6 / 49, 0, None
+        for t in range(150):
+            r = got[t, n]
+            now = y[t - 1] if t else 0
+            after = [i for i in range(1, t) if y[i - 1] == now]
+            assert (r["y"], r["count_before"], r["gap_asof"], r["last_seen"], r["max_step"]) == (y[t], sum(y[:t]), t if last is None else t - 1 - last, last, step)
+            assert (r["n_from"], r["n_to"]) == (len(after), sum(y[i] for i in after))
+            assert r["ewma"] == pytest.approx(ewma, abs=1e-9)
+            assert r["rate_20"] == pytest.approx(np.mean(y[max(0, t - 20) : t]) if t else 0) and r["sum_10"] == sum(y[max(0, t - 10) : t])
+            assert r["first_seen"] == (y.index(1) if 1 in y[:t] else None) and r["state"] == (y[t - 1] if t else None)
+            if y[t]:
+                step, last = max(step, t if last is None else t - last), t
+            ewma = 0.5 * y[t] + 0.5 * ewma
 
 
 def test_corrections(spark):

@@ -11,7 +11,8 @@ from panelwright.streaming import draws as stream
 def test_number_state_equals_batch(spark, draws, tmp_path):
     p = panel.panel(draws).select("draw_index", "number", "y")
     schema, got = p.schema, {}
-    want = {r["number"]: r for r in features.with_history(features.ewma(p.union(spark.createDataFrame([(80, n, 0) for n in range(1, 50)], schema)), 0.06)).where("draw_index = 80").collect()}
+    with_next = draws.select("draw_index", "numbers").union(spark.createDataFrame([(80, [])], "draw_index long, numbers array<int>"))
+    want = {r["number"]: r for r in features.history(with_next, 0.06).where("draw_index = 80").collect()}
 
     def keep(batch, _):
         got.update({r["number"]: r for r in batch.collect()})
