@@ -21,7 +21,7 @@ _LETTER, _DIGIT = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
 #: PRE_TOKEN for lower-cased text of those characters.
 _PLAIN = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
 #: Distinct words that a worker remembers; past that it forgets them all.
-REMEMBER = 500_000
+REMEMBER = 150_000
 
 
 def _byte_letters() -> dict[int, str]:
