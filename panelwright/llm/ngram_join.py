@@ -221,7 +221,7 @@ def _some_sets(mask: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.asarray(b.column(2))
-            b = b.filter(pa.array((mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)))
+            b = b.filter(pa.array(passing(mask, at)))
             for row, stop in slices(b, 1):
                 some = _sets(b, row, stop)
                 yield pa.record_batch([pa.array([_digest(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], ["set_key", "tokens"])
@@ -230,11 +230,16 @@ def _some_sets(mask: np.ndarray):
 
 
 def _place(id_: Column) -> Column:
-    """An id's bit in the filter."""
-    return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
+    """An id's bit in the filter: its low bits, which differ between running numbers as between hashes."""
+    return F.pmod(id_, F.lit(FILTER_BITS))
 
 
-def _filter(ids: Column, of: DataFrame) -> np.ndarray:
+def passing(mask: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the filter has the bits ``at``."""
+    return (mask[at >> 6] >> (at & 63).astype(U64) & U64(1)).astype(bool)
+
+
+def key_filter(ids: Column, of: DataFrame) -> np.ndarray:
     """A bit for each value of a hash of the ids; of fixed size, however many there are."""
     at = of.select(_place(ids).alias("at"))
     words_ = at.groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toArrow()
@@ -289,7 +294,7 @@ class _Sets:
     """The documents' sets: rows of bits at hand, the sets themselves made again for those that are asked for."""
 
     def __init__(self, docs: DataFrame, keyed: DataFrame, reps: DataFrame):
-        self.docs, self.keyed, self.reps = docs.withColumn("at", _place(F.col("doc_id"))), keyed, reps
+        self.docs, self.keyed, self.reps = docs.withColumn("at", _place(F.col("doc_id").cast("long"))), keyed, reps
 
     def rows(self, keys: DataFrame) -> DataFrame:
         """``keys``, one row for each set_key, with n and bits of the set."""
@@ -314,7 +319,7 @@ class _Sets:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, with their representatives ra and rb, as a written table: sets are compared."""
         ids = stored(self.reps.select("rep", "set_key").join(self.ends(pairs), "set_key"), "join-wanted")
-        sets = self.docs.mapInArrow(_some_sets(_filter(F.col("rep"), ids)), "set_key long, tokens binary")
+        sets = self.docs.mapInArrow(_some_sets(key_filter(F.col("rep"), ids)), "set_key long, tokens binary")
         sets = stored(ids.join(sets, "set_key").dropDuplicates(["set_key"]), "join-sets")
         out = stored(self.both(pairs, sets, "rep", "tokens").mapInArrow(_linked, "a long, b long, ra long, rb long"), "join-linked")
         forget(pairs.sparkSession, ids, sets)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelwright.llm._graph import components
 from panelwright.llm._store import arrow_rows, forget, partitions, pick, slices, stored
 from panelwright.llm._words import SPACED, Words, mix, windows, words
+from panelwright.llm.ngram_join import FILTER_BITS, key_filter, ngram_join, passing
 
 WORDS = 5
 NUMER, DENOM = 75, 100
@@ -271,7 +272,7 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _occurrences(mask: np.ndarray, bits: int, sets: bool):
+def _occurrences(mask: np.ndarray, sets: bool):
     """(key, doc_id, begin, end) of the paragraphs that the filter lets pass, or (key, shingles), each once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,8 +281,7 @@ def _occurrences(mask: np.ndarray, bits: int, sets: bool):
             for row, stop in slices(b, 1):
                 w = words(b.column(1)[row:stop], SPACED)
                 begin, end, key, h, edge = _long(w)
-                at = mix(key) % U64(bits)
-                hit = np.flatnonzero(mask[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1)
+                hit = np.flatnonzero(passing(mask, (key % U64(FILTER_BITS)).astype(np.int64)))
                 if sets:
                     hit = np.array([i for i in hit if (k := int(key[i])) not in seen and not seen.add(k)], np.int64)
                     yield pa.record_batch([pa.array(key[hit].view(np.int64)), pa.array([np.unique(h[edge[i] : edge[i + 1]]).tobytes() for i in hit], pa.binary())], ["key", "shingles"])
@@ -292,7 +292,7 @@ def _occurrences(mask: np.ndarray, bits: int, sets: bool):
     return run
 
 
-def _texts(mask: np.ndarray, bits: int):
+def _texts(mask: np.ndarray):
     """(key, text) of the paragraphs that the filter lets pass, each once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +301,7 @@ def _texts(mask: np.ndarray, bits: int):
             for row, stop in slices(b, 1):
                 w = words(b.column(1)[row:stop], SPACED)
                 begin, end, key, _, _ = _long(w)
-                at = mix(key) % U64(bits)
-                hit = np.flatnonzero(mask[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1)
+                hit = np.flatnonzero(passing(mask, (key % U64(FILTER_BITS)).astype(np.int64)))
                 hit = np.array([i for i in hit if (k := int(key[i])) not in seen and not seen.add(k)], np.int64)
                 text = pa.array([w.data[i:j].tobytes() for i, j in zip(w.start[begin[hit]], w.end[end[hit] - 1], strict=True)], pa.binary())
                 yield pa.record_batch([pa.array(key[hit].view(np.int64)), text.cast(pa.string())], ["key", "text"])
@@ -316,8 +315,6 @@ def _unmet(docs: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame |
     ``pairs`` has each paragraph of a bucket with the bucket's smallest, so a bucket with several components has a pair
     across two; every member of such components takes part, and with it every pair of a bucket that is not joined yet.
     """
-    from panelwright.llm.ngram_join import FILTER_BITS, _filter, ngram_join
-
     spark = docs.sparkSession
     apart = pairs
     for end in "ab":
@@ -329,7 +326,7 @@ def _unmet(docs: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame |
     single = [apart.select(F.col(end).alias("key")) for end in "ab"]
     touched = apart.select(F.col("a_c").alias("component")).union(apart.select(F.col("b_c").alias("component"))).distinct()
     wanted = stored(single[0].union(single[1]).union(groups.join(touched, "component", "left_semi").select(F.col("node").alias("key"))).distinct(), "dedup-open")
-    texts = docs.mapInArrow(_texts(_filter(wanted), FILTER_BITS), "key long, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    texts = docs.mapInArrow(_texts(key_filter(F.col("key"), wanted)), "key long, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
     texts = stored(texts, "dedup-texts")
     found = ngram_join(texts, "key", "text").where("doc_id <> component_id")
     out = stored(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "dedup-met-late")
@@ -349,13 +346,11 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, begins, ends, first): the paragraphs that are near copies of one in a document with a smaller id."""
-    from panelwright.llm.ngram_join import FILTER_BITS, _filter
-
     n = partitions(docs.sparkSession)
     pairs = docs.mapInArrow(_bands(n), "part int, c0 binary, c1 binary").repartition(n, "part").mapInArrow(_colliding, "a long, b long").distinct()
     pairs = stored(pairs, "dedup-pairs")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    sets = docs.mapInArrow(_occurrences(_filter(wanted), FILTER_BITS, True), "key long, shingles binary")
+    sets = docs.mapInArrow(_occurrences(key_filter(F.col("key"), wanted), True), "key long, shingles binary")
     sets = stored(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "dedup-sets")
     both = pairs
     for end in "ab":
@@ -367,7 +362,7 @@ def _near_paragraphs(docs: DataFrame) -> DataFrame:
     if late is not None:
         forget(docs.sparkSession, groups)
         groups = stored(components(links.union(late), "dedup-groups"), "dedup-groups")
-    found = docs.mapInArrow(_occurrences(_filter(groups.select("node")), FILTER_BITS, False), "key long, doc_id long, begin long, end long")
+    found = docs.mapInArrow(_occurrences(key_filter(F.col("node"), groups), False), "key long, doc_id long, begin long, end long")
     found = stored(found.join(groups.withColumnRenamed("node", "key"), "key"), "dedup-found")
     first = found.groupBy("component").agg(F.min("doc_id").alias("first"))
     found = found.join(first, "component").where("doc_id <> first")
