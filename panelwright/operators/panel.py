@@ -131,6 +131,26 @@ def hypergeometric(total: int, good: int, picked: int) -> list[tuple[int, float]
     return [(i, math.comb(good, i) * math.comb(total - good, picked - i) / math.comb(total, picked)) for i in range(min(good, picked) + 1)]
 
 
+def prize_law() -> list[tuple[int, bool, float]]:
+    """(main_matches, special_match, probability) of a ticket of six numbers; matches that cannot be are left out."""
+    rest = UNIVERSE - PICK - 1
+    tiers = [(m, bool(s), PICK - m - s) for m in range(PICK + 1) for s in (0, 1)]
+    return [(m, s, math.comb(PICK, m) * math.comb(rest, others) / math.comb(UNIVERSE, PICK)) for m, s, others in tiers if others >= 0]
+
+
+def adjacent_probability() -> float:
+    """The chance that a draw has two consecutive numbers at least."""
+    return 1 - math.comb(UNIVERSE - PICK + 1, PICK) / math.comb(UNIVERSE, PICK)
+
+
+def convolved(law: list[tuple[int, float]], times: int) -> list[tuple[int, float]]:
+    """The law of the sum of so many independent values from 0 on."""
+    out = [1.0]
+    for _ in range(times):
+        out = [sum(out[i - v] * p for v, p in law if 0 <= i - v < len(out)) for i in range(len(out) + len(law) - 1)]
+    return list(enumerate(out))
+
+
 def against_theory(observed: DataFrame, value: str, law: list[tuple[int, float]]) -> DataFrame:
     """Counts of ``value`` next to a law's expectation; values without a count are kept."""
     table = observed.sparkSession.createDataFrame(law, "value int, probability double")

@@ -118,3 +118,42 @@ def baseline_scores(draws: DataFrame, start: int) -> DataFrame:
         "transition": transition_rate(),
         "exclude_last": 1.0 - state,
     }))
+
+
+#: Newton steps of the calibration fit, which has two parameters, and the inverse weight of its ridge penalty on the slope.
+NEWTON, RIDGE = 10, 1e6
+
+
+def calibration(rows: DataFrame) -> DataFrame:
+    """(strategy, intercept, slope, ece) of (strategy, p, y): a logistic fit of the hits on the log odds of p, and the calibration error in tenths.
+
+    Rows are added up by probability first; each Newton step is then one small join and sum. Where a strategy has but one
+    probability, the slope is 0 and the intercept the log odds of the hits' share.
+    """
+    clip = 1e-6
+    q = F.least(F.greatest(F.col("p"), F.lit(clip)), F.lit(1 - clip))
+    counts = rows.groupBy("strategy", F.round(q, 12).alias("q")).agg(F.count("*").alias("n"), F.sum("y").alias("k")).withColumn("x", F.log(F.col("q") / (1 - F.col("q"))))
+    share = F.least(F.greatest(F.sum("k") / F.sum("n"), F.lit(clip)), F.lit(1 - clip))
+    fit = counts.groupBy("strategy").agg(F.log(share / (1 - share)).alias("a"), F.lit(0.0).alias("b"), (F.max("x") - F.min("x") < 1e-12).alias("flat"))
+    for _ in range(NEWTON):
+        m = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
+        w, r, x = F.col("n") * m * (1 - m), F.col("k") - F.col("n") * m, F.col("x")
+        s = counts.join(fit, "strategy").groupBy("strategy").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("flat").alias("flat"), F.sum(r).alias("g0"), F.sum(r * x).alias("g1"), F.sum(w).alias("h00"), F.sum(w * x).alias("h01"), F.sum(w * x * x).alias("h11"))
+        g1, h11 = F.col("g1") - F.col("b") / RIDGE, F.col("h11") + 1 / RIDGE
+        det = F.col("h00") * h11 - F.col("h01") * F.col("h01")
+        step = lambda c, by: F.when(F.col("flat"), F.col(c)).otherwise(F.col(c) + by / det).alias(c)
+        fit = s.select("strategy", step("a", h11 * F.col("g0") - F.col("h01") * g1), step("b", F.col("h00") * g1 - F.col("h01") * F.col("g0")), "flat")
+    bins = counts.groupBy("strategy", F.least(F.floor(F.col("q") * 10), F.lit(9)).alias("bin")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * F.col("q")).alias("p"))
+    ece = bins.groupBy("strategy").agg((F.sum(F.abs(F.col("k") - F.col("p"))) / F.sum("n")).alias("ece"))
+    return fit.join(ece, "strategy").select("strategy", F.col("a").alias("intercept"), F.col("b").alias("slope"), "ece")
+
+
+def top_hits(rows: DataFrame, *k: int, epsilon: float = 1e-14) -> DataFrame:
+    """(strategy, draw_index, hits_k): hits among the k greatest of (strategy, draw_index, number, y, p).
+
+    ``epsilon`` for each number is taken off its probability before they are ranked, so that ties, and differences
+    below it, go to the smaller number.
+    """
+    rank = F.row_number().over(Window.partitionBy("strategy", "draw_index").orderBy(F.desc(F.col("p") - (F.col("number") - 1) * epsilon), "number"))
+    tops = [F.sum(F.when(F.col("rank") <= x, F.col("y")).otherwise(0)).cast("long").alias(f"hits_{x}") for x in k]
+    return rows.withColumn("rank", rank).groupBy("strategy", "draw_index").agg(*tops)

@@ -77,9 +77,30 @@ _PARTS["yr"] = "SELECT pp.*, year(draw_date) AS year FROM pp JOIN d USING (draw_
 _PARTS["nx"] = f"""SELECT t AS draw_index, number, current_gap AS gap_asof, ewma, (n_to + 30 * {_P0}) / (n_from + 30) AS transition_rate, (count + 12 * {_P0}) / (t + 12) AS long_rate, {", ".join(f"r{w} / least(t, {w})::DOUBLE AS rate_{w}" for w in (20, 50, 100))} FROM t, g
   JOIN (SELECT number, {_P0} * 0.94::DOUBLE ** any_value(t) + sum(0.06 * 0.94::DOUBLE ** (t - 1 - draw_index)) AS ewma, {", ".join(f"count(*) FILTER (draw_index >= t - {w}) AS r{w}" for w in (20, 50, 100))} FROM h, t GROUP BY number) USING (number)
   JOIN (SELECT number, count(*) FILTER (b = state) AS n_from, coalesce(sum(y) FILTER (b = state), 0) AS n_to FROM (SELECT number, y, lag(y) OVER (PARTITION BY number ORDER BY draw_index) AS b, last_value(y) OVER (PARTITION BY number ORDER BY draw_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state FROM p) GROUP BY number) USING (number)"""
+_PARTS["pr"] = f"SELECT strategy, draw_index, number, y, CASE WHEN strategy = 'exact_uniform' THEN score ELSE score * 0.9 + 0.1 * {_P0} END AS p FROM bs WHERE strategy IN ('exact_uniform', 'recent_50', 'recent_100', 'previous_draw')"
+_PARTS["ht"] = "SELECT strategy, count(*) AS n, avg(h6) AS top6, avg(h10) AS top10, avg(h12) AS top12 FROM (SELECT strategy, draw_index, " + ", ".join(f"sum(y) FILTER (rk <= {k}) AS h{k}" for k in (6, 10, 12)) + " FROM (SELECT *, row_number() OVER (PARTITION BY strategy, draw_index ORDER BY p - (number - 1) * 1e-14 DESC, number) AS rk FROM pr) GROUP BY ALL) GROUP BY strategy"
+_PARTS["ct"] = "SELECT strategy, q, ln(q / (1 - q)) AS x, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS k FROM (SELECT strategy, y, round(least(greatest(p, 1e-6), 1 - 1e-6), 12) AS q FROM pr) GROUP BY ALL"
+_PARTS["ce"] = "SELECT strategy, sum(abs(k - p)) / sum(n) AS ece FROM (SELECT strategy, least(floor(q * 10), 9) AS bin, sum(n) AS n, sum(k) AS k, sum(n * q) AS p FROM ct GROUP BY ALL) GROUP BY strategy"
+_PARTS["nw0"] = "SELECT strategy, ln(sum(k) / (sum(n) - sum(k))) AS a, 0.0::DOUBLE AS b, max(x) - min(x) < 1e-12 AS flat FROM ct GROUP BY strategy"
+_STEPS = 10
+for _i in range(_STEPS):
+    _PARTS[f"nw{_i + 1}"] = f"""SELECT strategy, CASE WHEN flat THEN a ELSE a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) END AS a, CASE WHEN flat THEN b ELSE b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) END AS b, flat FROM (
+  SELECT strategy, any_value(a) AS a, any_value(b) AS b, any_value(flat) AS flat, sum(k - n * m) AS g0, sum((k - n * m) * x) - any_value(b) / 1e6 AS g1, sum(n * m * (1 - m)) AS h00, sum(n * m * (1 - m) * x) AS h01, sum(n * m * (1 - m) * x * x) + 1e-6 AS h11 FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS m FROM ct JOIN nw{_i} USING (strategy)) GROUP BY strategy)"""
 _walk = "PARTITION BY strategy, draw_index ORDER BY place DESC, turn DESC, number"
 
 
+def _power(weights: list[int], total: int, times: int) -> list[float]:
+    """Probabilities of sums of so many values whose weights are integers, in exact arithmetic."""
+    out = [1]
+    for _ in range(times):
+        new = [0] * (len(out) + len(weights) - 1)
+        for i, a in enumerate(out):
+            for j, b in enumerate(weights):
+                new[i + j] += a * b
+        out = new
+    return [x / total**times for x in out]
+
+
 def _query(sql: str, doubles: str = "", digits: int = 9) -> str:
     """``sql`` after the parts that it needs, in order, with the named columns rounded."""
     import re
@@ -182,6 +203,18 @@ def sql() -> dict[str, str]:
             f"SELECT strategy, count(*) AS n, avg(b) AS brier, avg(l) AS log_loss, min(s) AS least_sum, max(s) AS greatest_sum FROM (SELECT strategy, draw_index, avg((p - y) ** 2) AS b, avg(CASE WHEN y = 1 THEN -ln(greatest(p, 1e-12)) ELSE -ln(1 - least(p, 1 - 1e-12)) END) AS l, sum(p) AS s FROM (SELECT *, CASE WHEN strategy = 'exact_uniform' THEN score ELSE score * 0.9 + 0.1 * {_P0} END AS p FROM bs WHERE strategy IN ('exact_uniform', 'recent_50', 'recent_100', 'previous_draw')) GROUP BY ALL) GROUP BY strategy",
             "brier log_loss least_sum greatest_sum",
         ),
+        "prize_tiers": _query(
+            f"""SELECT main_matches, special_match, probability, sum(probability) OVER (ORDER BY main_matches, special_match) AS cdf, 1 - sum(probability) OVER (ORDER BY main_matches, special_match) + probability AS survival, coalesce(c, 0) AS count, probability * (t - 1) AS expected FROM t, (VALUES {", ".join(f"({m}::BIGINT, {bool(s)}, {math.comb(6, m) * math.comb(42, 6 - m - s) / math.comb(49, 6)!r}::DOUBLE)" for m in range(7) for s in (0, 1) if m + s <= 6)}) v(main_matches, special_match, probability)
+  LEFT JOIN (SELECT len(list_intersect(d.numbers, b.numbers)) AS main_matches, list_contains(b.numbers, d.special_number) AS special_match, count(*) AS c FROM d JOIN (SELECT draw_index + 1 AS draw_index, numbers FROM d) b USING (draw_index) GROUP BY 1, 2) x USING (main_matches, special_match)""",
+            "probability cdf survival expected",
+        ),
+        "adjacent_share": _query(f"SELECT n, count, count / n AS share, p AS probability, (count - n * p) / sqrt(n * p * (1 - p)) AS z_score FROM (SELECT count(*) AS n, sum((adjacent_pairs > 0)::INT)::BIGINT AS count, {1 - math.comb(44, 6) / math.comb(49, 6)!r}::DOUBLE AS p FROM pat)", "share probability z_score"),
+        "total_hits_law": _query(
+            f"""SELECT value, probability, coalesce(c, 0) AS count, probability * sum(coalesce(c, 0)) OVER () AS expected, sum(probability) OVER (ORDER BY value) AS cdf, sum(probability) OVER (ORDER BY value DESC) AS survival FROM (VALUES {", ".join(f"({i}::BIGINT, {p!r}::DOUBLE)" for i, p in enumerate(_power([math.comb(6, i) * math.comb(43, 6 - i) for i in range(7)], math.comb(49, 6), 20)))}) v(value, probability)
+  LEFT JOIN (SELECT s AS value, count(*) AS c FROM (SELECT draw_index // 20 AS k, sum(overlap_previous)::BIGINT AS s, count(*) AS n FROM pat WHERE draw_index >= 20 GROUP BY 1) WHERE n = 20 GROUP BY 1) x USING (value)""",
+            "probability expected cdf survival",
+        ),
+        "model_summary": _query(f"SELECT strategy, n, top6, top10, top12, round(a, 6) AS intercept, round(b, 6) AS slope, ece FROM ht JOIN nw{_STEPS} USING (strategy) JOIN ce USING (strategy)", "top6 top10 top12 ece"),
         "ece_bins": _query(f"SELECT least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, avg(p) AS predicted, avg(y) AS observed FROM (SELECT y, round(score * 0.9 + 0.1 * {_P0}, 12) AS p FROM bs WHERE strategy = 'recent_20') GROUP BY 1", "predicted observed"),
         "qcut_rates": _query(
             f"SELECT bin, n, hits, hits / n AS rate, {_wilson('-')} AS low, {_wilson('+')} AS high FROM (SELECT len(list_filter(edges, lambda e: e < gap_asof)) AS bin, count(*) AS n, sum(y)::BIGINT AS hits FROM hx, (SELECT list_distinct(quantile_cont(gap_asof, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS edges FROM hx WHERE draw_index >= 300) WHERE draw_index >= 300 GROUP BY 1)",

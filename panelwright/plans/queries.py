@@ -201,6 +201,37 @@ def prefix_slice(d: DataFrame) -> DataFrame:
     return h.groupBy("number").agg(F.sum((F.col("draw_index") < F.floor(F.col("t") / 2)).cast("int")).alias("in_prefix"), F.sum((F.col("draw_index") >= F.col("t") - 100).cast("int")).alias("in_tail"))
 
 
+@register
+def prize_tiers(d: DataFrame) -> DataFrame:
+    """Each draw's numbers as a ticket for the next draw: counts by matches, the law, and its running sums from either end."""
+    ticket = d.select((F.col("draw_index") + 1).alias("draw_index"), F.col("numbers").alias("ticket"))
+    both = d.join(ticket, "draw_index").select(F.size(F.array_intersect("numbers", "ticket")).alias("main_matches"), F.array_contains("ticket", F.col("special_number")).alias("special_match"))
+    counts, n = both.groupBy("main_matches", "special_match").agg(F.count("*").alias("count")), both.agg(F.count("*").alias("n"))
+    law = d.sparkSession.createDataFrame(panel.prize_law(), "main_matches int, special_match boolean, probability double")
+    w = Window.orderBy("main_matches", "special_match")  # thirteen rows
+    law = law.withColumn("cdf", F.sum("probability").over(w)).withColumn("survival", 1 - F.col("cdf") + F.col("probability"))
+    return law.join(counts, ["main_matches", "special_match"], "left").crossJoin(F.broadcast(n)).select("main_matches", "special_match", "probability", "cdf", "survival", F.coalesce("count", F.lit(0)).alias("count"), (F.col("probability") * F.col("n")).alias("expected"))
+
+
+@register
+def adjacent_share(d: DataFrame) -> DataFrame:
+    """Draws with consecutive numbers against their exact chance."""
+    p = panel.adjacent_probability()
+    hit = F.sum((F.col("adjacent_pairs") > 0).cast("int"))
+    return panel.draw_patterns(d).agg(F.count("*").alias("n"), hit.alias("count"), (hit / F.count("*")).alias("share"), F.lit(p).alias("probability"), ((hit - F.count("*") * p) / F.sqrt(F.count("*") * p * (1 - p))).alias("z_score"))
+
+
+@register
+def total_hits_law(d: DataFrame) -> DataFrame:
+    """Overlaps with the draw before, added up over whole blocks of 20 draws, against the 20-fold convolution of their law."""
+    block = F.floor(F.col("draw_index") / 20)
+    totals = panel.draw_patterns(d).where("draw_index >= 20").groupBy(block.alias("block")).agg(F.count("*").alias("n"), F.sum("overlap_previous").alias("total")).where("n = 20")
+    law = panel.convolved(panel.hypergeometric(49, PICK, PICK), 20)
+    out = panel.against_theory(totals, "total", law)
+    w = Window.orderBy("value")  # 121 rows
+    return out.withColumn("cdf", F.sum("probability").over(w)).withColumn("survival", F.sum("probability").over(Window.orderBy(F.desc("value"))))
+
+
 # --- features ---------------------------------------------------------------------------------------------------
 
 
@@ -323,6 +354,19 @@ def brier_logloss(d: DataFrame) -> DataFrame:
     return per.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("b").alias("brier"), F.avg("l").alias("log_loss"), F.min("s").alias("least_sum"), F.max("s").alias("greatest_sum"))
 
 
+def _probabilities(d: DataFrame) -> DataFrame:
+    r = _baselines(d).where("strategy in ('exact_uniform', 'recent_50', 'recent_100', 'previous_draw')")
+    return r.withColumn("p", F.when(F.col("strategy") == "exact_uniform", F.col("score")).otherwise(shrunk(F.col("score")))).drop("score")
+
+
+@register
+def model_summary(d: DataFrame) -> DataFrame:
+    """Hits among the first 6, 10 and 12 by the epsilon rule for ties, and calibration intercept, slope and error."""
+    p = _probabilities(d)
+    hits = strategies.top_hits(p, 6, 10, 12).groupBy("strategy").agg(F.count("*").alias("n"), *[F.avg(f"hits_{k}").alias(f"top{k}") for k in (6, 10, 12)])
+    return hits.join(strategies.calibration(p).withColumn("intercept", F.round("intercept", 6)).withColumn("slope", F.round("slope", 6)), "strategy")
+
+
 @register
 def ece_bins(d: DataFrame) -> DataFrame:
     r = _baselines(d).where("strategy = 'recent_20'").withColumn("p", F.round(shrunk(F.col("score")), 12))
