@@ -20,8 +20,8 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-İĲ-ſ‐-‧‰-⁞€]")
 _LETTER, _DIGIT = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
 #: PRE_TOKEN for lower-cased text of those characters.
 _PLAIN = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
-#: Distinct words that a worker remembers; past that it forgets them all.
-REMEMBER = 150_000
+#: Distinct words, and pre-tokens, that a worker remembers; past that it forgets them all. Results do not depend on it.
+REMEMBER, PIECES = 100_000, 400_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -90,7 +90,7 @@ class Remembered(dict):
 class Pieces(dict):
     """What ``make`` gives for pre-tokens, each asked for once while it is remembered; of bounded size."""
 
-    def __init__(self, make: Callable[[str], object], most: int = REMEMBER):
+    def __init__(self, make: Callable[[str], object], most: int = PIECES):
         super().__init__()
         self.make, self.most = make, most
 
