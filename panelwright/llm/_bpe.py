@@ -20,8 +20,8 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-İĲ-ſ‐-‧‰-⁞€]")
 _LETTER, _DIGIT = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
 #: PRE_TOKEN for lower-cased text of those characters.
 _PLAIN = re.compile(rf"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
-#: Distinct words, and pre-tokens, that a worker remembers; past that it forgets them all. Results do not depend on it.
-REMEMBER, PIECES = 100_000, 400_000
+#: Distinct words and pre-tokens that a worker remembers; past that it forgets them all. Results do not depend on it.
+REMEMBER = 500_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,33 +71,19 @@ class WordTokenizer:
         return [t.id for t in self.model.tokenize(pre_token)]
 
 
-class Remembered(dict):
-    """A dictionary that learns missing words by one call and stays of bounded size."""
+class Words(dict):
+    """What is known of normalised words and of pre-tokens: ``make`` of a pre-token, ``join`` of a word's; of bounded size."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int = REMEMBER):
+    def __init__(self, cut: Callable[[str], list[str]], make: Callable[[str], object], join: Callable[[list], object], most: int = REMEMBER):
         super().__init__()
-        self.make, self.most = make, most
+        self.cut, self.make, self.join, self.most = cut, make, join, most
 
-    def learn(self, words: set[str]) -> None:
-        if new := {w for w in words if w not in self}:
-            if len(self) + len(new) > self.most:
-                self.clear()
-                new = words
-            new = list(new)
-            self.update(zip(new, self.make(new), strict=True))
-
-
-class Pieces(dict):
-    """What ``make`` gives for pre-tokens, each asked for once while it is remembered; of bounded size."""
-
-    def __init__(self, make: Callable[[str], object], most: int = PIECES):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, piece: str) -> object:
+    def __missing__(self, word: str) -> object:
+        parts = self.cut(word)
+        found = self.make(word) if len(parts) == 1 and parts[0] == word else self.join([self[p] for p in parts])
         if len(self) >= self.most:
             self.clear()
-        found = self[piece] = self.make(piece)
+        self[word] = found
         return found
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from panelwright.llm._bpe import Pieces, Remembered, WordTokenizer, per_worker
+from panelwright.llm._bpe import Words, WordTokenizer, per_worker
 from panelwright.llm._store import arrow_rows, pick, text_offsets
 
 LIMIT = 2048
@@ -32,24 +32,11 @@ class Counting:
     def __init__(self, path: str):
         self.tokenizer = WordTokenizer(path)
         self.whole = whole_tokens(self.tokenizer)
-        self.known = Remembered(self.counts)
-        self.pieces = Pieces(lambda p: 1 if p in self.whole else len(self.tokenizer.merge(p)))
-
-    def counts(self, words: list[str]) -> list[int]:
-        cut, count = self.tokenizer.pre_tokens, self.pieces.__getitem__
-        return [sum(map(count, cut(w))) for w in words]
+        self.known = Words(self.tokenizer.pre_tokens, lambda p: 1 if p in self.whole else len(self.tokenizer.merge(p)), sum)
 
     def count(self, text: str) -> int:
-        total = 0
-        for special, found in self.tokenizer.words(text):
-            if special is not None:
-                total += 1
-                continue
-            rest = [w for w in found if w not in self.whole]
-            total += len(found) - len(rest)
-            self.known.learn(set(rest))
-            total += sum(map(self.known.__getitem__, rest))
-        return total
+        count = self.known.__getitem__
+        return sum(1 if special is not None else sum(map(count, found)) for special, found in self.tokenizer.words(text))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

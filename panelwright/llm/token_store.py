@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm._bpe import Pieces, Remembered, WordTokenizer, per_worker
+from panelwright.llm._bpe import Words, WordTokenizer, per_worker
 from panelwright.llm._store import arrow_rows, forget, new_path, partitions, pick, stored, text_bytes
 
 MAGIC, TABLE_MAGIC = 0x324E5254, 0x314C4254
@@ -165,22 +165,11 @@ class Encoding:
         self.size = self.tokenizer.library.get_vocab_size()
         self.width = 2 if self.size <= 1 << 16 else 4
         self.code = [i.to_bytes(self.width, "little") for i in range(self.size)]
-        self.pieces = Pieces(lambda p: b"".join([self.code[i] for i in self.tokenizer.merge(p)]))
-        self.known = Remembered(self.codes)
-
-    def codes(self, words: list[str]) -> list[bytes]:
-        cut, code = self.tokenizer.pre_tokens, self.pieces.__getitem__
-        return [b"".join(map(code, cut(w))) for w in words]
+        self.known = Words(self.tokenizer.pre_tokens, lambda p: b"".join([self.code[i] for i in self.tokenizer.merge(p)]), b"".join)
 
     def ids(self, text: str) -> bytes:
-        out = []
-        for special, found in self.tokenizer.words(text):
-            if special is not None:
-                out.append(self.code[self.tokenizer.special[special]])
-                continue
-            self.known.learn(set(found))
-            out.append(b"".join(map(self.known.__getitem__, found)))
-        return b"".join(out)
+        code = self.known.__getitem__
+        return b"".join([self.code[self.tokenizer.special[special]] if special is not None else b"".join(map(code, found)) for special, found in self.tokenizer.words(text)])
 
 
 def _put(folder: str, name: str, content: bytes, attempt: object) -> None:
