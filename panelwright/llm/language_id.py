@@ -19,6 +19,8 @@ DIM = 16
 #: Labelled rows of each language from which a model is fitted, at most.
 FIT_ROWS = 800
 EPOCHS = 8
+#: Step size at first; it falls to 0 over the epochs.
+RATE = 4.0
 #: Rejection keeps at least this share of the rightly labelled calibration rows.
 KEEP = 0.999
 
@@ -90,7 +92,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(2), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["lang", "turn", "buckets", "shares"])
 
 
-def _descend(bags: list, y: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _descend(bags: list, y: np.ndarray, k: int, seed: int, first_rate: float = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, output weights and biases after stochastic gradient descent, a row at a time, with a falling rate."""
     rng = np.random.default_rng(seed)
     embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
@@ -100,7 +102,7 @@ def _descend(bags: list, y: np.ndarray, k: int, seed: int) -> tuple[np.ndarray,
     steps, step = EPOCHS * len(bags), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(bags)):
-            rate = 4.0 * (1 - step / steps)
+            rate = first_rate * (1 - step / steps)
             step += 1
             at, x = bags[i]
             hidden = x @ embed[at]
@@ -140,7 +142,13 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
     if not langs:
         return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
     train = np.flatnonzero(~held)
-    embed, weight, bias = _descend([bags[i] for i in train], y[train], len(langs), seed)
+    rate = RATE
+    while True:
+        with np.errstate(over="ignore", invalid="ignore"):
+            embed, weight, bias = _descend([bags[i] for i in train], y[train], len(langs), seed, rate)
+        if max(np.abs(embed).max(), np.abs(weight).max(initial=0), np.abs(bias).max(initial=0)) < 1e6 or rate < 1e-3:
+            break
+        rate /= 4  # labels that texts do not tell apart can drive the descent off
     logits = np.vstack([embed @ weight, np.zeros(len(langs))]).astype(np.float32)
     z = np.array([x @ logits[at] + bias for (at, x), h in zip(bags, held, strict=True) if h]).reshape(-1, len(langs))
     temperature, least = _calibrate(z, y[held]) if len(z) else (1.0, 0.0)
