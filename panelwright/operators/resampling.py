@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.sources.draws import P0, PICK, UNIVERSE
@@ -86,3 +86,41 @@ def bootstrap(values: DataFrame, replicates: int = 1000, seed: int = 7) -> DataF
         return pd.DataFrame([(pdf["group"].iloc[0], float(n @ v / n.sum()), low, high)], columns=["group", "mean", "low", "high"])
 
     return values.groupBy("group").applyInPandas(run, "group string, mean double, low double, high double")
+
+
+#: Positions of a series whose blocks one task sums.
+SPAN = 4_096
+
+
+def block_sums(values: DataFrame, block: int, rest: int) -> DataFrame:
+    """(start, whole, cut): sums of the ``block`` and of the ``rest`` values from each position on, where a whole block follows.
+
+    The series is dealt out by ranges of positions; the first values of a range go to the range before it as well.
+    """
+    own = F.floor(F.col("position") / SPAN)
+    ranges = F.explode(F.when(F.col("position") % SPAN < block - 1, F.array(own, own - 1)).otherwise(F.array(own))).alias("range")
+    w = Window.partitionBy("range").orderBy("position")
+    after = w.rowsBetween(0, block - 1)
+    cut = F.sum("value").over(w.rowsBetween(0, rest - 1)) if rest else F.lit(0.0)
+    sums = values.select("position", F.col("value").cast("double").alias("value"), ranges).select("position", "range", F.sum("value").over(after).alias("whole"), cut.alias("cut"), F.count("*").over(after).alias("n"))
+    return sums.where((own == F.col("range")) & (F.col("n") == block)).select(F.col("position").alias("start"), "whole", "cut")
+
+
+def block_bootstrap(values: DataFrame, replicates: int = 1000, block: int = 20) -> DataFrame:
+    """(n, mean, low, high): a percentile interval of the mean of (position from 0 without a gap, value), by moving blocks.
+
+    A replicate is as long as the series, of blocks at random starts, the last one cut. A start is the hash of replicate
+    and place, so that it does not depend on partitions. A series shorter than a block gives no row.
+    """
+    n = values.count()
+    if n < block:
+        return values.sparkSession.createDataFrame([], "n long, mean double, low double, high double")
+    places = -(-n // block)
+    j = F.col("id") % places
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("replicate").cast("string"), j.cast("string"))), 1, 15), 16, 10).cast("long")
+    starts = values.sparkSession.range(replicates * places).withColumn("replicate", F.floor(F.col("id") / places)).select("replicate", (j == places - 1).alias("last"), (hashed % (n - block + 1)).alias("start"))
+    rest = n % block
+    part = F.when(F.col("last") & F.lit(rest > 0), F.col("cut")).otherwise(F.col("whole"))
+    means = starts.join(block_sums(values, block, rest), "start").groupBy("replicate").agg((F.sum(part) / n).alias("m"))
+    q = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return values.agg(F.count("*").alias("n"), F.avg("value").alias("mean")).crossJoin(q).select("n", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))  # one row each

@@ -74,6 +74,8 @@ _PARTS["bt"] = "SELECT *, row_number() OVER (PARTITION BY strategy, draw_index O
 _PARTS["yr"] = "SELECT pp.*, year(draw_date) AS year FROM pp JOIN d USING (draw_index)"
 
 
+_PARTS["lc"] = "SELECT k, t::DOUBLE AS n, lgamma(t + 1) - lgamma(greatest(k, 0) + 1) - lgamma(t - k + 1) AS c FROM (SELECT t, unnest(range(0, t + 1)) AS k FROM t)"
+_PARTS["gc"] = f"SELECT number, count(*) AS n, CASE WHEN count(*) >= 20 THEN greatest(0, floor(ln(5 / (count(*) * {_P0})) / ln(1 - {_P0})) + 1)::BIGINT END AS cells FROM gl WHERE gap IS NOT NULL GROUP BY number"
 _PARTS["nx"] = f"""SELECT t AS draw_index, number, current_gap AS gap_asof, ewma, (n_to + 30 * {_P0}) / (n_from + 30) AS transition_rate, (count + 12 * {_P0}) / (t + 12) AS long_rate, {", ".join(f"r{w} / least(t, {w})::DOUBLE AS rate_{w}" for w in (20, 50, 100))} FROM t, g
   JOIN (SELECT number, {_P0} * 0.94::DOUBLE ** any_value(t) + sum(0.06 * 0.94::DOUBLE ** (t - 1 - draw_index)) AS ewma, {", ".join(f"count(*) FILTER (draw_index >= t - {w}) AS r{w}" for w in (20, 50, 100))} FROM h, t GROUP BY number) USING (number)
   JOIN (SELECT number, count(*) FILTER (b = state) AS n_from, coalesce(sum(y) FILTER (b = state), 0) AS n_to FROM (SELECT number, y, lag(y) OVER (PARTITION BY number ORDER BY draw_index) AS b, last_value(y) OVER (PARTITION BY number ORDER BY draw_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state FROM p) GROUP BY number) USING (number)"""
@@ -254,4 +256,76 @@ def sql() -> dict[str, str]:
     }
     q["latest_wins"] = "SELECT user_id AS ledger, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 9) AS value FROM events GROUP BY user_id"
     q["ledger_status"] = "SELECT event_type, count(*) AS n, round(avg(value), 9) AS mean_value FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING min(event_id) FILTER (event_type = 'click') < max(event_id) FILTER (event_type = 'purchase')) GROUP BY event_type"
+    q |= _tails(q) | _evidence(q)
     return q
+
+
+#: Tails by their series, all of whose terms are positive: erfc's odd powers, incomplete gamma and incomplete beta.
+_normal_sf = lambda z: f"(0.5 - exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * ({z}) * list_sum(list_transform(range(0, 150), lambda i: exp(i * ln(greatest(({z}) * ({z}), 1e-300)) - lgamma(2 * i + 2) + i * ln(2) + lgamma(i + 1)))))"
+_gamma_q = lambda a, x: f"(1 - list_sum(list_transform(range(0, 400), lambda i: exp(({a} + i) * ln({x}) - {x} - lgamma({a} + i + 1)))))"
+_beta = lambda a, b, x: f"list_sum(list_transform(range(0, 400), lambda i: exp(({a} + i) * ln({x}) + {b} * ln(1 - {x}) - lgamma({b}) + lgamma({a} + {b} + i) - lgamma({a} + 1 + i))))"
+
+
+def _corrected(inner: str, tie: str, p: str = "p") -> str:
+    """``inner`` with bonferroni, holm and bh of its p-values."""
+    ranked = f"SELECT *, row_number() OVER (ORDER BY {p}, {tie}) AS rk, count(*) OVER () AS m FROM ({inner})"
+    return f"SELECT * EXCLUDE (rk, m), least({p} * m, 1) AS bonferroni, least(max((m - rk + 1) * {p}) OVER (ORDER BY rk), 1) AS holm, least(min({p} * m / rk) OVER (ORDER BY rk DESC), 1) AS bh FROM ({ranked})"
+
+
+def _tails(q: dict[str, str]) -> dict[str, str]:
+    """p-values of the law that each test states."""
+    step = "CASE WHEN {tail} < 0.025 THEN {low} ELSE {high} END"
+    bisect = lambda which, keep, value, edge: f"""SELECT number, CASE WHEN count = {edge} THEN {value} ELSE (lo + hi) / 2 END AS {which} FROM (WITH RECURSIVE b AS (SELECT number, count, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM g UNION ALL
+  SELECT number, any_value(count), any_value(i) + 1, {step.format(tail='sum(exp(c + k * ln((lo + hi) / 2) + (n - k) * ln(1 - (lo + hi) / 2)))', low=keep[0], high=keep[1])}, {step.format(tail='sum(exp(c + k * ln((lo + hi) / 2) + (n - k) * ln(1 - (lo + hi) / 2)))', low=keep[2], high=keep[3])}
+  FROM b JOIN lc ON {'k >= count' if which == 'low' else 'k <= count'} WHERE i < 45 GROUP BY number) SELECT * FROM b WHERE i = 45)"""
+    mid = "any_value((lo + hi) / 2)"
+    low = bisect("low", (mid, "any_value(lo)", "any_value(hi)", mid), "0.0", "0")
+    high = bisect("high", ("any_value(lo)", mid, mid, "any_value(hi)"), "1.0", "(SELECT t FROM t)")
+    out = {
+        "binomial_tails": _query(
+            f"""SELECT number, any_value(a.count) AS count, least(1, 2 * least(sum(m) FILTER (k <= a.count), sum(m) FILTER (k >= a.count))) AS doubled_p, least(1, sum(m) FILTER (m <= own * (1 + 1e-7))) AS likelihood_p, any_value(l.low) AS low, any_value(u.high) AS high
+  FROM (SELECT number, count, exp(c + k * ln({_P0}) + (n - k) * ln(1 - {_P0})) AS own FROM g JOIN lc ON k = count) a JOIN ({low}) l USING (number) JOIN ({high}) u USING (number) CROSS JOIN (SELECT k, exp(c + k * ln({_P0}) + (n - k) * ln(1 - {_P0})) AS m FROM lc) x GROUP BY number"""
+        ),
+        "normal_tail": _query(f"SELECT number, {_normal_sf('z')} AS p FROM (SELECT number, (count - 0.5 - periods * {_P0}) / sqrt(periods * {_P0} * (1 - {_P0})) AS z FROM g)", "p"),
+        "gap_goodness": _query(
+            f"""SELECT number, n AS gaps, statistic, cells::DOUBLE AS df, {_gamma_q('(cells / 2)', '(statistic / 2)')} AS p FROM (SELECT number, any_value(n) AS n, any_value(cells) AS cells, sum((coalesce(c, 0) - e) ** 2 / e) AS statistic FROM
+  (SELECT number, n, cells, i, n * CASE WHEN i < cells THEN {_P0} ELSE 1 END * (1 - {_P0}) ** i AS e FROM (SELECT number, n, cells, unnest(range(0, cells + 1)) AS i FROM gc)) LEFT JOIN (SELECT number, least(gap - 1, cells) AS i, count(*) AS c FROM gl JOIN gc USING (number) WHERE gap IS NOT NULL GROUP BY 1, 2) USING (number, i) GROUP BY number)""",
+            "statistic p",
+        ),
+        "backtest_significance": "SELECT strategy, t_value, round(p, 9) AS p, round(bonferroni, 9) AS bonferroni, round(holm, 9) AS holm, round(bh, 9) AS bh FROM (" + _corrected(f"SELECT strategy, t_value, coalesce(1 - {_beta('0.5', '(df / 2)', '(greatest(t_value * t_value, 1e-300) / (df + t_value * t_value))')}, 1) AS p FROM (SELECT strategy, t_value, n - 1 AS df FROM ({q['backtest_summary']}) WHERE strategy <> 'uniform_random')", "strategy") + ")",
+    }
+    out["look_elsewhere"] = f"SELECT count(*) AS tests, arg_min(number, (p, number)) AS number, min(p) AS least_p, round(least(min(p) * count(*), 1), 9) AS global_p FROM (SELECT number, round(doubled_p, 9) AS p FROM ({out['binomial_tails']}))"
+    number_tests = f"SELECT number, 2 * {_normal_sf('abs(runs_z)')} AS runs_p, {_gamma_q('5', '(ljung_box / 2)')} AS ljung_box_p, g.p AS gap_p FROM ({q['number_tests']}) LEFT JOIN ({out['gap_goodness']}) g USING (number)"
+    out["randomness_tails"] = "SELECT * REPLACE (round(runs_p, 9) AS runs_p, round(ljung_box_p, 9) AS ljung_box_p, round(bonferroni, 9) AS bonferroni, round(holm, 9) AS holm, round(bh, 9) AS bh) FROM (" + _corrected(number_tests, "number", "runs_p") + ")"
+    return out
+
+
+def _evidence(q: dict[str, str]) -> dict[str, str]:
+    events = "SELECT user_id AS ledger, event_id, event_type, value, (props::JSON->>'k')::BIGINT AS k FROM events"
+    of = lambda kind: f"(SELECT * FROM ({events}) WHERE event_type = '{kind}')"
+    return {
+        "result_events": f"SELECT event_id, ledger, event_type, CASE WHEN row_number() OVER w = 1 THEN 'result' WHEN k % 3 = lag(k % 3) OVER w THEN 'repeated' ELSE 'correction' END AS kind FROM ({events}) WINDOW w AS (PARTITION BY ledger, event_type ORDER BY event_id)",
+        "prediction_lookup": f"SELECT event_id, ledger, k, CASE coalesce(n, 0) WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS lookup, CASE WHEN n = 1 THEN p END AS prediction FROM {of('purchase')} LEFT JOIN (SELECT ledger, k, count(*) AS n, min(event_id) AS p FROM {of('signup')} GROUP BY ALL) USING (ledger, k)",
+        "latest_anchor": f"SELECT event_id, ledger, k, anchor FROM {of('signup')} LEFT JOIN (SELECT ledger, k, max(event_id) AS anchor FROM {of('view')} WHERE value >= 5 GROUP BY ALL) USING (ledger, k)",
+        "ledger_protocol": f"""SELECT *, repeated_predictions + unpredicted_results + early_results = 0 AS sound FROM (SELECT ledger, sum(greatest(a - 1, 0))::BIGINT AS repeated_predictions, sum(CASE WHEN a = 0 THEN b ELSE 0 END)::BIGINT AS unpredicted_results, sum((a > 0 AND b > 0 AND r < p)::INT)::BIGINT AS early_results
+  FROM (SELECT ledger, k, count(*) FILTER (event_type = 'signup') AS a, count(*) FILTER (event_type = 'purchase') AS b, min(event_id) FILTER (event_type = 'signup') AS p, min(event_id) FILTER (event_type = 'purchase') AS r FROM ({events}) WHERE event_type IN ('signup', 'purchase') GROUP BY ledger, k) GROUP BY ledger)""",
+        "ledger_stages": f"SELECT ledger, stage, count(*) AS n, min(event_id) AS first, max(event_id) AS last, count(*) = 10 AS complete FROM (SELECT *, (row_number() OVER (PARTITION BY ledger ORDER BY event_id) + 9) // 10 AS stage FROM {of('purchase')}) GROUP BY ledger, stage",
+        "gap_rank_correlation": f"SELECT count(*) AS bins, round(corr(bin::DOUBLE, r), 9) AS rho FROM (SELECT bin, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM (SELECT bin, round(hits / n, 12) AS x FROM ({q['qcut_rates']})))",
+        "recent_windows": _query(
+            """SELECT width, half, count(*) AS n, avg(hits) AS mean_hits, avg(tie) AS ties FROM (SELECT width, half, draw_index, sum(CASE WHEN rk <= 6 THEN y ELSE 0 END) AS hits, (max(CASE WHEN rk = 6 THEN s END) = max(CASE WHEN rk = 7 THEN s END))::INT AS tie FROM
+  (SELECT *, row_number() OVER (PARTITION BY width, draw_index ORDER BY s DESC, number) AS rk FROM (SELECT width, draw_index, number, y, CASE WHEN draw_index < (t + 300) // 2 THEN 'first' ELSE 'second' END AS half, CASE width WHEN 45 THEN a WHEN 50 THEN b ELSE c END AS s FROM
+  (SELECT t, draw_index, number, y, sum(y) OVER (PARTITION BY number ORDER BY draw_index ROWS BETWEEN 45 PRECEDING AND 1 PRECEDING) AS a, sum(y) OVER (PARTITION BY number ORDER BY draw_index ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS b, sum(y) OVER (PARTITION BY number ORDER BY draw_index ROWS BETWEEN 55 PRECEDING AND 1 PRECEDING) AS c FROM t, p), (SELECT unnest([45, 50, 55])::BIGINT AS width) WHERE draw_index >= 300)) GROUP BY ALL) GROUP BY width, half""",
+            "mean_hits ties",
+        ),
+        "block_bootstrap_mean": _query(
+            """SELECT any_value(n) AS n, any_value(mean) AS mean, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT replicate, any_value(z.n) AS n, any_value(z.mean) AS mean, sum(CASE WHEN j = (z.n + 19) // 20 - 1 AND z.n % 20 > 0 THEN cut ELSE whole END) / any_value(z.n) AS m
+  FROM (SELECT *, (('0x' || substr(md5(replicate || ':' || j), 1, 15))::BIGINT) % (n - 19) AS start FROM (SELECT count(*) AS n, avg(hits_6) AS mean FROM pp WHERE strategy = 'recent_hot'), (SELECT unnest(range(0, 1000)) AS replicate), (SELECT unnest(range(0, (count(*) + 19) // 20)) AS j FROM pp WHERE strategy = 'recent_hot')) z
+  JOIN (SELECT draw_index - 300 AS start, list_sum(v) AS whole, coalesce(list_sum(v[1:rest]), 0) AS cut FROM (SELECT draw_index, list(hits_6) OVER (ORDER BY draw_index ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS v, (SELECT count(*) % 20 FROM pp WHERE strategy = 'recent_hot') AS rest FROM pp WHERE strategy = 'recent_hot')) b USING (start) GROUP BY replicate)""",
+            "mean low high",
+        ),
+        "payload_faults": _query(
+            """SELECT draw_index, fault, CASE WHEN fault IS NULL THEN list_aggregate(list_sort(list_reverse(numbers)), 'string_agg', ' ') END AS numbers, CASE WHEN fault IS NULL THEN special_number END AS special_number FROM (SELECT *, CASE WHEN i % 89 = 13 THEN 'malformed' WHEN i % 53 = 5 THEN 'not_announced' WHEN i % 79 = 11 THEN 'other_draw' WHEN i % 83 = 12 THEN 'other_date'
+  WHEN i % 97 = 14 THEN 'not_seven' WHEN i % 71 = 9 THEN 'out_of_range' WHEN i % 73 = 10 THEN 'repeated' WHEN i % 59 = 6 OR i % 61 = 7 OR i % 67 = 8 THEN 'not_integers' END AS fault FROM (SELECT *, draw_index AS i FROM d))"""
+        ),
+        "reproduction": _query("SELECT count(*) FILTER (a.s IS NOT NULL AND b.s IS NOT NULL) AS n, count(*) FILTER (b.s IS NULL) AS missing, count(*) FILTER (a.s IS NULL) AS extra, count(*) FILTER (abs(a.s - b.s) > 1e-12) AS beyond, max(abs(a.s - b.s)) AS max_difference FROM (SELECT draw_index, number, score AS s FROM bs WHERE strategy = 'recent_50') a FULL JOIN (SELECT draw_index, number, round(rate_50, 12) AS s FROM au WHERE draw_index > 300) b USING (draw_index, number)", "max_difference"),
+    }

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.adjust import adjusted, projected, shrunk, wilson
-from panelwright.functions.special import normal_sf, student_two_sided, udf
-from panelwright.operators import features, ledger, models, panel, randomness, resampling, strategies, validation
+from panelwright.functions.special import binomial_doubled, binomial_minimum_likelihood, clopper_pearson, normal_sf, student_two_sided, udf
+from panelwright.operators import evidence, features, ledger, models, panel, randomness, resampling, strategies, validation
 from panelwright.sources.draws import P0, PICK, derived_draws, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -485,6 +485,80 @@ def normal_tail(d: DataFrame) -> DataFrame:
     return z.select("number", udf(normal_sf)((F.col("count") - 0.5 - e) / F.sqrt(v)).alias("p"))
 
 
+@in_full
+def binomial_tails(d: DataFrame) -> DataFrame:
+    """Each number's count against its binomial law: doubled smaller tail, minimum-likelihood p, exact interval of its rate."""
+    g = panel.gap_statistics(d).select("number", "count", "periods")
+    tail = lambda f: udf(f)("count", "periods")
+    return g.select(
+        "number",
+        "count",
+        tail(lambda k, n: binomial_doubled(int(k), int(n), P0)).alias("doubled_p"),
+        tail(lambda k, n: binomial_minimum_likelihood(int(k), int(n), P0)).alias("likelihood_p"),
+        tail(lambda k, n: clopper_pearson(int(k), int(n))[0]).alias("low"),
+        tail(lambda k, n: clopper_pearson(int(k), int(n))[1]).alias("high"),
+    )
+
+
+@register
+def look_elsewhere(d: DataFrame) -> DataFrame:
+    """The least of all numbers' doubled tails, the number it belongs to, and its p-value over all tests."""
+    p = F.round("doubled_p", 9)
+    return binomial_tails(d).agg(F.count("*").alias("tests"), F.min_by("number", F.struct(p, "number")).alias("number"), F.min(p).alias("least_p"), F.least(F.min(p) * F.count("*"), F.lit(1.0)).alias("global_p"))
+
+
+@register
+def gap_rank_correlation(d: DataFrame) -> DataFrame:
+    """Rank correlation of gap bins and their hit rates; equal rates share their mean rank."""
+    rates = qcut_rates(d).select("bin", F.round("rate", 12).alias("rate"))
+    ranked = rates.withColumn("r", F.rank().over(Window.orderBy("rate")) + (F.count("*").over(Window.partitionBy("rate")) - 1) / 2)  # at most eight rows
+    return ranked.agg(F.count("*").alias("bins"), F.corr(F.col("bin").cast("double"), "r").alias("rho"))
+
+
+@register
+def recent_windows(d: DataFrame) -> DataFrame:
+    """Mean hits of the first six by the rates of the last 45, 50 and 55 periods, by half, and how often a tie decides who is sixth."""
+    widths = (45, 50, 55)
+    p = features.history(d, sums=widths).where(F.col("draw_index") >= START)
+    entries = F.collect_list(F.struct("number", "y", *[f"sum_{w}" for w in widths]))
+    t = d.agg(F.count("*").alias("t"))
+    rows = p.groupBy("draw_index").agg(entries.alias("items")).crossJoin(F.broadcast(t))  # one row
+    ranked = lambda w: F.sort_array(F.transform("items", lambda x: F.struct((-x[f"sum_{w}"]).alias("s"), x["number"].alias("n"), x["y"].alias("y"))))
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), ranked(w).alias("v")) for w in widths])).alias("e")
+    half = F.when(F.col("draw_index") < F.floor((F.col("t") + START) / 2), "first").otherwise("second").alias("half")
+    e = rows.select(half, each).select("half", "e.width", F.aggregate(F.slice("e.v", 1, PICK), F.lit(0), lambda a, x: a + x["y"].cast("int")).alias("hits"), (F.col("e.v")[PICK - 1]["s"] == F.col("e.v")[PICK]["s"]).alias("tie"))
+    return e.groupBy("width", "half").agg(F.count("*").alias("n"), F.avg("hits").alias("mean_hits"), F.avg(F.col("tie").cast("int")).alias("ties"))
+
+
+@register
+def block_bootstrap_mean(d: DataFrame) -> DataFrame:
+    """Interval of the mean hits of the recent-hot strategy from moving blocks of 20 periods."""
+    hits = _periods(d).where("strategy = 'recent_hot'").select((F.col("draw_index") - START).alias("position"), F.col("hits_6").alias("value"))
+    return resampling.block_bootstrap(hits)
+
+
+@register
+def payload_faults(d: DataFrame) -> DataFrame:
+    """Official payloads as JSON with faults at fixed places: the rule that refuses each, or its normalised numbers."""
+    i, n = F.col("draw_index"), F.transform("numbers", lambda x: x.cast("string"))
+    special = F.when(i % 71 == 9, "50").when(i % 73 == 10, n[0]).when(i % 59 == 6, "true").when(i % 61 == 7, F.concat(F.col("special_number").cast("string"), F.lit(".5"))).when(i % 67 == 8, F.concat(F.lit('"'), F.col("special_number").cast("string"), F.lit('"'))).otherwise(F.col("special_number").cast("string"))
+    numbers = F.concat_ws(",", F.reverse(n), F.when(i % 97 != 14, special))
+    date = F.date_format(F.when(i % 83 == 12, F.date_add("draw_date", 1)).otherwise(F.col("draw_date")), "yyyy-MM-dd")
+    id_ = F.when(i % 79 == 11, "0").otherwise(F.col("draw_id"))
+    status = F.when(i % 53 == 5, "PENDING").otherwise("ANNOUNCED")
+    payload = F.format_string('{"status":"%s","id":"%s","date":"%s","numbers":[%s]%s', status, id_, date, numbers, F.when(i % 89 == 13, "").otherwise("}"))
+    read = evidence.read_payloads(d.select("draw_index", "draw_id", "draw_date", payload.alias("payload")))
+    return read.select("draw_index", "fault", F.array_join("numbers", " ").alias("numbers"), "special_number")
+
+
+@register
+def reproduction(d: DataFrame) -> DataFrame:
+    """Rates of the last 50 periods as the baselines have them against those of the audited features."""
+    frozen = _baselines(d).where("strategy = 'recent_50'").select("draw_index", "number", "score")
+    again = features.audited(d).where(F.col("draw_index") > START).select("draw_index", "number", F.round("rate_50", 12).alias("score"))
+    return evidence.compared(frozen, again, ["draw_index", "number"], "score")
+
+
 # --- simulation, models, ledger -------------------------------------------------------------------------------------
 
 
@@ -541,4 +615,41 @@ def ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.join(valid, "ledger", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")))
 
 
-_registered |= {"ledger_verify": ledger_verify, "latest_wins": latest_wins, "ledger_status": ledger_status}
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the number ``k`` that their properties hold as JSON."""
+    return _events(spark, sf_dir).withColumn("k", F.from_json("props", "k bigint")["k"])
+
+
+def _of(e: DataFrame, kind: str) -> DataFrame:
+    return e.where(F.col("event_type") == kind).drop("event_type")
+
+
+def result_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results, corrections and repetitions: each user's events of a type, whose body is a third of their number."""
+    e = _keyed(spark, sf_dir).withColumn("body", F.col("k") % 3)
+    return rounded(evidence.result_events(e, ["ledger", "event_type"], "event_id", "body").select("event_id", "ledger", "event_type", "kind"))
+
+
+def prediction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the one signup of the same user and number."""
+    e = _keyed(spark, sf_dir)
+    return rounded(evidence.with_prediction(_of(e, "purchase"), _of(e, "signup"), ["ledger", "k"]).select("event_id", "ledger", "k", "lookup", "prediction"))
+
+
+def latest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups with the last view of the same user and number whose value is at least 5."""
+    e = _keyed(spark, sf_dir)
+    return rounded(evidence.with_anchor(_of(e, "signup"), _of(e, "view"), ["ledger", "k"], F.col("value") >= 5).select("event_id", "ledger", "k", "anchor"))
+
+
+def ledger_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _keyed(spark, sf_dir)
+    return rounded(evidence.protocol(_of(e, "signup"), _of(e, "purchase"), "ledger", ["ledger", "k"]))
+
+
+def ledger_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's results in stages of ten."""
+    return rounded(evidence.stages(_of(_events(spark, sf_dir), "purchase"), "ledger", "event_id", 10))
+
+
+_registered |= {f.__name__: f for f in (ledger_verify, latest_wins, ledger_status, result_events, prediction_lookup, latest_anchor, ledger_protocol, ledger_stages)}
