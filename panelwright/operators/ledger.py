@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,17 +26,26 @@ CHAIN = "ledger long, sequence long, event_id long, body string, previous_record
 
 
 def chain(events: DataFrame) -> DataFrame:
-    """A chain for each ledger of (ledger, event_id, body), by event_id: the order is total, so a ledger is one group."""
+    """A chain for each ledger of (ledger, event_id, body), by event_id; events without a ledger are in none.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, before = [], START_HASH
-        for i, r in enumerate(pdf.sort_values("event_id").itertuples(index=False), 1):
-            own = record_hash(int(r.event_id), int(r.ledger), i, r.body, before)
-            rows.append((int(r.ledger), i, int(r.event_id), r.body, before, own))
-            before = own
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHAIN.split(", ")])
+    The order is total, so a ledger stays in one task; its events come sorted in batches, and only the last hash is carried.
+    """
 
-    return events.groupBy("ledger").applyInPandas(run, CHAIN)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ledger, place, before = None, 0, START_HASH
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                if r.ledger != ledger:
+                    ledger, place, before = r.ledger, 0, START_HASH
+                place += 1
+                own = record_hash(int(r.event_id), int(ledger), place, r.body, before)
+                rows.append((int(ledger), place, int(r.event_id), r.body, before, own))
+                before = own
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHAIN.split(", ")])
+
+    ordered = events.select("ledger", "event_id", "body").where("ledger is not null").repartition("ledger").sortWithinPartitions("ledger", "event_id")
+    return ordered.mapInPandas(run, CHAIN)
 
 
 def verify(ledger: DataFrame) -> DataFrame:

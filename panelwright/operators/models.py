@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -33,21 +35,30 @@ def fixed_holdout(panel: DataFrame, periods: int, test_ratio: float = 0.2, c: fl
 def online(panel: DataFrame, rate: float = 0.05, shrink: float = 0.1) -> DataFrame:
     """(number, n, brier, log_loss): a logistic model for each number, scored on each period and then moved by it.
 
-    State is a number's weights; a number's periods are one ordered group, as the state demands.
+    A number's periods come sorted in batches; its weights and sums are carried from one batch to the next.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("draw_index")
-        x, y = pdf[list(FEATURES)].to_numpy(), pdf["y"].to_numpy(float)
-        w, b, brier, loss = np.zeros(x.shape[1]), np.log(P0 / (1 - P0)), 0.0, 0.0
-        for t in range(len(y)):
-            p = 1 / (1 + np.exp(-(x[t] @ w + b)))
-            q = (1 - shrink) * p + shrink * P0
-            brier += (q - y[t]) ** 2
-            loss -= np.log(q if y[t] else 1 - q)
-            step = rate / np.sqrt(1 + t) * (p - y[t])
-            w -= step * x[t]
-            b -= step
-        return pd.DataFrame([(int(pdf["number"].iloc[0]), len(y), brier / len(y), loss / len(y))], columns=["number", "n", "brier", "log_loss"])
-
-    return panel.select("draw_index", "number", "y", *FEATURES).groupBy("number").applyInPandas(run, "number int, n long, brier double, log_loss double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, t, b, brier, loss = None, 0, 0.0, 0.0, 0.0
+        w = np.zeros(len(FEATURES))
+        said = lambda: pd.DataFrame([(number, t, brier / t, loss / t)], columns=["number", "n", "brier", "log_loss"])
+        for pdf in frames:
+            for n, x, y in zip(pdf["number"].to_numpy(), pdf[list(FEATURES)].to_numpy(float), pdf["y"].to_numpy(float), strict=True):
+                if n != number:
+                    if number is not None:
+                        yield said()
+                    number, t, b, brier, loss = int(n), 0, float(np.log(P0 / (1 - P0))), 0.0, 0.0
+                    w = np.zeros(len(FEATURES))
+                p = 1 / (1 + np.exp(-(x @ w + b)))
+                q = (1 - shrink) * p + shrink * P0
+                brier += (q - y) ** 2
+                loss -= np.log(q if y else 1 - q)
+                step = rate / np.sqrt(1 + t) * (p - y)
+                w = w - step * x
+                b -= step
+                t += 1
+        if number is not None:
+            yield said()
+
+    ordered = panel.select("draw_index", "number", "y", *FEATURES).repartition("number").sortWithinPartitions("number", "draw_index")
+    return ordered.mapInPandas(run, "number int, n long, brier double, log_loss double")

@@ -164,3 +164,20 @@ def z_within(value: Column, *by: str) -> Column:
     w = Window.partitionBy(*by)
     sd = F.stddev_pop(value).over(w)
     return F.when(sd <= 1e-15, F.lit(0.0)).otherwise((value - F.avg(value).over(w)) / sd)
+
+
+#: Draws of one range of a rolling mean.
+SPAN = 8_192
+
+
+def rolling_mean(draws: DataFrame, width: int) -> DataFrame:
+    """(draw_index, rolling_mean): mean total of a draw and of the ``width`` - 1 before it, null where there are fewer.
+
+    Draws are dealt out by ranges; the last rows of a range go to the next one as well.
+    """
+    own = F.floor(F.col("draw_index") / SPAN)
+    ranges = F.explode(F.when(F.col("draw_index") % SPAN > SPAN - width, F.array(own, own + 1)).otherwise(F.array(own))).alias("range")
+    total = F.aggregate("numbers", F.lit(0), lambda a, x: a + x).cast("double").alias("total")
+    w = Window.partitionBy("range").orderBy("draw_index").rowsBetween(1 - width, 0)
+    mean = F.when(F.count("*").over(w) == width, F.avg("total").over(w)).alias("rolling_mean")
+    return draws.select("draw_index", total, ranges).select("draw_index", "range", mean).where(own == F.col("range")).drop("range")

@@ -61,12 +61,23 @@ def _out_of_order(df: DataFrame) -> DataFrame:
     return df.join(before, "seq").where("draw_date < before").select("seq", F.lit("not_sorted").alias("code"))
 
 
+#: Longest gap whose ids are listed; a longer one raises, as it is an id that went wrong rather than lost draws.
+LONGEST_GAP = 1_000_000
+
+
 def missing_ids(df: DataFrame) -> DataFrame:
-    """(prefix, missing): numbers between the least and greatest of each year's ids that no row has."""
+    """(prefix, missing): numbers between the least and greatest of each year's ids that no row has.
+
+    Runs of ids are found by joins with their neighbours; only the ends of runs, two for each gap, are put in order.
+    """
     ids = df.select(year_prefix(F.col("draw_id")).alias("prefix"), F.expr("try_cast(draw_id as bigint)").alias("id")).where("id is not null").distinct()
-    ends = ids.groupBy("prefix").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    every = ends.select("prefix", F.explode(F.sequence("low", "high")).alias("id"))
-    return every.join(ids, ["prefix", "id"], "left_anti").select("prefix", F.col("id").alias("missing"))
+    without = lambda step: ids.join(ids.select("prefix", (F.col("id") + step).alias("id")), ["prefix", "id"], "left_anti")
+    ends = without(-1).withColumn("ends", F.lit(1)).unionByName(without(1).withColumn("ends", F.lit(0)))
+    after = F.lead("id").over(Window.partitionBy("prefix").orderBy("id", "ends"))
+    gaps = ends.withColumn("after", after).where("ends = 1 and after is not null")
+    said = F.raise_error(F.format_string("ids between %d and %d are missing: too many to list", "id", "after")).cast("array<bigint>")
+    listed = F.when(F.col("after") - F.col("id") > LONGEST_GAP, said).otherwise(F.sequence(F.col("id") + 1, F.col("after") - 1))
+    return gaps.select("prefix", F.explode(listed).alias("missing"))
 
 
 #: Order in which a hard validation fails.

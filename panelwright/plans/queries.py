@@ -120,10 +120,7 @@ def nlargest_cold(d: DataFrame) -> DataFrame:
 
 @register
 def rolling_mean_50(d: DataFrame) -> DataFrame:
-    total = F.aggregate("numbers", F.lit(0), lambda a, x: a + x)
-    w = Window.orderBy("draw_index").rowsBetween(-49, 0)
-    t = d.select("draw_index", total.cast("double").alias("total"))
-    return t.select("draw_index", F.when(F.count("*").over(w) == 50, F.avg("total").over(w)).alias("rolling_mean"))
+    return panel.rolling_mean(d, 50)
 
 
 @register

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions import special
-from panelwright.operators import evidence, resampling
+from panelwright.operators import evidence, ledger, panel, resampling, validation
 
 
 def test_results_corrections_and_repetitions(spark):
@@ -90,3 +90,33 @@ def test_binomial_tails(k, n):
     lower = lambda q: sum(math.comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1))
     assert low == 0 if k == 0 else upper(low) == pytest.approx(0.025)
     assert high == 1 if k == n else lower(high) == pytest.approx(0.025)
+
+
+def test_rolling_mean_over_ranges(spark):
+    n = 8_192 + 60
+    rows = [(i, [1, 2, 3, 4, 5, i % 40 + 6]) for i in range(n)]
+    got = {r[0]: r[1] for r in panel.rolling_mean(spark.createDataFrame(rows, "draw_index long, numbers array<int>"), 50).collect()}
+    totals = [sum(x) for _, x in rows]
+    assert len(got) == n
+    for i in (0, 48, 49, 8_190, 8_191, 8_192, 8_193, 8_240, n - 1):
+        assert got[i] == (None if i < 49 else pytest.approx(np.mean(totals[i - 49 : i + 1])))
+
+
+def test_missing_ids(spark):
+    ids = ["107000001", "107000002", "107000005", "107000007", "107000007", "108000010", None, "x"]
+    got = sorted(tuple(r) for r in validation.missing_ids(spark.createDataFrame([(i,) for i in ids], "draw_id string")).collect())
+    assert got == [("107", 107000003), ("107", 107000004), ("107", 107000006)]
+    far = spark.createDataFrame([("107000001",), ("1079999999",)], "draw_id string")
+    with pytest.raises(Exception, match="too many to list"):
+        validation.missing_ids(far).collect()
+
+
+def test_chains_carry_the_hash_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i % 3, 1_000 - i, f"b{i}") for i in range(60)] + [(None, 1, "x")]
+        c = ledger.chain(spark.createDataFrame(rows, "ledger long, event_id long, body string")).cache()
+        assert c.count() == 60
+        assert [tuple(r)[1:] for r in ledger.verify(c).orderBy("ledger").collect()] == [(20, 0, 0, 0, 0)] * 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
