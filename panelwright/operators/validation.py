@@ -98,7 +98,7 @@ def validate(df: DataFrame) -> None:
         raise ValueError(f"{bad['code']}: {bad['n_rows']} rows")
 
 
-def clean(raw: DataFrame, source: str, version: str) -> DataFrame:
+def clean(raw: DataFrame, source: str, version: str, version_column: str | None = None) -> DataFrame:
     """Text columns to the draw schema: ids without ``.0``, dates and numbers coerced, numbers sorted (all null if one is), last row of each (id, date) kept."""
     number = [F.expr(f"try_cast(trim({c}) as int)") for c in NUMBERS]
     n = F.array(*number)
@@ -110,7 +110,7 @@ def clean(raw: DataFrame, source: str, version: str) -> DataFrame:
         *[sorted_[i].alias(c) for i, c in enumerate(NUMBERS)],
         F.expr("try_cast(trim(special_number) as int)").alias("special_number"),
         F.lit(source).alias("source"),
-        F.lit(version).alias("source_version"),
+        (F.col(version_column) if version_column else F.lit(version)).alias("source_version"),
     )
     return keep_last(typed, ["draw_id", "draw_date"], "seq")
 

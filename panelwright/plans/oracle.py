@@ -304,6 +304,9 @@ def _evidence(q: dict[str, str]) -> dict[str, str]:
     events = "SELECT user_id AS ledger, event_id, event_type, value, (props::JSON->>'k')::BIGINT AS k FROM events"
     of = lambda kind: f"(SELECT * FROM ({events}) WHERE event_type = '{kind}')"
     return {
+        "ledger_lines": "SELECT event_id, CASE WHEN event_id % 31 = 4 THEN 'blank' WHEN event_id % 37 = 5 THEN 'not_json' WHEN event_id % 41 = 6 THEN 'not_object' WHEN event_id % 43 = 7 THEN 'not_canonical' END AS fault FROM events",
+        # a body changed after the fact breaks its own hash, a record taken out the next one's link and all later places
+        "ledger_verify": "SELECT ledger, n - gone AS records, CASE WHEN gone = 1 THEN n - 2 ELSE 0 END AS bad_sequence, CASE WHEN gone = 1 AND n > 2 THEN 1 ELSE 0 END AS bad_link, CASE WHEN ledger % 7 = 3 AND n >= 5 THEN 1 ELSE 0 END AS bad_hash, 0 AS repeated_event FROM (SELECT user_id AS ledger, count(*) AS n, (user_id % 11 = 4 AND count(*) >= 2)::BIGINT AS gone FROM events GROUP BY user_id)",
         "result_events": f"SELECT event_id, ledger, event_type, CASE WHEN row_number() OVER w = 1 THEN 'result' WHEN k % 3 = lag(k % 3) OVER w THEN 'repeated' ELSE 'correction' END AS kind FROM ({events}) WINDOW w AS (PARTITION BY ledger, event_type ORDER BY event_id)",
         "prediction_lookup": f"SELECT event_id, ledger, k, CASE coalesce(n, 0) WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS lookup, CASE WHEN n = 1 THEN p END AS prediction FROM {of('purchase')} LEFT JOIN (SELECT ledger, k, count(*) AS n, min(event_id) AS p FROM {of('signup')} GROUP BY ALL) USING (ledger, k)",
         "latest_anchor": f"SELECT event_id, ledger, k, anchor FROM {of('signup')} LEFT JOIN (SELECT ledger, k, max(event_id) AS anchor FROM {of('view')} WHERE value >= 5 GROUP BY ALL) USING (ledger, k)",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.adjust import adjusted, projected, shrunk, wilson
 from panelwright.functions.special import binomial_doubled, binomial_minimum_likelihood, clopper_pearson, normal_sf, student_two_sided, udf
 from panelwright.operators import evidence, features, ledger, models, panel, randomness, resampling, strategies, validation
+from panelwright.sources import ledgers
 from panelwright.sources.draws import P0, PICK, derived_draws, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -649,4 +650,11 @@ def ledger_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evidence.stages(_of(_events(spark, sf_dir), "purchase"), "ledger", "event_id", 10))
 
 
-_registered |= {f.__name__: f for f in (ledger_verify, latest_wins, ledger_status, result_events, prediction_lookup, latest_anchor, ledger_protocol, ledger_stages)}
+def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of canonical JSON, some of them blank, cut, of another kind or spaced, and what is wrong with each."""
+    i, record = F.col("event_id"), F.to_json(F.struct("event_id", "ledger", "props"))
+    line = F.when(i % 31 == 4, " ").when(i % 37 == 5, F.substring(record, 1, 9)).when(i % 41 == 6, F.concat(F.lit("["), record, F.lit("]"))).when(i % 43 == 7, F.concat(record, F.lit(" "))).otherwise(record)
+    return rounded(_events(spark, sf_dir).select("event_id", ledgers.line_fault(line).alias("fault")))
+
+
+_registered |= {f.__name__: f for f in (ledger_lines, ledger_verify, latest_wins, ledger_status, result_events, prediction_lookup, latest_anchor, ledger_protocol, ledger_stages)}
