@@ -22,6 +22,9 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 #: Bytes of alphanumeric words after lower-casing: digits, a to z and all of 0x80 and above.
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
+#: The same without digits.
+LETTERS = ALNUM.copy()
+LETTERS[0x30:0x3A] = False
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +70,8 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(texts: pa.Array, inside: np.ndarray) -> Words:
-    """Lower-case A-Z and cut texts into maximal runs of the bytes that ``inside`` marks; a null text has no words."""
+def _runs(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The lower-cased bytes of all texts, which of them lie in words, the words' starts and ends, and the texts' offsets."""
     raw, offsets = text_bytes(texts)
     data = _LOWER[raw]
     flag = inside[data]
@@ -77,7 +80,42 @@ def words(texts: pa.Array, inside: np.ndarray) -> Words:
     before[1:], after[:-1] = flag[:-1], flag[1:]
     cut = offsets[(offsets > 0) & (offsets < size)]
     before[cut], after[cut - 1] = False, False
-    start, end = np.flatnonzero(flag & ~before), np.flatnonzero(flag & ~after) + 1
+    return data, flag, np.flatnonzero(flag & ~before), np.flatnonzero(flag & ~after) + 1, offsets
+
+
+def terms(texts: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as one array of strings, and each text's first word in it (one entry more than texts)."""
+    data, flag, start, end, offsets = _runs(texts, inside)
+    return strings(end - start, data[flag]), np.searchsorted(start, offsets)
+
+
+def strings(lengths: np.ndarray, data: np.ndarray | bytes) -> pa.Array:
+    """UTF-8 strings that lie end to end in ``data``."""
+    edges = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=edges[1:])
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(edges), pa.py_buffer(data))
+
+
+def hashes(texts: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes; strings are not empty. About a megabyte at a time, as the powers take eight bytes each."""
+    data, edges = text_bytes(texts)
+    out = np.zeros(len(texts), np.uint64)
+    row = 0
+    while row < len(out):
+        stop = max(row + 1, int(np.searchsorted(edges, edges[row] + (1 << 20), "right")) - 1)
+        part, cut = data[edges[row] : edges[stop]], edges[row : stop + 1] - edges[row]
+        power, inverse = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_NUMBER[part] * power[: len(part)], out=sums[1:])
+        out[row:stop] = mix((sums[cut[1:]] - sums[cut[:-1]]) * inverse[cut[:-1]])
+        row = stop
+    return out
+
+
+def words(texts: pa.Array, inside: np.ndarray) -> Words:
+    """Lower-case A-Z and cut texts into maximal runs of the bytes that ``inside`` marks; a null text has no words."""
+    data, _, start, end, offsets = _runs(texts, inside)
+    size = len(data)
     power, inverse = powers(size + 1)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_NUMBER[data] * power[:size], out=sums[1:])

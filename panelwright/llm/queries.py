@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelwright.llm import ann as _ann
 from panelwright.llm import decontaminate as _decontaminate
+from panelwright.llm import divergence as _divergence
 from panelwright.llm import language_id as _language
 from panelwright.llm import language_model as _model
+from panelwright.llm import licenses as _licenses
 from panelwright.llm import mixing as _mixing
 from panelwright.llm import ngram_join as _ngram
+from panelwright.llm import ranked_search as _search
 from panelwright.llm import substring_dedup as _substring
 from panelwright.llm import token_counts as _counts
 from panelwright.llm import token_store as _store
@@ -75,6 +78,21 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model.score(docs.withColumn("held_out", _language.held_out(parts=7, part=2)))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's divergences from the others of its language, and its 200 leading terms."""
+    return _divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item, over all documents."""
+    return _search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    return _licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -87,11 +105,35 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_token_id_output": op9_token_id_output,
         "op10_language_model": op10_language_model,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_license_scan": op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | {"op7_mixing": _mixing_sql()}
+    return _SQL | {"op7_mixing": _mixing_sql(), "op13_license_scan": _license_sql()}
+
+
+def _license_sql() -> str:
+    """Blocks, templates and phrases as the operator's constants have them; every block is held against every template."""
+    half = _licenses.BLOCK // 2
+    templates = ", ".join(f"({k}, '{label}', list_distinct(string_split('{words}', ' ')))" for k, (label, words) in enumerate(_licenses.TEMPLATES))
+    phrases = ", ".join(f"('{label}', string_split('{words}', ' '))" for label, words in _licenses.PHRASES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {templates}) AS x(k, label, s)),
+f AS (SELECT * FROM (VALUES {phrases}) AS x(label, p)),
+b AS (SELECT DISTINCT r, i, unnest(w[i * {half} + 1:i * {half} + {_licenses.BLOCK}]) AS g FROM (SELECT r, w, unnest(range(0, greatest(ceil((len(w) - {_licenses.BLOCK}) / {half})::BIGINT, 0) + 1)) AS i FROM d WHERE len(w) > 0)),
+m AS (SELECT r, label, count(*) / len(s) AS score FROM b JOIN (SELECT k, label, s, unnest(s) AS g FROM t) USING (g) GROUP BY r, i, k, label, s HAVING count(*) >= ceil(round({_licenses.THRESHOLD} * len(s), 9))),
+n AS (SELECT r, i - 1 AS place, f.label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), f WHERE w[i:i + len(p) - 1] = p),
+p AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM n GROUP BY r),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT DISTINCT r, label FROM n) GROUP BY r),
+al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS l FROM (SELECT r, label FROM n UNION SELECT r, label FROM m) GROUP BY r),
+x AS (SELECT r, max(score) AS score FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(bl.l, '') AS base_labels, coalesce(al.l, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(x.score, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN p USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN x USING (r)"""
 
 
 def _mixing_sql() -> str:
@@ -127,7 +169,35 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
 _SQL = {
+    "op11_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '{_LETTERS}') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS item FROM d),
+k AS (SELECT lang, item FROM t GROUP BY lang, item HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, item, count(*) AS n FROM t JOIN k USING (lang, item) GROUP BY ALL),
+e AS (SELECT g.lang, g.source, k.item, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.item = k.item),
+p AS (SELECT lang, source, item, n, (1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v))::BIGINT AS p FROM e JOIN v USING (lang)),
+l AS (SELECT lang, item, (1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v))::BIGINT AS q FROM (SELECT lang, item, sum(n) AS n FROM n GROUP BY lang, item) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN l USING (lang, item) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u
+QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_ranked_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_ALNUM}')) AS g FROM benchmark),
+c AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+t AS (SELECT r, g, count(*) AS tf FROM (SELECT r, unnest(w) AS g FROM d) WHERE g IN (SELECT g FROM b) GROUP BY r, g),
+f AS (SELECT g, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, c GROUP BY g, n),
+m AS (SELECT r, 100 - 50 + (50 * len(w) * n) // l AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM b JOIN t USING (g) JOIN f USING (g) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0
+QUALIFY rank <= 50""",
     "op1_ngram_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_SPACED}') AS w FROM documents),
 s AS (
