@@ -18,6 +18,10 @@ BUCKETS = 1 << 15
 DIM = 16
 #: Labelled rows of each language from which a model is fitted, at most.
 FIT_ROWS = 800
+#: Parts into which a language's rows are dealt before its first rows are taken of what each part keeps.
+PARTS = 32
+#: Different labels, at most: a model holds weights for each.
+MOST_LANGS = 1_024
 EPOCHS = 8
 #: Step size at first; it falls to 0 over the epochs.
 RATE = 4.0
@@ -119,24 +123,45 @@ def _descend(bags: list, y: np.ndarray, k: int, seed: int, first_rate: float = R
     return embed, weight, bias
 
 
+def _leading(rows: DataFrame, k: int, *order: str) -> DataFrame:
+    """The first ``k`` rows of each lang by ``order``, with their number ``turn``.
+
+    Parts of a language give their first ``k`` each, so that no task gets more than PARTS times ``k`` rows of it at last.
+    """
+    part = F.row_number().over(Window.partitionBy("lang", F.pmod(F.hash(*order), F.lit(PARTS))).orderBy(*order))
+    some = rows.withColumn("turn", part).where(F.col("turn") <= k).drop("turn")
+    return some.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("turn") <= k)
+
+
+def taught(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(lang, text, turn): at most ``fit_rows`` labelled rows of each language, numbered by ``turn``.
+
+    Ids are chosen by their hashes, which looks at ids and labels alone; of the rows of chosen ids the first are taken,
+    so that an id with many rows does not add to them. Rows with a null id, label or text do not teach.
+    """
+    docs = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
+    ids = docs.select("lang", "doc_id").distinct().withColumn("mark", F.xxhash64("doc_id"))
+    chosen = _leading(ids, fit_rows, "mark", "doc_id").select("lang", "doc_id", F.col("turn").alias("place"))
+    rows = docs.join(F.broadcast(chosen), ["lang", "doc_id"]).withColumn("same", F.xxhash64("text"))  # fit_rows ids of each of some languages
+    first = _leading(rows, fit_rows, "place", "same")
+    return first.select("lang", "text", "turn")
+
+
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
-    """A model from the labelled rows (doc_id, text, lang): at most ``fit_rows`` of each language, by a hash of the id.
+    """A model from the labelled rows (doc_id, text, lang): at most ``fit_rows`` of each language, as ``taught`` chooses them.
 
-    The choice looks at ids and labels alone; the whole texts of the chosen rows are read. Every fifth chosen row
-    calibrates the temperature and the least accepted score. Rows with a null label or text do not teach. No rows: a
-    model without languages, which calls everything ``und``.
+    Every fifth chosen row calibrates the temperature and the least accepted score. No rows: a model without languages,
+    which calls everything ``und``. More than MOST_LANGS labels raise an error.
     """
     arrow_rows(docs.sparkSession)
-    docs = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = docs.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= fit_rows).select("doc_id", "turn")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("lang", "text", "turn")  # fit_rows ids of each language at most
-    found = rows.mapInArrow(_bags, "lang string, turn int, buckets binary, shares binary").toArrow()
+    found = taught(docs, fit_rows).mapInArrow(_bags, "lang string, turn int, buckets binary, shares binary").toArrow()
     order = sorted(range(found.num_rows), key=lambda i: (found["lang"][i].as_py(), found["turn"][i].as_py(), found["buckets"][i].as_py()))
     found = found.take(pa.array(order, pa.int64()))
     bags = [(np.frombuffer(a.as_py(), "<u2").astype(np.int64), np.frombuffer(b.as_py(), "<f4").astype(np.float64)) for a, b in zip(found["buckets"], found["shares"], strict=True)]
     names = found["lang"].to_pylist()
     langs = sorted(set(names))
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} languages: at most {MOST_LANGS} can be told apart")
     y = np.array([langs.index(x) for x in names], np.int64)
     held = np.array([t % 5 == 0 for t in found["turn"].to_pylist()], bool)
     if not langs:

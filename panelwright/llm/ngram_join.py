@@ -347,7 +347,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Sets are compared by 64-bit hashes of their shingles. A null or empty text, and one without words, has no shingle,
     links with nothing and is its own component. Fewer than five words: the whole sequence is the one shingle. Repeated
-    ids: each row counts, under the same id. A row with a null id takes part in no link; its component_id is null. Any
+    ids: each row counts, and the rows of one id are one node, whatever their texts. A row with a null id takes part in no link; its component_id is null. Any
     other columns of ``docs`` are ignored. An empty table gives an empty one.
     """
     spark: SparkSession = docs.sparkSession
@@ -399,9 +399,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     itself = blocks.join(opened.where("a = b").select(F.col("a").alias("set_key")), "set_key").select(F.col("members").alias("a_members"), F.lit(None).cast(blocks.schema["members"].dataType).alias("b_members"))
     links.append(sets.linked(stored(both.union(itself).mapInArrow(_opened, "a long, b long"), "join-candidates")))
 
-    every = components(reduce(DataFrame.union, links).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    edges = reduce(DataFrame.union, links).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    # an id whose rows have different sets is one node: it joins the sets' representatives
+    several = stored(keyed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id"), "join-several-ids")
+    held = stored(keyed.where("n_shingles > 0").join(several, "doc_id").join(reps, "set_key").select("doc_id", "rep").distinct(), "join-held")
+    hubs = held.groupBy("doc_id").agg(F.min("rep").alias("hub"))
+    edges = edges.union(held.join(hubs, "doc_id").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+    every = components(edges)
+    whole = stored(hubs.join(every, hubs["hub"] == every["node"], "left").select("doc_id", F.coalesce("component", "hub").alias("whole")), "join-whole")
     classes = reps.join(every, reps["rep"] == every["node"], "left").select("set_key", F.coalesce("component", "rep").alias("c"), "n_copies")
-    out = keyed.join(classes, "set_key", "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
+    out = keyed.join(classes, "set_key", "left").join(whole, "doc_id", "left")
+    own = F.when(F.col("whole").isNotNull(), F.col("whole")).when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     copies = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("n_copies")).otherwise(F.lit(1))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), copies.cast("long").alias("n_copies"))

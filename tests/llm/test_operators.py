@@ -109,12 +109,25 @@ def test_ngram_join_with_repeated_and_null_ids(spark):
     got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert len(got) == len(rows)
     want = brute_components(rows)
-    # an id with two texts names the smallest id that either text's links reach
-    assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None and r["doc_id"] >= 100)
+    assert all(r["component_id"] == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
     assert all(r["component_id"] is None and r["n_copies"] == 1 for r in got if r["doc_id"] is None)
     assert sorted(r["n_shingles"] for r in got if r["doc_id"] is None) == [0, 1, 56]
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    """Rows of one id are one node, also where a smaller id represents one of its texts, and where one has no word."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        x, y = text(rng, 60), text(rng, 60)
+        near = y.split()
+        near[20] = "edit"
+        rows += [(20 * k + 3, x), (20 * k + 5, x), (20 * k + 5, y), (20 * k + 9, " ".join(near)), (20 * k + 5, ""), (20 * k + 1, "?"), (20 * k + 1, None), (20 * k + 2, ""), (20 * k + 2, "a b")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute_components(rows)
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == set(want.items())
+
+
 def test_ngram_join_of_a_family(spark):
     """Variants of one text that share a passage with all others, some of which link only through each other."""
     rng = random.Random(9)
@@ -238,6 +251,19 @@ def test_decontamination(spark, docs):
     assert not any(r["contaminated"] for r in decontaminate.report(decontaminate.decontaminate(docs, bench.limit(0))).collect())
 
 
+def test_language_id_is_taught_by_a_bounded_number_of_rows(spark):
+    """An id with many rows, alike or not, adds no more than the bound; every language gets its rows."""
+    rows = [(1, f"same id {k % 50}", "en") for k in range(2000)] + [(k, f"text {k}", "en") for k in range(50)] + [(7, "ein", "de")] * 300 + [(k, "uno", "es") for k in range(900, 930)]
+    rows += [(None, "x", "fr"), (3, None, "fr"), (4, "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    for most in (100, 20):
+        got = collections.Counter(r["lang"] for r in language_id.taught(docs, most).collect())
+        assert got == {"en": most, "de": min(300, most), "es": min(30, most)}
+    turns = [(r["lang"], r["turn"]) for r in language_id.taught(docs, 100).collect()]
+    assert len(turns) == len(set(turns)) and max(t for _, t in turns) == 100
+    assert language_id.fit(docs, fit_rows=20).langs == ["de", "en", "es"]
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     tongue = {"en": ["the", "and", "thing", "which", "water"], "de": ["und", "nicht", "schön", "wasser", "zeit"]}
