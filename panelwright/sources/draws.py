@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNIVERSE, PICK = 49, 6
 P0 = PICK / UNIVERSE
-#: Most rows that one task numbers, and least: a table is numbered in as many ranges of its key as there are cores, or more.
-RANGE_ROWS, RANGE_LEAST = 500_000, 2_000
 
 DRAW_SCHEMA = (
     "draw_id string, draw_date date, number_1 int, number_2 int, number_3 int, number_4 int, number_5 int, number_6 int, "
@@ -19,25 +17,32 @@ DRAW_SCHEMA = (
 )
 
 
-def numbered(df: DataFrame, key: str, name: str = "draw_index") -> DataFrame:
+def place_among(edges: Sequence[float], key: Column) -> Column:
+    """How many of the sorted ``edges`` lie below ``key``: a binary search in one array literal, however many edges there are."""
+    depth = len(edges).bit_length()
+    padded = [*map(repr, edges), *["Infinity"] * ((1 << depth) - 1 - len(edges))]
+    table = F.split(F.lit(",".join(padded)), ",").cast("array<double>")  # of constants alone: Spark makes it a literal
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(depth))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) < key, at + step).otherwise(at))
+
+
+def numbered(df: DataFrame, key: str, name: str = "draw_index", ranges: int | None = None) -> DataFrame:
     """``df`` with consecutive numbers from 0 in the order of the numeric, unique ``key``.
 
-    Rows are dealt out by ranges of the key, numbered inside each range, and moved by the size of the ranges before:
-    only those sizes, a few numbers, go through the driver.
+    Rows are dealt out by ranges of the key, numbered inside each range, and moved by the size of the ranges before. The
+    ranges' edges are fixed before the plan is built, by one pass of sketches over the key; sizes are counted, added up
+    and joined as a table of one row for each range. There are as many ranges as shuffle partitions, or ``ranges``.
     """
-    rows = df.count()
-    ranges = max(-(-rows // RANGE_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, rows // RANGE_LEAST))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    df = df.withColumn("_range", place_among(edges, F.col(key)) if edges else F.lit(0))
+    sizes = df.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    offsets = sizes.select("_range", before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(key)).cast("long") - 1
-    if ranges <= 1:
-        return df.withColumn("_range", F.lit(0)).withColumn(name, inside).drop("_range")
-    edges = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.1 / ranges)))
-    df = df.withColumn("_range", reduce(lambda a, b: a + b, [(F.col(key) > e).cast("int") for e in edges], F.lit(0)))
-    before, at = {}, 0
-    for r in df.groupBy("_range").count().orderBy("_range").collect():
-        before[r["_range"]], at = at, at + r["count"]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range"))
     # an exchange of a stated number of partitions: small rows stay spread over all cores, as much is made of each
-    return df.repartitionByRange(ranges, "_range").withColumn(name, inside + offset).drop("_range")
+    dealt = df.repartitionById(ranges, F.col("_range")).withColumn("_inside", inside)
+    return dealt.join(F.broadcast(offsets), "_range", "left").withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before")
 
 
 def subset(key: Column, size: int) -> Column:

@@ -100,10 +100,14 @@ def test_uniform_losses_have_closed_form(draws):
     assert all(r["brier"] == pytest.approx(6 / 49 * 43 / 49) for r in got)
 
 
-def test_numbering_in_ranges(spark, monkeypatch):
-    monkeypatch.setattr("panelwright.sources.draws.RANGE_ROWS", 100)
-    got = numbered(spark.range(0, 5000, 7).withColumnRenamed("id", "k"), "k").orderBy("k").collect()
-    assert [r["draw_index"] for r in got] == list(range(len(got)))
+@pytest.mark.parametrize("ranges", [None, 1, 2, 7, 64, 5000])
+def test_numbering_in_ranges(spark, ranges):
+    """Keys in no order, with a dense and a thin part; thousands of ranges are no deeper a plan than a few."""
+    keys = [(k * 7919) % 10_007 if k % 3 else -(k**2) for k in range(6000)]
+    keys = sorted(set(keys), key=lambda k: (k * 31) % 977)
+    got = numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k", ranges=ranges).collect()
+    assert sorted((r["draw_index"], r["k"]) for r in got) == list(enumerate(sorted(keys)))
+    assert numbered(spark.createDataFrame([], "k long"), "k", ranges=ranges).count() == 0
 
 
 def test_tails():
