@@ -109,6 +109,7 @@ def _descend(bags: list, y: np.ndarray, k: int, seed: int, first_rate: float = R
             rate = first_rate * (1 - step / steps)
             step += 1
             at, x = bags[i]
+            x = x.astype(float)
             hidden = x @ embed[at]
             z = hidden @ weight + bias
             p = np.exp(z - z.max())
@@ -154,18 +155,33 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
     which calls everything ``und``. More than MOST_LANGS labels raise an error.
     """
     arrow_rows(docs.sparkSession)
-    found = taught(docs, fit_rows).mapInArrow(_bags, "lang string, turn int, buckets binary, shares binary").toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: (found["lang"][i].as_py(), found["turn"][i].as_py(), found["buckets"][i].as_py()))
-    found = found.take(pa.array(order, pa.int64()))
-    bags = [(np.frombuffer(a.as_py(), "<u2").astype(np.int64), np.frombuffer(b.as_py(), "<f4").astype(np.float64)) for a, b in zip(found["buckets"], found["shares"], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts := list(batches):
+            m = _taught(pa.Table.from_batches(parts), seed)
+            yield pa.record_batch([pa.array([m.langs], pa.list_(pa.string())), pa.array([m.logits.tobytes()], pa.binary()), pa.array([m.bias.tolist()], pa.list_(pa.float64())), pa.array([m.temperature]), pa.array([m.least])], ["langs", "logits", "bias", "temperature", "least"])
+
+    bags = taught(docs, fit_rows).mapInArrow(_bags, "lang string, turn int, buckets binary, shares binary")
+    # one task fits, on fit_rows of each of at most MOST_LANGS languages; only the model comes to the driver
+    made = bags.repartition(1).mapInArrow(run, "langs array<string>, logits binary, bias array<double>, temperature double, least double").collect()
+    if not made:
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+    m = made[0]
+    return Model(m["langs"], np.frombuffer(m["logits"], np.float32).reshape(BUCKETS + 1, -1), np.array(m["bias"]), m["temperature"], m["least"])
+
+
+def _taught(found: pa.Table, seed: int) -> Model:
+    """The model of some bags (lang, turn, buckets, shares), at least one."""
+    order = sorted(range(found.num_rows), key=lambda i: (found["lang"][i].as_py(), found["turn"][i].as_py()))
+    found = found.take(pa.array(order, pa.int64())).combine_chunks()
+    # views of the table's bytes: numbers widen where they are used
+    bags = [(np.frombuffer(a.as_buffer(), "<u2"), np.frombuffer(b.as_buffer(), "<f4")) for a, b in zip(found["buckets"], found["shares"], strict=True)]
     names = found["lang"].to_pylist()
     langs = sorted(set(names))
     if len(langs) > MOST_LANGS:
         raise ValueError(f"{len(langs)} languages: at most {MOST_LANGS} can be told apart")
     y = np.array([langs.index(x) for x in names], np.int64)
     held = np.array([t % 5 == 0 for t in found["turn"].to_pylist()], bool)
-    if not langs:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0, 0.0)
     train = np.flatnonzero(~held)
     rate = RATE
     while True:
@@ -175,7 +191,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 7) -> Model:
             break
         rate /= 4  # labels that texts do not tell apart can drive the descent off
     logits = np.vstack([embed @ weight, np.zeros(len(langs))]).astype(np.float32)
-    z = np.array([x @ logits[at] + bias for (at, x), h in zip(bags, held, strict=True) if h]).reshape(-1, len(langs))
+    z = np.array([x.astype(float) @ logits[at] + bias for (at, x), h in zip(bags, held, strict=True) if h]).reshape(-1, len(langs))
     temperature, least = _calibrate(z, y[held]) if len(z) else (1.0, 0.0)
     return Model(langs, logits, bias, temperature, least)
 
