@@ -1,4 +1,4 @@
-"""Logistic models of the audited features, refitted along the periods."""
+"""A logistic model of each number that moves with every period."""
 
 from __future__ import annotations
 
@@ -6,30 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from panelwright.sources.draws import P0, UNIVERSE
-
-FEATURES = ("z_gap_asof", "z_ewma", "z_transition_rate", "z_long_rate", "z_rate_20", "z_rate_50", "z_rate_100")
-
-
-def fixed_holdout(panel: DataFrame, periods: int, test_ratio: float = 0.2, c: float = 0.2) -> DataFrame:
-    """(draw_index, number, y, p) of the last periods, from one distributed fit on the periods before them.
-
-    The penalty is that of the objective sum(loss) + |w|^2 / (2 C); features are standardised already, by period.
-    """
-    if not 0 < test_ratio < 1:
-        raise ValueError("test_ratio must lie between 0 and 1")
-    cut = int(periods * (1 - test_ratio))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(panel)
-    train = rows.where(F.col("draw_index") < cut)
-    model = LogisticRegression(labelCol="y", regParam=1 / (c * cut * UNIVERSE), standardization=False, maxIter=100).fit(train)
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(rows.where(F.col("draw_index") >= cut)).select("draw_index", "number", "y", vector_to_array("probability")[1].alias("p"))
+from panelwright.operators.fits import FEATURES
+from panelwright.sources.draws import P0
 
 
 def online(panel: DataFrame, rate: float = 0.05, shrink: float = 0.1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.features import BASE_ALPHA, PERIOD, history, long_rate, transition_rate
+from panelwright.operators.permutation import mask
 from panelwright.sources.draws import P0, PICK, UNIVERSE
 
 START = 300
@@ -93,6 +94,13 @@ def periods(draws: DataFrame, start: int = START, clip: float = 1e-6) -> DataFra
     return _scored(draws, start).select("draw_index", rows).select("s.strategy", "draw_index", _evaluated(F.col("s.v"), clip, True).alias("e")).select("strategy", "draw_index", "e.*")
 
 
+def picks(draws: DataFrame, start: int = START, k: int = PICK) -> DataFrame:
+    """(draw_index, outcome, masks): each period's hits, and the ``k`` numbers of the greatest score by each strategy, as bits."""
+    top = lambda s: mask(F.transform(F.slice(F.sort_array(F.transform("items", lambda x: F.struct((-x[s]).alias("s"), x["number"].alias("n")))), 1, k), lambda x: x["n"]))
+    hits = mask(F.transform(F.filter("items", lambda x: x["y"] == 1), lambda x: x["number"]))
+    return _scored(draws, start).select("draw_index", hits.alias("outcome"), F.array(*[top(s) for s in STRATEGIES]).alias("masks"))
+
+
 def summary(periods: DataFrame) -> DataFrame:
     """Means, shares of 0 to 6 hits, and the paired difference to the uniform baseline with its t value."""
     base = F.max(F.when(F.col("strategy") == "uniform_random", F.col("hits_6"))).over(Window.partitionBy("draw_index"))

@@ -55,10 +55,22 @@ def _flagged(all_rules: dict[str, Column]) -> dict[str, Column]:
     return {k: F.col(f"rule_{k}") for k in all_rules}
 
 
+#: Values of ``seq`` in a range; rows are compared inside ranges, whose last rows are handed on.
+RANGE = 65_536
+
+
 def _out_of_order(df: DataFrame) -> DataFrame:
-    """Rows whose date lies before the row's before them: neighbours meet by an equi-join on consecutive ``seq``."""
-    before = df.select((F.col("seq") + 1).alias("seq"), F.col("draw_date").alias("before"))
-    return df.join(before, "seq").where("draw_date < before").select("seq", F.lit("not_sorted").alias("code"))
+    """Rows whose date lies before that of the row before them in the order of ``seq``, whatever numbers are missing between.
+
+    Neighbours inside a range of ``seq`` meet in a window; a range's first row meets the last of the range before that has
+    rows. ``seq`` is unique; rows without a date, or after one, are in order.
+    """
+    rows = df.select("seq", "draw_date", F.floor(F.col("seq") / RANGE).alias("range"))
+    inside = Window.partitionBy("range").orderBy("seq")
+    ends = rows.groupBy("range").agg(F.max_by(F.struct("draw_date"), "seq").alias("end"))
+    handed = ends.select("range", F.lag("end").over(Window.orderBy("range")).alias("handed"))  # a row for each range
+    rows = rows.withColumn("before", F.lag(F.struct("draw_date")).over(inside)).join(handed, "range")
+    return rows.where(F.col("draw_date") < F.coalesce("before", "handed")["draw_date"]).select("seq", F.lit("not_sorted").alias("code"))
 
 
 #: Longest gap whose ids are listed; a longer one raises, as it is an id that went wrong rather than lost draws.

@@ -43,7 +43,7 @@ _PARTS = {
   UNION ALL SELECT 'duplicate_date', seq FROM (SELECT seq, count(*) OVER (PARTITION BY draw_date) AS n FROM r WHERE draw_date IS NOT NULL) WHERE n > 1
   UNION ALL SELECT 'duplicate_row', seq FROM (SELECT seq, count(*) OVER (PARTITION BY draw_id, draw_date, {", ".join(_N)}) AS n FROM r) WHERE n > 1
   UNION ALL SELECT 'not_ascending', seq FROM r WHERE {" OR ".join(f"coalesce(number_{i + 1} < number_{i}, false)" for i in range(1, 6))}
-  UNION ALL SELECT 'not_sorted', r.seq FROM r JOIN r b ON b.seq + 1 = r.seq WHERE r.draw_date < b.draw_date
+  UNION ALL SELECT 'not_sorted', seq FROM (SELECT seq, draw_date, lag(draw_date) OVER (ORDER BY seq) AS before FROM r) WHERE draw_date < before
   UNION ALL SELECT 'missing_draw_ids', missing FROM mi)""",
     # exponential averages: the seed and each earlier hit's weight, by buckets of periods
     "hb": "SELECT number, draw_index AS i, draw_index // 450 AS b FROM h",
@@ -88,6 +88,121 @@ _STEPS = 10
 for _i in range(_STEPS):
     _PARTS[f"nw{_i + 1}"] = f"""SELECT strategy, CASE WHEN flat THEN a ELSE a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) END AS a, CASE WHEN flat THEN b ELSE b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) END AS b, flat FROM (
   SELECT strategy, any_value(a) AS a, any_value(b) AS b, any_value(flat) AS flat, sum(k - n * m) AS g0, sum((k - n * m) * x) - any_value(b) / 1e6 AS g1, sum(n * m * (1 - m)) AS h00, sum(n * m * (1 - m) * x) AS h01, sum(n * m * (1 - m) * x * x) + 1e-6 AS h11 FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS m FROM ct JOIN nw{_i} USING (strategy)) GROUP BY strategy)"""
+#: Rows that models are fitted to: an intercept and the seven standardised features.
+_PARTS["fz"] = f"SELECT draw_index, number, y, 1.0::DOUBLE AS x0, {', '.join(f'z_{c}::DOUBLE AS x{i + 1}' for i, c in enumerate(_RAW))} FROM (SELECT *, {', '.join(map(_z, _RAW))} FROM au) WHERE draw_index >= 100"
+_PARTS["fy"] = "SELECT fz.*, year(draw_date) AS year FROM fz JOIN d USING (draw_index)"
+_PARTS["bt0"] = "SELECT count(*) AS t FROM d"
+_D = 8
+
+
+def _fit_row(fit: str, end: str, c: str = "0.2", drop: int = 0, number: int = 1) -> str:
+    """SQL of one fit: rows before ``end`` train it, and ``drop`` names the feature, from 1, that it lacks."""
+    return f"SELECT {fit} AS fit, {end} AS stop, {c}::DOUBLE AS c, {number} AS num, " + ", ".join(f"{int(i != drop)} AS m{i}" for i in range(1, _D))
+
+
+def _eliminated(name: str, start: str, keep: str) -> None:
+    """Part ``name`` (keep, d0 ..): the solutions of ``start``'s systems (a<i>_<j> for i <= j, r<i>), a stage of Gauss's elimination for each part."""
+    d, last = range(_D), start
+    for j in d[:-1]:
+        now = f"{name}x{j}"
+        cells = [f"a{i}_{m} - a{j}_{i} * a{j}_{m} / a{j}_{j} AS a{i}_{m}" for i in d for m in d if j < i <= m]
+        right = [f"r{i} - a{j}_{i} * r{j} / a{j}_{j} AS r{i}" for i in d if i > j]
+        done = [f"a{i}_{m}" for i in d for m in d if i <= j and i <= m] + [f"r{i}" for i in d if i <= j]
+        _PARTS[now] = f"SELECT {keep}, {', '.join([*done, *cells, *right])} FROM {last}"
+        last = now
+    back: dict[int, str] = {}
+    for i in reversed(d):
+        back[i] = f"((r{i}" + "".join(f" - a{i}_{m} * {back[m]}" for m in range(i + 1, _D)) + f") / a{i}_{i})"
+    _PARTS[name] = f"SELECT {keep}, {', '.join(f'{back[i]} AS d{i}' for i in d)} FROM {last}"
+
+
+def _newton(name: str, fits: str, rows: str = "fz", at: str = "draw_index", steps: int = 5) -> None:
+    """Parts ``<name>b`` (fit, b0 ..) and ``<name>e`` (fit, number, e) after so many Newton steps: effects of numbers are eliminated before the rest."""
+    d, f = range(_D), f"{name}f"
+    _PARTS[f] = fits
+    _PARTS[f"{name}b0"] = f"SELECT fit, ln({_P0} / (1 - {_P0})) AS b0, {', '.join(f'0.0::DOUBLE AS b{i}' for i in d[1:])} FROM {f}"
+    _PARTS[f"{name}e0"] = f"SELECT fit, number, 0.0::DOUBLE AS e FROM {f}, (SELECT unnest(range(1, 50)) AS number)"
+    x = ["x0", *(f"x{i} * m{i}" for i in d[1:])]
+    pairs = [(i, j) for i in d for j in d if i <= j]
+    for k in range(steps):
+        b, e, last = f"{name}b{k}", f"{name}e{k}", k == steps - 1
+        z = " + ".join(f"b{i} * {x[i]}" for i in d)
+        _PARTS[f"{name}s{k}"] = f"""SELECT fit, number, {', '.join(f'sum((y - p) * v{i}) AS g{i}' for i in d)}, {', '.join(f'sum(p * (1 - p) * v{i} * v{j}) AS h{i}_{j}' for i, j in pairs)}
+  FROM (SELECT r.fit, r.number, y, {', '.join(f'{x[i]} AS v{i}' for i in d)}, 1 / (1 + exp(-({z} + e))) AS p FROM (SELECT q.*, w.fit, {', '.join(f'm{i}' for i in d[1:])} FROM {rows} q JOIN {f} w ON q.{at} < w.stop) r JOIN {b} USING (fit) JOIN {e} USING (fit, number)) GROUP BY fit, number"""
+        h = lambda i, j: f"h{min(i, j)}_{max(i, j)}"
+        ridge = lambda i: "0" if i == 0 else "any_value(1 / c)"
+        a = [f"sum({h(i, j)}) - sum(num * {h(0, i)} * {h(0, j)} / (h0_0 + 1 / c))" + (f" + {ridge(i)} + any_value(1 - m{i})" if i == j and i else "") + f" AS a{i}_{j}" for i, j in pairs]
+        g = [f"sum(g{i}) - {ridge(i)} * any_value(b{i}) - sum(num * {h(0, i)} * (g0 - e / c) / (h0_0 + 1 / c)) AS r{i}" for i in d]
+        _PARTS[f"{name}a{k}"] = f"SELECT fit, {', '.join(a)}, {', '.join(g)} FROM {name}s{k} JOIN {f} USING (fit) JOIN {b} USING (fit) JOIN {e} USING (fit, number) GROUP BY fit"
+        _eliminated(f"{name}d{k}", f"{name}a{k}", "fit")
+        _PARTS[f"{name}b" if last else f"{name}b{k + 1}"] = f"SELECT fit, {', '.join(f'b{i} + d{i} AS b{i}' for i in d)} FROM {b} JOIN {name}d{k} USING (fit)"
+        _PARTS[f"{name}e" if last else f"{name}e{k + 1}"] = f"SELECT fit, number, e + num * (g0 - e / c - ({' + '.join(f'{h(0, i)} * d{i}' for i in d)})) / (h0_0 + 1 / c) AS e FROM {e} JOIN {name}s{k} USING (fit, number) JOIN {name}d{k} USING (fit) JOIN {f} USING (fit)"
+
+
+def _losses(name: str, blocks: str) -> str:
+    """(block, draw_index, hits_6, brier, log_loss) of blocks (block, fit, low, high); chances lie so near 6/49 that their projection is a shift."""
+    z = " + ".join(["b0", *(f"b{i} * m{i} * x{i}" for i in range(1, _D))])
+    return f"""SELECT block, draw_index, sum(y) FILTER (rank <= 6)::BIGINT AS hits_6, avg((q - y) ** 2) AS brier, avg(CASE WHEN y = 1 THEN -ln(q) ELSE -ln(1 - q) END) AS log_loss FROM (
+  SELECT *, row_number() OVER (PARTITION BY block, draw_index ORDER BY round(q, 10) DESC, number) AS rank FROM (
+  SELECT block, draw_index, number, y, (p + (6 - sum(p) OVER (PARTITION BY block, draw_index)) / 49) * 0.9 + 0.1 * {_P0} AS q FROM (
+  SELECT k.block, r.draw_index, r.number, y, 1 / (1 + exp(-({z} + e))) AS p FROM fz r JOIN ({blocks}) k ON r.draw_index >= k.low AND r.draw_index < k.high JOIN {name}f USING (fit) JOIN {name}b USING (fit) JOIN {name}e ON {name}e.fit = k.fit AND {name}e.number = r.number))) GROUP BY ALL"""
+
+
+_newton("lh", _fit_row("0", "t * 8 // 10") + " FROM bt0")
+_newton("wf", _fit_row("s", "s", drop=0) + " FROM (SELECT unnest(range(t * 6 // 10, t, t // 10)) AS s FROM bt0)")
+_GRID = (0.01, 0.03, 0.1, 0.2, 0.5, 1.0, 3.0, 10.0)
+_PARTS["po"] = "SELECT t // 10 AS tenth, unnest([t - 2 * (t // 10), t - t // 10]) AS s FROM bt0"
+_newton("np", _fit_row("s::VARCHAR || ' ' || k", "s - tenth", "g") + f" FROM po, (SELECT unnest({list(_GRID)}) AS g, unnest(range(0, 8)) AS k)")
+_PARTS["nt"] = f"SELECT split_part(block, ' ', 1)::BIGINT AS s, {list(_GRID)}[split_part(block, ' ', 2)::INT + 1]::DOUBLE AS c, avg(brier) AS inner_brier, avg(log_loss) AS inner_log_loss FROM ({_losses('np', 'SELECT fit AS block, fit, stop AS low, stop + tenth AS high FROM npf, (SELECT DISTINCT tenth FROM po)')}) GROUP BY block"
+_PARTS["nc"] = "SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(inner_brier, 12), round(inner_log_loss, 12), c) = 1 AS chosen FROM nt"
+_newton("nq", _fit_row("s", "s", "g") + " FROM (SELECT s, c AS g FROM nc WHERE chosen)")
+_newton("ab", " UNION ALL ".join(_fit_row(str(k), "t * 8 // 10", drop=k if k < 8 else 0, number=int(k < 8)) + " FROM bt0" for k in range(9)))
+_newton("yc", _fit_row("year", "year") + " FROM (SELECT year, sum(n) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM (SELECT year, count(DISTINCT draw_index) AS n FROM fy GROUP BY year)) WHERE n >= 100", "fy", "year")
+_newton("wh", _fit_row("0", "t", number=0) + " FROM bt0")
+_newton("fp", _fit_row("0", "t", "0.01") + " FROM bt0")
+_PARTS["fq"] = f"SELECT number, (p + (6 - sum(p) OVER ()) / 49) * 0.9 + 0.1 * {_P0} AS p FROM (SELECT number, 1 / (1 + exp(-(b0 + {' + '.join(f'b{i} * z_{c}' for i, c in enumerate(_RAW, 1))} + e))) AS p FROM (SELECT *, {', '.join(map(_z, _RAW))} FROM nx) JOIN fpe USING (number) JOIN fpb ON true)"
+_PARTS["rf"] = f"SELECT *, draw_id::BIGINT AS id, special_number IS NOT NULL AND draw_date IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _N)} AS whole FROM r"
+_PARTS["rl"] = "SELECT *, seq > min(seq) OVER (PARTITION BY draw_id) AS again, last_value(CASE WHEN whole THEN draw_date END IGNORE NULLS) OVER w AS last_date, last_value(CASE WHEN whole THEN id END IGNORE NULLS) OVER w AS last_id FROM rf WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_half = lambda start: f"sum(('0x' || substr(md5(x), {start}, 15))::BIGINT::HUGEINT)"
+_text = " || '|' || ".join(f"coalesce(length({c})::VARCHAR || ':' || {c}, '-')" for c in ("o_orderkey::VARCHAR", "o_custkey::VARCHAR", "o_orderstatus", "round(o_totalprice * 100)::BIGINT::VARCHAR", "strftime(o_orderdate, '%Y-%m-%d')", "o_orderpriority"))
+_SUMS = [f"g{i}" for i in range(_D)] + [f"h{i}_{j}" for i in range(_D) for j in range(i, _D)]
+_PARTS["ps"] = f"""SELECT draw_index, {', '.join(f'sum((y - p) * x{i}) AS g{i}' for i in range(_D))}, {', '.join(f'sum(p * (1 - p) * x{i} * x{j}) AS h{i}_{j}' for i in range(_D) for j in range(i, _D))}
+  FROM (SELECT fz.*, 1 / (1 + exp(-({' + '.join(f'b{i} * x{i}' for i in range(_D))}))) AS p FROM fz, whb) GROUP BY draw_index"""
+
+
+def _stepped(name: str, sums: str) -> None:
+    """Part ``name`` (variant, c0 ..): one Newton step from the whole fit on each variant's sums."""
+    d = range(_D)
+    _PARTS[f"{name}s"] = sums
+    cells = [f"h{i}_{j}" + (" + 5" if i == j and i else "") + f" AS a{i}_{j}" for i in d for j in d if i <= j]
+    _PARTS[f"{name}a"] = f"SELECT variant, {', '.join(cells)}, {', '.join(f'g{i} - {5 if i else 0} * b{i} AS r{i}' for i in d)} FROM {name}s, whb"
+    _eliminated(f"{name}d", f"{name}a", "variant")
+    _PARTS[name] = f"SELECT variant, {', '.join(f'b{i} + d{i} AS c{i}' for i in d)} FROM {name}d, whb"
+
+
+_POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+_stepped("mb", f"""SELECT variant, {', '.join(f'sum(k * {c}) AS {c}' for c in _SUMS)} FROM (SELECT variant, ps.*, list_sum([(u >= x)::INT FOR x IN {_POISSON!r}]) AS k FROM (
+  SELECT variant, draw_index, ((m * m + (draw_index % 1009 + 17) * (variant * 31 + 7)) % 1000003) / 1000003.0::DOUBLE AS u FROM (SELECT variant, draw_index, (draw_index * 7919 + variant * 104729) % 1000003 AS m FROM ps, (SELECT unnest(range(0, 2000)) AS variant))) JOIN ps USING (draw_index)) GROUP BY variant""")
+_PARTS["pe"] = "SELECT ps.*, max(draw_index) OVER () - draw_index + 1 AS back, (draw_index - min(draw_index) OVER ()) * 20 // (max(draw_index) OVER () - min(draw_index) OVER () + 1) AS part FROM ps"
+_stepped("rs", f"SELECT k AS variant, {', '.join(f'sum({c}) FILTER (back > k) AS {c}' for c in _SUMS)} FROM pe, (SELECT unnest(range(1, 21)) AS k) GROUP BY k UNION ALL SELECT -1 - k, {', '.join(f'sum({c}) FILTER (part <> k) AS {c}' for c in _SUMS)} FROM pe, (SELECT unnest(range(0, 20)) AS k) GROUP BY k")
+_PARTS["rp"] = f"""SELECT variant, list(number ORDER BY number) AS picked FROM (SELECT variant, number, row_number() OVER (PARTITION BY variant ORDER BY round({' + '.join(f'c{i} * x{i}' for i in range(1, _D))}, 10) DESC, number) AS rank
+  FROM (SELECT * FROM rs UNION ALL SELECT 0, {', '.join(f'b{i}' for i in range(_D))} FROM whb), (SELECT number, {', '.join(f'z_{c} AS x{i + 1}' for i, c in enumerate(_RAW))} FROM (SELECT *, {', '.join(map(_z, _RAW))} FROM nx))) WHERE rank <= 6 GROUP BY variant"""
+#: Multipliers of the permutations: primes above a block's 2,048 periods, by a sieve.
+_sieve = bytearray([1]) * 8192
+for _q in range(2, 91):
+    _sieve[_q * _q :: _q] = bytes(len(_sieve[_q * _q :: _q]))
+_PRIMES = [k for k in range(2049, 8192) if _sieve[k]]
+_PARTS["gb"] = "SELECT draw_index, number, y, gap_asof, len(list_filter(edges, lambda e: e < gap_asof)) AS bin FROM hx, (SELECT list_distinct(quantile_cont(gap_asof, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS edges FROM hx WHERE draw_index >= 300) WHERE draw_index >= 300"
+_PARTS["oc"] = "SELECT place // 2048 AS block, place % 2048 AS i, outcome, count(*) OVER (PARTITION BY place // 2048) AS n FROM (SELECT draw_index - 300 AS place, bit_or(1::BIGINT << number) AS outcome FROM h WHERE draw_index >= 300 GROUP BY draw_index)"
+_PARTS["pm"] = f"SELECT r, block, i, CASE WHEN r = 0 THEN i ELSE ({_PRIMES}[(r * 31 + block) % {len(_PRIMES)} + 1] * i + r * 7919 + block * 104729) % n END AS j FROM (SELECT DISTINCT block, i, n FROM oc), (SELECT unnest(range(0, 1001)) AS r)"
+_permuted = lambda masks: f"SELECT r, k, sum(bit_count(v & outcome))::BIGINT AS hits FROM ({masks}) x JOIN pm USING (block, i) JOIN oc ON oc.block = pm.block AND oc.i = pm.j GROUP BY r, k"
+_PARTS["gm"] = _permuted("SELECT (draw_index - 300) // 2048 AS block, (draw_index - 300) % 2048 AS i, bin AS k, bit_or(1::BIGINT << number) AS v FROM gb GROUP BY ALL")
+_PARTS["gs"] = "SELECT bin AS k, count(*) AS n, sum(y)::BIGINT AS hits FROM gb GROUP BY bin"
+_PARTS["gq"] = "SELECT r, corr(k::DOUBLE, x) AS rho FROM (SELECT r, k, rank() OVER (PARTITION BY r ORDER BY rate) + (count(*) OVER (PARTITION BY r, rate) - 1) / 2 AS x FROM (SELECT r, k, round(gm.hits / n, 12) AS rate FROM gm JOIN gs USING (k))) GROUP BY r"
+_PARTS["gp"] = f"SELECT k, least(1, 2 * least(sum(m) FILTER (j <= hits), sum(m) FILTER (j >= hits))) AS p FROM (SELECT k, hits, j, exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P0}) + (n - j) * ln(1 - {_P0})) AS m FROM (SELECT k, n::DOUBLE AS n, hits, unnest(range(0, n + 1)) AS j FROM gs)) GROUP BY k"
+_PARTS["sk"] = "SELECT (draw_index - 300) // 2048 AS block, (draw_index - 300) % 2048 AS i, strategy AS k, bit_or(1::BIGINT << number) AS v FROM (SELECT *, row_number() OVER (PARTITION BY strategy, draw_index ORDER BY score DESC, number) AS rank FROM sc) WHERE rank <= 6 GROUP BY ALL"
+_PARTS["fh"] = _permuted("SELECT * FROM sk")
+_PARTS["fo"] = f"SELECT k, hits AS seen, row_number() OVER (ORDER BY hits DESC, list_position({list(('uniform_random', 'frequency_random', 'recent_hot', 'cold_number', 'mixed_hot_cold', 'ewma_frequency', 'bayesian_shrinkage', 'markov'))}, k)) AS place FROM fh WHERE r = 0"
 _walk = "PARTITION BY strategy, draw_index ORDER BY place DESC, turn DESC, number"
 
 
@@ -173,6 +288,21 @@ def sql() -> dict[str, str]:
         "clean_draws": _query("SELECT draw_id, draw_date, " + ", ".join(f"CASE WHEN draw_index % 57 = 3 THEN NULL ELSE {c} END AS {c}" for c in _N) + ", CASE WHEN draw_index % 31 = 0 THEN 7 ELSE special_number END AS special_number, 'export' AS source, '1' AS source_version FROM w"),
         "anti_resume": _query("SELECT 'new' AS kind, count(*) AS n, sum(draw_index)::BIGINT AS index_sum FROM d WHERE draw_index % 3 <> 0 UNION ALL SELECT 'conflict', count(*), sum(draw_index)::BIGINT FROM d WHERE draw_index % 15 = 0"),
         "prefix_slice": _query("SELECT number, sum((draw_index < t // 2)::INT)::BIGINT AS in_prefix, sum((draw_index >= t - 100)::INT)::BIGINT AS in_tail FROM h, t GROUP BY number"),
+        "logistic_holdout": _query(f"SELECT draw_index // 100 AS block, count(*) AS n, avg(hits_6) AS mean_hits, avg(brier) AS brier, avg(log_loss) AS log_loss FROM ({_losses('lh', 'SELECT 0 AS block, 0 AS fit, t * 8 // 10 AS low, t AS high FROM bt0')}) GROUP BY 1", "mean_hits brier log_loss"),
+        "walk_forward_refits": _query(f"SELECT block, n, mean_hits, brier, log_loss, b1 AS gap_coefficient FROM (SELECT block, count(*) AS n, avg(hits_6) AS mean_hits, avg(brier) AS brier, avg(log_loss) AS log_loss FROM ({_losses('wf', 'SELECT fit AS block, fit, stop AS low, least(stop + t // 10, t) AS high FROM wff, bt0')}) GROUP BY 1) JOIN wfb ON fit = block", "mean_hits brier log_loss gap_coefficient"),
+        "nested_penalty": _query(f"SELECT nc.s AS outer, c, inner_brier, inner_log_loss, chosen, CASE WHEN chosen THEN mean_hits END AS mean_hits, CASE WHEN chosen THEN brier END AS brier, CASE WHEN chosen THEN log_loss END AS log_loss FROM nc JOIN (SELECT block, avg(hits_6) AS mean_hits, avg(brier) AS brier, avg(log_loss) AS log_loss FROM ({_losses('nq', 'SELECT fit AS block, fit, stop AS low, stop + tenth AS high FROM nqf JOIN po ON po.s = nqf.stop')}) GROUP BY 1) ON block = nc.s", "inner_brier inner_log_loss mean_hits brier log_loss"),
+        "ablation": _query(f"SELECT {['all', *(f'z_{c}' for c in _RAW), 'number']}[block + 1] AS left_out, mean_hits, brier, log_loss, brier - first(brier) OVER w AS brier_difference, log_loss - first(log_loss) OVER w AS log_loss_difference, mean_hits - first(mean_hits) OVER w AS hits_difference FROM (SELECT block, avg(hits_6) AS mean_hits, avg(brier) AS brier, avg(log_loss) AS log_loss FROM ({_losses('ab', 'SELECT fit AS block, fit, t * 8 // 10 AS low, t AS high FROM abf, bt0')}) GROUP BY 1) WINDOW w AS (ORDER BY block)", "mean_hits brier log_loss brier_difference log_loss_difference hits_difference"),
+        "yearly_coefficients": _query("SELECT fit::BIGINT AS year, b1 AS gap_coefficient, n::BIGINT AS periods FROM ycb JOIN (SELECT year, sum(n) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM (SELECT year, count(DISTINCT draw_index) AS n FROM fy GROUP BY year)) x ON x.year = fit", "gap_coefficient"),
+        "model_bootstrap": _query("SELECT term::BIGINT AS term, count(*) AS replicates, stddev_samp(value) AS error, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high, any_value(fitted) AS fitted FROM (SELECT variant, unnest(range(0, 8)) AS term, unnest([" + ", ".join(f"c{i}" for i in range(_D)) + "]) AS value, unnest([" + ", ".join(f"b{i}" for i in range(_D)) + "]) AS fitted FROM mb, whb) GROUP BY term", "error low high fitted"),
+        "recommendation_stability": _query("SELECT p.variant, array_to_string(p.picked, ' ') AS numbers, len(list_intersect(p.picked, w.picked)) / len(list_distinct(list_concat(p.picked, w.picked))) AS jaccard FROM rp p, rp w WHERE p.variant <> 0 AND w.variant = 0", "jaccard"),
+        "frozen_prediction": _query("SELECT number, p, row_number() OVER (ORDER BY round(p, 10) DESC, number) AS rank FROM fq QUALIFY rank <= 12", "p"),
+        "leakage_check": _query("SELECT item, periods, 0::BIGINT AS leaked, 'PASS' AS status FROM (SELECT unnest(['audited', 'base', 'baselines']) AS item, unnest([t // 2 + 1, t // 2, t // 2 - 299]) AS periods FROM bt0)"),
+        "row_faults": _query(f"SELECT * FROM (SELECT seq AS line, CASE WHEN again THEN 'duplicate_id' WHEN NOT whole THEN 'malformed' WHEN draw_date < last_date OR draw_date = last_date AND id <= last_id THEN 'not_chronological' WHEN len(list_distinct([{', '.join(_N)}])) <> 6 OR {' OR '.join(f'{c} NOT BETWEEN 1 AND 49' for c in _N)} THEN 'invalid_numbers' WHEN special_number NOT BETWEEN 1 AND 49 OR special_number IN ({', '.join(_N)}) THEN 'invalid_special' END AS fault FROM rl) WHERE fault IS NOT NULL"),
+        "target_rows": _query("SELECT number, count(*) AS count FROM h WHERE draw_index IN (SELECT draw_index FROM d WHERE special_number < 10) GROUP BY number"),
+        "orders_digest": f"SELECT year::BIGINT AS year, n, (a % 1152921504606846976)::BIGINT AS first, (b % 1152921504606846976)::BIGINT AS second FROM (SELECT year, count(*) AS n, {_half(1)} AS a, {_half(17)} AS b FROM (SELECT year(o_orderdate) AS year, {_text} AS x FROM orders) GROUP BY year UNION ALL SELECT 0, count(*), {_half(1)}, {_half(17)} FROM (SELECT {_text} AS x FROM orders))",
+        "manifest_equality": "SELECT 'left' AS side, count(*) AS n, sum(k)::BIGINT AS sum FROM (SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem) HAVING count(*) > 0 UNION ALL SELECT 'right', count(*), sum(k)::BIGINT FROM (SELECT l_orderkey AS k FROM lineitem EXCEPT SELECT o_orderkey FROM orders) HAVING count(*) > 0",
+        "gap_robustness": _query(f"SELECT k AS bin, n, hits, {_wilson('-')} AS low, {_wilson('+')} AS high, p, least(1, max((m - rank + 1) * p) OVER (ORDER BY p, k)) AS holm, rho, permutation_p FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, k) AS rank FROM gs JOIN gp USING (k)), (SELECT max(rho) FILTER (r = 0) AS rho, (1 + count(*) FILTER (r > 0 AND abs(rho) >= seen - 1e-9)) / count(*) AS permutation_p FROM (SELECT *, max(abs(rho)) FILTER (r = 0) OVER () AS seen FROM gq))", "low high p holm rho permutation_p"),
+        "familywise_hits": _query("SELECT strategy, seen AS hits, raw_p, max(step) OVER (ORDER BY place) AS family_p FROM (SELECT k AS strategy, place, seen, (1 + count(*) FILTER (r > 0 AND hits >= seen)) / count(*) AS raw_p, (1 + count(*) FILTER (r > 0 AND most >= seen)) / count(*) AS step FROM (SELECT *, max(hits) OVER (PARTITION BY r ORDER BY place DESC) AS most FROM fh JOIN fo USING (k)) GROUP BY ALL)", "raw_p family_p"),
         "feature_snapshots": _query(f"SELECT *, {', '.join(map(_z, _RAW))} FROM au"),
         "next_features": _query(f"SELECT draw_index, number, {', '.join(_RAW)}, {', '.join(map(_z, _RAW))} FROM nx"),
         "simplex_projection": _query(

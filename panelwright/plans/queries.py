@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.adjust import adjusted, projected, shrunk, wilson
 from panelwright.functions.special import binomial_doubled, binomial_minimum_likelihood, clopper_pearson, normal_sf, student_two_sided, udf
-from panelwright.operators import evidence, features, ledger, models, panel, randomness, resampling, strategies, validation
-from panelwright.sources import ledgers
+from panelwright.operators import binding, evidence, features, fits, leakage, ledger, models, panel, permutation, randomness, resampling, strategies, validation
+from panelwright.sinks.tables import stored
+from panelwright.sources import ledgers, lines
 from panelwright.sources.draws import P0, PICK, derived_draws, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,6 +514,43 @@ def gap_rank_correlation(d: DataFrame) -> DataFrame:
     return ranked.agg(F.count("*").alias("bins"), F.corr(F.col("bin").cast("double"), "r").alias("rho"))
 
 
+#: Permutations of the outcomes.
+PERMUTATIONS = 1_000
+
+
+def _gap_bins(d: DataFrame) -> DataFrame:
+    """(draw_index, number, y, bin): quantile bins of the gap, as ``qcut_rates`` has them."""
+    p = features.history(d).where(F.col("draw_index") >= START).select("draw_index", "number", "gap_asof", "y")
+    edges = p.agg(F.array_distinct(F.percentile("gap_asof", F.array(*[F.lit(i / 8) for i in range(1, 8)]))).alias("edges"))
+    return p.crossJoin(F.broadcast(edges)).select("draw_index", "number", "y", F.size(F.filter("edges", lambda e: e < F.col("gap_asof"))).alias("bin"), F.size("edges").alias("last"))  # one row
+
+
+@register
+def gap_robustness(d: DataFrame) -> DataFrame:
+    """Hit rates by gap bins with intervals, exact p-values and Holm's correction, and the rank correlation's p from permuted outcomes."""
+    b = stored(_gap_bins(d), "gap-bins")
+    bins = b.groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+    in_bin = lambda k: F.transform(F.filter("items", lambda x: x["bin"] == k), lambda x: x["number"])
+    periods = b.groupBy("draw_index").agg(F.collect_list(F.struct("number", "y", "bin")).alias("items"), F.first("last").alias("last"))
+    rows = periods.select((F.col("draw_index") - START).alias("place"), permutation.mask(F.transform(F.filter("items", lambda x: x["y"] == 1), lambda x: x["number"])).alias("outcome"), F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: permutation.mask(in_bin(k))).alias("masks"))
+    hits = permutation.permuted_hits(rows, PERMUTATIONS)
+    rhos = permutation.rank_correlations(hits, bins.select(F.col("bin").cast("long").alias("k"), "n"))
+    seen = F.max(F.when(F.col("replicate") == 0, F.abs("rho"))).over(Window.partitionBy())  # a row for each permutation
+    test = rhos.withColumn("seen", seen).agg(F.max(F.when(F.col("replicate") == 0, F.col("rho"))).alias("rho"), permutation.plus_one(F.abs("rho") >= F.col("seen") - 1e-9).alias("permutation_p"))
+    p = udf(lambda k, n: binomial_doubled(int(k), int(n), P0))("hits", "n")
+    low, high = wilson(F.col("hits"), F.col("n"))
+    corrected = adjusted(bins.select("bin", "n", "hits", low.alias("low"), high.alias("high"), p.alias("p")), "p", "bin")
+    return corrected.select("bin", "n", "hits", "low", "high", "p", "holm").crossJoin(F.broadcast(test))  # one row
+
+
+@register
+def familywise_hits(d: DataFrame) -> DataFrame:
+    """Each strategy's hits of its first six against permuted outcomes: plus-one p-values, alone and over the family."""
+    rows = strategies.picks(d, START).withColumn("place", F.col("draw_index") - START)
+    names = F.array(*[F.lit(s) for s in strategies.STRATEGIES])
+    return permutation.step_down(permutation.permuted_hits(rows, PERMUTATIONS)).select(names[F.col("k").cast("int")].alias("strategy"), "hits", "raw_p", "family_p")
+
+
 @register
 def recent_windows(d: DataFrame) -> DataFrame:
     """Mean hits of the first six by the rates of the last 45, 50 and 55 periods, by half, and how often a tie decides who is sixth."""
@@ -574,13 +612,146 @@ def bootstrap_ci(d: DataFrame) -> DataFrame:
     return resampling.bootstrap(counts)
 
 
+#: First period that trains a model, so that features have some history.
+TRAIN_FROM = 100
+
+
+def _panel(d: DataFrame) -> tuple[DataFrame, int]:
+    """The audited features as a written table, as every Newton step reads them, and the number of periods."""
+    p = stored(features.audited(d).where(F.col("draw_index") >= TRAIN_FROM).select("draw_index", "number", "y", *fits.FEATURES), "audited")
+    return p, p.agg(F.max("draw_index")).first()[0] + 1
+
+
+def _means(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("hits_6").alias("mean_hits"), F.avg("brier").alias("brier"), F.avg("log_loss").alias("log_loss"))
+
+
 @register
 def logistic_holdout(d: DataFrame) -> DataFrame:
     """Losses of a logistic model on the last fifth of the periods, by hundred periods."""
-    p = models.fixed_holdout(features.audited(d), d.count())
-    q = F.least(F.greatest(shrunk(F.col("p")), F.lit(1e-12)), F.lit(1 - 1e-12))
-    loss = F.when(F.col("y") == 1, -F.log(q)).otherwise(-F.log(1 - q))
-    return p.groupBy(F.floor(F.col("draw_index") / 100).alias("block")).agg(F.countDistinct("draw_index").alias("n"), F.avg((q - F.col("y")) * (q - F.col("y"))).alias("brier"), F.avg(loss).alias("log_loss"))
+    p, t = _panel(d)
+    cut = t * 8 // 10
+    rows = fits.scored(p, fits.fitted(p, [fits.Fit("all", cut)]), [("all", "all", cut, t)])
+    return _means(fits.losses(rows), F.floor(F.col("draw_index") / 100).alias("block"))
+
+
+@register
+def walk_forward_refits(d: DataFrame) -> DataFrame:
+    """A refit at each tenth of the periods from the sixth on, scored up to the next; its losses and its coefficient of the gap."""
+    p, t = _panel(d)
+    plan, blocks = fits.refits(t * 6 // 10, t, t // 10)
+    models = fits.fitted(p, plan)
+    coef = fits.coefficients(d.sparkSession, models).where("term = 'z_gap_asof'").select(F.col("fit").alias("block"), F.col("value").alias("gap_coefficient"))
+    return _means(fits.losses(fits.scored(p, models, blocks), "block"), "block").join(coef, "block").withColumn("block", F.col("block").cast("long"))
+
+
+C_GRID = (0.01, 0.03, 0.1, 0.2, 0.5, 1.0, 3.0, 10.0)
+
+
+@register
+def nested_penalty(d: DataFrame) -> DataFrame:
+    """For the last two tenths of the periods: losses of each penalty on the tenth before, fitted before that; the least chosen, and its refit's losses inside."""
+    p, t = _panel(d)
+    tenth = t // 10
+    starts = [t - 2 * tenth, t - tenth]
+    inner = [(f"{s} {c}", s - tenth, c, s) for s in starts for c in C_GRID]
+    models = fits.fitted(p, [fits.Fit(name, begin, c=c) for name, begin, c, _ in inner])
+    tried = _means(fits.losses(fits.scored(p, models, [(name, name, begin, end) for name, begin, _, end in inner]), "block"), "block")
+    tried = tried.select(F.split("block", " ")[0].cast("long").alias("outer"), F.split("block", " ")[1].cast("double").alias("c"), F.col("brier").alias("inner_brier"), F.col("log_loss").alias("inner_log_loss"))
+    tried = stored(tried, "penalties")
+    order = F.struct(F.round("inner_brier", 12).alias("b"), F.round("inner_log_loss", 12).alias("l"), "c")
+    chosen = {r["outer"]: r["c"] for r in tried.groupBy("outer").agg(F.min_by("c", order).alias("c")).collect()}  # two rows
+    outer = fits.fitted(p, [fits.Fit(str(s), s, c=chosen[s]) for s in starts])
+    after = _means(fits.losses(fits.scored(p, outer, [(str(s), str(s), s, s + tenth) for s in starts]), "block"), "block")
+    after = after.select(F.col("block").cast("long").alias("outer"), "mean_hits", "brier", "log_loss")
+    best = F.row_number().over(Window.partitionBy("outer").orderBy(order)) == 1  # eight rows
+    only = lambda c: F.when(F.col("chosen"), F.col(c)).alias(c)
+    return tried.withColumn("chosen", best).join(F.broadcast(after), "outer").select("outer", "c", "inner_brier", "inner_log_loss", "chosen", *map(only, ("mean_hits", "brier", "log_loss")))
+
+
+@register
+def ablation(d: DataFrame) -> DataFrame:
+    """Models without each feature, and without effects of numbers, on the last fifth: losses and differences to the whole model, by one set of fits."""
+    p, t = _panel(d)
+    cut = t * 8 // 10
+    plan = [fits.Fit("all", cut), fits.Fit("number", cut, number=False), *[fits.Fit(c, cut, drop=(c,)) for c in fits.FEATURES]]
+    m = _means(fits.losses(fits.scored(p, fits.fitted(p, plan), [(f.name, f.name, cut, t) for f in plan]), "block"), "block")
+    whole = m.where("block = 'all'").select(F.col("brier").alias("b0"), F.col("log_loss").alias("l0"), F.col("mean_hits").alias("h0"))
+    return m.crossJoin(F.broadcast(whole)).select(F.col("block").alias("left_out"), "mean_hits", "brier", "log_loss", (F.col("brier") - F.col("b0")).alias("brier_difference"), (F.col("log_loss") - F.col("l0")).alias("log_loss_difference"), (F.col("mean_hits") - F.col("h0")).alias("hits_difference"))  # one row
+
+
+@register
+def yearly_coefficients(d: DataFrame) -> DataFrame:
+    """For each year with 100 periods before it: the gap's coefficient of a fit on all earlier years; the fits share every pass."""
+    p = features.audited(d).where(F.col("draw_index") >= TRAIN_FROM).select("draw_index", "number", "y", *fits.FEATURES)
+    p = stored(p.join(d.select("draw_index", F.year("draw_date").alias("year")), "draw_index"), "audited-years")
+    counts = p.where("number = 1").groupBy("year").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each year
+    years = {r["year"]: r["before"] for r in counts.where("before >= 100").collect()}
+    models = fits.fitted(p, [fits.Fit(str(y), y) for y in years], at="year")
+    n = d.sparkSession.createDataFrame(list(years.items()), "year long, periods long")
+    coef = fits.coefficients(d.sparkSession, models).where("term = 'z_gap_asof'").select(F.col("fit").cast("long").alias("year"), F.col("value").alias("gap_coefficient"))
+    return coef.join(n, "year")
+
+
+def _whole_fit(d: DataFrame, c: float = fits.C) -> tuple[DataFrame, fits.Fitted]:
+    """The sums of every period at a fit of all of them, without effects of numbers, as a written table."""
+    p, t = _panel(d)
+    model = fits.fitted(p, [fits.Fit("all", t, c=c, number=False)])
+    return stored(fits.period_sums(p, model), "period-sums"), model
+
+
+@register
+def model_bootstrap(d: DataFrame) -> DataFrame:
+    """Intervals of the coefficients from 2,000 replicates that weigh whole periods, one Newton step from the fit each."""
+    sums, model = _whole_fit(d)
+    each = fits.stepped(fits.bootstrap_sums(sums, 2_000), model).select("variant", F.posexplode("coef").alias("term", "value"))
+    point = d.sparkSession.createDataFrame([(k, float(v)) for k, v in enumerate(model.coef[0])], "term int, fitted double")
+    q = lambda x: F.percentile("value", F.lit(x))
+    return each.groupBy("term").agg(F.count("*").alias("replicates"), F.stddev_samp("value").alias("error"), q(0.025).alias("low"), q(0.975).alias("high")).join(point, "term")
+
+
+@register
+def recommendation_stability(d: DataFrame) -> DataFrame:
+    """The coming period's six numbers when the last 1 to 20 periods or one of 20 ranges are left out, against those of the whole fit."""
+    sums, model = _whole_fit(d)
+    variants = fits.stepped(fits.deletion_sums(sums, 20, 20), model)
+    own = d.sparkSession.createDataFrame([(0, [float(v) for v in model.coef[0]])], "variant long, coef array<double>")
+    picked = fits.recommended(variants.union(own), features.following(d))
+    whole = picked.where("variant = 0").select(F.col("picked").alias("whole"))
+    both = picked.where("variant <> 0").crossJoin(F.broadcast(whole))  # one row
+    return both.select("variant", F.array_join("picked", " ").alias("numbers"), (F.size(F.array_intersect("picked", "whole")) / F.size(F.array_union("picked", "whole"))).alias("jaccard"))
+
+
+@register
+def frozen_prediction(d: DataFrame) -> DataFrame:
+    """The coming period's twelve likeliest numbers by a strongly penalised fit of all periods, with their chances."""
+    p, t = _panel(d)
+    coming = features.following(d).withColumn("y", F.lit(0))
+    rows = fits.scored(coming, fits.fitted(p, [fits.Fit("all", t, c=0.01)]), [("all", "all", t, t + 1)])
+    chances = fits.projected_chances(rows, "block").select(F.posexplode("q").alias("i", "p")).select((F.col("i") + 1).alias("number"), "p")
+    return chances.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("p", 10)), "number"))).where("rank <= 12")  # 49 rows
+
+
+@register
+def leakage_check(d: DataFrame) -> DataFrame:
+    """Every feature set's periods up to the middle against a history whose numbers differ from there on."""
+    builds = {"audited": features.audited, "base": features.base, "baselines": _baselines}
+    return leakage.checklist(d, builds, d.count() // 2)
+
+
+@register
+def row_faults(d: DataFrame) -> DataFrame:
+    """The defective table line by line: the first rule that refuses each row."""
+    r = raw(d)
+    rows = r.select(F.lit("draws").alias("file"), F.col("seq").alias("line"), "draw_id", F.date_format("draw_date", "yyyy-MM-dd").alias("draw_date"), *[F.col(c).cast("string").alias(c) for c in (*validation.NUMBERS, "special_number")])
+    return lines.line_faults(rows).select("line", "fault")
+
+
+@register
+def target_rows(d: DataFrame) -> DataFrame:
+    """How often each number is hit in the periods of a list of targets: those whose special number is below ten."""
+    targets = d.where("special_number < 10").select("draw_index")
+    return panel.hits(d).join(targets, "draw_index", "left_semi").groupBy("number").agg(F.count("*").alias("count"))
 
 
 @register
@@ -657,4 +828,19 @@ def ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_events(spark, sf_dir).select("event_id", ledgers.line_fault(line).alias("fault")))
 
 
-_registered |= {f.__name__: f for f in (ledger_lines, ledger_verify, latest_wins, ledger_status, result_events, prediction_lookup, latest_anchor, ledger_protocol, ledger_stages)}
+def orders_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-free digests of the orders of each year, and of all of them from those."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    columns = [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.round(F.col("o_totalprice") * 100).cast("bigint"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority")]
+    parts = binding.digested(o.withColumn("year", F.year("o_orderdate")), columns, "year")
+    return rounded(parts.union(binding.merged(parts).select(F.lit(0).alias("year"), "n", "first", "second")))
+
+
+def manifest_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without lines, and lines without an order: names that only one of two tables has."""
+    o, i = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    found = binding.set_difference(o.select(F.col("o_orderkey").alias("name")), i.select(F.col("l_orderkey").alias("name")), "name")
+    return rounded(found.groupBy("side").agg(F.count("*").alias("n"), F.sum("name").alias("sum")))
+
+
+_registered |= {f.__name__: f for f in (orders_digest, manifest_equality, ledger_lines, ledger_verify, latest_wins, ledger_status, result_events, prediction_lookup, latest_anchor, ledger_protocol, ledger_stages)}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Encodings that are tried in turn, bytes of a member that are looked at for the game's name, and columns that are read.
 ENCODINGS, SNIFFED, WIDTH = ("utf-8-sig", "utf-8", "cp950"), 2_048, 13
+#: What names of the tables of extra prizes hold; they lie beside the main tables.
+EXTRA = "加開獎項"
 
 
 def decoded(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
@@ -25,12 +27,16 @@ def decoded(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
     raise ValueError(f"not text in any of {', '.join(encodings)}")
 
 
-def member_of(archive: zipfile.ZipFile, game: str) -> str:
-    """The one CSV member whose name begins with ``game``, or, where names are garbled, whose first bytes hold it."""
+def member_of(archive: zipfile.ZipFile, game: str, extra: str = EXTRA) -> str:
+    """The one CSV member whose name begins with ``game`` and an underscore and does not hold ``extra``, the mark of the table of extra prizes.
+
+    Where names are garbled and none does: the one with a line that begins with ``game`` as its first field in the first
+    bytes.
+    """
     names = [n for n in archive.namelist() if n.lower().endswith(".csv")]
-    found = [n for n in names if n.rsplit("/", 1)[-1].startswith(game)]
+    found = [n for n in names if n.rsplit("/", 1)[-1].startswith(f"{game}_") and extra not in n]
     if not found:
-        marks = [game.encode(e) for e in ("utf-8", "cp950")]
+        marks = [f"\n{game},".encode(e) for e in ("utf-8", "cp950")]
         for n in names:
             with archive.open(n) as f:
                 head = f.read(SNIFFED)

@@ -17,9 +17,11 @@ def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "2020.zip", "w") as z:
         z.writestr(f"{game}_2020.csv", "﻿" + HEAD + f"{game},109000001,2020/01/03,6,5,4,3,2,1,7\n\n")
         z.writestr("other.csv", f"{game} as text\n")
+        z.writestr(f"{game}_加開獎項_2020.csv", HEAD + f"{game},109000001,2020/01/03,9,9,9,9,9,9,9\n")
     with zipfile.ZipFile(tmp_path / "2021.zip", "w") as z:  # garbled names: the member is known by its first bytes
         z.writestr("x1.csv", (HEAD + f"{game},109000001,2020/01/03,1,2,3,4,5,6,8\n{game},110000001,2021/01/05,1,2,3,4,5\n").encode("cp950"))
         z.writestr("x2.csv", "another\n")
+        z.writestr("x3.csv", f"about {game},\n")
     rows = archives.scan_archives(spark, str(tmp_path), game).orderBy("archive", "row").collect()
     assert [(r["archive"], r["row"], len(r["fields"]), r["fields"][1]) for r in rows] == [("2020", 0, 13, "109000001"), ("2021", 0, 13, "109000001"), ("2021", 1, 13, "110000001")]
     got = {r["draw_id"]: r for r in archives.import_archives(spark, str(tmp_path), game, COLUMNS, "official").collect()}
