@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.adjust import adjusted, projected, shrunk, wilson
 from panelwright.functions.special import binomial_doubled, binomial_minimum_likelihood, clopper_pearson, normal_sf, student_two_sided, udf
-from panelwright.operators import binding, evidence, features, fits, leakage, ledger, models, panel, permutation, randomness, resampling, strategies, validation
+from panelwright.operators import binding, evidence, features, fits, forest, leakage, ledger, models, panel, permutation, randomness, resampling, strategies, validation
 from panelwright.sinks.tables import stored
 from panelwright.sources import ledgers, lines
 from panelwright.sources.draws import P0, PICK, derived_draws, wide
@@ -722,6 +722,16 @@ def recommendation_stability(d: DataFrame) -> DataFrame:
     return both.select("variant", F.array_join("picked", " ").alias("numbers"), (F.size(F.array_intersect("picked", "whole")) / F.size(F.array_union("picked", "whole"))).alias("jaccard"))
 
 
+@register
+def forest_walk_forward(d: DataFrame) -> DataFrame:
+    """Losses of random forests: one refitted at six and at eight tenths of the periods, and a balanced one of shallower trees at eight."""
+    p, t = _panel(d)
+    first, second = t * 6 // 10, t * 8 // 10
+    plan = [forest.Forest("walk-1", first), forest.Forest("walk-2", second), forest.Forest("balanced", second, trees=50, depth=5, leaf=10, balanced=True)]
+    rows = forest.scored(p, forest.grown(p, plan), [("walk-1", "walk-1", first, second), ("walk-2", "walk-2", second, t), ("balanced", "balanced", second, t)])
+    return _means(fits.losses(rows, "block"), "block")
+
+
 @register
 def frozen_prediction(d: DataFrame) -> DataFrame:
     """The coming period's twelve likeliest numbers by a strongly penalised fit of all periods, with their chances."""

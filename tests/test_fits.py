@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import fits, permutation
+from panelwright.operators import fits, forest, permutation
 
 P = len(fits.FEATURES)
 
@@ -198,3 +198,68 @@ def test_permuted_hits_and_step_down_by_brute_force(spark):
 def test_masks(spark):
     got = spark.createDataFrame([([1, 49, 6],), ([],)], "n array<int>").select(permutation.mask(F.col("n")).alias("m")).collect()
     assert [r["m"] for r in got] == [(1 << 1) + (1 << 49) + (1 << 6), 0]
+
+
+def brute_tree(rows: pd.DataFrame, tree: int, f: forest.Forest) -> dict[int, tuple]:
+    """Splits of one tree by trying every feature and bin of every node."""
+    bins, y = forest.binned(rows[list(fits.FEATURES)].to_numpy()), rows.y.to_numpy()
+    period = rows.draw_index.to_numpy()
+    w = forest.weights(np.array([tree]), period)[:, 0] * np.where(y == 1, 43 / 6 if f.balanced else 1.0, 1.0)
+    w = np.where((period >= f.begin) & (period < f.end), w, 0.0)
+    out, waiting = {}, [(1, w > 0, 0)]
+    while waiting:
+        node, own, level = waiting.pop()
+        best = None
+        if level < f.depth:
+            for x in np.flatnonzero(forest.tried(np.array(tree), np.array(node))):
+                for edge in np.unique(bins[own, x]):
+                    left, right = own & (bins[:, x] <= edge), own & (bins[:, x] > edge)
+                    a, b = w[left].sum(), w[right].sum()
+                    if a >= f.leaf and b >= f.leaf and b > 0:
+                        ha, hb = (w * y)[left].sum(), (w * y)[right].sum()
+                        gain = round(ha * ha / a + hb * hb / b - (ha + hb) ** 2 / (a + b), 9)
+                        if gain > 0 and (best is None or (-gain, x, edge) < best[0]):
+                            best = ((-gain, x, edge), left, right)
+        if best is None:
+            out[node] = ("leaf", (w * y)[own].sum() / w[own].sum())
+        else:
+            out[node] = (int(best[0][1]), int(best[0][2]))
+            waiting += [(2 * node, best[1], level + 1), (2 * node + 1, best[2], level + 1)]
+    return out
+
+
+def test_forest_against_a_search_of_all_splits(panel):
+    plan = [forest.Forest("a", 40, trees=3, depth=3, leaf=30), forest.Forest("b", 60, 10, trees=2, depth=2, leaf=10, balanced=True)]
+    got, rows = forest.grown(panel, plan), tiny()
+    for tree, o in enumerate(got.owner):
+        for node, want in brute_tree(rows, tree, plan[o]).items():
+            if want[0] == "leaf":
+                assert got.feature[tree, node] == -1 and got.rate[tree, node] == pytest.approx(want[1], abs=1e-9)
+            else:
+                assert (got.feature[tree, node], got.edge[tree, node]) == want
+    p = forest.scored(panel, got, [("x", "a", 40, 60), ("y", "b", 50, 55)]).toPandas()
+    assert Counter(p.block) == {"x": 20 * 49, "y": 5 * 49}
+    for name, o in (("x", 0), ("y", 1)):
+        own = rows.merge(p[p.block == name], on=["draw_index", "number"])
+        bins = forest.binned(own[list(fits.FEATURES)].to_numpy())
+        for k in range(0, len(own), 37):
+            rates = []
+            for tree in np.flatnonzero(got.owner == o):
+                node = 1
+                while got.feature[tree, node] >= 0:
+                    node = 2 * node + int(bins[k, got.feature[tree, node]] > got.edge[tree, node])
+                rates.append(got.rate[tree, node])
+            assert own.p[k] == pytest.approx(np.mean(rates))
+    held = rows.merge(p[p.block == "x"], on=["draw_index", "number"])
+    assert ((held.p - held.y_x) ** 2).mean() < 6 / 49 * 43 / 49  # it learns
+
+
+def test_a_forest_without_rows_is_uniform(panel):
+    none = forest.grown(panel.where("draw_index < 0"), [forest.Forest("a", 9, trees=2)])
+    assert set(forest.scored(panel.where("draw_index = 3"), none, [("x", "a", 0, 9)]).toPandas().p) == {6 / 49}
+
+
+def test_a_period_has_one_weight_in_a_tree():
+    w = forest.weights(np.arange(200), np.arange(500))
+    assert w.shape == (500, 200) and abs(w.mean() - 1) < 0.02 and 0.9 < w.var() < 1.1
+    assert (forest.tried(np.arange(50)[:, None], np.arange(1, 64)[None, :]).sum(-1) == forest.TRIED).all()

@@ -111,7 +111,7 @@ def test_lines_are_numbered_over_splits_and_encodings(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     by = {(r["file"].rsplit("/", 1)[-1], r["line"]): r["value"] for r in got}
-    assert len(got) == len(by) == 4500
+    assert len(got) == len(by) == 4501
     assert all(by["a.csv", k + 1] == x for k, x in enumerate(text)) and all(by["b.csv", k + 1] == x for k, x in enumerate(text[:1500]))
     table = lines.import_table(spark, str(tmp_path), "export", "1")
     first = table.where("draw_id = '109000003'").first()
