@@ -26,8 +26,9 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member; a revisit keeps the HTTP headers and has no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One record as a gzip member; a revisit keeps the HTTP headers and has no payload. The record of a null page_id is named ``null``."""
+    page_id = "null" if page_id is None else page_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload or b"") if refers_to is None else http
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}"]
@@ -72,6 +73,8 @@ def parse(content: bytes, at: int) -> tuple[dict, int]:
 def salvage(content: bytes) -> Iterator[tuple[str, object]]:
     """("record", head) of each sound record, in order, and ("gap", (start, end, reason)) of the bytes in between.
 
+    A head also has the record's first byte and the one after it, as ``start`` and ``end``.
+
     Archives are plain or a gzip member for each record. Where a check fails, the reader goes on at the next place that
     holds a valid member with a valid record, or a valid record after a version line; all bytes up to there are a gap.
     """
@@ -95,7 +98,7 @@ def salvage(content: bytes) -> Iterator[tuple[str, object]]:
         if gap >= 0:
             yield "gap", (gap, at, reason)
             gap = -1
-        yield "record", rec
+        yield "record", rec | {"start": at, "end": after}
         at = after
     if gap >= 0:
         yield "gap", (gap, len(content), reason)
@@ -119,16 +122,17 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) ->
     """Write a record for each row of ``pages`` (page_id, url, html) into archives in ``folder``; (file, n_records) of each.
 
     The payload is the html in UTF-8; a null is empty. Of the rows with equal payloads of at least ``least_bytes`` the
-    one with the largest page_id is the response, and the others revisit it; smaller payloads are all responses. A row
-    with a null page_id is written as page -1, a null url as the record's own name. Rows that repeat a page_id with one
-    payload are responses all. Other columns are ignored. Archives are written whole under another name and renamed.
+    one with the largest page_id is the response, and the others revisit it; smaller payloads are all responses. A null
+    page_id stays null: such a row revisits the page with its payload, or is a response where no row with an id has it. A
+    null url is the record's own name. Rows that repeat a page_id with one payload are responses all. Other columns are ignored. Archives are written whole under another name and renamed.
     """
     arrow_rows(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pick(pages, "page_id", "url", "html").select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), "url", html.cast("binary").alias("payload"))
+    rows = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", html.cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
     last = rows.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("last"))
-    rows = rows.join(last, "digest", "left").select("page_id", "url", F.when((F.col("size") < least_bytes) | (F.col("page_id") == F.col("last")), F.col("payload")).alias("payload"), "size", "digest", F.when((F.col("size") >= least_bytes) & (F.col("page_id") != F.col("last")), F.col("last")).alias("refers_to"))
+    first = (F.col("size") < least_bytes) | F.col("last").isNull() | F.col("page_id").eqNullSafe(F.col("last"))
+    rows = rows.join(last, "digest", "left").select("page_id", "url", F.when(first, F.col("payload")).alias("payload"), "size", "digest", F.when(~first, F.col("last")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -189,7 +193,7 @@ def read_warc(pages_folder: DataFrame) -> DataFrame:
                     if sound:
                         rows.append((name, "record", number(x.get("warc-record-id")), x.get("warc-target-uri"), int(length), digest, x.get("warc-type"), number(x.get("warc-refers-to")), payload, None, None, None))
                     else:
-                        rows.append((name, "gap", number(x.get("warc-record-id")), *[None] * 6, None, None, "the payload has another length or digest"))
+                        rows.append((name, "gap", number(x.get("warc-record-id")), *[None] * 6, x["start"], x["end"], "the payload has another length or digest"))
                 for i in range(0, len(rows), 200):
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 200], strict=True), _TYPES, strict=True)], _NAMES)
 

@@ -386,6 +386,51 @@ def test_warc(spark, empty):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_with_null_ids_ties_and_clashing_columns(spark):
+    rows = [(None, "u", "a" * 50), (3, None, "a" * 50), (3, "v", "a" * 50), (2, "w", "a" * 50), (None, "x", "alone"), (None, "x", "alone"), (-1, "y", "minus"), (7, "z", None), (8, "z", ""), (9, "l", "x" * 300_000)]
+    df = spark.createDataFrame([(*r, "no", 1) for r in rows], "page_id long, url string, html string, payload string, digest int").repartition(3)
+    got = warc.archive_pages(df).where("kind = 'record'").select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    want = [(None, 50, "revisit", 3), (3, 50, "response", None), (3, 50, "response", None), (2, 50, "revisit", 3), (None, 5, "response", None), (None, 5, "response", None), (-1, 5, "response", None), (7, 0, "revisit", 8), (8, 0, "response", None), (9, 300_000, "response", None)]
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+
+
+def test_damaged_archives_through_spark(spark, tmp_path):
+    """Records around the damage are read, and every byte of the archives lies in a sound record or in a logged gap."""
+    pages = spark.createDataFrame([(i, f"http://{i}", f"page {i} " * (20 + i)) for i in range(60)], "page_id long, url string, html string").repartition(2)
+    folder = f"file://{tmp_path}/w"
+    warc.write_warc(pages, folder).count()
+    rng, whole = random.Random(4), {}
+    for path in sorted((tmp_path / "w").glob("*.warc.gz")):
+        content = bytearray(path.read_bytes())
+        starts = [x["start"] for _, x in warc.salvage(bytes(content))]
+        for at in rng.sample(starts[1:], 4):
+            content[at + 40] ^= 0xFF
+        # a record whose block is sound but whose payload has another digest
+        content += warc.record(1000, "u", b"payload", 7, warc.base32(b"x" * 20), None)
+        path.write_bytes(bytes(content[5:]))  # and the first record loses its beginning
+        whole[path.name] = len(content) - 5
+    read = spark.read.format("binaryFile").load(folder)
+    got = warc.read_warc(read).collect()
+    gaps = [r for r in got if r["kind"] == "gap"]
+    records = {r["page_id"]: bytes(r["payload"]).decode() for r in got if r["kind"] == "record"}
+    assert all(t == f"page {i} " * (20 + i) for i, t in records.items())
+    assert len(records) == 60 - 5 * len(whole) and 1000 not in records
+    assert all(r["gap_start"] < r["gap_end"] <= whole[r["file"]] and r["reason"] for r in gaps)
+    assert {r["page_id"] for r in gaps if r["reason"].startswith("the payload")} == {1000}
+    for name, size in whole.items():
+        content = (tmp_path / "w" / name).read_bytes()
+        sound = [(x["start"], x["end"]) for k, x in warc.salvage(content) if k == "record" and x["warc-record-id"] != "<urn:page:1000>"]
+        spans = sorted(sound + [(r["gap_start"], r["gap_end"]) for r in gaps if r["file"] == name])
+        assert spans[0][0] == 0 and spans[-1][1] == size and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_language_model_keeps_null_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (4, "a b"), (4, "a b"), (-1, "c"), (None, None), (5, "")]
+    df = spark.createDataFrame([(*r, False, 1) for r in rows], "doc_id long, text string, held_out boolean, pack int").repartition(2)
+    got = language_model.score(df).select("doc_id", "n_tokens").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(None, 4), (4, 3), (4, 3), (-1, 2), (None, 1), (5, 1)])
+
+
 def test_salvage():
     parts = [warc.record(i, "http://x", b"p" * i, i, warc.base32(__import__("hashlib").sha1(b"p" * i).digest()), None) for i in range(1, 6)]
     whole = b"".join(parts)
