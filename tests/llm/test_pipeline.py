@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -77,6 +79,51 @@ def test_language_and_mixture_keep_rows_whole(spark, docs, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_language_stage_against_plain_python(spark, docs, sf_dir):
+    """What stays is what the fitted model does not reject, row by row; an id goes with any of its rows."""
+    model = pipeline.language_id.fit(docs)
+
+    def rejected(t: str | None) -> bool:
+        return not any(c.isalpha() for c in t or "") or model.scores(pa.array([t], pa.string()))[0].max() < model.least
+
+    gone = {r[0] for r in rows() if r[0] is not None and rejected(r[1])}
+    assert kept(pipeline.identify_language(spark, docs, sf_dir)) == sorted((r for r in rows() if r[0] is None or r[0] not in gone), key=repr)
+    assert gone
+
+
+def test_mixture_stage_against_plain_python(spark, docs, sf_dir):
+    """Raking, the factor and each row's draw, step by step over the cells."""
+    table = rows()
+    topic = lambda t: "legal" if "icense" in t or "opyright" in t else "web" if "http" in t or "@" in t else "numbers" if re.search("[0-9]", t) else "prose"
+    cell_of = [(r[3], r[2], topic(r[1] or "")) for r in table]
+    count = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in table]
+    tokens = {c: sum(n for x, n in zip(cell_of, count, strict=True) if x == c) for c in set(cell_of)}
+    total = sum(tokens.values())
+    share = {c: n / total for c, n in tokens.items()}
+    target = []
+    for m in range(3):
+        own = {c[m]: sum(n for x, n in tokens.items() if x[m] == c[m]) ** 0.5 for c in tokens}
+        target.append({v: x / sum(own.values()) for v, x in own.items()})
+    for _ in range(12):
+        for m in range(3):
+            own = {v: sum(s for x, s in share.items() if x[m] == v) for v in target[m]}
+            share = {c: s * target[m][c[m]] / own[c[m]] if own[c[m]] > 0 else 0.0 for c, s in share.items()}
+    weight = {c: share[c] * total / n if n else 1.0 for c, n in tokens.items()}
+    order = sorted(tokens, key=lambda c: -weight[c])
+    factor = None
+    for k, c in enumerate(order):
+        left = sum(share[x] for x in order[k:])
+        f = (pipeline.MIX_BUDGET * total - sum(tokens[x] for x in order[:k])) / (left * total) if left > 0 else None
+        if f is not None and f * weight[c] <= 1:
+            factor = f
+            break
+    p = {c: 1.0 if not n else (1.0 if share[c] > 0 else 0.0) if factor is None else min(weight[c] * max(factor, 0), 1.0) for c, n in tokens.items()}
+    draw = lambda i: int(hashlib.md5(f"{'' if i is None else i}:17".encode()).hexdigest()[:12], 16) / 2**48
+    gone = {r[0] for r, c in zip(table, cell_of, strict=True) if r[0] is not None and not draw(r[0]) < p[c]}
+    assert kept(pipeline.mix_sources(spark, docs, sf_dir)) == sorted((r for r in table if r[0] is None or r[0] not in gone), key=repr)
+    assert gone and len(gone) < len(table)
+
+
 def test_labels_that_texts_do_not_tell_apart(spark, docs):
     """The fit stays finite, and scores are probabilities."""
     found = pipeline.language_id.predict(docs, pipeline.language_id.fit(docs)).collect()
