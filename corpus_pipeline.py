@@ -64,7 +64,7 @@ STAGES = [
     ("token-ID output", write_token_ids),
 ]
 
-#: Language, files and groups are beyond SQL; tests hold the stages against brute force.
+#: Language, files and groups are beyond SQL; tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
