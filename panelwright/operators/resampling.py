@@ -45,7 +45,7 @@ def history_metrics(periods: int, seed: int, replicate: int) -> tuple[float, ...
     return float(np.abs(count - periods * P0).max()), float(gaps.max()), total / periods, float(sd), overlaps / max(1, periods), most
 
 
-def simulate(spark: SparkSession, periods: int, replicates: int, seed: int = 20260728, done: DataFrame | None = None) -> DataFrame:
+def simulate(spark: SparkSession, periods: int, replicates: int, seed: int = 41, done: DataFrame | None = None) -> DataFrame:
     """(replicate, the metrics) of fair histories; replicates that ``done`` has are not made again."""
     ids = spark.range(replicates).withColumnRenamed("id", "replicate")
     if done is not None:

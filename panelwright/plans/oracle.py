@@ -358,7 +358,7 @@ def sql() -> dict[str, str]:
   WINDOW x AS (PARTITION BY strategy ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE block > 0 QUALIFY row_number() OVER (PARTITION BY block ORDER BY inner_brier, strategy) = 1""",
             "inner_brier mean_hits",
         ),
-        "chi_square_uniform": _query(f"SELECT sum((count - periods * {_P0}) ** 2 / (periods * {_P0})) AS statistic, 48::BIGINT AS df FROM g", "statistic"),
+        "chi_square_uniform": _query(f"SELECT statistic, df, {_gamma_q('24.0', '(statistic / 2)')} AS p FROM (SELECT sum((count - periods * {_P0}) ** 2 / (periods * {_P0})) AS statistic, 48::BIGINT AS df FROM g)", "statistic p"),
         "number_tests": _query(
             """SELECT a.number, autocorrelation, runs, (runs - (2.0 * c * (n - c) / n + 1)) / sqrt(2.0 * c * (n - c) * (2.0 * c * (n - c) - n) / (n * n * (n - 1.0))) AS runs_z, n * (n + 2.0) * s AS ljung_box
   FROM (SELECT number, corr(y, b) AS autocorrelation, sum((y <> b)::INT)::BIGINT + 1 AS runs FROM (SELECT number, y, lag(y) OVER (PARTITION BY number ORDER BY draw_index) AS b FROM p) WHERE b IS NOT NULL GROUP BY number) a

@@ -423,7 +423,7 @@ def backtest_significance(d: DataFrame) -> DataFrame:
 
 @register
 def chi_square_uniform(d: DataFrame) -> DataFrame:
-    return randomness.chi_square_uniform(d).drop("p")
+    return randomness.chi_square_uniform(d)
 
 
 @register
@@ -448,7 +448,7 @@ def gap_goodness(d: DataFrame) -> DataFrame:
 
 @register
 def pvalue_corrections(d: DataFrame) -> DataFrame:
-    """Corrections of the two-sided normal p-values of all numbers' counts, rounded first so that ties are ties."""
+    """Corrections of 1 / (1 + |z|) of all numbers' counts, a stand-in for p-values that falls with |z|, rounded first so that ties are ties."""
     z = panel.number_frequency(d).select("number", (F.round(1 / (1 + F.abs("z_score")), 6)).alias("p"))
     return adjusted(z, "p", "number")
 
