@@ -194,7 +194,7 @@ def _run_keys(parts: int):
 
 def _equal_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, begins, ends, first): all runs of RUN words that a document with a smaller id has too, wherever they stand."""
-    n = partitions(docs.sparkSession)
+    n = 2 * partitions(docs.sparkSession)  # a task sorts its part in memory
     packed = "part int, c0 binary, c1 binary"
     met = docs.mapInArrow(_named(n), packed).repartition(n, "part").mapInArrow(_met(n), packed)
     met = stored(met.repartition(n, "part").mapInArrow(_by_document, "doc_id long, keys binary"), "dedup-met")
@@ -411,7 +411,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN) -> DataFrame:
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = pick(docs, "doc_id", "text").where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = partitions(spark)
+    n = 2 * partitions(spark)  # a task sorts its part in memory
     equal = stored(docs.mapInArrow(_piece_keys(n), "part int, c0 binary, c1 binary, c2 binary, c3 binary").repartition(n, "part").mapInArrow(_later, _MARKS), "dedup-pieces")
     alike = stored(_equal_runs(docs), "dedup-runs")
     near = stored(_near_paragraphs(docs), "dedup-near")
