@@ -326,9 +326,12 @@ class _Sets:
         return out
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joined: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies): each document's class under all links of 5-word shingle sets.
 
+    ``joined`` (node, component long) names ids that links are known to join, a row for each id: they are one class from
+    the start, and no two of one class are compared. Ids that are not in ``docs`` do no harm there.
+
     Two sets link when 100 times their intersection reaches 75 times their union; component_id is the smallest id that
     links reach. n_copies counts the documents whose set is exactly this one, itself included.
 
@@ -369,6 +372,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lead = F.max(F.struct("sets", "token"))["token"].alias("lead"), F.min(F.expr("token ^ (-9223372036854775808L)")).alias("first")
     lead = stored(matrix.groupBy("key").agg(*lead, F.first("n").alias("n"), (F.count("*") / F.first("n")).alias("usual")), "join-lead")
     links, now = [], lead.withColumn("g", F.col("key"))
+    given = None
+    if joined is not None:
+        given = stored(keyed.where("n_shingles > 0").join(joined, F.col("doc_id") == F.col("node")).select("set_key", "component").distinct(), "join-given")
+        given = given.join(given.groupBy("component").agg(F.min("set_key").alias("to")), "component").groupBy("set_key").agg(F.min("to").alias("to"))
+        given = stored(given, "join-given-sets")
+        now = now.join(given.withColumnRenamed("set_key", "key"), "key", "left").withColumn("g", F.coalesce("to", "key")).drop("to")
     for by in ("lead", "first"):
         centres = now.where("key = g")
         medoids = centres.groupBy(by).agg(F.max(F.struct("usual", "key")).alias("m"), F.count("*").alias("k")).where("k > 1").select(by, F.col("m.key").alias("b"))
@@ -400,6 +409,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links.append(sets.linked(stored(both.union(itself).mapInArrow(_opened, "a long, b long"), "join-candidates")))
 
     edges = reduce(DataFrame.union, links).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    if given is not None:
+        own = reps.select("set_key", F.col("rep").alias("a"))
+        edges = edges.union(given.join(own, "set_key").join(reps.select(F.col("set_key").alias("to"), F.col("rep").alias("b")), "to").select("a", "b"))
     # an id whose rows have different sets is one node: it joins the sets' representatives
     several = stored(keyed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id"), "join-several-ids")
     held = stored(keyed.where("n_shingles > 0").join(several, "doc_id").join(reps, "set_key").select("doc_id", "rep").distinct(), "join-held")

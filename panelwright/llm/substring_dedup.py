@@ -314,6 +314,7 @@ def _unmet(docs: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame |
 
     ``pairs`` has each paragraph of a bucket with the bucket's smallest, so a bucket with several components has a pair
     across two; every member of such components takes part, and with it every pair of a bucket that is not joined yet.
+    The join is told of the components, so that what links join already is not paired again.
     """
     spark = docs.sparkSession
     apart = pairs
@@ -328,7 +329,7 @@ def _unmet(docs: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame |
     wanted = stored(single[0].union(single[1]).union(groups.join(touched, "component", "left_semi").select(F.col("node").alias("key"))).distinct(), "dedup-open")
     texts = docs.mapInArrow(_texts(key_filter(F.col("key"), wanted)), "key long, text string").join(wanted, "key", "left_semi").dropDuplicates(["key"])
     texts = stored(texts, "dedup-texts")
-    found = ngram_join(texts, "key", "text").where("doc_id <> component_id")
+    found = ngram_join(texts, "key", "text", groups.join(wanted.withColumnRenamed("key", "node"), "node", "left_semi")).where("doc_id <> component_id")
     out = stored(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "dedup-met-late")
     forget(spark, apart, wanted, texts)
     return out
@@ -344,6 +345,26 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
 
+def _hubs(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b) not in ``pairs``: each paragraph with the one that has the most links among those that share a first of its pairs.
+
+    Variants of one paragraph have it as their hub, and seldom the smallest key: so few comparisons join most of a family.
+    """
+    ends = [links.select(F.col(end).alias("node")) for end in "ab"]
+    degree = ends[0].union(ends[1]).groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    near = pairs.select(F.col("a").alias("head"), F.col("b").alias("node")).union(pairs.select(F.col("a").alias("head"), F.col("a").alias("node")).distinct())
+    hubs = near.join(degree, "node").groupBy("head").agg(F.max(F.struct("n", "node"))["node"].alias("hub")).where("hub <> head")
+    found = near.join(hubs, "head").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    return found.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link, as a written table."""
+    for end in "ab":
+        pairs = pairs.join(sets.select(F.col("key").alias(end), F.col("shingles").alias(f"{end}_s")), end)
+    return stored(pairs.select("a", "b", "a_s", "b_s").mapInArrow(_similar, "a long, b long"), "dedup-links")
+
+
 def _near_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, begins, ends, first): the paragraphs that are near copies of one in a document with a smaller id."""
     n = partitions(docs.sparkSession)
@@ -352,10 +373,8 @@ def _near_paragraphs(docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = docs.mapInArrow(_occurrences(key_filter(F.col("key"), wanted), True), "key long, shingles binary")
     sets = stored(sets.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "dedup-sets")
-    both = pairs
-    for end in "ab":
-        both = both.join(sets.select(F.col("key").alias(end), F.col("shingles").alias(f"{end}_s")), end)
-    links = stored(both.select("a", "b", "a_s", "b_s").mapInArrow(_similar, "a long, b long"), "dedup-links")
+    links = _compared(pairs, sets)
+    links = links.union(_compared(stored(_hubs(pairs, links), "dedup-hubs"), sets))
     groups = stored(components(links, "dedup-groups"), "dedup-groups")
     forget(docs.sparkSession, sets)
     late = _unmet(docs, pairs, groups)
@@ -405,8 +424,9 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN) -> DataFrame:
 
     Rows that repeat an id are one document. Null ids take no part; a null or empty text has no unit. Other columns are
     ignored. An empty table gives an empty one. Groups of copies are met once for each unit: a bucket yields pairs with
-    its smallest key and between neighbours. Where links of those leave a bucket in several components, the exact join of
-    shingle sets, in bounded blocks, compares all of its paragraphs.
+    its smallest key, between neighbours and with the paragraph that has the most links so far. Where links of those leave
+    a bucket in several components, the exact join of shingle sets, in bounded blocks, compares all of its paragraphs that
+    they do not join.
     """
     spark = docs.sparkSession
     arrow_rows(spark)

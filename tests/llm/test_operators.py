@@ -478,3 +478,47 @@ def test_language_model_is_normalised():
         own[seating.dish[m]] = seating.count[m] - language_model.DISCOUNT * seating.tables[m]
         p = (own + totals.pull()[c] * parent) / (language_model.STRENGTH + totals.customers[c])
         assert p.sum() + totals.pull()[c] * rest / (language_model.STRENGTH + totals.customers[c]) == pytest.approx(1)
+
+
+def test_ngram_join_with_given_classes(spark):
+    """Classes that are given join their ids, and with them what links reach; other results are as without them."""
+    rng = random.Random(33)
+    stem = text(rng, 60, 100_000).split()
+    rows = []
+    for i in range(60):
+        w = list(stem)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(60)] = f"v{rng.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, text(rng, 30, 100_000)) for i in range(5)] + [(200, rows[7][1]), (201, None)]
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert len(linked) > 200
+    given = [(i, j) for i, j in linked if i % 7 == 3][:12] + [(100, 104)]
+
+    def classes(edges):
+        of = {i: i for i in sets}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in edges:
+                if of[a] != of[b]:
+                    of[a] = of[b] = min(of[a], of[b])
+                    changed = True
+        return of
+
+    start = classes(given)
+    known = spark.createDataFrame([(i, c) for i, c in start.items() if sum(x == c for x in start.values()) > 1] + [(999, 3)], "node long, component long")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(df, joined=known).collect()}
+    assert got == classes(linked + given)
+
+
+def test_hubs_join_a_family(spark):
+    """Variants that link with their original and not with each other: one comparison each with the hub."""
+    pairs = [(1, 5), (1, 9), (1, 12), (1, 20), (2, 9), (2, 30), (3, 4)]
+    links = [(5, 9), (9, 12), (2, 9)]
+    frame = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = {(r["a"], r["b"]) for r in substring_dedup._hubs(frame(pairs), frame(links)).collect()}
+    assert got == {(5, 9), (9, 12), (9, 20), (9, 30)}
+    assert substring_dedup._hubs(frame(pairs), frame(links).limit(0)).count() == 0
