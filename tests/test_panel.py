@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import adjust, special
 from panelwright.operators import features, panel, randomness, strategies, validation
-from panelwright.sources.draws import numbered, wide
+from panelwright.sources.draws import numbered, subset, wide
 
 
 def matrix(draws) -> np.ndarray:
@@ -172,3 +172,26 @@ def test_corrections(spark):
     assert [round(r["holm"], 6) for r in got] == [0.04, 0.06, 0.06, 0.5]
     assert [round(r["bh"], 6) for r in got] == [0.04, 0.04, 0.04, 0.5]
     assert [round(r["bonferroni"], 6) for r in got] == [0.04, 0.08, 0.12, 1.0]
+
+
+def test_sets_of_large_keys(spark):
+    """Keys whose hashes pass 64 bits as products give the sets of whole-number arithmetic."""
+    keys = [0, 1, 17, 900_000 * 2_654_435 + 97, 54_000_000 * 2_654_435 + 97]
+    got = spark.createDataFrame([(k,) for k in [*keys, None]], "k long").select("k", subset(F.col("k"), 7).alias("s")).collect()
+    for r in got:
+        want = r["k"] is not None and sorted(range(1, 50), key=lambda n: (((r["k"] * 7919 + n * 104729) * (n * 31 + r["k"] % 1009 + 17)) % 1000003, n))[:7]
+        assert r["s"] == (want or None)
+
+
+def test_ranks_share_ties():
+    x = np.array([[3, 1, 3, 2], [5, 5, 5, 5], [4, 3, 2, 1]])
+    assert strategies.percent_rank_average(x).tolist() == [[0.875, 0.25, 0.875, 0.5], [0.625] * 4, [1.0, 0.75, 0.5, 0.25]]
+
+
+def test_history_does_not_sort_the_panel(spark, draws):
+    """Rows for each number are made once, of blocks: no exchange, sort or window takes them in."""
+    plan = strategies.periods(draws, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(h" not in plan and "percent_rank" not in plan and "FlatMapCoGroupsInArrow" in plan
+    both = strategies.periods(draws, 60, against="frequency_random").collect()
+    base = {r["draw_index"]: r for r in both if r["strategy"] == "frequency_random"}
+    assert all((r["hits_0"], r["brier_0"]) == (base[r["draw_index"]]["hits_6"], base[r["draw_index"]]["brier"]) for r in both)
