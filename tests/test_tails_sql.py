@@ -24,3 +24,7 @@ def test_normal_tail(z):
 
 def test_gamma_tail_of_null():
     assert duckdb.connect().execute(f"SELECT {oracle._gamma_q('a', 'x')} FROM (SELECT NULL::DOUBLE AS a, 1.0 AS x)").fetchone()[0] is None
+
+
+def test_tails_of_statistics_that_are_not_rounded():
+    assert "round(runs_z, 9)" not in oracle.sql()["randomness_tails"] and "round(ljung_box, 9)" not in oracle.sql()["randomness_tails"]
