@@ -4,24 +4,31 @@ All fits take the same Newton steps together. A step is one pass over the rows:
 the gradient and curvature of the rows that train the fit, with matrix products; Spark adds the tasks' sums; what the
 driver solves is one small system a fit. Which rows train a fit is a range of an ordinal column, so refits along the
 periods, folds, penalties, left-out features and years are all lists of fits.
+
+Rows come as a panel, or from packed blocks of draws (``features.packed``): then a task makes the features of a block
+anew in each pass, and no row of the panel is ever written, moved or sorted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.adjust import projected, shrunk
+from panelwright.functions.adjust import projected, projected_rows, shrunk
+from panelwright.operators.features import Packed, audited_known, since
 from panelwright.sources.draws import P0, UNIVERSE
 
 FEATURES = ("z_gap_asof", "z_ewma", "z_transition_rate", "z_long_rate", "z_rate_20", "z_rate_50", "z_rate_100")
 #: Newton steps from the uniform chance; hits depend on features so little that five reach a double's precision.
 STEPS = 5
+#: Steps end early where the last one moved no coefficient by more: the next would move it by the square of that.
+STILL = 1e-9
 #: Penalty: the objective is the sum of losses and |w|^2 / (2 C), the intercept left out.
 C = 0.2
 #: Fits at once, at most: a task holds 49 x 44 sums of each, and the driver their coefficients.
@@ -80,10 +87,78 @@ def _step(now: Fitted):
                 p = 1 / (1 + np.exp(-(own @ now.coef.T + now.effect[:, n - 1])))
                 total[n - 1, :, :_WIDTH] += ((y[mine, None] - p) * inside).T @ own
                 total[n - 1, :, _WIDTH:] += (p * (1 - p) * inside).T @ (own[:, rows] * own[:, cols])
-        number, fit = np.nonzero(total[:, :, _WIDTH])  # the curvature of the intercept: rows that train
-        if len(fit):
-            found = total[number, fit]
-            yield pa.record_batch([pa.array(fit.astype(np.int32)), pa.array(number.astype(np.int32)), *(pa.array(found[:, i].copy()) for i in range(len(SUMS)))], ["fit", "number", *SUMS])
+        yield from _said(total)
+
+    return run
+
+
+def _said(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sums by number, fit and column as rows, of fits that rows train."""
+    number, fit = np.nonzero(total[:, :, _WIDTH])  # the curvature of the intercept
+    if len(fit):
+        found = total[number, fit]
+        yield pa.record_batch([pa.array(fit.astype(np.int32)), pa.array(number.astype(np.int32)), *(pa.array(found[:, i].copy()) for i in range(len(SUMS)))], ["fit", "number", *SUMS])
+
+
+#: Periods, their place among the fits' ranges, features (number, period, coefficient) and hits (number, period) of a block.
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _cells(blocks: Packed, begin: int, at: str = "draw_index") -> Callable[[Iterator[pa.RecordBatch]], Iterator[Cells]]:
+    """For use in tasks: the cells of every block of a partition, from period ``begin`` on."""
+    read = blocks.reader()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
+        for known in read(batches):
+            known = since(known, begin)
+            if len(known["y"]):
+                known = audited_known(known, FEATURES)
+                x = np.empty((UNIVERSE, len(known["y"]), _WIDTH))
+                x[:, :, 0] = 1
+                for k, c in enumerate(FEATURES, 1):
+                    x[:, :, k] = known[c].T
+                yield known["draw_index"][:, 0], known[at][:, 0], x, known["y"].T.astype(float)
+
+    return run
+
+
+#: Fits whose chances a task holds at once, for a block's cells.
+_TOGETHER = 32
+
+
+def _block_step(now: Fitted, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[Cells]]):
+    """``_step`` from the cells of blocks: a block is cut where other fits begin or end, so that all rows of a piece train the same fits."""
+    begin, end = (np.array([getattr(f, k) for f in now.fits]) for k in ("begin", "end"))
+    rows, cols = np.array(_PAIRS).T
+    # fits with the same coefficients, such as all in the first step, share their sums
+    every, same = np.unique(np.hstack([now.coef, now.effect]), axis=0, return_inverse=True)
+    coef, effect, same = every[:, :_WIDTH], every[:, _WIDTH:], same.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((UNIVERSE, len(now.fits), len(SUMS)))
+        for _, at, x, y in cells(batches):
+            inside = (at[:, None] >= begin) & (at[:, None] < end)
+            cuts = np.flatnonzero((inside[1:] != inside[:-1]).any(1)) + 1
+            for low, high in pairwise([0, *cuts.tolist(), len(at)]):
+                fits = np.flatnonzero(inside[low])
+                if not len(fits):
+                    continue
+                own, hit = x[:, low:high], y[:, low:high, None]
+                distinct = np.unique(same[fits])
+                few = len(distinct) < 5
+                pairs = None if few else own[..., rows] * own[..., cols]
+                for i in range(0, len(distinct), _TOGETHER):
+                    some = distinct[i : i + _TOGETHER]
+                    p = 1 / (1 + np.exp(-(own @ coef[some].T + effect[some].T[:, None, :])))
+                    w = p * (1 - p)
+                    if few:
+                        h = np.stack([((own * w[:, :, k, None]).transpose(0, 2, 1) @ own)[:, rows, cols] for k in range(len(some))], 1)
+                    else:
+                        h = w.transpose(0, 2, 1) @ pairs
+                    sums = np.concatenate([(hit - p).transpose(0, 2, 1) @ own, h], 2)
+                    mine = fits[np.isin(same[fits], some)]
+                    total[:, mine] += sums[:, np.searchsorted(some, same[mine])]
+        yield from _said(total)
 
     return run
 
@@ -116,11 +191,12 @@ def _solved(now: Fitted, sums: np.ndarray) -> Fitted:
     return Fitted(now.fits, now.coef + change, now.effect + effect, np.maximum(np.abs(change).max(1), np.abs(effect).max(1)))
 
 
-def fitted(panel: DataFrame, fits: Sequence[Fit], at: str = "draw_index", steps: int = STEPS) -> Fitted:
+def fitted(panel: DataFrame | Packed, fits: Sequence[Fit], at: str = "draw_index", steps: int = STEPS, start: int = 0) -> Fitted:
     """All ``fits`` of ``panel`` (draw_index, number, y, features): each step is one job for all of them.
 
     Features are used as they are; the audited ones are standardised by period. A fit without rows keeps the uniform
-    chance. A panel that is costly to make should be written first (``sinks.tables.stored``), as each step reads it.
+    chance. A panel that is costly to make should be written first (``sinks.tables.stored``), as each step reads it; packed
+    blocks are written, and give the audited features of their periods from ``start`` on (``at``: draw_index or year).
     """
     if not 0 < len(fits) <= MOST_FITS:
         raise ValueError(f"1 to {MOST_FITS} fits, not {len(fits)}")
@@ -128,14 +204,23 @@ def fitted(panel: DataFrame, fits: Sequence[Fit], at: str = "draw_index", steps:
         raise ValueError(f"fits without a positive c or any feature: {bad}")
     now = Fitted(list(fits), np.zeros((len(fits), _WIDTH)), np.zeros((len(fits), UNIVERSE)))
     now.coef[:, 0] = np.log(P0 / (1 - P0))
-    rows = panel.where((F.col(at) < max(f.end for f in fits)) & (F.col(at) >= min(f.begin for f in fits)))
-    rows = rows.select(F.col(at).cast("long").alias("at"), F.col("number").cast("int").alias("number"), F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    low, high = min(f.begin for f in fits), max(f.end for f in fits)
+    if isinstance(panel, Packed):
+        rows = panel.between(max(low, start), high) if at == "draw_index" else panel.table
+        cells = _cells(panel, start, at)
+        step = lambda now: _block_step(now, cells)
+    else:
+        rows = panel.where((F.col(at) < high) & (F.col(at) >= low))
+        rows = rows.select(F.col(at).cast("long").alias("at"), F.col("number").cast("int").alias("number"), F.col("y").cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in FEATURES])
+        step = _step
     schema = "fit int, number int, " + ", ".join(f"{c} double" for c in SUMS)
     for _ in range(steps):
-        got = rows.mapInArrow(_step(now), schema).groupBy("fit", "number").agg(*[F.sum(c).alias(c) for c in SUMS]).toArrow()
+        got = rows.mapInArrow(step(now), schema).groupBy("fit", "number").agg(*[F.sum(c).alias(c) for c in SUMS]).toArrow()
         sums = np.zeros((len(fits), UNIVERSE, len(SUMS)))
         sums[np.asarray(got["fit"]), np.asarray(got["number"])] = np.column_stack([np.asarray(got[c]) for c in SUMS])
         now = _solved(now, sums)
+        if now.moved.max() < STILL:
+            break
     return now
 
 
@@ -189,6 +274,33 @@ def losses(rows: DataFrame, *by: str, shrink: float = 0.1) -> DataFrame:
     return arrays.select(*by, "draw_index", hits.alias("hits_6"), brier.alias("brier"), loss.alias("log_loss"))
 
 
+def block_losses(blocks: Packed, models: Fitted, spans: Sequence[tuple[str, str, int, int]], start: int = 0, shrink: float = 0.1) -> DataFrame:
+    """``losses`` by block of ``scored``, from packed blocks: a row for each period comes out of a task, and no row for a number."""
+    place = {f.name: k for k, f in enumerate(models.fits)}
+    chosen = [(name, models.coef[place[fit]], models.effect[place[fit]], begin, end) for name, fit, begin, end in spans]
+    chance = lambda x, coef, effect: 1 / (1 + np.exp(-(x @ coef + effect[:, None])))
+    first = max(start, min(s[2] for s in spans))
+    return _lost(blocks, chosen, chance, first, max(s[3] for s in spans), shrink)
+
+
+def _lost(blocks: Packed, chosen: Sequence[tuple], chance: Callable[..., np.ndarray], first: int, end: int, shrink: float) -> DataFrame:
+    """(block, draw_index, hits_6, brier, log_loss) of the periods of each of ``chosen`` (name, ..., begin, end); ``chance`` gives numbers by periods."""
+    cells = _cells(blocks, first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _, x, hits in cells(batches):
+            for name, *model, begin, stop in chosen:
+                low, high = np.searchsorted(t, [begin, stop])
+                if low < high:
+                    q, y = shrunk(projected_rows(chance(x[:, low:high], *model).T), shrink), hits[:, low:high].T
+                    top = np.argsort(-np.round(q, 10), axis=1, kind="stable")[:, :6]
+                    clip = np.clip(q, 1e-12, 1 - 1e-12)
+                    found = [np.take_along_axis(y, top, 1).sum(1).astype(np.int64), ((q - y) ** 2).mean(1), -np.log(np.where(y == 1, clip, 1 - clip)).mean(1)]
+                    yield pa.record_batch([pa.array([name] * (high - low), pa.string()), pa.array(t[low:high]), *map(pa.array, found)], ["block", "draw_index", "hits_6", "brier", "log_loss"])
+
+    return blocks.between(first, end).mapInArrow(run, "block string, draw_index long, hits_6 long, brier double, log_loss double")
+
+
 def coefficients(spark, models: Fitted) -> DataFrame:
     """(fit, term, value) of the intercept and the features of every fit."""
     rows = [(f.name, term, float(v)) for f, coef in zip(models.fits, models.coef, strict=True) for term, v in zip(("intercept", *FEATURES), coef, strict=True)]
@@ -215,6 +327,37 @@ def period_sums(panel: DataFrame, model: Fitted) -> DataFrame:
     return rows.groupBy("draw_index").agg(*[s.alias(c) for s, c in zip(sums, SUMS, strict=True)])
 
 
+def _period_sums(x: np.ndarray, y: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """``period_sums`` of a block's cells: periods by sums."""
+    x = np.ascontiguousarray(x.transpose(1, 0, 2))
+    p = 1 / (1 + np.exp(-(x @ coef)))
+    grad = ((y.T - p)[:, None, :] @ x)[:, 0]
+    h = (x * (p * (1 - p))[..., None]).transpose(0, 2, 1) @ x
+    rows, cols = np.array(_PAIRS).T
+    return np.hstack([grad, h[:, rows, cols]])
+
+
+def range_sums(blocks: Packed, model: Fitted, last: int, ranges: int, start: int = 0) -> DataFrame:
+    """``period_sums`` for ``deletion_sums``, from packed blocks: periods of a block and of the same of so many ranges are one row, the ``last`` ones a row each.
+
+    A row's draw_index is its first period's, so that it lies in its range.
+    """
+    fit, coef, cells = model.fits[0], model.coef[0], _cells(blocks, max(start, model.fits[0].begin))
+    low, high = max(start, fit.begin), fit.end - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _, x, y in cells(batches):
+            keep = t <= high
+            t, sums = t[keep], _period_sums(x[:, keep], y[:, keep], coef)
+            piece = np.where(t > high - last, t, -1 - (t - low) * ranges // (high - low + 1))
+            cuts = np.flatnonzero(np.diff(piece, prepend=np.nan))
+            if len(cuts):
+                sums = np.add.reduceat(sums, cuts, 0)
+                yield pa.record_batch([pa.array(t[cuts]), *(pa.array(sums[:, k].copy()) for k in range(len(SUMS)))], ["draw_index", *SUMS])
+
+    return blocks.between(low, fit.end).mapInArrow(run, "draw_index long, " + ", ".join(f"{c} double" for c in SUMS))
+
+
 def poisson_limits(most: int = 12) -> np.ndarray:
     """The Poisson law's running sums at mean 1: a uniform number's count is how many lie at or below it."""
     terms = np.cumprod([1.0, *(1 / k for k in range(1, most))])
@@ -227,23 +370,43 @@ def bootstrap_sums(sums: DataFrame, replicates: int) -> DataFrame:
     One pass: tasks multiply the matrix of counts with their periods' sums, so that there are as many rows as replicates
     for each task, and never periods times replicates.
     """
-    limits = poisson_limits()
+    parts = lambda b: (np.asarray(b.column(0)), np.column_stack([np.asarray(b.column(k + 1)) for k in range(len(SUMS))]))
+    return _bootstrapped(sums.select("draw_index", *SUMS), lambda batches: map(parts, batches), replicates)
+
+
+def block_bootstrap_sums(blocks: Packed, model: Fitted, replicates: int, start: int = 0) -> DataFrame:
+    """``bootstrap_sums`` of ``period_sums`` at ``model``, from packed blocks: a period's sums do not leave their task."""
+    fit, coef = model.fits[0], model.coef[0]
+    low = max(start, fit.begin)
+    cells = _cells(blocks, low)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for t, _, x, y in cells(batches):
+            n = np.searchsorted(t, fit.end)
+            yield t[:n], _period_sums(x[:, :n], y[:, :n], coef)
+
+    return _bootstrapped(blocks.between(low, fit.end), parts, replicates)
+
+
+def _bootstrapped(rows: DataFrame, parts: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], replicates: int) -> DataFrame:
+    prime = 1_000_003
+    counts = np.searchsorted(poisson_limits(), np.arange(prime) / float(prime), "right").astype(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((replicates, len(SUMS)))
         r = np.arange(replicates, dtype=np.int64)[:, None]
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                key = np.asarray(part.column(0)).astype(np.int64)
-                mixed = (key * 7919 + r * 104_729) % 1_000_003
-                u = (mixed * mixed + (key % 1009 + 17) * (r * 31 + 7)) % 1_000_003 / 1_000_003.0
-                count = np.searchsorted(limits, u, "right").astype(float)
-                total += count @ np.column_stack([np.asarray(part.column(k + 1)) for k in range(len(SUMS))])
+        own, turn = (r * 104_729 % prime).astype(float), (r * 31 + 7).astype(float)
+        # whole numbers below 2 ** 53 in doubles, whose division is many times as fast
+        rest = lambda x: x - np.floor(x / prime) * prime
+        for periods, sums in parts(batches):
+            for i in range(0, len(periods), 512):
+                key = periods[i : i + 512].astype(np.int64)
+                mixed = rest((key * 7919 % prime).astype(float) + own)
+                total += counts[rest(mixed * mixed + (key % 1009 + 17).astype(float) * turn).astype(np.int32)] @ sums[i : i + 512]
         yield pa.record_batch([pa.array(np.arange(replicates)), *(pa.array(total[:, k].copy()) for k in range(len(SUMS)))], ["variant", *SUMS])
 
     kind = ", ".join(f"{c} double" for c in SUMS)
-    return sums.select("draw_index", *SUMS).mapInArrow(run, f"variant long, {kind}").groupBy("variant").agg(*[F.sum(c).alias(c) for c in SUMS])
+    return rows.mapInArrow(run, f"variant long, {kind}").groupBy("variant").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def deletion_sums(sums: DataFrame, last: int, blocks: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import itertools
 from collections import Counter
 
@@ -10,7 +11,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import fits, forest, permutation
+from panelwright.functions.adjust import projected, projected_rows
+from panelwright.operators import features, fits, forest, permutation
 
 P = len(fits.FEATURES)
 
@@ -263,3 +265,35 @@ def test_a_period_has_one_weight_in_a_tree():
     w = forest.weights(np.arange(200), np.arange(500))
     assert w.shape == (500, 200) and abs(w.mean() - 1) < 0.02 and 0.9 < w.var() < 1.1
     assert (forest.tried(np.arange(50)[:, None], np.arange(1, 64)[None, :]).sum(-1) == forest.TRIED).all()
+
+
+def test_packed_blocks_give_what_the_written_panel_gives(spark, monkeypatch):
+    """Fits, losses, sums of ranges and replicates from blocks, against the panel's rows; no row of the panel is made."""
+    monkeypatch.setattr(features, "BLOCK", 128)
+    start, rng = 5, np.random.default_rng(4)
+    draws = spark.createDataFrame([(i, sorted(int(x) + 1 for x in rng.choice(49, 6, replace=False)), datetime.date(2020, 1, 1) + datetime.timedelta(3 * i)) for i in range(300)], "draw_index long, numbers array<int>, draw_date date").repartition(3)
+    rows = features.audited(draws, only=("draw_index", "number", "y", *fits.FEATURES), start=start).join(draws.select("draw_index", F.year("draw_date").alias("year")), "draw_index").cache()
+    blocks = features.packed(draws)
+    assert blocks.table.count() == 3
+    plan = [fits.Fit("a", 150), fits.Fit("b", 270, c=3.0), fits.Fit("c", 260, 20, drop=fits.FEATURES[:2]), fits.Fit("d", 300, number=False)]
+    want, got = fits.fitted(rows, plan), fits.fitted(blocks, plan, start=start)
+    assert got.coef == pytest.approx(want.coef, abs=1e-10) and got.effect == pytest.approx(want.effect, abs=1e-10)
+    years = [fits.Fit(str(y), y) for y in (2020, 2021)]
+    assert fits.fitted(blocks, years, at="year", start=start).coef == pytest.approx(fits.fitted(rows, years, at="year").coef, abs=1e-10)
+    spans = [("x", "a", 150, 300), ("y", "b", 30, 271)]
+    table = lambda df: {(r["block"], r["draw_index"]): (r["hits_6"], r["brier"], r["log_loss"]) for r in df.collect()}
+    lost, again = table(fits.losses(fits.scored(rows, want, spans), "block")), table(fits.block_losses(blocks, got, spans, start))
+    assert lost.keys() == again.keys() and all(again[k] == pytest.approx(v, abs=1e-10) for k, v in lost.items())
+    one = fits.fitted(blocks, plan[3:], start=start)
+    sums = fits.period_sums(rows, one)
+    by_variant = lambda df: {r["variant"]: np.array(r[1:]) for r in df.select("variant", *fits.SUMS).collect()}
+    for a, b in ((fits.deletion_sums(sums, 4, 3), fits.deletion_sums(fits.range_sums(blocks, one, 4, 3, start), 4, 3)), (fits.bootstrap_sums(sums, 50), fits.block_bootstrap_sums(blocks, one, 50, start))):
+        a, b = by_variant(a), by_variant(b)
+        assert a.keys() == b.keys() and all(b[k] == pytest.approx(v, abs=1e-8) for k, v in a.items())
+
+
+def test_projection_of_rows_is_that_of_arrays(spark):
+    v = np.random.default_rng(3).normal(size=(40, 49)) * np.repeat([0.01, 1, 30, 0], 10)[:, None]
+    want = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "i int, v array<double>").select("i", projected(F.col("v")).alias("p")).collect()
+    got = projected_rows(v)
+    assert all(got[r["i"]] == pytest.approx(r["p"], abs=1e-12) for r in want) and got.sum(1) == pytest.approx(6)
