@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators import features
 from panelwright.sources.draws import P0, PICK, UNIVERSE
 
 PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47)
@@ -38,10 +39,12 @@ def gap_statistics(draws: DataFrame, *group: str) -> DataFrame:
     if group:
         own = Window.partitionBy(*group).orderBy("draw_index")
         draws = draws.withColumn("draw_index", F.row_number().over(own).cast("long") - 1)
+    else:
+        return _gap_statistics(draws)
     h = draws.select(*group, "draw_index", F.explode("numbers").alias("number"))
     gap = F.col("draw_index") - F.lag("draw_index").over(Window.partitionBy(*group, "number").orderBy("draw_index"))
     h = h.withColumn("gap", gap).groupBy(*group, "number").agg(F.count("*").alias("count"), F.max("draw_index").alias("last_index"), F.min("draw_index").alias("first_index"), F.max("gap").alias("most"), F.avg("gap").alias("mean_gap"))
-    total = draws.groupBy(*group).agg(F.count("*").alias("periods")) if group else draws.agg(F.count("*").alias("periods"))
+    total = draws.groupBy(*group).agg(F.count("*").alias("periods"))
     dense = total.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(UNIVERSE))))
     on = [dense[c].eqNullSafe(h[c]) for c in (*group, "number")]
     joined = dense.join(h, on, "left").select(*[dense[c] for c in (*group, "number", "periods")], "count", "last_index", "first_index", "most", "mean_gap")
@@ -49,6 +52,19 @@ def gap_statistics(draws: DataFrame, *group: str) -> DataFrame:
     return joined.select(*group, "number", "periods", F.coalesce("count", F.lit(0)).alias("count"), current.alias("current_gap"), F.coalesce(F.greatest("most", "first_index", current), F.col("periods")).alias("max_gap"), "mean_gap", F.coalesce("last_index", F.lit(-1)).alias("last_index"))
 
 
+def _gap_statistics(draws: DataFrame) -> DataFrame:
+    """``gap_statistics`` of the whole sequence, from totals of blocks: no hit is sorted, and 49 rows a block meet in windows."""
+    blocks = features.block_totals(draws)
+    before = F.last("high", ignorenulls=True).over(Window.partitionBy("number").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    h = blocks.withColumn("between", F.col("low") - before).groupBy("number").agg(F.sum("c").alias("count"), F.max("high").alias("last_index"), F.min("low").alias("first_index"), F.max(F.greatest("between", "step")).alias("most"))
+    periods = draws.agg(F.count("*").alias("periods"))
+    joined = periods.withColumn("number", F.explode(F.sequence(F.lit(1), F.lit(UNIVERSE)))).join(h, "number", "left")
+    current = F.coalesce(F.col("periods") - 1 - F.col("last_index"), F.col("periods"))
+    # gaps add up to the way from the first hit to the last
+    mean = F.when(F.col("count") > 1, (F.col("last_index") - F.col("first_index")) / (F.col("count") - 1)).alias("mean_gap")
+    return joined.select("number", "periods", F.coalesce("count", F.lit(0)).alias("count"), current.alias("current_gap"), F.coalesce(F.greatest("most", "first_index", current), F.col("periods")).alias("max_gap"), mean, F.coalesce("last_index", F.lit(-1)).alias("last_index"))
+
+
 def number_frequency(draws: DataFrame, last: int | None = None) -> DataFrame:
     """Count, share, expectation, z and gaps of every number; ``last`` counts the last periods only, the gaps stay those of all."""
     gaps = gap_statistics(draws)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.special import chi_square_sf, normal_sf, udf
+from panelwright.operators.features import followed_hits, lagged_hits
 from panelwright.operators.panel import gap_statistics, hits, universe
 from panelwright.sources.draws import P0, UNIVERSE
 
@@ -23,7 +24,7 @@ def chi_square_uniform(draws: DataFrame) -> DataFrame:
 def number_tests(draws: DataFrame, lags: int = 10) -> DataFrame:
     """Per number: lag-1 autocorrelation, runs and their z and p, Ljung-Box statistic and p; null where a number is constant.
 
-    Lagged products are counted from pairs of hits a lag apart: an equi-join of the hits, not of the panel.
+    Lagged products are counted from pairs of hits a lag apart, inside blocks that have the periods before them as well.
     """
     h = hits(draws)
     total = draws.agg(F.count("*").cast("double").alias("n"))
@@ -32,7 +33,7 @@ def number_tests(draws: DataFrame, lags: int = 10) -> DataFrame:
     last = F.col("draw_index") >= F.col("n") - lags
     ends = h.crossJoin(F.broadcast(total)).where(first | last)  # one row
     lagged = F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")
-    pairs = h.select("number", "draw_index", lagged).select("number", "lag", (F.col("draw_index") - F.col("lag")).alias("draw_index")).join(h, ["number", "draw_index"]).groupBy("number", "lag").agg(F.count("*").alias("both"))
+    pairs = lagged_hits(draws, lags)
     edge = ends.select("number", "draw_index", "n", lagged).groupBy("number", "lag").agg(F.sum((F.col("draw_index") < F.col("lag")).cast("int")).alias("head"), F.sum((F.col("draw_index") >= F.col("n") - F.col("lag")).cast("int")).alias("tail"))
     grid = base.select("number", "count", "n", lagged).where(F.col("lag") <= F.greatest(F.lit(1), F.least(F.lit(lags), F.floor(F.col("n") / 5))))
     grid = grid.join(pairs, ["number", "lag"], "left").join(edge, ["number", "lag"], "left").na.fill(0, ["both", "head", "tail"])
@@ -54,10 +55,9 @@ def number_tests(draws: DataFrame, lags: int = 10) -> DataFrame:
 def cross_dependence(draws: DataFrame) -> DataFrame:
     """(a, b, n11, n10, n01, n00, phi, mutual_information, chi_square) of a at t and b at t + 1, for all a < b.
 
-    Joint counts come from the numbers of neighbouring sets; the table's other cells follow from marginal counts.
+    Joint counts are products of a block's hits and those a period later; the table's other cells follow from marginal counts.
     """
-    after = draws.select((F.col("draw_index") - 1).alias("draw_index"), F.col("numbers").alias("after"))
-    joint = draws.join(after, "draw_index").select(F.explode("numbers").alias("a"), "after").select("a", F.explode("after").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n11"))
+    joint = followed_hits(draws)
     total = draws.agg(F.count("*").alias("t"), F.max("draw_index").alias("last"))
     h = hits(draws).crossJoin(F.broadcast(total))  # one row
     ends = h.groupBy("number").agg(F.sum((F.col("draw_index") < F.col("last")).cast("int")).alias("first"), F.sum((F.col("draw_index") > 0).cast("int")).alias("second"))

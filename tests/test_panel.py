@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,35 @@ def test_history_does_not_sort_the_panel(spark, draws):
     both = strategies.periods(draws, 60, against="frequency_random").collect()
     base = {r["draw_index"]: r for r in both if r["strategy"] == "frequency_random"}
     assert all((r["hits_0"], r["brier_0"]) == (base[r["draw_index"]]["hits_6"], base[r["draw_index"]]["brier"]) for r in both)
+
+
+def test_gaps_lags_and_followers_over_short_blocks(spark, monkeypatch):
+    """Counts made inside blocks, where numbers stay away for several blocks, against one pass; the plans sort no hits."""
+    monkeypatch.setattr(features, "BLOCK", 16)
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(1, 12 if 20 < t < 75 else 48), 6)) for t in range(100)]
+    d = spark.createDataFrame(list(enumerate(sets)), "draw_index long, numbers array<int>").repartition(3)
+    got = {r["number"]: r for r in panel.gap_statistics(d).collect()}
+    for n in range(1, 50):
+        at = [t for t, s in enumerate(sets) if n in s]
+        gaps = [b - a for a, b in zip(at, at[1:], strict=False)]
+        r, current = got[n], 99 - at[-1] if at else 100
+        assert (r["count"], r["current_gap"], r["max_gap"], r["last_index"]) == (len(at), current, max([*gaps, current, *at[:1]]), at[-1] if at else -1)
+        assert r["mean_gap"] == (pytest.approx(sum(gaps) / len(gaps)) if gaps else None)
+    lagged = {(r["number"], r["lag"]): r["both"] for r in features.lagged_hits(d, 10).collect()}
+    want = {(n, k): c for n in range(1, 50) for k in range(1, 11) if (c := sum(n in sets[t] and n in sets[t - k] for t in range(k, 100)))}
+    assert lagged == want
+    followed = {(r["a"], r["b"]): r["n11"] for r in features.followed_hits(d).collect()}
+    assert followed == {(a, b): c for a in range(1, 50) for b in range(a + 1, 50) if (c := sum(a in x and b in y for x, y in zip(sets, sets[1:], strict=False)))}
+    for df in (panel.gap_statistics(d), features.lagged_hits(d, 10), features.followed_hits(d)):
+        assert "Generate explode(numbers" not in df._jdf.queryExecution().toString()
+
+
+def test_tops_and_counts_by_hand():
+    p = np.tile(np.arange(49, 0, -1) / 100.0, (3, 1))
+    p[1] = 0.2
+    y = np.zeros((3, 49), np.int64)
+    y[:, [0, 7, 40]] = 1
+    got = pa.table(strategies.tops_and_counts(p, y, (6, 10))).to_pylist()
+    assert got[-1] == {"q": None, "n": 3, "k": 0, "hits_6": 3, "hits_10": 6}
+    assert {(r["q"], r["n"], r["k"]) for r in got[:-1] if r["k"]} == {(0.49, 2, 2), (0.42, 2, 2), (0.09, 2, 2), (0.2, 51, 3)} and sum(r["n"] for r in got[:-1]) == 147
