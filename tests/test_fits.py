@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions.adjust import projected, projected_rows
-from panelwright.operators import features, fits, forest, permutation
+from panelwright.operators import features, fits, forest, models, permutation
 
 P = len(fits.FEATURES)
 
@@ -284,6 +284,9 @@ def test_packed_blocks_give_what_the_written_panel_gives(spark, monkeypatch):
     table = lambda df: {(r["block"], r["draw_index"]): (r["hits_6"], r["brier"], r["log_loss"]) for r in df.collect()}
     lost, again = table(fits.losses(fits.scored(rows, want, spans), "block")), table(fits.block_losses(blocks, got, spans, start))
     assert lost.keys() == again.keys() and all(again[k] == pytest.approx(v, abs=1e-10) for k, v in lost.items())
+    moved = lambda df: {r["number"]: (r["n"], r["brier"], r["log_loss"]) for r in df.collect()}
+    a, b = moved(models.online(features.audited(draws, only=("draw_index", "number", "y", *fits.FEATURES)))), moved(models.online_blocks(blocks))
+    assert len(a) == 49 and a.keys() == b.keys() and all(b[k] == pytest.approx(v, abs=1e-10) for k, v in a.items())
     one = fits.fitted(blocks, plan[3:], start=start)
     sums = fits.period_sums(rows, one)
     by_variant = lambda df: {r["variant"]: np.array(r[1:]) for r in df.select("variant", *fits.SUMS).collect()}
