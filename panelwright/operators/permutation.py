@@ -24,6 +24,31 @@ def mask(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, n: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))))
 
 
+#: Counts of at most 49 whose sum a byte holds.
+_BYTE = 5
+
+
+def _block_hits(outcome: np.ndarray, masks: np.ndarray, block: int, powers: np.ndarray, replicates: int) -> np.ndarray:
+    """Hits of each mask over one block, outcomes as they are and permuted; ``powers`` has i -> a i by multiplier."""
+    n, models = masks.shape
+    out = np.empty((replicates + 1, models), np.int64)
+    width = -(-n // (8 * _BYTE)) * 8 * _BYTE
+    sets = np.zeros((models, width), np.uint64)
+    sets[:, :n] = masks.T
+    twice, moved, common, bits = np.append(outcome, outcome), np.zeros(width, np.uint64), np.empty_like(sets), np.empty(sets.shape, np.uint8)
+    # eight counts to a word: words are added up first, then their bytes
+    words = bits.view(np.uint64).reshape(models, _BYTE, -1)
+    for r in range(replicates + 1):
+        if r:
+            shift = (r * 7919 + block * 104_729) % n
+            np.take(twice[shift : shift + n], powers[(r * 31 + block) % len(powers)], out=moved[:n], mode="clip")
+        else:
+            moved[:n] = outcome
+        np.bitwise_count(np.bitwise_and(sets, moved, out=common), out=bits)
+        out[r] = words.sum(1).view(np.uint8).sum(1, dtype=np.int64)
+    return out
+
+
 def permuted_hits(rows: DataFrame, replicates: int) -> DataFrame:
     """(replicate, k, hits) of rows (place, outcome, masks): hits of the k-th mask over all periods, outcomes permuted; replicate 0 is as it was.
 
@@ -34,16 +59,16 @@ def permuted_hits(rows: DataFrame, replicates: int) -> DataFrame:
     blocks = rows.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("place", "outcome", "masks"))).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, powers = None, {}
         for b in batches:
             for at, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 outcome = np.asarray(v.values.field("outcome")).astype(np.uint64)
-                masks = np.asarray(v.values.field("masks").flatten()).astype(np.uint64).reshape(len(outcome), -1)
-                n, i = len(outcome), np.arange(len(outcome))
+                n = len(outcome)
+                masks = np.asarray(v.values.field("masks").flatten()).astype(np.uint64).reshape(n, -1)
                 total = np.zeros((replicates + 1, masks.shape[1]), np.int64) if total is None else total
-                for r in range(replicates + 1):
-                    to = (MULTIPLIERS[(r * 31 + at) % len(MULTIPLIERS)] * i + r * 7919 + at * 104_729) % n if r else i
-                    total[r] += np.bitwise_count(masks & outcome[to][:, None]).sum(0, dtype=np.int64)
+                if n not in powers:  # of two lengths at most: whole blocks', and the last one's
+                    powers[n] = np.outer(MULTIPLIERS, np.arange(n)) % n
+                total += _block_hits(outcome, masks, at, powers[n], replicates)
         if total is not None:
             r, k = np.indices(total.shape)
             yield pa.record_batch([pa.array(r.ravel()), pa.array(k.ravel()), pa.array(total.ravel())], ["replicate", "k", "hits"])
