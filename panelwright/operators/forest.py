@@ -48,18 +48,21 @@ class Grown:
     edge: np.ndarray
     rate: np.ndarray
 
-    def nodes(self, bins: np.ndarray, level: int, trees: np.ndarray) -> np.ndarray:
-        """The node of every row (of ``bins``, rows by features) in each of ``trees`` after ``level`` splits; a leaf keeps its rows."""
-        at = np.ones((len(bins), len(trees)), np.int64)
-        row, tree = np.arange(len(bins))[:, None], trees[None, :]
+    def nodes(self, bins: np.ndarray, level: int, tree: int) -> np.ndarray:
+        """The node of every row (of ``bins``, rows by features) in a tree after ``level`` splits; a leaf keeps its rows."""
+        at, flat, start = np.ones(len(bins), np.int64), bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        feature, edge = self.feature[tree], self.edge[tree]
+        leaf = feature < 0
+        # a leaf's rows are held against an edge that all bins keep to, and their step down is taken back
+        some, edge = np.where(leaf, 0, feature), np.where(leaf, BINS, edge)
         for _ in range(level):
-            f = self.feature[tree, at]
-            at = np.where(f < 0, at, 2 * at + (bins[row, np.maximum(f, 0)] > self.edge[tree, at]))
+            down = 2 * at + (flat[start + some[at]] > edge[at])
+            at = np.where(leaf[at], at, down) if leaf[at].any() else down
         return at
 
 
 def binned(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(x / WIDTH) + BINS // 2, 0, BINS - 1).astype(np.int64)
+    return np.clip(np.floor(x / WIDTH) + BINS // 2, 0, BINS - 1).astype(np.uint8)
 
 
 def _hash(*keys: np.ndarray | int) -> np.ndarray:
@@ -82,8 +85,26 @@ def tried(tree: np.ndarray, node: np.ndarray) -> np.ndarray:
     return h <= np.partition(h, TRIED - 1, -1)[..., TRIED - 1 : TRIED]
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.asarray(batch.column(0)), np.asarray(batch.column(1)), binned(np.column_stack([np.asarray(batch.column(i + 2), float) for i in range(len(FEATURES))]))
+#: Rows that a task takes at a time.
+ROWS = 40_000
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some batches as one table, their periods, outcomes and bins."""
+    held, size = [], 0
+
+    def out() -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(held)
+        return t, np.asarray(t.column(0)), np.asarray(t.column(1)), np.column_stack([binned(np.asarray(t.column(i + 2), float)) for i in range(len(FEATURES))])
+
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= ROWS:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
 
 
 def _histograms(now: Grown, level: int, scale: np.ndarray):
@@ -93,25 +114,32 @@ def _histograms(now: Grown, level: int, scale: np.ndarray):
     alive = np.array([now.forests[o].depth > level for o in now.owner])
     width = 1 << level
     allowed = tried(trees[:, None], width + np.arange(width)[None, :])
+    slots = np.argsort(~allowed, axis=-1, kind="stable")[..., :TRIED]  # the features that each node may split by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(trees) * width * BINS
-        total = np.zeros((len(FEATURES), 2, size))
-        for b in batches:
-            t, y, bins = _rows(b)
-            at = now.nodes(bins, level, trees)
-            w = np.where((t[:, None] >= begin) & (t[:, None] < end) & alive, weights(trees, t), 0) * np.where(y[:, None] == 1, scale[trees], 1.0)
-            row, tree = np.nonzero((w > 0) & (at >= width))
-            node, w, hit = at[row, tree] - width, w[row, tree], y[row] == 1
-            for f in range(len(FEATURES)):
-                own = allowed[tree, node, f]
-                cell = (tree[own] * width + node[own]) * BINS + bins[row[own], f]
-                total[f, 0] += np.bincount(cell, w[own], size)
-                total[f, 1] += np.bincount(cell, w[own] * hit[own], size)
-        f, cell = np.nonzero(total[:, 0])
-        tree, rest = np.divmod(cell, width * BINS)
-        node, bin_ = np.divmod(rest, BINS)
-        yield pa.record_batch([pa.array(x.astype(np.int32)) for x in (tree, node + width, f, bin_)] + [pa.array(total[f, k, cell]) for k in (0, 1)], ["tree", "node", "feature", "bin", "w", "hits"])
+        size = width * BINS
+        missed, hits = (np.zeros((len(trees), TRIED, size)) for _ in range(2))  # whole numbers: draws of rows without and with a hit
+        for _, t, y, bins in _rows(batches):
+            periods, of = np.unique(t, return_inverse=True)
+            drawn = 1.0 * weights(trees, periods) * ((periods[:, None] >= begin) & (periods[:, None] < end) & alive)
+            flat, start, hit = bins.ravel(), np.arange(len(bins)) * len(FEATURES), y == 1
+            for tree in np.flatnonzero(drawn.any(0)):
+                w = drawn[of, tree]
+                row = np.flatnonzero(w)
+                at = now.nodes(bins[row], level, tree)
+                if level:
+                    some = at >= width
+                    row, at = row[some], at[some]
+                w, own, node = w[row], hit[row], at - width
+                for k in range(TRIED):
+                    cell = node * BINS + flat[start[row] + slots[tree, :, k][node]]
+                    missed[tree, k] += np.bincount(cell, w, size)
+                    hits[tree, k] += np.bincount(cell[own], w[own], size)
+        missed -= hits
+        tree, k, cell = np.nonzero(missed + hits)
+        node, bin_ = np.divmod(cell, BINS)
+        won = hits[tree, k, cell] * scale[tree]
+        yield pa.record_batch([pa.array(x.astype(np.int32)) for x in (tree, node + width, slots[tree, node, k], bin_)] + [pa.array(missed[tree, k, cell] + won), pa.array(won)], ["tree", "node", "feature", "bin", "w", "hits"])
 
     return run
 
@@ -167,15 +195,16 @@ def scored(panel: DataFrame, forest: Grown, blocks: Sequence[tuple[str, str, int
     depth = forest.feature.shape[1].bit_length() - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, _, bins = _rows(b)
+        for rows, t, _, bins in _rows(batches):
             for name, which, begin, end in blocks:
                 at = np.flatnonzero((t >= begin) & (t < end))
                 if len(at):
-                    trees = place[which]
-                    p = forest.rate[trees[None, :], forest.nodes(bins[at], depth, trees)].mean(1)
-                    take = pa.array(at)
-                    yield pa.record_batch([pa.array([name] * len(at), pa.string()), b.column(0).take(take), b.column(len(FEATURES) + 2).take(take), b.column(1).take(take).cast(pa.int64()), pa.array(p)], ["block", "draw_index", "number", "y", "p"])
+                    trees, own, p = place[which], bins[at], np.zeros(len(at))
+                    for tree in trees:
+                        p += forest.rate[tree, forest.nodes(own, depth, tree)]
+                    b = rows.take(pa.array(at)).combine_chunks()
+                    column = lambda i, b=b: b.column(i).combine_chunks()
+                    yield pa.record_batch([pa.array([name] * len(at), pa.string()), column(0), column(len(FEATURES) + 2), column(1).cast(pa.int64()), pa.array(p / max(len(trees), 1))], ["block", "draw_index", "number", "y", "p"])
 
     rows = panel.where((F.col("draw_index") >= min(b[2] for b in blocks)) & (F.col("draw_index") < max(b[3] for b in blocks)))
     rows = rows.select(F.col("draw_index").cast("long").alias("draw_index"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("number").cast("int").alias("number"))
