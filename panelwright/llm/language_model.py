@@ -1,9 +1,12 @@
-"""A hierarchical Pitman-Yor language model: seating by Gibbs sweeps, predictive probabilities averaged over them."""
+"""A hierarchical Pitman-Yor language model: a restaurant for each word before, seated by Gibbs sweeps; predictive probabilities averaged over them."""
 
 from __future__ import annotations
 
+import copy
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,46 +17,34 @@ from pyspark.sql import functions as F
 from panelwright.llm._store import arrow_rows, forget, partitions, pick, slices, stored
 from panelwright.llm._words import SPACED, mix, words
 
-#: Restaurants of contexts; a context is the last two bytes of the word before, hashed, or the start of a text.
-CONTEXTS = 17
 #: Discount and strength of the contexts' restaurants and of the parent that they share.
 DISCOUNT, STRENGTH = 0.75, 10.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 10.0
 #: Gibbs sweeps, and how many of the first give no probabilities.
 SWEEPS, BURN_IN = 4, 1
-#: Customers of a dish that are seated one at a time; further ones by groups, with the tables that they open drawn for the group.
-ONE_BY_ONE = 64
+#: Customers of a dish up to which Stirling numbers come from a table; those of more are summed or integrated.
+TABLED = 1024
 #: Tokens in one pack of documents; a longer document is a pack alone.
 PACK_TOKENS = 3_000_000
 SEED = 5
-#: The word that ends every text; no word's bytes hash to it but by chance.
+#: The word that ends every text, and the context of a text's first word; no word's bytes hash to it but by chance.
 END = np.uint64(0xE4D0F7E87)
 U64 = np.uint64
 
 
-def events(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and contexts of all tokens, each text's end included, and the number of tokens of each text."""
+def events(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all tokens, each text's end included, and the number of tokens of each text; a token's context is the whole word before."""
     w = words(texts, SPACED)
     n = w.counts + 1
-    size = int(n.sum())
-    stops = np.cumsum(n) - 1
-    inner = np.ones(size, bool)
-    inner[stops] = False
-    word = np.full(size, END, U64)
+    inner = np.ones(int(n.sum()), bool)
+    inner[np.cumsum(n) - 1] = False
+    word = np.full(len(inner), END, U64)
     word[inner] = w.hash
-    one = w.data[w.end - 1].astype(U64)
-    two = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(U64)
-    own = (mix(one * U64(256) + two) % U64(CONTEXTS - 1)).astype(np.uint8)
-    context = np.full(size, CONTEXTS - 1, np.uint8)
-    starts = stops - n + 1
-    after = np.ones(size, bool)
-    after[starts] = False
-    context[after] = own
-    return word, context, n
+    return word, n
 
 
 def _packs(parts: int):
-    """A row for each pack of documents: the distinct (word, context) pairs by part, their training counts, and every token's pair."""
+    """A row for each pack of documents: its distinct words by part, and every token's place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -63,24 +54,20 @@ def _packs(parts: int):
 
         def out() -> pa.RecordBatch:
             nonlocal held, tokens, serial
-            ids, test, word, context, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            event = mix(word + context * U64(0x9E3779B97F4A7C15))
-            _, at, pair = np.unique(event, return_index=True, return_inverse=True)
-            word, context = word[at], context[at]
-            part = (mix(word) % U64(parts)).astype(np.int32)
-            order = np.lexsort((context, word, part))
+            ids, test, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            own, token = np.unique(word, return_inverse=True)
+            part = _part(own, parts)
+            order = np.lexsort((own, part))
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            pair = place[pair]
-            taught = np.bincount(pair[np.repeat(~test, n)], minlength=len(order)).astype(np.uint32)
-            cols = [base + serial, ids.tobytes(), test.tobytes(), n.astype(np.int32).tobytes(), pair.tobytes(), np.bincount(part, minlength=parts).astype(np.int32).tobytes(), word[order].tobytes(), context[order].tobytes(), taught.tobytes()]
+            cols = [base + serial, ids.tobytes(), test.tobytes(), n.astype(np.int32).tobytes(), place[token].tobytes(), own[order].tobytes(), np.bincount(part, minlength=parts).astype(np.int32).tobytes()]
             held, tokens, serial = [], 0, serial + 1
-            return pa.record_batch([pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(cols)], _PACK)
+            return pa.record_batch([pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(cols)], ["pack", "ids", "test", "sizes", "tokens", "words", "lengths"])
 
         for b in batches:
             for row, stop in slices(b, 2):
-                word, context, n = events(b.column(2)[row:stop])
-                held.append((np.asarray(b.column(0)[row:stop]), np.asarray(b.column(1)[row:stop].cast(pa.uint8())).astype(bool), word, context, n))
+                word, n = events(b.column(2)[row:stop])
+                held.append((np.asarray(b.column(0)[row:stop]), np.asarray(b.column(1)[row:stop].cast(pa.uint8())).astype(bool), word, n))
                 tokens += len(word)
                 if tokens >= PACK_TOKENS:
                     yield out()
@@ -90,74 +77,212 @@ def _packs(parts: int):
     return run
 
 
-_PACK = ["pack", "ids", "test", "sizes", "pairs", "lengths", "words", "contexts", "taught"]
-_PACK_SCHEMA = "pack long, ids binary, test binary, sizes binary, pairs binary, lengths binary, words binary, contexts binary, taught binary"
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of a word, as a dish and as a context."""
+    return (mix(hashes) % U64(parts)).astype(np.int32)
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, pack, words, contexts, taught): each pack's pairs, dealt out by word."""
+def _pairs(words_: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A pack's distinct (word, context) pairs, by place of the word and then of the context, and each token's pair."""
+    before = np.empty(len(tokens), np.int64)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(sizes) - sizes] = np.flatnonzero(words_ == END)[0]
+    keys, pair = np.unique(tokens.astype(np.int64) * len(words_) + before, return_inverse=True)
+    return keys // len(words_), keys % len(words_), pair
+
+
+def _numbers(x, kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(x.as_buffer() if isinstance(x, pa.Scalar) else x, kind)
+
+
+def _blobs(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
     for b in batches:
         for i in range(b.num_rows):
-            pack, lengths = b.column(0)[i].as_py(), np.frombuffer(b.column(1)[i].as_py(), np.int32)
-            cols = [np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in ((2, U64), (3, np.uint8), (4, np.uint32))]
-            edge = np.concatenate([[0], np.cumsum(lengths)])
-            some = np.flatnonzero(lengths)
-            blobs = [pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary()) for x in cols]
-            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([pack] * len(some), pa.int64()), *blobs], ["part", "pack", "words", "contexts", "taught"])
+            yield {name: b.column(k)[i] for k, name in enumerate(b.schema.names)}
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, words, contexts, counts): the training counts of each part's pairs, in the order of words and contexts."""
-    parts: dict[int, tuple[list, list, list]] = {}
-    for b in batches:
-        for i, part in enumerate(b.column(0).to_pylist()):
-            cols = parts.setdefault(part, ([], [], []))
-            for into, k, kind in zip(cols, (2, 3, 4), (U64, np.uint8, np.uint32), strict=True):
-                into.append(np.frombuffer(b.column(k)[i].as_buffer(), kind))
-            if sum(map(len, cols[0])) > 4_000_000:
-                parts[part] = tuple([x] for x in _add(*cols))
-    for part, cols in parts.items():
-        yield pa.record_batch([pa.array([part], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in _add(*cols)]], ["part", "words", "contexts", "counts"])
-
-
-def _add(words_: list, contexts: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    word, context, count = np.concatenate(words_), np.concatenate(contexts), np.concatenate(counts).astype(np.int64)
-    order = np.lexsort((context, word))
-    word, context, count = word[order], context[order], count[order]
-    begin = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]))[: len(word)])
-    count = np.add.reduceat(count, begin) if len(begin) else count
-    keep = count > 0
-    return word[begin][keep], context[begin][keep], count[keep]
+_DEALT = "part int, pack long, words binary, numbers binary, contexts binary, taught binary"
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pack's words and pairs, dealt out by word: how many contexts a word has, these, and the pairs' training counts."""
+    for r in _rows(batches):
+        own, sizes = _numbers(r["words"], U64), _numbers(r["sizes"], np.int32)
+        word, context, pair = _pairs(own, _numbers(r["tokens"]), sizes)
+        taught = _small(np.bincount(pair[np.repeat(~_numbers(r["test"], bool), sizes)], minlength=len(word)))
+        numbers = _small(np.bincount(word, minlength=len(own)))
+        lengths = _numbers(r["lengths"], np.int32)
+        edge = np.concatenate([[0], np.cumsum(lengths)])
+        inner = np.concatenate([[0], np.cumsum(numbers, dtype=np.int64)])[edge]
+        hashes = own[context]
+        for p in np.flatnonzero(lengths):
+            a, b = slice(edge[p], edge[p + 1]), slice(inner[p], inner[p + 1])
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([r["pack"].as_py()], pa.int64()), *_blobs(own[a], numbers[a], hashes[b], taught[b])], ["part", "pack", "words", "numbers", "contexts", "taught"])
+
+
+_OWN = ["words", "totals", "dish", "context", "count", "places", "lengths"]
+_ASKED = ["at", "counts", "live"]
+_LEARNED = "part int, pack long, " + ", ".join(f"{x} binary" for x in [*_OWN, *_ASKED]) + ", vocabulary long, tokens long"
+#: What stands for the place of a word without training counts.
+UNKNOWN = 0xFFFFFFFF
+
+
+def _learned(parts: int):
+    """A row for each partition's dishes, and one for each pack: where its words are among them and how often its pairs occur.
+
+    A pair of one customer has one table for ever. So only live pairs, of two and more, are kept; a word's total less
+    what their customers exceed their tables by is its number of tables, as a dish and as a context.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for r in _rows(batches):
+            held[r["part"].as_py()].append((r["pack"].as_py(), _numbers(r["words"], U64), _numbers(r["numbers"]), _numbers(r["contexts"], U64), _numbers(r["taught"])))
+        for part, packs in held.items():
+            own, place = np.unique(np.concatenate([x[1] for x in packs]), return_inverse=True)
+            word = np.repeat(place, np.concatenate([x[2] for x in packs]))
+            context, taught = np.concatenate([x[3] for x in packs]), np.concatenate([x[4] for x in packs])
+            order = np.lexsort((context, word))
+            new = np.ones(len(order), bool)
+            new[1:] = (word[order[1:]] != word[order[:-1]]) | (context[order[1:]] != context[order[:-1]])
+            pair = np.empty(len(order), np.int64)
+            pair[order] = np.cumsum(new) - 1
+            count = np.add.reduceat(taught[order].astype(np.int64), np.flatnonzero(new))
+            word, context = word[order][new], context[order][new]
+            totals = np.bincount(word, count, len(own)).astype(np.int64)
+            known = totals > 0
+            number = np.where(known, np.cumsum(known) - 1, UNKNOWN).astype(np.uint32)
+            live = count > 1
+            nth = np.cumsum(live) - 1
+            where, local = np.unique(context[live], return_inverse=True)
+            by = _part(where, parts)
+            turn = np.lexsort((where, by))
+            back = np.empty(len(turn), np.uint32)
+            back[turn] = np.arange(len(turn), dtype=np.uint32)
+            cols = _blobs(own[known], _small(totals[known]), number[word[live]], back[local], _small(count[live]), where[turn], np.bincount(by, minlength=parts).astype(np.int32))
+            yield _row(part, None, dict(zip(_OWN, cols, strict=True)), int(known.sum()), int(totals.sum()))
+            a = b = 0
+            for pack, mine, _, contexts, _ in packs:
+                at, pairs = number[place[a : a + len(mine)]], pair[b : b + len(contexts)]
+                a, b = a + len(mine), b + len(contexts)
+                yield _row(part, pack, dict(zip(_ASKED, _blobs(at, _small(count[pairs]), _small(nth[pairs][live[pairs]])), strict=True)), 0, 0)
+
+    return run
+
+
+def _row(part: int, pack: int | None, cols: dict, vocabulary: int, tokens: int) -> pa.RecordBatch:
+    blobs = [cols.get(x, pa.nulls(1, pa.binary())) for x in [*_OWN, *_ASKED]]
+    return pa.record_batch([pa.array([part], pa.int32()), pa.array([pack], pa.int64()), *blobs, pa.array([vocabulary], pa.int64()), pa.array([tokens], pa.int64())], ["part", "pack", *_OWN, *_ASKED, "vocabulary", "tokens"])
+
+
+@cache
+def _stirling(discount: float, size: int) -> np.ndarray:
+    """log S(c, t) for c and t to ``size``: the sum over all seatings of c customers at t tables of the products of (1 - discount) ... (n - 1 - discount)."""
+    out = np.full((size + 1, size + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(1, size + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, size + 1):
+            stay = np.log(np.maximum(c - 1 - discount * t, 0)) + out[c - 1, 1:]
+            out[c, 1:] = np.logaddexp(out[c - 1, :-1], np.where(t < c, stay, -np.inf))
+    return out
+
+
+def _many(c: int, pull: float, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of c customers within ten standard deviations, and the logarithms of their weights S(c, t) pull ** t, less a constant.
+
+    S(c, t) is c! / (t! d ** t) times the coefficient of z ** c in (1 - (1 - z) ** d) ** t. Below some c ** d tables, that
+    is an alternating sum of the binomial's powers; above, an integral over the circle through the saddle point.
+    """
+    low, high = -700.0, -1e-12  # pull * r * (1 - r) ** (d - 1) = c; 1 - r may be tiny, so its logarithm is sought
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if pull * -math.expm1(mid) * math.exp(mid * (d - 1)) > c else (low, mid)
+    left = math.exp(low)
+    mean = pull / d * (1 - left**d)
+    reach = 10 * math.sqrt(mean) + 30
+    t = np.arange(max(1, math.floor(mean - reach)), min(c, math.ceil(mean + reach)) + 1)
+    steps = np.concatenate([[0], np.cumsum(math.log(pull / d) - np.log(t[1:]))])  # log of (pull / d) ** t / t!, less its first
+    if t[-1] <= 2.8 * c**d:
+        total, binomial = np.zeros(len(t)), np.zeros(len(t))
+        for j in range(1, min(int(t[-1]), 300) + 1):
+            with np.errstate(divide="ignore"):
+                binomial = binomial + np.log(np.maximum(t - j + 1, 0) / j)
+            size = np.exp(binomial + math.lgamma(j * d + 1) + math.lgamma(c - j * d) - math.lgamma(c - d))
+            total += (-1) ** (j + 1) * math.sin(math.pi * j * d) * size
+            if j > 8 and np.all(size < 1e-18 * np.abs(total)):
+                break
+        return t, steps + np.log(np.maximum(total, 1e-300))
+    r = 1 - left
+    g, g1, g2 = 1 - left**d, d * left ** (d - 1), d * (1 - d) * left ** (d - 2)
+    m = r * g1 / g
+    width = 1 / math.sqrt(mean * max(r * r * g2 / g + m - m * m, 1e-12))
+    if width > 0.02:  # few enough nodes for the whole circle, evenly
+        turn, scale = np.arange(2048) * (2 * math.pi / 2048), 1.0
+    else:
+        s = np.linspace(-1, 1, 801) * math.asinh(math.pi / width)
+        turn, scale = width * np.sinh(s), np.cosh(s)
+    ratio = np.log((1 - (1 - r * np.exp(1j * turn)) ** d) / g)
+    heads = np.exp(t[0] * ratio - 1j * c * turn) * scale
+    step, out = np.exp(ratio), np.empty(len(t))
+    for i in range(len(t)):
+        out[i] = heads.sum().real
+        heads = heads * step
+    return t, steps + (t - t[0]) * math.log(g) + np.log(np.maximum(out, 1e-300))
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, pull: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of each dish after seating its customers anew; ``pull`` is (strength + discount * tables) * base probability.
+    """Tables of each dish when all its customers are taken away and seated again, given all other dishes.
 
-    The first customer opens a table. With i seated at t tables, the next opens one with probability
-    pull / (pull + i - discount * t). Past ONE_BY_ONE customers, groups that double in size draw how many tables they
-    open from a Poisson of the same rates.
+    With t tables a seating weighs pull ** t times the product of (1 - discount) ... (n - 1 - discount) over tables of n;
+    the number of tables is drawn from that law itself, whatever the number of customers.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
-    live = np.flatnonzero(customers > 1)
-    for i in range(1, ONE_BY_ONE):
-        if not len(live):
-            return tables
-        a = pull[live]
-        tables[live] += rng.random(len(live)) < a / (a + i - discount * tables[live])
-        live = live[customers[live] > i + 1]
-    i = ONE_BY_ONE
-    while len(live):
-        group = np.minimum(customers[live], 2 * i) - i
-        a, t = pull[live], tables[live]
-        seen = np.maximum(i - discount * t, 1e-9)
-        tables[live] += np.minimum(rng.poisson(a * np.log((a + seen + group) / (a + seen))), group)
-        live = live[customers[live] > 2 * i]
-        i *= 2
+    pull = np.maximum(pull, 1e-300)
+    below = 1
+    for width in (2, 4, 16, 64, 256, TABLED):
+        some = np.flatnonzero((customers > below) & (customers <= width))
+        below = width
+        if not len(some):
+            continue
+        t, law = np.arange(1, width + 1), _stirling(discount, max(64, width))
+        step = max(1, (1 << 20) // width)
+        for i in range(0, len(some), step):
+            own = some[i : i + step]
+            weight = law[customers[own].astype(np.int64), 1 : width + 1] + t * np.log(pull[own])[:, None]
+            weight = np.exp(weight - weight.max(1, keepdims=True)).cumsum(1)
+            tables[own] = 1 + (weight < rng.random(len(own))[:, None] * weight[:, -1:]).sum(1)
+    for i in np.flatnonzero(customers > TABLED):
+        t, weight = _many(int(customers[i]), float(pull[i]), discount)
+        weight = np.exp(weight - weight.max()).cumsum()
+        tables[i] = t[min(np.searchsorted(weight, rng.random() * weight[-1], "right"), len(t) - 1)]
     return tables
 
 
+def tilted(rng: np.random.Generator, mass: float, discount: float, size: int) -> np.ndarray:
+    """Positive numbers with Laplace transform exp(-mass * ((1 + v) ** discount - 1)): what unseated tables weigh."""
+    pieces = max(1, math.ceil(mass))
+    out, left = np.zeros(size * pieces), np.arange(size * pieces)
+    while len(left):
+        u, e = math.pi * rng.random(len(left)), rng.exponential(size=len(left))
+        x = np.sin(discount * u) / np.sin(u) ** (1 / discount) * (np.sin((1 - discount) * u) / e) ** ((1 - discount) / discount)
+        x *= (mass / pieces) ** (1 / discount)
+        took = rng.random(len(left)) < np.exp(-x)
+        out[left[took]] = x[took]
+        left = left[~took]
+    return out.reshape(size, pieces).sum(1)
+
+
 class Totals:
-    """Sums over all restaurants that a sweep starts from: customers and tables of each context and of the parent, words."""
+    """Sums over all restaurants: customers and tables of each context, tables of the parent, words."""
 
     def __init__(self, customers: np.ndarray, tables: np.ndarray, parent_tables: float, vocabulary: int):
         self.customers, self.tables, self.parent_tables, self.vocabulary = customers, tables, parent_tables, vocabulary
@@ -173,118 +298,240 @@ class Totals:
         return (customers - PARENT_DISCOUNT * tables + self.parent_pull() / (self.vocabulary + 1)) / (PARENT_STRENGTH + self.tables.sum())
 
 
+class Parent:
+    """The few numbers of the parent's restaurant that all dishes share, drawn on the driver.
+
+    The parent's measure is a generalised gamma process of mass u, normalised. Given u and the gamma variable v of its
+    customers, dishes are seated apart from each other: a new table weighs pull. Given the tables, a dish's share is a
+    gamma variable for its customers and a tilted stable one for what is unseated, over the sum of all.
+    """
+
+    def __init__(self, vocabulary: int, customers: float):
+        self.vocabulary, self.customers, self.rng = vocabulary, customers, np.random.default_rng([SEED, 0])
+        self.v, self.pull, self.tables, self.mass, self.total = max(customers, 1) / PARENT_STRENGTH, None, None, None, None
+
+    def seated(self, customers: float) -> None:
+        """After a sweep of the contexts' restaurants."""
+        self.customers, before = customers, 1 + self.v
+        self.v = self.rng.gamma(customers) / (self.total / before)
+        # u is the mass without its tilt
+        self.pull = PARENT_DISCOUNT * self.mass * ((1 + self.v) / before) ** PARENT_DISCOUNT / (self.vocabulary + 1)
+
+    def opened(self, tables: float) -> None:
+        """After a sweep of the parent's."""
+        self.tables, self.mass = tables, self.rng.gamma(PARENT_STRENGTH / PARENT_DISCOUNT + tables)
+
+    def weighed(self, total: float) -> None:
+        """After the shares of all words were drawn; the unknown word's is drawn here."""
+        self.total = total + tilted(self.rng, self.mass / (self.vocabulary + 1), PARENT_DISCOUNT, 1)[0]
+
+    def chances(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The parent's probabilities of dishes with so many customers and tables there."""
+        rest = (PARENT_STRENGTH + PARENT_DISCOUNT * self.tables) / (self.vocabulary + 1)
+        return (customers - PARENT_DISCOUNT * tables + rest) / (PARENT_STRENGTH + self.customers)
+
+    def frozen(self) -> dict:
+        """What tasks have to know to repeat this state's draws."""
+        return {"vocabulary": self.vocabulary, "pull": self.pull, "mass": self.mass, "total": self.total}
+
+
+def parent_tables(number: int, part: int, customers: np.ndarray, pull: float | None) -> np.ndarray:
+    """The parent's tables of a partition's dishes after a sweep; one each before the first."""
+    if pull is None:
+        return np.minimum(customers, 1).astype(np.float64)
+    return seat(np.random.default_rng([SEED, 1, number, part]), customers, np.full(len(customers), pull), PARENT_DISCOUNT)
+
+
+def shares(number: int, part: int, customers: np.ndarray, tables: np.ndarray, mass: float, vocabulary: int) -> np.ndarray:
+    """What a partition's dishes weigh in the parent's measure, before it is normalised."""
+    rng = np.random.default_rng([SEED, 2, number, part])
+    return rng.gamma(customers - PARENT_DISCOUNT * tables) + tilted(rng, mass / (vocabulary + 1), PARENT_DISCOUNT, len(customers))
+
+
+def strengths(number: int, part: int, tables: np.ndarray) -> np.ndarray:
+    """What the restaurants of a partition's words weigh a new table by, given their tables: dishes are apart, given these."""
+    return np.random.default_rng([SEED, 3, number, part]).gamma(STRENGTH / DISCOUNT + tables)
+
+
 class Seating:
-    """One partition's dishes: all pairs of some words. Sweeps depend on the seed and the earlier totals alone."""
-
-    def __init__(self, part: int, word: np.ndarray, context: np.ndarray, count: np.ndarray):
-        self.part, self.word, self.context, self.count = part, word, context.astype(np.int64), count
-        begin = np.append(True, word[1:] != word[:-1])[: len(word)]
-        self.dish = np.cumsum(begin) - 1
-        self.dishes = word[begin]
-        self.tables = np.ones(len(word))
+    """Dishes of one partition and their live pairs; ``word`` is a dish's number where ``totals`` are given."""
+
+    def __init__(self, part: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, totals: np.ndarray | None = None, tables: np.ndarray | None = None):
+        self.part, self.context, self.count = part, context.astype(np.int64), count.astype(np.int64)
+        self.dishes, self.dish = np.unique(word, return_inverse=True) if totals is None else (np.arange(len(totals)), word)
+        self.totals = np.bincount(self.dish, count, len(self.dishes)) if totals is None else totals.astype(np.float64)
+        self.tables = np.ones(len(word)) if tables is None else tables.astype(np.float64)
         self.parent_tables = np.ones(len(self.dishes))
+        self.shared = None
 
     @property
     def parent_customers(self) -> np.ndarray:
-        return np.bincount(self.dish, self.tables, len(self.dishes))
+        return self.totals - np.bincount(self.dish, self.count - self.tables, len(self.dishes))
+
+    def seat(self, number: int, strength: np.ndarray, share: np.ndarray) -> None:
+        """Seat the customers of all pairs again, given their restaurants' strengths and their dishes' shares."""
+        self.tables = seat(np.random.default_rng([SEED, 4, number, self.part]), self.count, DISCOUNT * strength[self.context] * share[self.dish], DISCOUNT)
 
     def sweep(self, number: int, totals: Totals) -> None:
-        rng = np.random.default_rng([SEED, self.part, number])
-        p = totals.parent(self.parent_customers, self.parent_tables)
-        self.tables = seat(rng, self.count, totals.pull()[self.context] * p[self.dish], DISCOUNT)
-        self.parent_tables = seat(rng, self.parent_customers, np.full(len(self.dishes), totals.parent_pull() / (totals.vocabulary + 1)), PARENT_DISCOUNT)
+        """A whole sweep, where all pairs of all dishes are here."""
+        if self.shared is None:
+            self.shared = Parent(totals.vocabulary, totals.tables.sum())
+            self.shared.opened(totals.parent_tables)
+        s = self.shared
+        weight = shares(number, self.part, self.parent_customers, self.parent_tables, s.mass, s.vocabulary)
+        s.weighed(weight.sum())
+        self.seat(number, strengths(number, self.part, totals.tables), weight / s.total)
+        s.seated(self.parent_customers.sum())
+        self.parent_tables = parent_tables(number, self.part, self.parent_customers, s.pull)
+        s.opened(self.parent_tables.sum())
 
     def sums(self) -> np.ndarray:
         """Customers by context, tables by context, then the parent's tables and the number of dishes."""
-        by = lambda x: np.bincount(self.context, x, CONTEXTS)
+        by = lambda x: np.bincount(self.context, x)
         return np.concatenate([by(self.count), by(self.tables), [self.parent_tables.sum(), len(self.dishes)]])
 
 
-def _seatings(batches: Iterator[pa.RecordBatch]) -> Iterator[Seating]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield Seating(b.column(0)[i].as_py(), *(np.frombuffer(b.column(k)[i].as_py(), kind) for k, kind in ((1, U64), (2, np.uint8), (3, np.int64))))
+_STATE_NAMES = ["totals", "dish", "context", "count", "places", "lengths", "tables", "sampled", "customers"]
+_STATE = "part int, " + ", ".join(f"{x} binary" for x in _STATE_NAMES) + ", open double"
+
+
+def _state(s: Seating, r: dict, sampled: np.ndarray) -> pa.RecordBatch:
+    same = [pa.array([r[x].as_py()], pa.binary()) for x in _STATE_NAMES[:6]]
+    return pa.record_batch([pa.array([s.part], pa.int32()), *same, *_blobs(_small(s.tables), _small(sampled), _small(s.parent_customers)), pa.array([float(s.parent_customers.sum())])], ["part", *_STATE_NAMES, "open"])
+
+
+def _seating(r: dict) -> Seating:
+    tables = _numbers(r["tables"]) if "tables" in r else None
+    return Seating(r["part"].as_py(), _numbers(r["dish"]), _numbers(r["context"]), _numbers(r["count"]), _numbers(r["totals"]), tables)
+
 
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for r in _rows(batches):
+        s = _seating(r)
+        yield _state(s, r, np.zeros(len(s.tables)))
 
-def _totals(table: DataFrame, history: list[Totals]) -> Totals:
-    """The totals after one more sweep than ``history`` has led to; each task replays the sweeps of its own dishes."""
+
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, source, contexts, fewer): for the partitions of the live pairs' contexts, how many tables fewer than customers there are."""
+    for r in _rows(batches):
+        places = _numbers(r["places"], U64)
+        fewer = _small(np.bincount(_numbers(r["context"]), _numbers(r["count"]) - _numbers(r["tables"]).astype(np.float64), len(places)))
+        edge = np.concatenate([[0], np.cumsum(_numbers(r["lengths"], np.int32))])
+        for q in np.flatnonzero(np.diff(edge)):
+            a = slice(edge[q], edge[q + 1])
+            yield pa.record_batch([pa.array([q], pa.int32()), pa.array([r["part"].as_py()], pa.int32()), *_blobs(places[a], fewer[a])], ["part", "source", "contexts", "fewer"])
+
+
+def _restaurants(number: int):
+    """(part, source, strengths, open): the strengths of the contexts that each partition asks for, and one row of all contexts' tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * CONTEXTS + 2)
-        for s in _seatings(batches):
-            for k, t in enumerate(history):
-                s.sweep(k, t)
-            total += s.sums()
-        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+        own, asked = {}, defaultdict(list)
+        for r in _rows(batches):
+            if r["source"].is_valid:
+                asked[r["part"].as_py()].append((r["source"].as_py(), _numbers(r["contexts"], U64), _numbers(r["fewer"])))
+            else:
+                own[r["part"].as_py()] = _numbers(r["words"], U64), _numbers(r["totals"])
+        for part, (words_, totals) in own.items():
+            places = [np.searchsorted(words_, x[1]) for x in asked[part]]
+            tables = totals.astype(np.float64)
+            for at, (_, _, fewer) in zip(places, asked[part], strict=True):
+                tables[at] -= fewer
+            strength = strengths(number, part, tables)
+            empty = pa.nulls(1, pa.binary())
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.nulls(1, pa.int32()), empty, *_blobs(_small(tables))], _RESTAURANTS)
+            for at, (source, _, _) in zip(places, asked[part], strict=True):
+                yield pa.record_batch([pa.array([source], pa.int32()), pa.array([part], pa.int32()), *_blobs(strength[at]), empty], _RESTAURANTS)
+
+    return run
 
-    sums = table.mapInArrow(run, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("x"))
-    found = sums.toArrow().to_pydict()  # one number for each context and kind
-    x = np.zeros(2 * CONTEXTS + 2)
-    x[found["pos"]] = found["x"]
-    return Totals(x[:CONTEXTS], x[CONTEXTS : 2 * CONTEXTS], x[-2], int(x[-1]))
 
+_RESTAURANTS = ["part", "source", "strengths", "open"]
 
-def _answers(history: list[Totals]):
-    """(pack, part, chances, counts): for each pair that a pack asks for, log10 of its averaged probability and its word's count."""
+
+def _swept(number: int, shared: dict, kept: bool):
+    """The partitions' next states; ``kept`` if their tables count for the probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, dishes = defaultdict(list), {}
-        for b in batches:
-            for i in range(b.num_rows):
-                pack, part, *cols = (b.column(k)[i] for k in range(5))
-                if pack.is_valid:
-                    asked[part.as_py()].append((pack.as_py(), cols[0].as_buffer(), cols[1].as_buffer()))
-                else:
-                    dishes[part.as_py()] = [x.as_buffer() for x in cols]
-        for part, questions in asked.items():
-            blank = [b"", b"", b""]
-            s = Seating(part, *(np.frombuffer(x, kind) for x, kind in zip(dishes.get(part, blank), (U64, np.uint8, np.int64), strict=True)))
-            sampled = []
-            for k, t in enumerate(history):
-                s.sweep(k, t)
-                if k >= BURN_IN:
-                    sampled.append((t, t.parent(s.parent_customers, s.parent_tables), s.count - DISCOUNT * s.tables))
-            counts = np.bincount(s.dish, s.count, len(s.dishes))
-            for pack, asked_words, asked_contexts in questions:
-                w, c = np.frombuffer(asked_words, U64), np.frombuffer(asked_contexts, np.uint8).astype(np.int64)
-                at, known = _find(s.dishes, w)
-                # pairs of a word stand together, by context
-                pair, same = _find(s.dish * CONTEXTS + s.context, np.where(known, at, -1) * CONTEXTS + c)
-                same &= known
-                chance = np.zeros(len(w))
-                for t, parent, seated in sampled:
-                    p = np.full(len(w), t.parent_pull() / (t.vocabulary + 1) / (PARENT_STRENGTH + t.tables.sum()))
-                    p[known] = parent[at[known]]
-                    own = np.zeros(len(w))
-                    own[same] = seated[pair[same]]
-                    chance += (own + t.pull()[c] * p) / (STRENGTH + t.customers[c])
-                n = np.zeros(len(w))
-                n[known] = counts[at[known]]
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (np.log10(chance / len(sampled)).astype(np.float32), n)]
-                yield pa.record_batch([pa.array([pack], pa.int64()), pa.array([part], pa.int32()), *blobs], ["pack", "part", "chances", "counts"])
+        states, answers = {}, defaultdict(list)
+        for r in _rows(batches):
+            if r["source"].is_valid:
+                answers[r["part"].as_py()].append((r["source"].as_py(), _numbers(r["strengths"], np.float64)))
+            else:
+                states[r["part"].as_py()] = r
+        for part, r in states.items():
+            s = _seating(r)
+            strength = np.concatenate([np.zeros(0), *[x for _, x in sorted(answers[part], key=lambda a: a[0])]])
+            customers = _numbers(r["customers"]).astype(np.int64)
+            weight = shares(number, part, customers, parent_tables(number, part, customers, shared["pull"]), shared["mass"], shared["vocabulary"])
+            s.seat(number, strength, weight / shared["total"])
+            yield _state(s, r, _numbers(r["sampled"]) + (s.tables if kept else 0))
 
     return run
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where keys are in a sorted table, and whether they are."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
+def _sum(states: DataFrame, number: int, shared: dict, what: str) -> float:
+    """The sum over all dishes of the parent's tables, or of the shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for r in _rows(batches):
+            part, customers = r["part"].as_py(), _numbers(r["customers"]).astype(np.int64)
+            x = parent_tables(number, part, customers, shared["pull"])
+            total += (x if what == "tables" else shares(number, part, customers, x, shared["mass"], shared["vocabulary"])).sum()
+        yield pa.record_batch([pa.array([total])], ["x"])
+
+    return states.select("part", "customers").mapInArrow(run, "x double").agg(F.sum("x")).first()[0]
+
+
+def _answers(history: list[dict]):
+    """(pack, part, numbers, live): for a pack's words, totals and, by sweep, tables as contexts, customers and tables at the parent; sums of its live pairs' tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, own, sampled = defaultdict(list), {}, {}
+        for r in _rows(batches):
+            part = r["part"].as_py()
+            if r["pack"].is_valid:
+                asked[part].append((r["pack"].as_py(), _numbers(r["at"]), _numbers(r["live"])))
+            elif r["sampled"].is_valid:
+                sampled[part] = _numbers(r["sampled"])
+            else:
+                own[part, r["kind"].as_py(), r["number"].as_py()] = _numbers(r["numbers"])
+        for part, questions in asked.items():
+            columns = [own[part, "totals", 0]]
+            for number, shared in enumerate(history):
+                if number > BURN_IN:
+                    customers = own[part, "customers", number]
+                    columns += [own[part, "open", number], customers, _small(parent_tables(number, part, customers.astype(np.int64), shared["pull"]))]
+            table = np.stack([np.append(x, np.uint32(0)) for x in columns])
+            for pack, at, live in questions:
+                numbers = table[:, np.minimum(at, table.shape[1] - 1)]
+                yield pa.record_batch([pa.array([pack], pa.int64()), pa.array([part], pa.int32()), *_blobs(numbers, sampled[part][live])], ["pack", "part", "numbers", "live"])
+
+    return run
 
 
-def _scores(train_tokens: int, vocabulary: int):
+def _scores(parents: list[Parent], train_tokens: int, vocabulary: int):
     def run(group: pa.Table) -> pa.Table:
         kept = group.filter(pc.is_valid(group["ids"])).to_pylist()[0]
-        answers = sorted(group.filter(pc.is_null(group["ids"])).select(["part", "chances", "counts"]).to_pylist(), key=lambda r: r["part"])
-        chance = np.concatenate([np.frombuffer(r["chances"], np.float32) for r in answers]).astype(np.float64)
-        count = np.concatenate([np.frombuffer(r["counts"], np.float64) for r in answers])
-        pair, n = np.frombuffer(kept["pairs"], np.uint32), np.frombuffer(kept["sizes"], np.int32).astype(np.int64)
+        rows = lambda column: sorted(group.filter(pc.is_valid(group[column])).select(["part", "numbers", "live", "counts"]).to_pylist(), key=lambda r: r["part"])
+        n = _numbers(kept["sizes"], np.int32).astype(np.int64)
+        word, context, pair = _pairs(_numbers(kept["words"], U64), _numbers(kept["tokens"]), n)
+        answers = rows("numbers")
+        numbers = np.concatenate([_numbers(r["numbers"]).reshape(1 + 3 * len(parents), -1) for r in answers], axis=1).astype(np.float64)
+        count = np.concatenate([_numbers(r["counts"]) for r in rows("counts")]).astype(np.float64)
+        tables = np.minimum(count, 1)
+        tables[count > 1] = np.concatenate([_numbers(r["live"]) for r in answers]) / len(parents)
+        chance = count - DISCOUNT * tables
+        for k, parent in enumerate(parents):
+            opened, customers, there = numbers[1 + 3 * k : 4 + 3 * k]
+            chance += (STRENGTH + DISCOUNT * opened)[context] * parent.chances(customers, there)[word] / len(parents)
+        chance = np.log10(chance / (STRENGTH + numbers[0][context]))
+        total = numbers[0][word]
         start = np.cumsum(n) - n
         by_text = lambda x: np.add.reduceat(x[pair], start)  # noqa: E731  every text has its end at least
-        base = np.log10((count + 1) / (train_tokens + vocabulary + 1))
-        cols = [np.frombuffer(kept["ids"], np.int64), np.frombuffer(kept["test"], bool), n, by_text((count > 0).astype(np.int64)), np.full(len(n), train_tokens, np.int64), by_text(base), by_text(chance)]
+        base = np.log10((total + 1) / (train_tokens + vocabulary + 1))
+        cols = [_numbers(kept["ids"], np.int64), _numbers(kept["test"], bool), n, by_text((total > 0).astype(np.int64)), np.full(len(n), train_tokens, np.int64), by_text(base), by_text(chance)]
         return pa.table([pa.array(c) for c in cols], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -301,34 +548,55 @@ def score(docs: DataFrame, test_col: str = "held_out", id_col: str = "doc_id", t
     space, A-Z lower-cased, and one end for each text. score is the sum of log10 probabilities of a text's tokens, each
     given the word before; perplexity is 10 ** (-score / n_tokens). base_score is that of add-one smoothed counts.
 
-    Texts are cut into tokens once, in packs of bounded size. Their distinct (word, context) pairs, with training
-    counts, are dealt out by word; each partition seats its own dishes, and sweeps share nothing but a few totals, from
-    the sweep before. Packs then ask for their pairs' probabilities. A null text is empty: its end alone. An unknown word
-    has the base's share, 1 of V + 1. Rows that repeat an id each count; a null id stays null. Without a training row
-    every token has probability 1, as V is 0. Other columns are ignored; an empty table gives an empty one.
+    Every word is a restaurant: that of the words after it; the first of a text come after an end. All restaurants share
+    one parent, over a uniform choice of V + 1 words. Texts are cut into tokens once, in packs of bounded size. Their
+    pairs, with training counts, are dealt out by word. A Gibbs sweep seats all customers of a pair again, given all
+    others: restaurants' strengths and dishes' shares of the parent are drawn first, given which pairs are independent,
+    so partitions work at once and yet sample the model's posterior. Their states are kept from sweep to sweep; between
+    sweeps, tables are summed by restaurant. A null text is empty: its end alone. An unknown word has the base's share,
+    1 of V + 1. Rows that repeat an id each count; a null id stays null. Without a training row every token has
+    probability 1, as V is 0. Other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     n = partitions(spark)
     rows = pick(docs, id_col, test_col, text_col).toDF("id", "test", "text").select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("test", F.lit(False)).alias("test"), "text")
-    packs = stored(rows.mapInArrow(_packs(n), _PACK_SCHEMA), "lm-packs")
-    dealt = packs.select("pack", "lengths", "words", "contexts", "taught").mapInArrow(_dealt, "part int, pack long, words binary, contexts binary, taught binary")
-    # a dish's partition: the same for its counts and for those who ask
-    table = stored(dealt.repartition(n, "part").mapInArrow(_summed, "part int, words binary, contexts binary, counts binary"), "lm-dishes")
-    history = [_totals(table, [])]
-    for _ in range(SWEEPS - 1):
-        history.append(_totals(table, history))
-    train_tokens, vocabulary = int(history[0].customers.sum()), history[0].vocabulary
-
-    dishes = table.select(F.lit(None).cast("long").alias("pack"), "part", "words", "contexts", "counts")
-    asked = dealt.select("pack", "part", "words", "contexts", F.lit(None).cast("binary").alias("counts"))
-    answers = asked.unionByName(dishes).repartition(n, "part").mapInArrow(_answers(history), "pack long, part int, chances binary, counts binary")
-    answers = stored(answers, "lm-answers")
-    null = lambda kind: F.lit(None).cast(kind)
-    left = packs.select("pack", "ids", "test", "sizes", "pairs", null("int").alias("part"), null("binary").alias("chances"), null("binary").alias("counts"))
-    right = answers.select("pack", null("binary").alias("ids"), null("binary").alias("test"), null("binary").alias("sizes"), null("binary").alias("pairs"), "part", "chances", "counts")
+    packs = stored(rows.mapInArrow(_packs(n), "pack long, ids binary, test binary, sizes binary, tokens binary, words binary, lengths binary"), "lm-packs")
+    learned = stored(packs.mapInArrow(_dealt, _DEALT).repartition(n, "part").mapInArrow(_learned(n), _LEARNED), "lm-pairs")
+    vocabulary, train_tokens = (int(x or 0) for x in learned.agg(F.sum("vocabulary"), F.sum("tokens")).first())
+
+    own = learned.where("pack IS NULL")
+    states = [stored(own.select("part", *_OWN[1:]).mapInArrow(_begun, _STATE), "lm-state")]
+    parent = Parent(vocabulary, states[0].agg(F.sum("open")).first()[0] or 0.0)
+    parent.opened(vocabulary)
+    opened, parents, history = [], [], []
+    for number in range(SWEEPS + 1):
+        state = states[number]
+        if number:
+            parent.seated(state.agg(F.sum("open")).first()[0] or 0.0)
+            parent.opened(_sum(state, number, parent.frozen(), "tables") or 0.0)
+        if number < SWEEPS:
+            parent.weighed(_sum(state, number, parent.frozen(), "shares") or 0.0)
+        history.append(parent.frozen())
+        if number > BURN_IN:
+            parents.append(copy.copy(parent))
+        fewer = state.select("part", "context", "count", "places", "lengths", "tables").mapInArrow(_fewer, "part int, source int, contexts binary, fewer binary")
+        asks = own.select("part", "words", "totals").unionByName(fewer, allowMissingColumns=True).repartition(n, "part")
+        opened.append(stored(asks.mapInArrow(_restaurants(number), "part int, source int, strengths binary, open binary"), "lm-restaurants"))
+        if number < SWEEPS:
+            answers = opened[number].where("source IS NOT NULL").drop("open")
+            states.append(stored(state.drop("open").unionByName(answers, allowMissingColumns=True).repartition(n, "part").mapInArrow(_swept(number, history[number], number >= BURN_IN), _STATE), "lm-state"))
+
+    kind = lambda df, name, number, column: df.select("part", F.lit(name).alias("kind"), F.lit(number).alias("number"), F.col(column).alias("numbers"))
+    asked = learned.where("pack IS NOT NULL")
+    known = kind(own, "totals", 0, "totals")
+    for number in range(BURN_IN + 1, SWEEPS + 1):
+        known = known.union(kind(opened[number].where("source IS NULL"), "open", number, "open")).union(kind(states[number], "customers", number, "customers"))
+    known = known.unionByName(states[-1].select("part", "sampled"), allowMissingColumns=True).unionByName(asked.select("part", "pack", "at", "live"), allowMissingColumns=True)
+    answers = known.repartition(n, "part").mapInArrow(_answers(history), "pack long, part int, numbers binary, live binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = left.unionByName(right).groupBy("pack").applyInArrow(_scores(train_tokens, vocabulary), schema)
+    out = packs.drop("lengths").unionByName(answers, allowMissingColumns=True).unionByName(asked.select("pack", "part", "counts"), allowMissingColumns=True)
+    out = out.groupBy("pack").applyInArrow(_scores(parents, train_tokens, vocabulary), schema)
     out = stored(out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), "lm-scores")
-    forget(spark, packs, table, answers)
+    forget(spark, packs, learned, *states, *opened)
     return out
