@@ -44,7 +44,7 @@ def events(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packs(parts: int):
-    """A row for each pack of documents: its distinct words by part, and every token's place among them."""
+    """A row for each pack of documents: its distinct words by part, where the commonest, the next and so on are, and every token's rank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -55,14 +55,18 @@ def _packs(parts: int):
         def out() -> pa.RecordBatch:
             nonlocal held, tokens, serial
             ids, test, word, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            own, token = np.unique(word, return_inverse=True)
+            own, token = _distinct(word)
+            count = np.bincount(token)
             part = _part(own, parts)
             order = np.lexsort((own, part))
-            place = np.empty(len(order), np.uint32)
+            place, rank = np.empty(len(order), np.uint32), np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            cols = [base + serial, ids.tobytes(), test.tobytes(), n.astype(np.int32).tobytes(), place[token].tobytes(), own[order].tobytes(), np.bincount(part, minlength=parts).astype(np.int32).tobytes()]
-            held, tokens, serial = [], 0, serial + 1
-            return pa.record_batch([pa.array([x], pa.int64() if i == 0 else pa.binary()) for i, x in enumerate(cols)], ["pack", "ids", "test", "sizes", "tokens", "words", "lengths"])
+            common = np.argsort(-count, kind="stable")
+            rank[common] = np.arange(len(order), dtype=np.uint32)
+            end = int(place[np.searchsorted(own, END)])
+            cols = _blobs(ids, test, n.astype(np.int32), rank[token], place[common], own[order], np.bincount(part, minlength=parts).astype(np.int32))
+            number, held, tokens, serial = base + serial, [], 0, serial + 1
+            return pa.record_batch([pa.array([number], pa.int64()), pa.array([end], pa.int64()), *cols], ["pack", "end", "ids", "test", "sizes", "tokens", "ranks", "words", "lengths"])
 
         for b in batches:
             for row, stop in slices(b, 2):
@@ -82,21 +86,49 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (mix(hashes) % U64(parts)).astype(np.int32)
 
 
-def _pairs(words_: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(tokens: np.ndarray, ranks: np.ndarray, end: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A pack's distinct (word, context) pairs, by place of the word and then of the context, and each token's pair."""
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = np.flatnonzero(words_ == END)[0]
-    keys, pair = np.unique(tokens.astype(np.int64) * len(words_) + before, return_inverse=True)
-    return keys // len(words_), keys % len(words_), pair
+    word = ranks[tokens].astype(np.int64)
+    before = np.empty(len(word), np.int64)
+    before[1:] = word[:-1]
+    before[np.cumsum(sizes) - sizes] = end
+    word *= len(ranks)
+    word += before
+    del before
+    keys, pair = _distinct(word)
+    return keys // len(ranks), keys % len(ranks), pair
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers and the place of each number among them, in a third of the memory that numpy's own takes."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    ordered = ordered[new]
+    place = np.empty(len(x), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    return ordered, place
+
+
+def _blob(x: np.ndarray) -> bytes:
+    """A blob of numbers; those of four bytes, mostly small, are compressed byte plane by byte plane."""
+    if x.dtype.itemsize != 4:
+        return x.tobytes()
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _numbers(x, kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(x.as_buffer() if isinstance(x, pa.Scalar) else x, kind)
+    x = x.as_buffer() if isinstance(x, pa.Scalar) else pa.py_buffer(x)
+    if np.dtype(kind).itemsize != 4:
+        return np.frombuffer(x, kind)
+    planes = pa.decompress(x.slice(8), int.from_bytes(x.slice(0, 8).to_pybytes(), "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(kind).ravel()
 
 
 def _blobs(*arrays: np.ndarray) -> list[pa.Array]:
-    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+    return [pa.array([_blob(x)], pa.binary()) for x in arrays]
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -109,23 +141,23 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
             yield {name: b.column(k)[i] for k, name in enumerate(b.schema.names)}
 
 
-_DEALT = "part int, pack long, words binary, numbers binary, contexts binary, taught binary"
+_DEALT = "part int, pack long, words binary, numbers binary, hashes binary, contexts binary, taught binary"
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each pack's words and pairs, dealt out by word: how many contexts a word has, these, and the pairs' training counts."""
+    """Each pack's words and pairs, dealt out by word: how many contexts a word has, which of the hashes, and the pairs' training counts."""
     for r in _rows(batches):
         own, sizes = _numbers(r["words"], U64), _numbers(r["sizes"], np.int32)
-        word, context, pair = _pairs(own, _numbers(r["tokens"]), sizes)
+        word, context, pair = _pairs(_numbers(r["tokens"]), _numbers(r["ranks"]), r["end"].as_py(), sizes)
         taught = _small(np.bincount(pair[np.repeat(~_numbers(r["test"], bool), sizes)], minlength=len(word)))
         numbers = _small(np.bincount(word, minlength=len(own)))
         lengths = _numbers(r["lengths"], np.int32)
         edge = np.concatenate([[0], np.cumsum(lengths)])
         inner = np.concatenate([[0], np.cumsum(numbers, dtype=np.int64)])[edge]
-        hashes = own[context]
         for p in np.flatnonzero(lengths):
             a, b = slice(edge[p], edge[p + 1]), slice(inner[p], inner[p + 1])
-            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([r["pack"].as_py()], pa.int64()), *_blobs(own[a], numbers[a], hashes[b], taught[b])], ["part", "pack", "words", "numbers", "contexts", "taught"])
+            some, at = _distinct(context[b])
+            yield pa.record_batch([pa.array([p], pa.int32()), pa.array([r["pack"].as_py()], pa.int64()), *_blobs(own[a], numbers[a], own[some], at, taught[b])], ["part", "pack", "words", "numbers", "hashes", "contexts", "taught"])
 
 
 _OWN = ["words", "totals", "dish", "context", "count", "places", "lengths"]
@@ -145,7 +177,7 @@ def _learned(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = defaultdict(list)
         for r in _rows(batches):
-            held[r["part"].as_py()].append((r["pack"].as_py(), _numbers(r["words"], U64), _numbers(r["numbers"]), _numbers(r["contexts"], U64), _numbers(r["taught"])))
+            held[r["part"].as_py()].append((r["pack"].as_py(), _numbers(r["words"], U64), _numbers(r["numbers"]), _numbers(r["hashes"], U64)[_numbers(r["contexts"])], _numbers(r["taught"])))
         for part, packs in held.items():
             own, place = np.unique(np.concatenate([x[1] for x in packs]), return_inverse=True)
             word = np.repeat(place, np.concatenate([x[2] for x in packs]))
@@ -516,7 +548,7 @@ def _scores(parents: list[Parent], train_tokens: int, vocabulary: int):
         kept = group.filter(pc.is_valid(group["ids"])).to_pylist()[0]
         rows = lambda column: sorted(group.filter(pc.is_valid(group[column])).select(["part", "numbers", "live", "counts"]).to_pylist(), key=lambda r: r["part"])
         n = _numbers(kept["sizes"], np.int32).astype(np.int64)
-        word, context, pair = _pairs(_numbers(kept["words"], U64), _numbers(kept["tokens"]), n)
+        word, context, pair = _pairs(_numbers(kept["tokens"]), _numbers(kept["ranks"]), kept["end"], n)
         answers = rows("numbers")
         numbers = np.concatenate([_numbers(r["numbers"]).reshape(1 + 3 * len(parents), -1) for r in answers], axis=1).astype(np.float64)
         count = np.concatenate([_numbers(r["counts"]) for r in rows("counts")]).astype(np.float64)
@@ -561,42 +593,44 @@ def score(docs: DataFrame, test_col: str = "held_out", id_col: str = "doc_id", t
     arrow_rows(spark)
     n = partitions(spark)
     rows = pick(docs, id_col, test_col, text_col).toDF("id", "test", "text").select(F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("test", F.lit(False)).alias("test"), "text")
-    packs = stored(rows.mapInArrow(_packs(n), "pack long, ids binary, test binary, sizes binary, tokens binary, words binary, lengths binary"), "lm-packs")
+    packs = stored(rows.mapInArrow(_packs(n), "pack long, end long, ids binary, test binary, sizes binary, tokens binary, ranks binary, words binary, lengths binary"), "lm-packs")
     learned = stored(packs.mapInArrow(_dealt, _DEALT).repartition(n, "part").mapInArrow(_learned(n), _LEARNED), "lm-pairs")
     vocabulary, train_tokens = (int(x or 0) for x in learned.agg(F.sum("vocabulary"), F.sum("tokens")).first())
 
     own = learned.where("pack IS NULL")
-    states = [stored(own.select("part", *_OWN[1:]).mapInArrow(_begun, _STATE), "lm-state")]
-    parent = Parent(vocabulary, states[0].agg(F.sum("open")).first()[0] or 0.0)
+    state = stored(own.select("part", *_OWN[1:]).mapInArrow(_begun, _STATE), "lm-state")
+    parent = Parent(vocabulary, state.agg(F.sum("open")).first()[0] or 0.0)
     parent.opened(vocabulary)
-    opened, parents, history = [], [], []
+    kind = lambda df, name, number, column: df.select("part", F.lit(name).alias("kind"), F.lit(number).alias("number"), F.col(column).alias("numbers"))
+    parents, history, kept = [], [], []
     for number in range(SWEEPS + 1):
-        state = states[number]
         if number:
             parent.seated(state.agg(F.sum("open")).first()[0] or 0.0)
             parent.opened(_sum(state, number, parent.frozen(), "tables") or 0.0)
         if number < SWEEPS:
             parent.weighed(_sum(state, number, parent.frozen(), "shares") or 0.0)
         history.append(parent.frozen())
-        if number > BURN_IN:
-            parents.append(copy.copy(parent))
         fewer = state.select("part", "context", "count", "places", "lengths", "tables").mapInArrow(_fewer, "part int, source int, contexts binary, fewer binary")
         asks = own.select("part", "words", "totals").unionByName(fewer, allowMissingColumns=True).repartition(n, "part")
-        opened.append(stored(asks.mapInArrow(_restaurants(number), "part int, source int, strengths binary, open binary"), "lm-restaurants"))
+        opened = stored(asks.mapInArrow(_restaurants(number), "part int, source int, strengths binary, open binary"), "lm-restaurants")
+        if number > BURN_IN:
+            parents.append(copy.copy(parent))
+            kept.append(stored(kind(opened.where("source IS NULL"), "open", number, "open").union(kind(state, "customers", number, "customers")), "lm-kept"))
         if number < SWEEPS:
-            answers = opened[number].where("source IS NOT NULL").drop("open")
-            states.append(stored(state.drop("open").unionByName(answers, allowMissingColumns=True).repartition(n, "part").mapInArrow(_swept(number, history[number], number >= BURN_IN), _STATE), "lm-state"))
+            before, answers = state, opened.where("source IS NOT NULL").drop("open")
+            state = stored(before.drop("open").unionByName(answers, allowMissingColumns=True).repartition(n, "part").mapInArrow(_swept(number, history[number], number >= BURN_IN), _STATE), "lm-state")
+            forget(spark, before)
+        forget(spark, opened)
 
-    kind = lambda df, name, number, column: df.select("part", F.lit(name).alias("kind"), F.lit(number).alias("number"), F.col(column).alias("numbers"))
     asked = learned.where("pack IS NOT NULL")
     known = kind(own, "totals", 0, "totals")
-    for number in range(BURN_IN + 1, SWEEPS + 1):
-        known = known.union(kind(opened[number].where("source IS NULL"), "open", number, "open")).union(kind(states[number], "customers", number, "customers"))
-    known = known.unionByName(states[-1].select("part", "sampled"), allowMissingColumns=True).unionByName(asked.select("part", "pack", "at", "live"), allowMissingColumns=True)
+    for df in kept:
+        known = known.union(df)
+    known = known.unionByName(state.select("part", "sampled"), allowMissingColumns=True).unionByName(asked.select("part", "pack", "at", "live"), allowMissingColumns=True)
     answers = known.repartition(n, "part").mapInArrow(_answers(history), "pack long, part int, numbers binary, live binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = packs.drop("lengths").unionByName(answers, allowMissingColumns=True).unionByName(asked.select("pack", "part", "counts"), allowMissingColumns=True)
+    out = packs.drop("words", "lengths").unionByName(answers, allowMissingColumns=True).unionByName(asked.select("pack", "part", "counts"), allowMissingColumns=True)
     out = out.groupBy("pack").applyInArrow(_scores(parents, train_tokens, vocabulary), schema)
     out = stored(out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))), "lm-scores")
-    forget(spark, packs, learned, *states, *opened)
+    forget(spark, packs, learned, state, *kept)
     return out
