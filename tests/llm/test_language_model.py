@@ -50,6 +50,21 @@ def test_many_customers_have_the_law_of_the_table(discount, pull):
     assert got / got.sum() == pytest.approx(full / full.sum(), abs=1e-9)
 
 
+def test_more_customers_than_the_table_has():
+    """The series and the integral against the recurrence of Stirling numbers, carried on to 4,000 customers."""
+    c, t = 4000, np.arange(1, 4001)
+    row = np.append(0.0, np.full(c, -np.inf))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(1, c + 1):
+            stay = np.log(np.maximum(k - 1 - D * t, 0)) + row[1:]
+            row = np.append(-np.inf, np.logaddexp(row[:-1], np.where(t < k, stay, -np.inf)))
+    for pull in (0.001, 1.0, 500.0, 1500.0, 3000.0, 1e5):
+        at, weight = model._many(c, pull, D)
+        full, got = np.exp(row[1:] + t * math.log(pull) - (row[1:] + t * math.log(pull)).max()), np.zeros(c)
+        got[at - 1] = np.exp(weight - weight.max())
+        assert got / got.sum() == pytest.approx(full / full.sum(), abs=1e-9)
+
+
 def test_drawn_tables_have_their_law():
     rng = np.random.default_rng(1)
     for c, pull in ((2, 0.4), (7, 2.0), (70, 5.0), (model.TABLED, 30.0), (5000, 30.0)):
