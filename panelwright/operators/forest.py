@@ -4,11 +4,15 @@ A level is one pass over the rows for all trees of all forests: a task finds eac
 row's weight, and its hits, to the histograms of the features that the node may split by; Spark adds the tasks' histograms
 and keeps each node's best split. Trees are small tables of splits, so rows never move. A tree draws whole periods: a
 period's 49 rows have one Poisson weight, from (tree, period).
+
+Rows come as a panel, or from packed blocks of draws (``features.packed``), whose features are made anew in each pass.
+Bins are bytes, and so is a step down a tree: a level's splits are all held against all rows, and masks keep what holds
+for a row's own node, so that nothing is looked up row by row but the cell of a histogram.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.fits import FEATURES, poisson_limits
+from panelwright.operators.features import Packed, audited_known, since
+from panelwright.operators.fits import FEATURES, _lost, poisson_limits
 from panelwright.sources.draws import P0
 
 #: Features are cut into bins of this width around 0, the outermost of which are open; they are standardised by period.
@@ -48,17 +53,53 @@ class Grown:
     edge: np.ndarray
     rate: np.ndarray
 
-    def nodes(self, bins: np.ndarray, level: int, tree: int) -> np.ndarray:
-        """The node of every row (of ``bins``, rows by features) in a tree after ``level`` splits; a leaf keeps its rows."""
-        at, flat, start = np.ones(len(bins), np.int64), bins.ravel(), np.arange(len(bins)) * bins.shape[1]
-        feature, edge = self.feature[tree], self.edge[tree]
-        leaf = feature < 0
-        # a leaf's rows are held against an edge that all bins keep to, and their step down is taken back
-        some, edge = np.where(leaf, 0, feature), np.where(leaf, BINS, edge)
-        for _ in range(level):
-            down = 2 * at + (flat[start + some[at]] > edge[at])
-            at = np.where(leaf[at], at, down) if leaf[at].any() else down
-        return at
+    def path(self, bins: Sequence[np.ndarray], level: int, tree: int) -> list[np.ndarray]:
+        """For each of the first ``level`` steps down a tree, 255 where a row goes right and 0 elsewhere; ``bins`` has an array for each feature. A leaf's rows go left."""
+        stay, out = np.zeros_like(bins[0]), []
+        feature, edge = self.feature[tree].tolist(), self.edge[tree].tolist()  # plain numbers, which leave bytes as they are
+        for step in range(level):
+            right = _own([stay if feature[n] < 0 else (bins[feature[n]] > edge[n]).view(np.uint8) for n in range(1 << step, 2 << step)], out)
+            out.append(np.negative(right))
+        return out
+
+    def open(self, level: int) -> np.ndarray:
+        """Whether rows come to the nodes of ``level``, tree by node: below a leaf there are none."""
+        out = np.ones((len(self.owner), 1), bool)
+        for step in range(level):
+            out = np.repeat(out & (self.feature[:, 1 << step : 2 << step] >= 0), 2, 1)
+        return out
+
+    def rates(self) -> np.ndarray:
+        """Hit rates of the nodes of the last level, tree by node; those below a leaf have the leaf's."""
+        depth = self.feature.shape[1].bit_length() - 2
+        out = self.rate[:, 1:2]
+        for step in range(depth):
+            leaf = np.repeat(self.feature[:, 1 << step : 2 << step] < 0, 2, 1)
+            out = np.where(leaf, np.repeat(out, 2, 1), self.rate[:, 2 << step : 4 << step])
+        return out
+
+    def chances(self, bins: Sequence[np.ndarray], trees: Sequence[int]) -> np.ndarray:
+        """The mean hit rate of every row by some ``trees``."""
+        depth, rates, p = self.feature.shape[1].bit_length() - 2, self.rates(), np.zeros(bins[0].shape)
+        for tree in trees:
+            p += rates[tree].take(_node(self.path(bins, depth, tree), bins[0].shape))
+        return p / max(len(trees), 1)
+
+
+def _own(values: list[np.ndarray], path: Sequence[np.ndarray]) -> np.ndarray:
+    """Of ``values``, one array for each node of a level, each row's own node's."""
+    for right in reversed(path):
+        values = [a if a is b else a ^ ((a ^ b) & right) for a, b in zip(values[::2], values[1::2], strict=True)]
+    return values[0]
+
+
+def _node(path: Sequence[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """Each row's place among the nodes of its level."""
+    out = np.zeros(shape, np.uint8 if len(path) <= 8 else np.uint16)
+    for right in path:
+        out <<= 1
+        out |= right & 1
+    return out
 
 
 def binned(x: np.ndarray) -> np.ndarray:
@@ -89,25 +130,47 @@ def tried(tree: np.ndarray, node: np.ndarray) -> np.ndarray:
 ROWS = 40_000
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-    """Some batches as one table, their periods, outcomes and bins."""
-    held, size = [], 0
+#: Rows with a weight of their own each (panel), or periods of 49 rows (packed blocks): periods, outcomes and, by feature, bins, both periods by rows.
+Cells = tuple[np.ndarray, np.ndarray, list[np.ndarray]]
 
-    def out() -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(held)
-        return t, np.asarray(t.column(0)), np.asarray(t.column(1)), np.column_stack([binned(np.asarray(t.column(i + 2), float)) for i in range(len(FEATURES))])
 
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Some batches as one table."""
+    held, size = [], 0
     for b in batches:
         held.append(b)
         size += b.num_rows
         if size >= ROWS:
-            yield out()
+            yield pa.Table.from_batches(held)
             held, size = [], 0
     if size:
-        yield out()
+        yield pa.Table.from_batches(held)
+
+
+def _of_panel(t: pa.Table) -> Cells:
+    column = lambda i: np.asarray(t.column(i))[:, None]
+    return np.asarray(t.column(0)), column(1).astype(np.uint8), [binned(column(i + 2).astype(float)) for i in range(len(FEATURES))]
+
+
+def _panel_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
+    return map(_of_panel, _tables(batches))
 
 
-def _histograms(now: Grown, level: int, scale: np.ndarray):
+def _block_cells(blocks: Packed, begin: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[Cells]]:
+    """For use in tasks: the cells of every block of a partition, from period ``begin`` on."""
+    read = blocks.reader()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
+        for known in read(batches):
+            known = since(known, begin)
+            if len(known["y"]):
+                known = audited_known(known, FEATURES)
+                yield known["draw_index"][:, 0], known["y"].astype(np.uint8), [binned(known[c]) for c in FEATURES]
+
+    return run
+
+
+def _histograms(now: Grown, level: int, scale: np.ndarray, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[Cells]] = _panel_cells):
     """(tree, node, feature, bin, w, hits) of a partition's rows at the nodes of ``level`` that are no leaves."""
     trees = np.arange(len(now.owner))
     begin, end = (np.array([getattr(now.forests[o], k) for o in now.owner]) for k in ("begin", "end"))
@@ -118,24 +181,28 @@ def _histograms(now: Grown, level: int, scale: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = width * BINS
-        missed, hits = (np.zeros((len(trees), TRIED, size)) for _ in range(2))  # whole numbers: draws of rows without and with a hit
-        for _, t, y, bins in _rows(batches):
+        found = np.zeros((len(trees), TRIED, 2, size))  # whole numbers: draws of rows without and with a hit
+        for t, y, bins in cells(batches):
             periods, of = np.unique(t, return_inverse=True)
-            drawn = 1.0 * weights(trees, periods) * ((periods[:, None] >= begin) & (periods[:, None] < end) & alive)
-            flat, start, hit = bins.ravel(), np.arange(len(bins)) * len(FEATURES), y == 1
+            drawn = (weights(trees, periods) * ((periods[:, None] >= begin) & (periods[:, None] < end) & alive))[of]
             for tree in np.flatnonzero(drawn.any(0)):
-                w = drawn[of, tree]
-                row = np.flatnonzero(w)
-                at = now.nodes(bins[row], level, tree)
+                row = np.flatnonzero(drawn[:, tree])
+                w = drawn[row, tree]
+                own = [b.take(row, 0) for b in bins]
+                path = now.path(own, level, tree)
+                # a row's weight, outcome, node and bin make one small integer
+                most = int(w.max()) + 1
+                kind = np.uint16 if 2 * most * size <= 1 << 16 else np.uint32
+                place = y.take(row, 0).astype(kind)
+                place *= kind(size)
+                place += (2 * size * w).astype(kind)[:, None]
                 if level:
-                    some = at >= width
-                    row, at = row[some], at[some]
-                w, own, node = w[row], hit[row], at - width
+                    place += _node(path, place.shape).astype(kind) * kind(BINS)
                 for k in range(TRIED):
-                    cell = node * BINS + flat[start[row] + slots[tree, :, k][node]]
-                    missed[tree, k] += np.bincount(cell, w, size)
-                    hits[tree, k] += np.bincount(cell[own], w[own], size)
-        missed -= hits
+                    counts = np.bincount((place + _own([own[f] for f in slots[tree, :, k]], path)).ravel(), minlength=2 * most * size)
+                    found[tree, k] += np.tensordot(np.arange(most), counts.reshape(most, 2, size), 1)
+        found = found.reshape(len(trees), TRIED, 2, width, BINS) * now.open(level)[:, None, None, :, None]
+        missed, hits = found[:, :, 0].reshape(len(trees), TRIED, size), found[:, :, 1].reshape(len(trees), TRIED, size)
         tree, k, cell = np.nonzero(missed + hits)
         node, bin_ = np.divmod(cell, BINS)
         won = hits[tree, k, cell] * scale[tree]
@@ -160,21 +227,25 @@ def _splits(cells: DataFrame, leaf: DataFrame) -> DataFrame:
     return c.groupBy("tree", "node").agg(best.alias("s"), F.max("aw").alias("w"), F.max("ah").alias("h")).select("tree", "node", "s.feature", "s.bin", "s.left", "s.right", (F.col("h") / F.col("w")).alias("own"))
 
 
-def grown(panel: DataFrame, forests: Sequence[Forest]) -> Grown:
+def grown(panel: DataFrame | Packed, forests: Sequence[Forest], start: int = 0) -> Grown:
     """All ``forests`` of ``panel`` (draw_index, y, features), a job for each level. Splits, at most trees times nodes, come to the driver.
 
-    A forest without rows gives the uniform chance.
+    Packed blocks give the audited features of their periods from ``start`` on. A forest without rows gives the uniform chance.
     """
     owner = np.repeat(np.arange(len(forests)), [f.trees for f in forests])
     depth = max(f.depth for f in forests)
     shape = (len(owner), 1 << (depth + 1))
     now = Grown(list(forests), owner, np.full(shape, -1), np.zeros(shape, np.int64), np.full(shape, P0))
-    rows = panel.select(F.col("draw_index").cast("long").alias("draw_index"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in FEATURES])
-    rows = rows.where((F.col("draw_index") >= min(f.begin for f in forests)) & (F.col("draw_index") < max(f.end for f in forests)))
+    low, high = min(f.begin for f in forests), max(f.end for f in forests)
+    if isinstance(panel, Packed):
+        rows, read, spark = panel.between(max(low, start), high), _block_cells(panel, start), panel.table.sparkSession
+    else:
+        rows = panel.select(F.col("draw_index").cast("long").alias("draw_index"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in FEATURES])
+        rows, read, spark = rows.where((F.col("draw_index") >= low) & (F.col("draw_index") < high)), _panel_cells, panel.sparkSession
     scale = np.array([(1 - P0) / P0 if forests[o].balanced else 1.0 for o in owner])
-    leaf = panel.sparkSession.createDataFrame([(k, float(forests[o].leaf)) for k, o in enumerate(owner)], "tree int, leaf double")
+    leaf = spark.createDataFrame([(k, float(forests[o].leaf)) for k, o in enumerate(owner)], "tree int, leaf double")
     for level in range(depth):
-        cells = rows.mapInArrow(_histograms(now, level, scale), "tree int, node int, feature int, bin int, w double, hits double").groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("hits").alias("hits"))
+        cells = rows.mapInArrow(_histograms(now, level, scale, read), "tree int, node int, feature int, bin int, w double, hits double").groupBy("tree", "node", "feature", "bin").agg(F.sum("w").alias("w"), F.sum("hits").alias("hits"))
         found = _splits(cells, leaf).toArrow()
         tree, node = np.asarray(found["tree"]), np.asarray(found["node"])
         if level == 0:
@@ -192,20 +263,26 @@ def grown(panel: DataFrame, forests: Sequence[Forest]) -> Grown:
 def scored(panel: DataFrame, forest: Grown, blocks: Sequence[tuple[str, str, int, int]]) -> DataFrame:
     """(block, draw_index, number, y, p): rows with begin <= draw_index < end of each block (name, forest, begin, end), by the mean of the forest's trees."""
     place = {f.name: np.flatnonzero(forest.owner == k) for k, f in enumerate(forest.forests)}
-    depth = forest.feature.shape[1].bit_length() - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, t, _, bins in _rows(batches):
+        for rows in _tables(batches):
+            t, _, bins = _of_panel(rows)
             for name, which, begin, end in blocks:
                 at = np.flatnonzero((t >= begin) & (t < end))
                 if len(at):
-                    trees, own, p = place[which], bins[at], np.zeros(len(at))
-                    for tree in trees:
-                        p += forest.rate[tree, forest.nodes(own, depth, tree)]
+                    p = forest.chances([b.take(at) for b in bins], place[which])
                     b = rows.take(pa.array(at)).combine_chunks()
                     column = lambda i, b=b: b.column(i).combine_chunks()
-                    yield pa.record_batch([pa.array([name] * len(at), pa.string()), column(0), column(len(FEATURES) + 2), column(1).cast(pa.int64()), pa.array(p / max(len(trees), 1))], ["block", "draw_index", "number", "y", "p"])
+                    yield pa.record_batch([pa.array([name] * len(at), pa.string()), column(0), column(len(FEATURES) + 2), column(1).cast(pa.int64()), pa.array(p)], ["block", "draw_index", "number", "y", "p"])
 
     rows = panel.where((F.col("draw_index") >= min(b[2] for b in blocks)) & (F.col("draw_index") < max(b[3] for b in blocks)))
     rows = rows.select(F.col("draw_index").cast("long").alias("draw_index"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("number").cast("int").alias("number"))
     return rows.mapInArrow(run, "block string, draw_index long, number int, y long, p double")
+
+
+def block_losses(blocks: Packed, forest: Grown, spans: Sequence[tuple[str, str, int, int]], start: int = 0, shrink: float = 0.1) -> DataFrame:
+    """``fits.losses`` by block of ``scored``, from packed blocks: a row for each period comes out of a task, and no row for a number."""
+    place = {f.name: np.flatnonzero(forest.owner == k) for k, f in enumerate(forest.forests)}
+    chance = lambda x, trees: forest.chances([binned(x[:, :, k + 1]) for k in range(len(FEATURES))], trees)
+    first = max(start, min(s[2] for s in spans))
+    return _lost(blocks, [(name, place[which], begin, end) for name, which, begin, end in spans], chance, first, max(s[3] for s in spans), shrink)
