@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.sources.draws import PICK, subset
+from panelwright.operators.features import Known, by_block_twice, since
+from panelwright.sources.draws import PICK, lowest, subset
 
 
 def assert_before(draws: DataFrame, draw_id: str, draw_date: str, least: int) -> None:
@@ -18,12 +23,26 @@ def assert_before(draws: DataFrame, draw_id: str, draw_date: str, least: int) ->
             raise ValueError(why)
 
 
+#: A period's key in the changed history: its number times the first, plus the second.
+_KEY = (2_654_435, 97)
+
+
 def changed_from(draws: DataFrame, cut: int) -> DataFrame:
     """``draws`` with other numbers from period ``cut`` on: each period's are drawn anew from its key, so that two runs agree."""
-    other = subset(F.col("draw_index") * 2_654_435 + 97, PICK)
+    other = subset(F.col("draw_index") * _KEY[0] + _KEY[1], PICK)
     return draws.withColumn("numbers", F.when(F.col("draw_index") >= cut, F.sort_array(other)).otherwise(F.col("numbers")))
 
 
+def changed_periods(periods: pa.Table, cut: int) -> pa.Table:
+    """``changed_from`` of some periods in a task."""
+    at, sets = periods["draw_index"].to_numpy(), periods["numbers"].combine_chunks()
+    late = at >= cut
+    if not late.any():
+        return periods
+    other = pa.FixedSizeListArray.from_arrays(pa.array(np.sort(lowest(at * _KEY[0] + _KEY[1], PICK), 1).astype(np.int32).ravel()), PICK)
+    return periods.set_column(periods.column_names.index("numbers"), "numbers", pc.if_else(pa.array(late), other.cast(sets.type), sets))
+
+
 def digest(*columns: Column) -> tuple[Column, Column]:
     """A row's two hashes; summed over rows they tell whether two sets of rows agree, in whatever order."""
     return F.xxhash64(*columns) % 1_000_000_007, F.xxhash64(F.lit(1), *columns) % 998_244_353
@@ -58,4 +77,39 @@ def checklist(draws: DataFrame, builds: dict[str, Callable[[DataFrame], DataFram
     for name, build in builds.items():
         row = leaks(build, draws, cut).agg(F.lit(name).alias("item"), F.count("*").alias("periods"), F.sum(F.col("leaked").cast("long")).alias("leaked"))
         out = row if out is None else out.union(row)
-    return out.withColumn("status", F.when(F.col("leaked") == 0, "PASS").otherwise("FAIL"))
+    return _status(out)
+
+
+@dataclass(frozen=True)
+class InBlock:
+    """A feature set made inside blocks: what ``of`` makes of what is known, matrices of periods by numbers, from period ``start`` on."""
+
+    of: Callable[[Known], dict[str, np.ndarray]]
+    alpha: float
+    widths: tuple[int, ...]
+    start: int = 0
+
+
+def _status(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("status", F.when(F.col("leaked") == 0, "PASS").otherwise("FAIL"))
+
+
+def block_checklist(draws: DataFrame, builds: dict[str, InBlock], cut: int, digits: int = 9) -> DataFrame:
+    """``checklist`` of feature sets that are made inside blocks: both histories' features of a period meet where they are made, and a row for each block and set comes out."""
+    kinds = tuple(dict.fromkeys((b.alpha, b.widths) for b in builds.values()))
+    same = lambda a, b: np.round(a, digits) == np.round(b, digits) if np.asarray(a).dtype.kind == "f" else a == b
+
+    def make(known: list[tuple[Known, Known]]) -> pa.Table:
+        rows = []
+        for name, build in builds.items():
+            one, two = (since(k, build.start) for k in known[kinds.index((build.alpha, build.widths))])
+            keep = one["draw_index"][:, 0] <= cut
+            a, b = build.of(one), build.of(two)
+            apart = np.zeros(one["y"].shape, bool)
+            for c in a:
+                apart |= ~same(a[c], b[c])
+            rows.append((name, int(keep.sum()), int(apart[keep].any(1).sum())))
+        return pa.table([pa.array(x) for x in zip(*rows, strict=True)], ["item", "periods", "leaked"])
+
+    parts = by_block_twice(draws, lambda p: changed_periods(p, cut), make, "item string, periods long, leaked long", kinds, cut)
+    return _status(parts.groupBy("item").agg(F.sum("periods").alias("periods"), F.sum("leaked").alias("leaked")))
