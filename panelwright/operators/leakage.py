@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +33,10 @@ def changed_from(draws: DataFrame, cut: int) -> DataFrame:
 
 
 def changed_periods(periods: pa.Table, cut: int) -> pa.Table:
-    """``changed_from`` of some periods in a task."""
-    at, sets = periods["draw_index"].to_numpy(), periods["numbers"].combine_chunks()
-    late = at >= cut
-    if not late.any():
-        return periods
-    other = pa.FixedSizeListArray.from_arrays(pa.array(np.sort(lowest(at * _KEY[0] + _KEY[1], PICK), 1).astype(np.int32).ravel()), PICK)
-    return periods.set_column(periods.column_names.index("numbers"), "numbers", pc.if_else(pa.array(late), other.cast(sets.type), sets))
+    """``changed_from`` of some periods (draw_index, bits of their numbers) in a task."""
+    at = periods["draw_index"].to_numpy()
+    other = (np.int64(1) << lowest(at * _KEY[0] + _KEY[1], PICK).astype(np.int64)).sum(1)
+    return periods.set_column(periods.column_names.index("bits"), "bits", pa.array(np.where(at >= cut, other, periods["bits"].to_numpy())))
 
 
 def digest(*columns: Column) -> tuple[Column, Column]:
