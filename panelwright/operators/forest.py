@@ -170,6 +170,15 @@ def _block_cells(blocks: Packed, begin: int) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
+def _aligned(slots: np.ndarray) -> np.ndarray:
+    """``slots`` (tree, node, place) with a feature that both nodes of a split may try at the same place, so that it need not be told apart there."""
+    for each in slots:
+        for a, b in zip(each[::2].tolist(), each[1::2], strict=False):
+            rest = [f for f in b.tolist() if f not in a]
+            b[:] = [f if f in b else rest.pop() for f in a]
+    return slots
+
+
 def _histograms(now: Grown, level: int, scale: np.ndarray, cells: Callable[[Iterator[pa.RecordBatch]], Iterator[Cells]] = _panel_cells):
     """(tree, node, feature, bin, w, hits) of a partition's rows at the nodes of ``level`` that are no leaves."""
     trees = np.arange(len(now.owner))
@@ -177,7 +186,15 @@ def _histograms(now: Grown, level: int, scale: np.ndarray, cells: Callable[[Iter
     alive = np.array([now.forests[o].depth > level for o in now.owner])
     width = 1 << level
     allowed = tried(trees[:, None], width + np.arange(width)[None, :])
-    slots = np.argsort(~allowed, axis=-1, kind="stable")[..., :TRIED]  # the features that each node may split by
+    slots = _aligned(np.argsort(~allowed, axis=-1, kind="stable")[..., :TRIED])  # the features that each node may split by
+
+    def roots(y: np.ndarray, bins: list[np.ndarray], drawn: np.ndarray, found: np.ndarray) -> None:
+        """All rows are at the root: a period's own counts times its weights."""
+        every = 2 * BINS * np.arange(len(y))[:, None] + BINS * y
+        for f, own in enumerate(bins):
+            counts = np.bincount((every + own).ravel(), minlength=2 * BINS * len(y)).reshape(len(y), -1)
+            tree, k = np.nonzero(slots[:, 0] == f)
+            found[tree, k] += (drawn.T.astype(np.float32) @ counts.astype(np.float32))[tree].reshape(-1, 2, BINS)  # whole numbers far below 2 ** 24
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = width * BINS
@@ -185,6 +202,9 @@ def _histograms(now: Grown, level: int, scale: np.ndarray, cells: Callable[[Iter
         for t, y, bins in cells(batches):
             periods, of = np.unique(t, return_inverse=True)
             drawn = (weights(trees, periods) * ((periods[:, None] >= begin) & (periods[:, None] < end) & alive))[of]
+            if not level and y.shape[1] > 1:
+                roots(y, bins, drawn, found)
+                continue
             for tree in np.flatnonzero(drawn.any(0)):
                 row = np.flatnonzero(drawn[:, tree])
                 w = drawn[row, tree]
